@@ -97,3 +97,13 @@ def destinations(successes: DataFrame) -> DataFrame:
             )
         ).alias("report"),
     )
+
+
+def report_spine(spark: SparkSession) -> DataFrame:
+    """Names of all 12 possible reports (3 levels + 9 combinations)."""
+    names = []
+    for r in RELEVANCE_LEVELS:
+        folder = r.lower() + "_relevance"
+        names.append((f"{folder}/{folder}_analysis",))
+        names += [(f"{folder}/Relevance {r} - {s}",) for s in SUPPORT_LEVELS]
+    return spark.createDataFrame(names, "report string")

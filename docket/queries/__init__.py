@@ -16,6 +16,15 @@ QUERIES = {
     "relevance_reasoning": catalog.relevance_reasoning,
     "support_argument": catalog.support_argument,
     "argument_citation_check": catalog.argument_citation_check,
+    "result_split": catalog.result_split,
+    "level_filter": catalog.level_filter,
+    "domain_audit": catalog.domain_audit,
+    "level_combo_counts": catalog.level_combo_counts,
+    "report_destinations": catalog.report_destinations,
+    "report_lines": catalog.report_lines_query,
+    "report_sink_roundtrip": catalog.report_sink_roundtrip,
+    "run_summary": catalog.run_summary_query,
+    "failure_listing": catalog.failure_listing_query,
 }
 
 __all__ = ["QUERIES", "ORACLE"]

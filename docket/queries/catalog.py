@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 
 from docket.config import FIXTURE_LEXICON
 from docket.functions import extract as X
-from docket.operators.analyze import RuleAnalyzer
-from docket.operators.route import matrix
+from docket.operators.analyze import RuleAnalyzer, analysis_struct, missing_fields
+from docket.operators.metrics import failure_listing, run_summary
+from docket.operators.report import report_lines
+from docket.operators.route import destinations, is_failure, matrix, report_spine, split_results
+from docket.schema import RELEVANCE_LEVELS, SUPPORT_LEVELS
+from docket.session import shared_dir
+from docket.sinks.reports import read_reports, write_reports
+from docket.sinks.tables import materialize
 from docket.sources.documents import cases, documents
 
 ANALYZER = RuleAnalyzer(FIXTURE_LEXICON)
@@ -111,3 +117,120 @@ def argument_citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(sents).cast("bigint").alias("n_sentences"),
         X.uncited_sentences(F.col("argument"), FIXTURE_LEXICON).cast("bigint").alias("n_uncited"),
     )
+
+
+# -- results, routing and reports ------------------------------------------------------
+
+# Planted label noise, as a model would produce it: lower-cased or padded levels are
+# outside the closed domains, and an empty error string next to an analysis is a success.
+PLANT_REL = "case when doc_id % 13 = 5 then lower(relevance_level) when doc_id % 29 = 3 then relevance_level || ' ' else relevance_level end"
+PLANT_SUP = "case when doc_id % 11 = 7 then upper(support_level) else support_level end"
+PLANT_ERR = "case when doc_id % 19 = 4 then '' end"
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule-analyzer results over every case, with the planted label noise, written once."""
+    return materialize(_results_plan(spark, sf_dir), "results")
+
+
+def _results_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = ANALYZER.fields(cases(spark, sf_dir))
+    f = f.withColumn("relevance_level", F.expr(PLANT_REL)).withColumn("support_level", F.expr(PLANT_SUP))
+    missing = missing_fields()
+    return f.select(
+        "filename",
+        "doc_id",
+        F.when(missing.isNull(), analysis_struct()).alias("analysis"),
+        F.when(missing.isNotNull(), F.concat(F.lit("invalid analysis: missing "), missing))
+        .otherwise(F.expr(PLANT_ERR))
+        .alias("error"),
+    )
+
+
+def result_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R13 + R14: every envelope tagged success or failure."""
+    r = results(spark, sf_dir)
+    return r.select("doc_id", "filename", is_failure().alias("failed"), "error")
+
+
+def level_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of each exact relevance level, in one pass over the successes."""
+    ok, _ = split_results(results(spark, sf_dir))
+    return ok.where(F.col("analysis.relevance_level").isin(*RELEVANCE_LEVELS)).select(
+        "doc_id", F.col("analysis.relevance_level").alias("relevance_level")
+    )
+
+
+def domain_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R15 + R16: in/out-of-domain counts and the conservation laws they obey."""
+    ok, _ = split_results(results(spark, sf_dir))
+    rel_in = F.col("analysis.relevance_level").isin(*RELEVANCE_LEVELS)
+    sup_in = F.col("analysis.support_level").isin(*SUPPORT_LEVELS)
+    a = ok.agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_success"),
+        F.count_if(rel_in).cast("bigint").alias("n_in_level_reports"),
+        F.count_if(~rel_in).cast("bigint").alias("n_relevance_out_of_domain"),
+        F.count_if(rel_in & sup_in).cast("bigint").alias("n_in_combo_reports"),
+        F.count_if(rel_in & ~sup_in).cast("bigint").alias("n_support_out_of_domain"),
+    )
+    return a.select(
+        "*",
+        (F.col("n_success") == F.col("n_in_level_reports") + F.col("n_relevance_out_of_domain")).alias(
+            "success_conserved"
+        ),
+        (F.col("n_in_level_reports") == F.col("n_in_combo_reports") + F.col("n_support_out_of_domain")).alias(
+            "level_conserved"
+        ),
+    )
+
+
+def level_combo_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level and combination counts in one GROUPING SETS pass."""
+    ok, _ = split_results(results(spark, sf_dir))
+    rs = ok.select(
+        F.col("analysis.relevance_level").alias("relevance_level"),
+        F.col("analysis.support_level").alias("support_level"),
+    ).where(F.col("relevance_level").isin(*RELEVANCE_LEVELS))
+    g = rs.groupingSets(
+        [["relevance_level"], ["relevance_level", "support_level"]], "relevance_level", "support_level"
+    ).agg(F.count(F.lit(1)).cast("bigint").alias("n_cases"), F.grouping_id().alias("gid"))
+    level = F.when(F.col("gid") == 1, F.lit("level")).otherwise(F.lit("combo"))
+    return g.where((F.col("gid") == 1) | F.col("support_level").isin(*SUPPORT_LEVELS)).select(
+        level.alias("grouping"), "relevance_level", "support_level", "n_cases"
+    )
+
+
+def report_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R18 + R19: all 12 possible reports with their case count and whether one is written."""
+    ok, _ = split_results(results(spark, sf_dir))
+    counts = destinations(ok).groupBy("report").agg(F.count(F.lit(1)).alias("n"))
+    spine = report_spine(spark)
+    return spine.join(F.broadcast(counts), "report", "left").select(
+        "report",
+        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n_cases"),
+        (F.coalesce(F.col("n"), F.lit(0)) > 0).alias("written"),
+    )
+
+
+def report_lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R20-R22 + R24: every line of every report."""
+    ok, _ = split_results(results(spark, sf_dir))
+    return report_lines(ok)
+
+
+def report_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R23 + R25: report lines written as a partitioned table and read back."""
+    ok, _ = split_results(results(spark, sf_dir))
+    path = shared_dir(spark, "reports")
+    write_reports(report_lines(ok), path)
+    return read_reports(spark, path)
+
+
+def run_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, successes, failures."""
+    return run_summary(results(spark, sf_dir))
+
+
+def failure_listing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed documents with their error."""
+    return failure_listing(results(spark, sf_dir))

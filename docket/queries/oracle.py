@@ -75,7 +75,9 @@ fr as (select *,
            when 'Medium' then 'Relevance Medium: ' || n_topic::varchar
                 || ' sentence(s) mention the topic; none pairs it with a holding term.'
            else 'Relevance Low: no sentence mentions the topic.' end as reasoning,
-         list_filter(list_distinct(regexp_extract_all(text, {cite_re}, 0)), lambda c: cite is null or c <> cite)
+         list_filter(regexp_extract_all(text, {cite_re}, 0),
+                     lambda c, i: list_position(regexp_extract_all(text, {cite_re}, 0), c) = i
+                                  and (cite is null or c <> cite))
            as citations,
          cite || ' ' || case support_level when 'Strongly Supports' then {q(lex.lead_strong)}
                                            when 'Supports' then {q(lex.lead_support)}

@@ -97,3 +97,155 @@ ORACLE = {
     "support_argument": SUPPORT_ARGUMENT,
     "argument_citation_check": ARGUMENT_CITATION_CHECK,
 }
+
+
+# -- results, routing and reports ------------------------------------------------------
+from docket.queries.catalog import PLANT_ERR, PLANT_REL, PLANT_SUP  # noqa: E402
+from docket.schema import ANALYSIS_FIELDS  # noqa: E402
+
+_COL = {"blue_book_citation": "cite"}
+_MISSING = "nullif(concat_ws(', ', " + ", ".join(
+    f"case when {_COL.get(n, n)} is null then '{n}' end" for n, _ in ANALYSIS_FIELDS
+) + "), '')"
+
+RESULTS_CTES = f"""{_FIELDS},
+planted as (select * replace ({PLANT_REL} as relevance_level, {PLANT_SUP} as support_level) from ana),
+res as (select *, {_MISSING} as missing from planted),
+env as (select *, missing is null as has_analysis,
+               case when missing is not null then 'invalid analysis: missing ' || missing else {PLANT_ERR} end as error
+        from res),
+ok as (select * from env where has_analysis and coalesce(error, '') = ''),
+routed as (
+    select *, lower(relevance_level) || '_relevance/' || lower(relevance_level) || '_relevance_analysis' as report
+    from ok where relevance_level in ('High', 'Medium', 'Low')
+    union all
+    select *, lower(relevance_level) || '_relevance/Relevance ' || relevance_level || ' - ' || support_level as report
+    from ok where relevance_level in ('High', 'Medium', 'Low')
+             and support_level in ('Strongly Supports', 'Supports', 'Does not Support'))"""
+
+RESULT_SPLIT = f"""
+with {RESULTS_CTES}
+select doc_id, filename, (not has_analysis or coalesce(error, '') <> '') as failed, error from env
+"""
+
+LEVEL_FILTER = f"""
+with {RESULTS_CTES}
+select doc_id, relevance_level from ok where relevance_level = 'High'
+union all select doc_id, relevance_level from ok where relevance_level = 'Medium'
+union all select doc_id, relevance_level from ok where relevance_level = 'Low'
+"""
+
+DOMAIN_AUDIT = f"""
+with {RESULTS_CTES},
+a as (select count(*)::bigint as n_success,
+             count(*) filter (where relevance_level in ('High', 'Medium', 'Low'))::bigint as n_in_level_reports,
+             count(*) filter (where relevance_level not in ('High', 'Medium', 'Low'))::bigint
+               as n_relevance_out_of_domain,
+             count(*) filter (where relevance_level in ('High', 'Medium', 'Low')
+                              and support_level in ('Strongly Supports', 'Supports', 'Does not Support'))::bigint
+               as n_in_combo_reports,
+             count(*) filter (where relevance_level in ('High', 'Medium', 'Low')
+                              and support_level not in ('Strongly Supports', 'Supports', 'Does not Support'))::bigint
+               as n_support_out_of_domain
+      from ok)
+select *, n_success = n_in_level_reports + n_relevance_out_of_domain as success_conserved,
+       n_in_level_reports = n_in_combo_reports + n_support_out_of_domain as level_conserved
+from a
+"""
+
+LEVEL_COMBO_COUNTS = f"""
+with {RESULTS_CTES},
+g as (select relevance_level, support_level, grouping(support_level) as gs, count(*)::bigint as n_cases
+      from ok where relevance_level in ('High', 'Medium', 'Low')
+      group by grouping sets ((relevance_level), (relevance_level, support_level)))
+select case when gs = 1 then 'level' else 'combo' end as "grouping", relevance_level, support_level, n_cases
+from g where gs = 1 or support_level in ('Strongly Supports', 'Supports', 'Does not Support')
+"""
+
+REPORT_SPINE = """spine as (
+    select lower(r) || '_relevance/' || lower(r) || '_relevance_analysis' as report
+    from (values ('High'), ('Medium'), ('Low')) v(r)
+    union all
+    select lower(r) || '_relevance/Relevance ' || r || ' - ' || s
+    from (values ('High'), ('Medium'), ('Low')) v(r),
+         (values ('Strongly Supports'), ('Supports'), ('Does not Support')) w(s))"""
+
+REPORT_DESTINATIONS = f"""
+with {RESULTS_CTES},
+{REPORT_SPINE},
+c as (select report, count(*) as n from routed group by report)
+select report, coalesce(n, 0)::bigint as n_cases, coalesce(n, 0) > 0 as written
+from spine left join c using (report)
+"""
+
+
+def _line(style: str, text: str) -> str:
+    return f"{{'style': '{style}', 'text': {text}}}"
+
+
+_CASE_LINES = (
+    "["
+    + ", ".join(
+        [
+            _line("Heading 1", "'Case Analysis: ' || cite"),
+            _line("Rule", "'" + "_" * 50 + "'"),
+            _line("Heading 2", "'SUMMARY'"),
+            _line("Body", "summary"),
+            _line("Heading 2", "'RELEVANCY'"),
+            _line("Body", "'Relevance Level: ' || relevance_level || chr(10) || 'Reasoning: ' || reasoning || chr(10)"),
+            _line("Heading 2", "'SUPPORT LEVEL'"),
+            _line("Body", "'Support Level: ' || support_level || chr(10)"),
+            _line("Heading 2", "'ARGUMENT'"),
+            _line("Body", "argument"),
+            _line("Heading 2", "'KEY POINTS RELATED TO SPOLIATION'"),
+        ]
+    )
+    + "] || list_transform(key_points, lambda x: "
+    + _line("List Bullet", "x")
+    + ") || ["
+    + _line("Heading 2", "'CITATIONS'")
+    + "] || list_transform(citations, lambda x: "
+    + _line("List Bullet", "x")
+    + ") || ["
+    + _line("Heading 2", "'QUOTES'")
+    + "] || list_transform(quotes, lambda x: "
+    + _line("List Bullet", "x")
+    + ")"
+)
+
+REPORT_LINES = f"""
+with {RESULTS_CTES},
+b as (select report, filename,
+             case when filename <> min(filename) over (partition by report)
+                  then [{_line('Page Break', "''")}] else [] end || {_CASE_LINES} as lines
+      from routed)
+select report, filename, (u.i - 1)::bigint as line_no, u.l.style as style, u.l.text as text
+from (select report, filename, unnest(list_transform(lines, lambda l, i: {{'l': l, 'i': i}})) as u from b)
+"""
+
+RUN_SUMMARY = f"""
+with {RESULTS_CTES}
+select count(*)::bigint as n_documents,
+       count(*) filter (where has_analysis and coalesce(error, '') = '')::bigint as n_success,
+       count(*) filter (where not (has_analysis and coalesce(error, '') = ''))::bigint as n_failed
+from env
+"""
+
+FAILURE_LISTING = f"""
+with {RESULTS_CTES}
+select filename, coalesce(error, '') as error from env where not (has_analysis and coalesce(error, '') = '')
+"""
+
+ORACLE.update(
+    {
+        "result_split": RESULT_SPLIT,
+        "level_filter": LEVEL_FILTER,
+        "domain_audit": DOMAIN_AUDIT,
+        "level_combo_counts": LEVEL_COMBO_COUNTS,
+        "report_destinations": REPORT_DESTINATIONS,
+        "report_lines": REPORT_LINES,
+        "report_sink_roundtrip": REPORT_LINES,
+        "run_summary": RUN_SUMMARY,
+        "failure_listing": FAILURE_LISTING,
+    }
+)

@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Large texts: keep Arrow batches handed to Python small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Local mode: the driver JVM is the executor; size it for large text rows.
+    "spark.driver.memory": "16g",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # Paid, non-deterministic calls must not run twice on purpose.
