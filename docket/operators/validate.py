@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.schema import ANALYSIS_FIELDS, ANALYSIS_SCHEMA
+from docket.schema import ANALYSIS_FIELDS
 
 
 def field_ok(v: Column, name: str, kind: str) -> Column:
@@ -56,7 +56,7 @@ def extract(v: Column) -> Column:
             F.try_variant_get(v, f"$.{n}", "string" if k == "string" else "array<string>").alias(n)
             for n, k in ANALYSIS_FIELDS
         ]
-    ).cast(ANALYSIS_SCHEMA)
+    )
 
 
 def validate(responses: DataFrame, response: str = "response", error: str = "error") -> DataFrame:

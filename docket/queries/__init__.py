@@ -25,6 +25,12 @@ QUERIES = {
     "report_sink_roundtrip": catalog.report_sink_roundtrip,
     "run_summary": catalog.run_summary_query,
     "failure_listing": catalog.failure_listing_query,
+    "request_render": catalog.request_render,
+    "request_batches": catalog.request_batches,
+    "retry_outcomes": catalog.retry_outcomes,
+    "strict_validation": catalog.strict_validation,
+    "batch_stats": catalog.batch_stats,
+    "docx_ingest": catalog.docx_ingest,
 }
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -9,10 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.config import FIXTURE_LEXICON
+from docket.config import FIXTURE_LEXICON, Config
 from docket.functions import extract as X
 from docket.operators.analyze import RuleAnalyzer, analysis_struct, missing_fields
+from docket.operators.infer import FaultInjectingClient, StubClient, infer
+from docket.operators.metrics import batch_stats as metric_batch_stats
 from docket.operators.metrics import failure_listing, run_summary
+from docket.operators.requests import PromptTemplate, batches, model_params, render, requests_table
+from docket.operators.validate import validate
+from docket.queries.shapes import SHAPES, response_sql
 from docket.operators.report import report_lines
 from docket.operators.route import destinations, is_failure, matrix, report_spine, split_results
 from docket.schema import RELEVANCE_LEVELS, SUPPORT_LEVELS
@@ -20,6 +25,7 @@ from docket.session import shared_dir
 from docket.sinks.reports import read_reports, write_reports
 from docket.sinks.tables import materialize
 from docket.sources.documents import cases, documents
+from docket.sources.docx import read_docx_folder, write_docx_corpus
 
 ANALYZER = RuleAnalyzer(FIXTURE_LEXICON)
 
@@ -234,3 +240,95 @@ def run_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def failure_listing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed documents with their error."""
     return failure_listing(results(spark, sf_dir))
+
+
+# -- requests, inference, validation, ingest -------------------------------------------
+
+RENDER_MODELS = ("o1", "gpt-4o")
+BATCH_SIZE = 10
+RETRY_CONFIG = Config(max_retries=3, retry_delay_s=0.001, threads_per_task=8)
+
+
+def request_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R06 + R07: both messages of every request, under a reasoning and a plain model."""
+    tpl = PromptTemplate()
+    docs = documents(spark, sf_dir).select("filename", "text", F.explode(F.array(*map(F.lit, RENDER_MODELS))).alias("model"))
+    r = render(docs, tpl).withColumn("params", model_params(F.col("model")))
+    user = F.col("messages")[1]["content"]
+    return r.select(
+        "filename",
+        "model",
+        F.size("messages").cast("bigint").alias("n_messages"),
+        F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
+        F.length(F.col("messages")[0]["content"]).cast("bigint").alias("developer_chars"),
+        F.length(user).cast("bigint").alias("user_chars"),
+        F.sha2(user, 256).alias("user_sha256"),
+        F.col("params.reasoning_effort").alias("reasoning_effort"),
+        F.col("params.temperature").alias("temperature"),
+    )
+
+
+def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in file-name order, cut into numbered batches of 10."""
+    return batches(documents(spark, sf_dir).select("filename"), BATCH_SIZE).select(
+        "filename", "batch_no", "n_batches"
+    )
+
+
+def _doc_id_of(filename: str) -> int:
+    return int(filename.split(".", 1)[0])
+
+
+def _faulty_client():
+    return FaultInjectingClient(StubClient(), lambda fn: _doc_id_of(fn) % 5)
+
+
+def retry_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts, backoff and dead letters when document k fails k % 5 times."""
+    reqs = requests_table(documents(spark, sf_dir), RETRY_CONFIG)
+    resp = materialize(infer(reqs, _faulty_client, RETRY_CONFIG), "responses")
+    return resp.select(
+        F.split_part(F.col("filename"), F.lit("."), F.lit(1)).cast("bigint").alias("doc_id"),
+        F.col("attempts").cast("bigint").alias("attempts"),
+        "waited_ms",
+        F.col("error").isNull().alias("ok"),
+        "error",
+    )
+
+
+def strict_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts and extracted fields for 17 response shapes, one per document."""
+    d = documents(spark, sf_dir).selectExpr(
+        "doc_id", "filename", f"cast(doc_id % {len(SHAPES)} as bigint) as shape", f"{response_sql('spark')} as response"
+    )
+    v = validate(d.withColumn("error", F.lit(None).cast("string")))
+    return v.select(
+        "doc_id",
+        "shape",
+        F.col("analysis").isNotNull().alias("valid"),
+        F.col("analysis.blue_book_citation").alias("blue_book_citation"),
+        F.col("analysis.relevance_level").alias("relevance_level"),
+        F.size("analysis.key_points").cast("bigint").alias("n_key_points"),
+    ).withColumn("n_key_points", F.when(F.col("valid"), F.col("n_key_points")))
+
+
+def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests per batch, from the written response table."""
+    cfg = Config(max_retries=0, threads_per_task=8)
+    reqs = requests_table(documents(spark, sf_dir), cfg)
+    numbered_reqs = batches(reqs.select("filename", "request_key"), BATCH_SIZE)
+    resp = materialize(infer(reqs, StubClient, cfg), "responses")
+    joined = resp.join(numbered_reqs.select("filename", "batch_no"), "filename")
+    return metric_batch_stats(joined).select("batch_no", "n_requests")
+
+
+DOCX_CORRUPT = "doc_id % 23 = 0"
+
+
+def docx_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as .docx files, listed, extracted and quarantined."""
+    folder = shared_dir(spark, "docx")
+    docs = documents(spark, sf_dir)
+    write_docx_corpus(docs, folder.replace("file:", "", 1), corrupt=DOCX_CORRUPT)
+    ex = read_docx_folder(spark, folder)
+    return ex.select("filename", "text", F.col("error").isNull().alias("readable"))

@@ -249,3 +249,85 @@ ORACLE.update(
         "failure_listing": FAILURE_LISTING,
     }
 )
+
+
+# -- requests, inference, validation, ingest -------------------------------------------
+from docket.operators.requests import PromptTemplate  # noqa: E402
+from docket.queries.catalog import BATCH_SIZE, DOCX_CORRUPT, RENDER_MODELS, RETRY_CONFIG  # noqa: E402
+from docket.queries.shapes import SHAPES, response_sql  # noqa: E402
+from docket.schema import LIST_FIELDS, STRING_FIELDS  # noqa: E402
+
+_TPL = PromptTemplate()
+_PRE, _POST = _TPL.user_parts()
+_FILENAME = "lpad(doc_id::varchar, 9, '0') || '.docx'"
+
+REQUEST_RENDER = f"""
+with d as (select {_FILENAME} as filename, text, unnest([{', '.join(q(m) for m in RENDER_MODELS)}]) as model
+           from documents),
+m as (select *, {q(_TPL.developer)} as dev, {q(_PRE)} || text || {q(_POST)} as usr from d)
+select filename, model, 2::bigint as n_messages, 'developer,user' as roles,
+       length(dev)::bigint as developer_chars, length(usr)::bigint as user_chars, sha256(usr) as user_sha256,
+       case when model = 'o1' then 'high' end as reasoning_effort,
+       case when model <> 'o1' then 0.0::double end as temperature
+from m
+"""
+
+REQUEST_BATCHES = f"""
+select filename, ((row_number() over (order by filename) - 1) // {BATCH_SIZE} + 1)::bigint as batch_no,
+       ceil(count(*) over () / {BATCH_SIZE})::bigint as n_batches
+from (select {_FILENAME} as filename from documents)
+"""
+
+_M = RETRY_CONFIG.max_retries
+_D = RETRY_CONFIG.retry_delay_ms
+RETRY_OUTCOMES = f"""
+select doc_id, least(doc_id % 5 + 1, {_M + 1})::bigint as attempts,
+       ({_D} * (pow(2, least(doc_id % 5, {_M})) - 1))::bigint as waited_ms,
+       doc_id % 5 <= {_M} as ok,
+       case when doc_id % 5 <= {_M} then null
+            else 'Failed after {_M} retries: injected failure on attempt ' || (doc_id % 5)::varchar end as error
+from documents
+"""
+
+_CHECKS = " and ".join(
+    [f"coalesce(json_type(r, '$.{f}') = 'VARCHAR', false)" for f in STRING_FIELDS]
+    + [
+        f"coalesce(json_type(r, '$.{f}') = 'ARRAY', false)"
+        f" and coalesce(len(list_filter(json_extract(r, '$.{f}[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0, false)"
+        for f in LIST_FIELDS
+    ]
+)
+STRICT_VALIDATION = f"""
+with d as (select doc_id, (doc_id % {len(SHAPES)})::bigint as shape, {response_sql('duckdb')} as r from documents),
+v as (select *, case when coalesce(json_valid(r), false) then json_type(r) = 'OBJECT' and {_CHECKS} else false end as valid
+      from d)
+select doc_id, shape, valid,
+       case when valid then json_extract_string(r, '$.blue_book_citation') end as blue_book_citation,
+       case when valid then json_extract_string(r, '$.relevance_level') end as relevance_level,
+       case when valid then json_array_length(r, '$.key_points')::bigint end as n_key_points
+from v
+"""
+
+BATCH_STATS = f"""
+select batch_no, count(*)::bigint as n_requests
+from (select ((row_number() over (order by filename) - 1) // {BATCH_SIZE} + 1)::bigint as batch_no
+      from (select {_FILENAME} as filename from documents))
+group by batch_no
+"""
+
+DOCX_INGEST = f"""
+select {_FILENAME} as filename, case when {DOCX_CORRUPT} then null else text end as text,
+       not ({DOCX_CORRUPT}) as readable
+from documents
+"""
+
+ORACLE.update(
+    {
+        "request_render": REQUEST_RENDER,
+        "request_batches": REQUEST_BATCHES,
+        "retry_outcomes": RETRY_OUTCOMES,
+        "strict_validation": STRICT_VALIDATION,
+        "batch_stats": BATCH_STATS,
+        "docx_ingest": DOCX_INGEST,
+    }
+)

@@ -25,7 +25,7 @@ LIST_FIELDS = tuple(n for n, k in ANALYSIS_FIELDS if k == "list")
 
 ANALYSIS_SCHEMA = T.StructType(
     [
-        T.StructField(n, T.StringType() if k == "string" else T.ArrayType(T.StringType(), False), True)
+        T.StructField(n, T.StringType() if k == "string" else T.ArrayType(T.StringType(), True), True)
         for n, k in ANALYSIS_FIELDS
     ]
 )
