@@ -122,54 +122,93 @@ def cited_cases(text: Column, own: Column, lex: Lexicon) -> Column:
     return F.when(own.isNull(), found).otherwise(F.array_remove(found, own))
 
 
-def _page_markers(lines: Column) -> Column:
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def page_markers(lines: Column) -> Column:
+    """(pos, page) of every line holding a star page: the line's last one."""
     marks = F.transform(
         lines,
         lambda x, i: F.struct(
             i.alias("pos"),
-            F.try_element_at(F.regexp_extract_all(x, F.lit(STAR_PAGE), 1), F.lit(-1)).alias("page"),
+            F.when(
+                F.instr(x, "*") > 0,
+                F.try_element_at(F.regexp_extract_all(x, F.lit(STAR_PAGE), 1), F.lit(-1)),
+            ).alias("page"),
         ),
     )
     return F.filter(marks, lambda m: m["page"].isNotNull())
 
 
+def page_by_line(markers: Column, n_lines: Column) -> Column:
+    """Dense array: the page in force at each line (null before the first marker).
+
+    Built from runs (``array_repeat``) between consecutive markers, so it costs
+    O(lines + markers) per document; a quote's page is then one array lookup.
+    """
+    first = F.try_element_at(markers, F.lit(1))["pos"]
+    runs = F.flatten(
+        F.transform(
+            markers,
+            lambda m, i: F.array_repeat(
+                m["page"], F.coalesce(F.try_element_at(markers, i + 2)["pos"], n_lines) - m["pos"]
+            ),
+        )
+    )
+    lead = F.array_repeat(F.lit(None).cast("string"), F.coalesce(first, n_lines))
+    return F.when(F.size(markers) > 0, F.concat(lead, runs))
+
+
 def quote_lines(lines: Column) -> Column:
     """(pos, quotes) per line that holds at least one curly-quoted passage."""
     per_line = F.transform(
-        lines, lambda x, i: F.struct(i.alias("pos"), F.regexp_extract_all(x, F.lit(CURLY_QUOTE), 1).alias("qs"))
+        lines,
+        lambda x, i: F.struct(
+            i.alias("pos"),
+            F.when(F.instr(x, "“") > 0, F.regexp_extract_all(x, F.lit(CURLY_QUOTE), 1)).alias("qs"),
+        ),
     )
-    return F.filter(per_line, lambda q: F.size(q["qs"]) > 0)
+    return F.filter(per_line, lambda q: F.coalesce(F.size(q["qs"]) > 0, F.lit(False)))
 
 
 def format_quote(q: Column, page: Column) -> Column:
     return F.concat(F.lit("“"), q, F.lit("”"), F.coalesce(F.concat(F.lit(", at *"), page), F.lit("")))
 
 
-def quote_records(text: Column) -> Column:
+def quote_records(qlines: Column, pages: Column) -> Column:
     """E07 as records: ``array<struct<line_no, quote, page>>`` in document order.
 
-    ``page`` is the last star page at or before the quote's line. Works inside
-    the row: the marker lines and the quoted lines are each filtered first, so
-    the lookup costs (quoted lines x marker lines) per document and no shuffle.
+    ``qlines`` is :func:`quote_lines` and ``pages`` :func:`page_by_line`, both
+    already materialised as columns (an expression inside a lambda is evaluated
+    per element). ``page`` is the last star page at or before the quote's line.
     """
-    lines = F.split(text, "\n", -1)
-    markers = F.when(F.instr(text, "*") > 0, _page_markers(lines))
-    qlines = quote_lines(lines)
-
-    def page_for(pos: Column) -> Column:
-        return F.try_element_at(F.filter(markers, lambda m: m["pos"] <= pos), F.lit(-1))["page"]
-
-    recs = F.flatten(
+    return F.flatten(
         F.transform(
             qlines,
             lambda ql: F.transform(
                 ql["qs"],
-                lambda s: F.struct(ql["pos"].alias("line_no"), s.alias("quote"), page_for(ql["pos"]).alias("page")),
+                lambda s: F.struct(
+                    ql["pos"].alias("line_no"),
+                    s.alias("quote"),
+                    F.try_element_at(pages, ql["pos"] + 1).alias("page"),
+                ),
             ),
         )
     )
-    empty = F.array().cast("array<struct<line_no:int,quote:string,page:string>>")
-    return F.when(F.instr(text, "“") > 0, recs).otherwise(empty)
+
+
+def with_quotes(df, text: str = "text", out: str = "_quote_records"):
+    """Add E07 records to ``df`` in stages, each intermediate computed once per row."""
+    empty_q = F.array().cast("array<struct<pos:int,qs:array<string>>>")
+    df = df.withColumn("_lines", F.when(F.instr(F.col(text), "“") > 0, lines_of(F.col(text))))
+    df = df.withColumn("_qlines", F.when(F.col("_lines").isNotNull(), quote_lines(F.col("_lines"))).otherwise(empty_q))
+    df = df.withColumn(
+        "_markers", F.when((F.size("_qlines") > 0) & (F.instr(F.col(text), "*") > 0), page_markers(F.col("_lines")))
+    )
+    df = df.withColumn("_pages", page_by_line(F.col("_markers"), F.size("_lines")))
+    df = df.withColumn(out, quote_records(F.col("_qlines"), F.col("_pages")))
+    return df.drop("_lines", "_qlines", "_markers", "_pages")
 
 
 def quotes(records: Column) -> Column:
@@ -195,9 +234,14 @@ def argument_sentences(arg: Column, lex: Lexicon) -> Column:
     return F.filter(F.split(masked, SENTENCE_SPLIT, -1), lambda s: clean(s) != "")
 
 
+def uncited_count(sents: Column) -> Column:
+    """How many of the (masked) argument sentences carry no citation."""
+    return F.size(F.filter(sents, lambda s: ~s.contains(CITE_PLACEHOLDER)))
+
+
 def uncited_sentences(arg: Column, lex: Lexicon) -> Column:
-    """Number of argument sentences that carry no citation."""
-    return F.size(F.filter(argument_sentences(arg, lex), lambda s: ~s.contains(CITE_PLACEHOLDER)))
+    """E12 from the argument text."""
+    return uncited_count(argument_sentences(arg, lex))
 
 
 __all__ = [
@@ -214,9 +258,11 @@ __all__ = [
     "key_points",
     "cited_cases",
     "quote_records",
+    "with_quotes",
     "quotes",
     "argument",
     "argument_sentences",
+    "uncited_count",
     "uncited_sentences",
     "sentences",
 ]

@@ -73,8 +73,8 @@ class RuleAnalyzer:
             X.reasoning(F.col("relevance_level"), F.col("n_topic"), F.col("n_both")).alias("reasoning"),
             X.key_points(F.col("_topic_sents"), lex.key_point_limit).alias("key_points"),
             X.cited_cases(F.col(text), F.col("_cite"), lex).alias("citations"),
-            X.quote_records(F.col(text)).alias("_quote_records"),
         )
+        f = X.with_quotes(f, text)
         f = f.withColumn("quotes", X.quotes(F.col("_quote_records")))
         f = f.withColumn(
             "argument", X.argument(F.col("_cite"), F.col("support_level"), F.col("key_points"), lex)

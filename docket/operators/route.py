@@ -57,12 +57,17 @@ def combo_counts(successes: DataFrame) -> DataFrame:
 def matrix(spark: SparkSession, successes: DataFrame) -> DataFrame:
     """All nine combinations with their counts; empty ones get 0.
 
-    ``combo_counts`` holds at most nine rows by construction (closed domain), so
-    broadcasting it is bounded whatever the input size.
+    Counts are grouped over every (relevance, support) pair and the closed
+    domain is applied by the join with the nine-row spine, not by a filter: a
+    filter on the analysis columns would be pushed below the analysis and
+    inline it a second time. The counts side has one row per distinct label
+    pair; AQE measures it at run time and broadcasts the smaller side.
     """
-    counts = combo_counts(successes)
+    counts = successes.groupBy(REL().alias("relevance_level"), SUP().alias("support_level")).agg(
+        F.count(F.lit(1)).alias("n_cases")
+    )
     spine = domain_spine(spark)
-    return spine.join(F.broadcast(counts), ["relevance_level", "support_level"], "left").select(
+    return spine.join(counts, ["relevance_level", "support_level"], "left").select(
         "relevance_level", "support_level", F.coalesce(F.col("n_cases"), F.lit(0)).cast("bigint").alias("n_cases")
     )
 

@@ -69,21 +69,31 @@ def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key points, one row each, numbered in document order."""
     f = _fields(spark, sf_dir)
-    return f.select("doc_id", F.posexplode("key_points").alias("point_no", "key_point")).select(
-        "doc_id", F.col("point_no").cast("bigint").alias("point_no"), "key_point"
+    return (
+        f.select("doc_id", F.posexplode_outer("key_points").alias("point_no", "key_point"))
+        .where(F.col("point_no").isNotNull())
+        .select("doc_id", F.col("point_no").cast("bigint").alias("point_no"), "key_point")
     )
 
 
 def cited_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct cases cited by each case (its own caption excluded)."""
     f = _fields(spark, sf_dir)
-    return f.select("doc_id", F.explode("citations").alias("cited_case"))
+    return (
+        f.select("doc_id", F.posexplode_outer("citations").alias("_i", "cited_case"))
+        .where(F.col("_i").isNotNull())
+        .select("doc_id", "cited_case")
+    )
 
 
 def quotes_with_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every curly-quoted passage with the star page in force at its line."""
     f = _fields(spark, sf_dir)
-    r = f.select("doc_id", F.posexplode("_quote_records").alias("quote_no", "r"))
+    # outer explode + a filter on the generated column: the filter stays above the
+    # generator instead of being pushed (and the analysis inlined) below it
+    r = f.select("doc_id", F.posexplode_outer("_quote_records").alias("quote_no", "r")).where(
+        F.col("quote_no").isNotNull()
+    )
     return r.select(
         "doc_id",
         F.col("quote_no").cast("bigint").alias("quote_no"),
@@ -115,13 +125,13 @@ def support_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def argument_citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Argument sentences, and how many carry no citation."""
-    f = _fields(spark, sf_dir).select("doc_id", "argument").where(F.col("argument").isNotNull())
-    sents = X.argument_sentences(F.col("argument"), FIXTURE_LEXICON)
+    """Argument sentences, and how many carry no citation (null without an argument)."""
+    f = _fields(spark, sf_dir).select("doc_id", "argument")
+    f = f.withColumn("_s", X.argument_sentences(F.col("argument"), FIXTURE_LEXICON))
     return f.select(
         "doc_id",
-        F.size(sents).cast("bigint").alias("n_sentences"),
-        X.uncited_sentences(F.col("argument"), FIXTURE_LEXICON).cast("bigint").alias("n_uncited"),
+        F.size("_s").cast("bigint").alias("n_sentences"),
+        X.uncited_count(F.col("_s")).cast("bigint").alias("n_uncited"),
     )
 
 

@@ -79,7 +79,7 @@ s as (select doc_id,
         list_filter(regexp_split_to_array(regexp_replace(argument, {q(LEX.citation_pattern)}, {q(CITE_PLACEHOLDER)}, 'g'),
                                           {q(SENTENCE_SPLIT)}),
                     lambda x: {clean('x')} <> '') as sents
-      from ana where argument is not null)
+      from ana)
 select doc_id, len(sents)::bigint as n_sentences,
        len(list_filter(sents, lambda x: strpos(x, {q(CITE_PLACEHOLDER)}) = 0))::bigint as n_uncited
 from s
