@@ -81,6 +81,20 @@ def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, s
     return requests.join(best, "request_key").select("*", "a.*").drop("a")
 
 
+def analyze_requests(requests: DataFrame, config: Config, analyzer: RuleAnalyzer | None = None,
+                     client_factory: Callable[[], object] | None = None, store: str | None = None,
+                     template: PromptTemplate | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Requests -> (results envelopes, model answers or None). Nothing is written here
+    except the model's response store."""
+    if client_factory is not None:
+        if store is None:
+            raise ValueError("a response store path is required with a model client")
+        answered = answer(requests, client_factory, config, store, template)
+        return validate(answered.drop("text")), answered
+    analyzer = analyzer or RuleAnalyzer(config.lexicon)
+    return analyzer.analyze(requests), None
+
+
 def run(
     spark: SparkSession,
     docs: DataFrame,
@@ -106,15 +120,11 @@ def run(
         return RunResult(n_documents=0)
 
     stats = None
-    if client_factory is not None:
-        answered = answer(requests, client_factory, config, f"{out}/responses", template)
-        results = validate(answered.drop("text"))
+    results, answered = analyze_requests(requests, config, analyzer, client_factory, f"{out}/responses", template)
+    stats_src = None
+    if answered is not None:
         numbered = batches(requests.select("filename"), config.max_concurrent_requests)
         stats_src = answered.select("filename", "latency_s").join(numbered, "filename")
-    else:
-        analyzer = analyzer or RuleAnalyzer(config.lexicon)
-        results = analyzer.analyze(requests)
-        stats_src = None
     results = materialize(results.select("filename", "analysis", "error"), "results", path=f"{out}/results")
 
     ok, _ = split_results(results)
