@@ -47,10 +47,13 @@ def is_candidate(lower_text: Column, lex: Lexicon) -> Column:
     return lower_text.rlike(term_pattern(lex.candidate_phrases))
 
 
-def topic_sentences(sents: Column, has_topic: Column, lex: Lexicon) -> Column:
-    """Sentences (original case) that mention a topic term, in document order."""
+def topic_sentences(body: Column, has_topic: Column, lex: Lexicon) -> Column:
+    """Sentences (original case) that mention a topic term, in document order.
+
+    The body is split only when it mentions the topic at all.
+    """
     pat = term_pattern(lex.topic_terms)
-    return F.when(has_topic, F.filter(sents, lambda s: F.lower(s).rlike(pat))).otherwise(empty_strings())
+    return F.when(has_topic, F.filter(sentences(body), lambda s: F.lower(s).rlike(pat))).otherwise(empty_strings())
 
 
 def holding_count(topic_sents: Column, has_holding: Column, lex: Lexicon) -> Column:
@@ -97,17 +100,19 @@ def reasoning(level: Column, n_topic: Column, n_both: Column) -> Column:
     )
 
 
-def summary(sents: Column, n: int) -> Column:
+def summary(body: Column, n: int) -> Column:
     """The first ``n`` non-blank sentences, cleaned, joined as prose.
 
-    Only the first 4n pieces are cleaned unless they hold fewer than n non-blank
-    sentences, so a long document does not clean every sentence for a summary.
+    Only the first 4n sentences are split off (a split with a limit leaves the
+    rest of the text as one piece); the whole body is split only when those hold
+    fewer than n non-blank sentences.
     """
     def pick(arr: Column) -> Column:
         return F.slice(F.filter(F.transform(arr, clean), lambda s: s != ""), 1, n)
 
-    head = pick(F.slice(sents, 1, 4 * n))
-    chosen = F.when((F.size(head) >= n) | (F.size(sents) <= 4 * n), head).otherwise(pick(sents))
+    limited = F.split(body, SENTENCE_SPLIT, 4 * n + 1)
+    head = pick(F.slice(limited, 1, 4 * n))
+    chosen = F.when((F.size(head) >= n) | (F.size(limited) <= 4 * n), head).otherwise(pick(sentences(body)))
     return F.concat(F.array_join(chosen, ". "), F.when(F.size(chosen) > 0, F.lit(".")).otherwise(F.lit("")))
 
 

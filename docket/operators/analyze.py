@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docket.config import Lexicon
 from docket.functions import extract as X
-from docket.functions.text import after_first_line, count_terms, first_line, sentences, term_pattern
+from docket.functions.text import after_first_line, count_terms, first_line, term_pattern
 from docket.schema import ANALYSIS_FIELDS
 
 FEATURE_COLUMNS = (
@@ -41,7 +41,7 @@ class RuleAnalyzer:
         df = df.withColumn("_cite", X.citation(first_line(t), lex))
         # The citation line is a caption, not prose: sentences start after it.
         df = df.withColumn("_body", F.when(F.col("_cite").isNotNull(), after_first_line(t)).otherwise(t))
-        df = df.withColumn("_lt", F.lower("_body")).withColumn("_sents", sentences(F.col("_body")))
+        df = df.withColumn("_lt", F.lower("_body"))
         df = df.select(
             "*",
             F.col("_lt").rlike(term_pattern(lex.topic_terms)).alias("_has_topic"),
@@ -50,7 +50,7 @@ class RuleAnalyzer:
                 "net_support"
             ),
         )
-        df = df.withColumn("_topic_sents", X.topic_sentences(F.col("_sents"), F.col("_has_topic"), lex))
+        df = df.withColumn("_topic_sents", X.topic_sentences(F.col("_body"), F.col("_has_topic"), lex))
         df = df.select(
             "*",
             F.size("_topic_sents").alias("n_topic"),
@@ -69,7 +69,7 @@ class RuleAnalyzer:
         f = self.features(df, text)
         f = f.select(
             "*",
-            X.summary(F.col("_sents"), lex.summary_sentences).alias("summary"),
+            X.summary(F.col("_body"), lex.summary_sentences).alias("summary"),
             X.reasoning(F.col("relevance_level"), F.col("n_topic"), F.col("n_both")).alias("reasoning"),
             X.key_points(F.col("_topic_sents"), lex.key_point_limit).alias("key_points"),
             X.cited_cases(F.col(text), F.col("_cite"), lex).alias("citations"),

@@ -39,10 +39,20 @@ def in_domain(rel: Column | None = None, sup: Column | None = None) -> Column:
     return rel.isin(*RELEVANCE_LEVELS) & sup.isin(*SUPPORT_LEVELS)
 
 
+def _literal_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """A small literal table built inside the JVM (inline of an array of structs)."""
+    structs = [F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def domain_spine(spark: SparkSession) -> DataFrame:
     """The 3 x 3 (relevance, support) spine with its display order."""
-    rows = [(r, i, s, j) for i, r in enumerate(RELEVANCE_LEVELS) for j, s in enumerate(SUPPORT_LEVELS)]
-    return spark.createDataFrame(rows, "relevance_level string, r_ord int, support_level string, s_ord int")
+    rows = [
+        {"relevance_level": r, "r_ord": i, "support_level": s, "s_ord": j}
+        for i, r in enumerate(RELEVANCE_LEVELS)
+        for j, s in enumerate(SUPPORT_LEVELS)
+    ]
+    return _literal_rows(spark, rows)
 
 
 def combo_counts(successes: DataFrame) -> DataFrame:
@@ -109,6 +119,6 @@ def report_spine(spark: SparkSession) -> DataFrame:
     names = []
     for r in RELEVANCE_LEVELS:
         folder = r.lower() + "_relevance"
-        names.append((f"{folder}/{folder}_analysis",))
-        names += [(f"{folder}/Relevance {r} - {s}",) for s in SUPPORT_LEVELS]
-    return spark.createDataFrame(names, "report string")
+        names.append({"report": f"{folder}/{folder}_analysis"})
+        names += [{"report": f"{folder}/Relevance {r} - {s}"} for s in SUPPORT_LEVELS]
+    return _literal_rows(spark, names)
