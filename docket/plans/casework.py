@@ -22,16 +22,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docket.config import Config
 from docket.operators.analyze import RuleAnalyzer
 from docket.operators.infer import ClientFactory, infer
-from docket.operators.metrics import batch_stats, failure_listing, run_summary
+from docket.operators.metrics import batch_stats, failure_listing
 from docket.operators.report import report_lines
 from docket.operators.requests import PromptTemplate, batches, requests_table
-from docket.operators.route import split_results
+from docket.operators.route import is_failure, split_results
 from docket.operators.validate import validate
 from docket.sinks.reports import write_reports
 from docket.sinks.tables import materialize
@@ -125,11 +125,19 @@ def run(
     if answered is not None:
         numbered = batches(requests.select("filename"), config.max_concurrent_requests)
         stats_src = answered.select("filename", "latency_s").join(numbered, "filename")
-    results = materialize(results.select("filename", "analysis", "error"), "results", path=f"{out}/results")
+    obs = Observation("run_summary")
+    failed = is_failure()
+    results = materialize(
+        results.select("filename", "analysis", "error"), "results", f"{out}/results", "parquet", obs,
+        F.count(F.lit(1)).alias("n_documents"), F.count_if(~failed).alias("n_success"),
+        F.count_if(failed).alias("n_failed"),
+    )
+    counts = obs.get  # R26 from the results write itself
 
     ok, _ = split_results(results)
     write_reports(report_lines(ok), f"{out}/reports", replace_all=replace_all)
-    summary = materialize(run_summary(results), "summary", path=f"{out}/summary")
+    summary = spark.range(1).select(*[F.lit(int(counts[k])).alias(k) for k in ("n_documents", "n_success", "n_failed")])
+    summary = materialize(summary, "summary", path=f"{out}/summary")
     failures = materialize(failure_listing(results), "failures", path=f"{out}/failures")
     if stats_src is not None:
         stats = materialize(batch_stats(stats_src), "batch_stats", path=f"{out}/batch_stats")

@@ -339,6 +339,6 @@ def docx_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as .docx files, listed, extracted and quarantined."""
     folder = shared_dir(spark, "docx")
     docs = documents(spark, sf_dir)
-    write_docx_corpus(docs, folder.replace("file:", "", 1), corrupt=DOCX_CORRUPT)
+    write_docx_corpus(docs, folder, corrupt=DOCX_CORRUPT)
     ex = read_docx_folder(spark, folder)
     return ex.select("filename", "text", F.col("error").isNull().alias("readable"))

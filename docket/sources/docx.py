@@ -134,20 +134,31 @@ def write_docx_corpus(docs: DataFrame, folder: str, corrupt: str | None = None)
 
     Runs as a Spark job (each task writes its own files). ``corrupt`` is an
     optional SQL predicate: matching rows get a damaged archive instead. The
-    folder must be a path every executor can write (a shared mount).
+    folder must be shared by all executors: a URI (written through Arrow's file
+    systems) or a path on a shared mount.
     """
-    os.makedirs(folder, exist_ok=True)
+    if folder.startswith("file:"):
+        folder = "/" + folder[len("file:"):].lstrip("/")
+    if "://" not in folder:
+        os.makedirs(folder, exist_ok=True)
     flag = F.expr(corrupt) if corrupt else F.lit(False)
     src = docs.select("filename", "text", flag.alias("_bad"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if "://" in folder:  # shared storage (hdfs://, s3://, ...) through Arrow's file systems
+            from pyarrow import fs as pafs
+
+            filesystem, base = pafs.FileSystem.from_uri(folder)
+            opener = lambda name: filesystem.open_output_stream(f"{base}/{name}")
+        else:
+            opener = lambda name: open(os.path.join(folder, name), "wb")
         n = 0
         for pdf in batches:
             for fn, text, bad in zip(pdf["filename"], pdf["text"], pdf["_bad"]):
                 data = docx_bytes(text or "")
                 if bad:
                     data = data[: len(data) // 3]
-                with open(os.path.join(folder, fn), "wb") as fh:
+                with opener(fn) as fh:
                     fh.write(data)
                 n += 1
         yield pd.DataFrame({"n": [n]})

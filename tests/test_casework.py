@@ -49,3 +49,22 @@ def test_empty_input_short_circuits(spark, tmp_dir):
     res = run(spark, docs, os.path.join(tmp_dir, "out"))
     assert res.n_documents == 0 and res.reports_path is None
     assert not os.path.exists(os.path.join(tmp_dir, "out", "reports"))
+
+
+def test_hot_duplicate_text_costs_one_call(spark, tmp_dir):
+    """A third of the rows share one text: one call for it, every row answered."""
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(StubClient):
+        def complete(self, request):
+            calls.add(1)
+            return super().complete(request)
+
+    rows = [(f"{i:09d}.docx", "Doe v. Roe, 1 So. 3d 2 (La. 2001)\nsame text" if i % 3 == 0 else f"text {i}")
+            for i in range(300)]
+    docs = spark.createDataFrame(rows, "filename string, text string").repartition(6)
+    res = run(spark, docs, os.path.join(tmp_dir, "out"), config=Config(threads_per_task=4, max_retries=0),
+              client_factory=Counting)
+    assert calls.value == 1 + 200
+    s = res.summary.first()
+    assert (s["n_documents"], s["n_success"], s["n_failed"]) == (300, 300, 0)
