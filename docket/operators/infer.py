@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from docket.config import Config
 from docket.operators.requests import PromptTemplate
 from docket.schema import ANALYSIS_FIELDS
+from docket.session import ship_package
 
 RESPONSE_DDL = (
     "filename string, request_key string, response string, error string,"
@@ -141,6 +142,7 @@ def infer(requests: DataFrame, client_factory: ClientFactory, config: Config,
     """
     template = template or PromptTemplate(template_id=config.template_id)
     spark = requests.sparkSession
+    ship_package(spark)
     parts = config.inference_partitions or 2 * spark.sparkContext.defaultParallelism
     src = requests.select("filename", "text", "request_key").repartition(parts)
     return src.mapInPandas(_partition_fn(client_factory, config, template), RESPONSE_DDL)

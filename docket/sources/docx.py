@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docket.session import ship_package
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 EXTRACT_DDL = "path string, filename string, text string, error string"
 
@@ -61,6 +63,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_docx_folder(spark: SparkSession, folder: str, suffix: str = ".docx") -> DataFrame:
     """R01 + R02 + R03: ``(path, filename, text, error)`` for every ``*<suffix>`` file."""
+    ship_package(spark)
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*" + suffix)
@@ -137,6 +140,7 @@ def write_docx_corpus(docs: DataFrame, folder: str, corrupt: str | None = None)
     folder must be shared by all executors: a URI (written through Arrow's file
     systems) or a path on a shared mount.
     """
+    ship_package(docs.sparkSession)
     if folder.startswith("file:"):
         folder = "/" + folder[len("file:"):].lstrip("/")
     if "://" not in folder:

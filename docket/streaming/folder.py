@@ -24,6 +24,7 @@ from docket.operators.requests import PromptTemplate, requests_table
 from docket.operators.route import destinations, split_results
 from docket.plans.casework import analyze_requests
 from docket.sinks.reports import write_reports
+from docket.session import ship_package
 from docket.sources.docx import EXTRACT_DDL, _extract
 
 BINARY_FILE_DDL = "path string, modificationTime timestamp, length bigint, content binary"
@@ -60,6 +61,7 @@ def watch_folder(spark: SparkSession, folder: str, out_dir: str, checkpoint: str
     """Start the stream. ``available_now`` processes what is there and stops;
     otherwise it polls the folder every ten seconds."""
     config = config or Config()
+    ship_package(spark)
     reader = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE_DDL)
