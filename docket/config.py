@@ -77,8 +77,10 @@ class Config:
     retry_delay_s: float = 1.0
     # Concurrency of one inference task; cluster-wide ceiling = running tasks x threads.
     threads_per_task: int = 8
-    # Partitions for the inference stage (None: 2 x default parallelism).
+    # Partitions for the inference stage (None: one per ``requests_per_task`` requests,
+    # at least the default parallelism). Small tasks bound the calls a lost executor repeats.
     inference_partitions: int | None = None
+    requests_per_task: int = 500
     # Rows per Arrow batch handed to Python (large texts: keep it small).
     arrow_batch_rows: int = 64
     template_id: str = "default-v1"

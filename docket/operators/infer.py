@@ -134,16 +134,24 @@ def _partition_fn(client_factory: ClientFactory, config: Config, template: Promp
 
 
 def infer(requests: DataFrame, client_factory: ClientFactory, config: Config,
-          template: PromptTemplate | None = None) -> DataFrame:
+          template: PromptTemplate | None = None, n_requests: int | None = None) -> DataFrame:
     """``(filename, text, request_key)`` -> one response row per request.
 
-    The input is spread round-robin over ``inference_partitions`` tasks (document
-    tables often scan as a handful of partitions).
+    The input is spread round-robin over ``inference_partitions`` tasks, or one
+    task per ``requests_per_task`` requests when ``n_requests`` is known (at least
+    the default parallelism): document tables often scan as a handful of
+    partitions, and small tasks bound what a retried task calls again.
     """
     template = template or PromptTemplate(template_id=config.template_id)
     spark = requests.sparkSession
     ship_package(spark)
-    parts = config.inference_partitions or 2 * spark.sparkContext.defaultParallelism
+    floor = 2 * spark.sparkContext.defaultParallelism
+    if config.inference_partitions:
+        parts = config.inference_partitions
+    elif n_requests is not None:
+        parts = max(floor, -(-n_requests // config.requests_per_task))
+    else:
+        parts = floor
     src = requests.select("filename", "text", "request_key").repartition(parts)
     return src.mapInPandas(_partition_fn(client_factory, config, template), RESPONSE_DDL)
 

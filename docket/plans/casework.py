@@ -64,12 +64,18 @@ def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, s
     one copy of its rows. Failed keys are tried again on the next run.
     """
     spark = requests.sparkSession
-    todo = requests.dropDuplicates(["request_key"])
+    todo = requests.select("filename", "text", "request_key").dropDuplicates(["request_key"])
     stored = _read_if_exists(spark, store)
     if stored is not None:
         done = stored.where(F.col("error").isNull()).select("request_key")
         todo = todo.join(done, "request_key", "left_anti")
-    infer(todo, client_factory, config, template).write.mode("append").parquet(store)
+    # the work queue is written: its size sets the task count, and a retried
+    # inference task re-reads its slice instead of recomputing the anti-join
+    obs = Observation("todo")
+    todo = materialize(todo, "todo", None, "parquet", obs, F.count(F.lit(1)).alias("n"))
+    n_todo = int(obs.get["n"])
+    if n_todo:
+        infer(todo, client_factory, config, template, n_requests=n_todo).write.mode("append").parquet(store)
     stored = spark.read.parquet(store)
     # best stored answer per key: a success beats a dead letter
     best = stored.groupBy("request_key").agg(

@@ -17,11 +17,17 @@ def write_reports(lines: DataFrame, path: str, partitions: int | None = None,
     partition overwrite), like saving only the non-empty reports; pass
     ``replace_all=True`` to drop stale reports as well.
     """
-    n = partitions or lines.sparkSession.sparkContext.defaultParallelism
+    named = lines.withColumn("folder", F.substring_index("report", "/", 1)).withColumn(
+        "name", F.substring_index("report", "/", -1)
+    )
+    # without an explicit count, AQE sizes the range partitions from the data
+    ranged = (
+        named.repartitionByRange(partitions, "report", "filename")
+        if partitions
+        else named.repartitionByRange("report", "filename")
+    )
     out = (
-        lines.withColumn("folder", F.substring_index("report", "/", 1))
-        .withColumn("name", F.substring_index("report", "/", -1))
-        .repartitionByRange(n, "report", "filename")
+        ranged
         .sortWithinPartitions("report", "filename", "line_no")
         .drop("report")
     )
