@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docket.config import Lexicon
 from docket.functions import extract as X
-from docket.functions.text import after_first_line, count_terms, first_line, term_pattern
+from docket.functions.text import after_first_line, count_terms, first_line, term_count_pattern, term_pattern
 from docket.schema import ANALYSIS_FIELDS
 
 FEATURE_COLUMNS = (
@@ -42,14 +42,7 @@ class RuleAnalyzer:
         # The citation line is a caption, not prose: sentences start after it.
         df = df.withColumn("_body", F.when(F.col("_cite").isNotNull(), after_first_line(t)).otherwise(t))
         df = df.withColumn("_lt", F.lower("_body"))
-        df = df.select(
-            "*",
-            F.col("_lt").rlike(term_pattern(lex.topic_terms)).alias("_has_topic"),
-            F.col("_lt").rlike(term_pattern(lex.holding_terms)).alias("_has_holding"),
-            (count_terms(F.col("_lt"), lex.support_terms) - count_terms(F.col("_lt"), lex.contra_terms)).alias(
-                "net_support"
-            ),
-        )
+        df = self._evidence(df, F.col("_lt"))
         df = df.withColumn("_topic_sents", X.topic_sentences(F.col("_body"), F.col("_has_topic"), lex))
         df = df.select(
             "*",
@@ -63,6 +56,44 @@ class RuleAnalyzer:
             X.support_level(F.col("net_support")).alias("support_level"),
         )
 
+    def _evidence(self, df: DataFrame, lt: Column) -> DataFrame:
+        """Add ``_has_topic``, ``_has_holding`` and ``net_support`` from the lower-cased body.
+
+        When every term is a single word, whole-word hits cannot overlap, so one
+        regex pass lists every lexicon hit (``_hits``, its own projection so it is
+        computed once) and the three values are read off that list. Otherwise
+        each comes from its own scan.
+        """
+        lex = self.lexicon
+        groups = (lex.topic_terms, lex.holding_terms, lex.support_terms, lex.contra_terms)
+        words = [t.lower() for g in groups for t in g]
+        if not (words and all(w.isalpha() and w.isascii() for w in words)):
+            return df.select(
+                "*",
+                lt.rlike(term_pattern(lex.topic_terms)).alias("_has_topic"),
+                lt.rlike(term_pattern(lex.holding_terms)).alias("_has_holding"),
+                (count_terms(lt, lex.support_terms) - count_terms(lt, lex.contra_terms)).alias("net_support"),
+            )
+        df = df.withColumn("_hits", F.regexp_extract_all(lt, F.lit(term_count_pattern(dict.fromkeys(words))), 0))
+        hits = F.col("_hits")
+
+        def overlap(terms):
+            if not terms:
+                return F.lit(False)
+            return F.arrays_overlap(hits, F.array(*[F.lit(t.lower()) for t in terms]))
+
+        def count(terms):
+            if not terms:
+                return F.lit(0)
+            return F.size(F.filter(hits, lambda x: x.isin(*[t.lower() for t in terms])))
+
+        return df.select(
+            "*",
+            overlap(lex.topic_terms).alias("_has_topic"),
+            overlap(lex.holding_terms).alias("_has_holding"),
+            (count(lex.support_terms) - count(lex.contra_terms)).alias("net_support"),
+        )
+
     def fields(self, df: DataFrame, text: str = "text", keep_private: bool = False) -> DataFrame:
         """All nine analysis fields as top-level columns (plus the evidence columns)."""
         lex = self.lexicon
