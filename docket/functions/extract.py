@@ -21,6 +21,8 @@ from docket.functions.text import (
 )
 
 CITE_PLACEHOLDER = "<cite>"
+# A piece that :func:`clean` turns into '' (only whitespace and end punctuation).
+_BLANK_PIECE = r"^[ \t\r\n]*[.!?]*[ \t\r\n]*$"
 
 
 def empty_strings() -> Column:
@@ -100,20 +102,32 @@ def reasoning(level: Column, n_topic: Column, n_both: Column) -> Column:
     )
 
 
-def summary(body: Column, n: int) -> Column:
+def _pick(arr: Column, n: int) -> Column:
+    """First n pieces that are not blank after cleaning, cleaned (only those n are cleaned)."""
+    return F.transform(F.slice(F.filter(arr, lambda s: ~s.rlike(_BLANK_PIECE)), 1, n), clean)
+
+
+def with_summary(df, body: str = "_body", n: int = 3, out: str = "summary"):
     """The first ``n`` non-blank sentences, cleaned, joined as prose.
 
     Only the first 4n sentences are split off (a split with a limit leaves the
     rest of the text as one piece); the whole body is split only when those hold
-    fewer than n non-blank sentences.
+    fewer than n non-blank sentences. Each intermediate is its own projection,
+    so it is computed once per row.
     """
-    def pick(arr: Column) -> Column:
-        return F.slice(F.filter(F.transform(arr, clean), lambda s: s != ""), 1, n)
-
-    limited = F.split(body, SENTENCE_SPLIT, 4 * n + 1)
-    head = pick(F.slice(limited, 1, 4 * n))
-    chosen = F.when((F.size(head) >= n) | (F.size(limited) <= 4 * n), head).otherwise(pick(sentences(body)))
-    return F.concat(F.array_join(chosen, ". "), F.when(F.size(chosen) > 0, F.lit(".")).otherwise(F.lit("")))
+    df = df.withColumn("_lim", F.split(F.col(body), SENTENCE_SPLIT, 4 * n + 1))
+    df = df.withColumn("_head", _pick(F.slice("_lim", 1, 4 * n), n))
+    df = df.withColumn(
+        "_chosen",
+        F.when((F.size("_head") >= n) | (F.size("_lim") <= 4 * n), F.col("_head")).otherwise(
+            _pick(sentences(F.col(body)), n)
+        ),
+    )
+    df = df.withColumn(
+        out,
+        F.concat(F.array_join("_chosen", ". "), F.when(F.size("_chosen") > 0, F.lit(".")).otherwise(F.lit(""))),
+    )
+    return df.drop("_lim", "_head", "_chosen")
 
 
 def key_points(topic_sents: Column, k: int) -> Column:
@@ -236,7 +250,7 @@ def argument(cite: Column, support: Column, kps: Column, lex: Lexicon) -> Column
 def argument_sentences(arg: Column, lex: Lexicon) -> Column:
     """Non-blank sentences of an argument, with every citation masked first."""
     masked = F.regexp_replace(arg, lex.citation_pattern, CITE_PLACEHOLDER)
-    return F.filter(F.split(masked, SENTENCE_SPLIT, -1), lambda s: clean(s) != "")
+    return F.filter(F.split(masked, SENTENCE_SPLIT, -1), lambda s: ~s.rlike(_BLANK_PIECE))
 
 
 def uncited_count(sents: Column) -> Column:
@@ -259,7 +273,7 @@ __all__ = [
     "relevance_level",
     "support_level",
     "reasoning",
-    "summary",
+    "with_summary",
     "key_points",
     "cited_cases",
     "quote_records",

@@ -98,9 +98,9 @@ class RuleAnalyzer:
         """All nine analysis fields as top-level columns (plus the evidence columns)."""
         lex = self.lexicon
         f = self.features(df, text)
+        f = X.with_summary(f, "_body", lex.summary_sentences)
         f = f.select(
             "*",
-            X.summary(F.col("_body"), lex.summary_sentences).alias("summary"),
             X.reasoning(F.col("relevance_level"), F.col("n_topic"), F.col("n_both")).alias("reasoning"),
             X.key_points(F.col("_topic_sents"), lex.key_point_limit).alias("key_points"),
             X.cited_cases(F.col(text), F.col("_cite"), lex).alias("citations"),
