@@ -5,6 +5,16 @@ from __future__ import annotations
 from docket.config import FIXTURE_LEXICON as LEX
 from docket.functions.extract import CITE_PLACEHOLDER
 from docket.functions.text import SENTENCE_SPLIT, term_pattern
+from docket.operators.requests import PromptTemplate
+from docket.queries.catalog import (
+    BATCH_SIZE,
+    DOCX_CORRUPT,
+    PLANT_ERR,
+    PLANT_REL,
+    PLANT_SUP,
+    RENDER_MODELS,
+    RETRY_CONFIG,
+)
 from docket.queries.oracle import (
     cases_source,
     clean,
@@ -14,6 +24,8 @@ from docket.queries.oracle import (
     q,
     quote_rows_sql,
 )
+from docket.queries.shapes import SHAPES, response_sql
+from docket.schema import ANALYSIS_FIELDS, LIST_FIELDS, STRING_FIELDS
 
 SPINE = """spine(relevance_level, support_level) as (
     select * from (values ('High'), ('Medium'), ('Low')) r(relevance_level),
@@ -100,8 +112,6 @@ ORACLE = {
 
 
 # -- results, routing and reports ------------------------------------------------------
-from docket.queries.catalog import PLANT_ERR, PLANT_REL, PLANT_SUP  # noqa: E402
-from docket.schema import ANALYSIS_FIELDS  # noqa: E402
 
 _COL = {"blue_book_citation": "cite"}
 _MISSING = "nullif(concat_ws(', ', " + ", ".join(
@@ -252,10 +262,6 @@ ORACLE.update(
 
 
 # -- requests, inference, validation, ingest -------------------------------------------
-from docket.operators.requests import PromptTemplate  # noqa: E402
-from docket.queries.catalog import BATCH_SIZE, DOCX_CORRUPT, RENDER_MODELS, RETRY_CONFIG  # noqa: E402
-from docket.queries.shapes import SHAPES, response_sql  # noqa: E402
-from docket.schema import LIST_FIELDS, STRING_FIELDS  # noqa: E402
 
 _TPL = PromptTemplate()
 _PRE, _POST = _TPL.user_parts()

@@ -68,3 +68,14 @@ def test_hot_duplicate_text_costs_one_call(spark, tmp_dir):
     assert calls.value == 1 + 200
     s = res.summary.first()
     assert (s["n_documents"], s["n_success"], s["n_failed"]) == (300, 300, 0)
+
+
+def test_rerun_writes_identical_report_lines(spark, tmp_dir):
+    docs = cases(spark, SF_SMALL).select("filename", "text")
+    cfg = Config(lexicon=FIXTURE_LEXICON)
+    a = run(spark, docs, os.path.join(tmp_dir, "a"), config=cfg)
+    b = run(spark, docs.repartition(5), os.path.join(tmp_dir, "b"), config=cfg)
+    la = read_reports(spark, a.reports_path)
+    lb = read_reports(spark, b.reports_path)
+    assert la.count() == lb.count() > 0
+    assert la.exceptAll(lb).isEmpty() and lb.exceptAll(la).isEmpty()
