@@ -128,10 +128,11 @@ def argument_citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Argument sentences, and how many carry no citation (null without an argument)."""
     f = _fields(spark, sf_dir).select("doc_id", "argument")
     f = f.withColumn("_s", X.argument_sentences(F.col("argument"), FIXTURE_LEXICON))
+    has = F.col("_s").isNotNull()  # size(null) is -1 when ANSI mode is off
     return f.select(
         "doc_id",
-        F.size("_s").cast("bigint").alias("n_sentences"),
-        X.uncited_count(F.col("_s")).cast("bigint").alias("n_uncited"),
+        F.when(has, F.size("_s")).cast("bigint").alias("n_sentences"),
+        F.when(has, X.uncited_count(F.col("_s"))).cast("bigint").alias("n_uncited"),
     )
 
 
