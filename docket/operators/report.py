@@ -79,21 +79,26 @@ def case_lines(a: str = "analysis") -> Column:
     )
 
 
-def report_lines(successes: DataFrame) -> DataFrame:
+def report_lines(successes: DataFrame, continued: DataFrame | None = None) -> DataFrame:
     """R20-R22 + R24: ``(report, filename, line_no, style, text)`` for every routed case.
 
     The first case of a report (smallest file name) has no page break; the
-    per-report minimum is a <= 12-row aggregate, so it is broadcast.
+    per-report minimum is a <= 12-row aggregate, so it is broadcast. Reports
+    listed in ``continued`` (a ``report`` column, <= 12 rows) already have
+    earlier cases, so every case here gets a break (incremental appends).
     """
     rendered = successes.select("filename", "analysis", case_lines().alias("_lines"))
     routed = destinations(rendered).drop("analysis")
     firsts = routed.groupBy("report").agg(F.min("filename").alias("_first"))
+    if continued is not None:
+        firsts = firsts.join(F.broadcast(continued.select("report").distinct()), "report", "left_anti")
     brk = F.array(_line(PAGE_BREAK, F.lit(""))).cast(LINE_DDL)
     empty = F.array().cast(LINE_DDL)
-    with_break = routed.join(F.broadcast(firsts), "report").select(
+    first = F.coalesce(F.col("filename") == F.col("_first"), F.lit(False))
+    with_break = routed.join(F.broadcast(firsts), "report", "left").select(
         "report",
         "filename",
-        F.concat(F.when(F.col("filename") != F.col("_first"), brk).otherwise(empty), F.col("_lines")).alias("_l"),
+        F.concat(F.when(first, empty).otherwise(brk), F.col("_lines")).alias("_l"),
     )
     return with_break.select("report", "filename", F.posexplode("_l").alias("line_no", "_x")).select(
         "report", "filename", F.col("line_no").cast("bigint").alias("line_no"), "_x.style", "_x.text"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def write_reports(lines: DataFrame, path: str, partitions: int | None = None,
-                  replace_all: bool = False, fmt: str = "parquet") -> None:
+                  replace_all: bool = False, fmt: str = "parquet", batch_id: int | None = None) -> None:
     """Write ``report_lines`` as ``folder=<level folder>/name=<report>/part-*``.
 
     Rows are range-partitioned on (report, filename), so a large report spans
@@ -15,7 +15,9 @@ def write_reports(lines: DataFrame, path: str, partitions: int | None = None,
     each file is sorted by (report, filename, line_no) and part files follow the
     range order. Only the reports present in this run are replaced (dynamic
     partition overwrite), like saving only the non-empty reports; pass
-    ``replace_all=True`` to drop stale reports as well.
+    ``replace_all=True`` to drop stale reports as well. With ``batch_id`` the
+    lines go to ``.../batch=<id>`` under their report (an incremental append that
+    a re-run of the same batch replaces); read them in (batch, filename, line_no) order.
     """
     named = lines.withColumn("folder", F.substring_index("report", "/", 1)).withColumn(
         "name", F.substring_index("report", "/", -1)
@@ -31,10 +33,14 @@ def write_reports(lines: DataFrame, path: str, partitions: int | None = None,
         .sortWithinPartitions("report", "filename", "line_no")
         .drop("report")
     )
+    parts = ["folder", "name"]
+    if batch_id is not None:
+        out = out.withColumn("batch", F.lit(int(batch_id)).cast("bigint"))
+        parts.append("batch")
     (
         out.write.mode("overwrite")
         .option("partitionOverwriteMode", "static" if replace_all else "dynamic")
-        .partitionBy("folder", "name")
+        .partitionBy(*parts)
         .format(fmt)
         .save(path)
     )

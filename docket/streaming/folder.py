@@ -2,17 +2,20 @@
 
 A ``binaryFile`` stream lists new ``*.docx`` files under a folder; each
 micro-batch is extracted, analysed (rule analyzer or model) and appended to the
-results table, and only the reports its cases route to are rebuilt (dynamic
-partition overwrite of those report partitions). The stream's checkpoint records
-which files were consumed, and each micro-batch writes its results to a folder
-named by the batch id with overwrite, so a re-run batch after a failure replaces
-its own output instead of duplicating it.
+results table, and the report lines of its own cases are appended under
+``batch=<id>`` in their reports, so a batch costs what it brings, not what came
+before. Cases in a report are ordered by (batch, filename): only the first case
+of a report's first batch has no page break. The stream's checkpoint records
+which files were consumed, and every output of a micro-batch is written to a
+folder named by its batch id with overwrite, so a re-run batch after a failure
+replaces its own output instead of duplicating it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -48,10 +51,25 @@ def process_batch(batch: DataFrame, batch_id: int, out_dir: str, config: Config,
 
     new = spark.read.parquet(f"{out}/results/batch={batch_id}")
     new_ok, _ = split_results(new)
-    touched = destinations(new_ok).select("report").distinct()  # at most 12 rows
-    all_ok, _ = split_results(spark.read.parquet(f"{out}/results").drop("batch"))
-    lines = report_lines(all_ok).join(F.broadcast(touched), "report")
-    write_reports(lines, f"{out}/reports")
+    # Only this batch's cases are rendered and appended under batch=<id>; the
+    # registry (<= 12 rows per batch) says which reports already have a first case.
+    registry = f"{out}/report_registry"
+    earlier = _read(spark, registry)
+    continued = (
+        earlier.where(F.col("batch") < batch_id).select("report").distinct()
+        if earlier is not None
+        else spark.range(0).select(F.lit("").alias("report"))
+    )
+    write_reports(report_lines(new_ok, continued=continued), f"{out}/reports", batch_id=batch_id)
+    touched = destinations(new_ok).select("report").distinct()
+    touched.write.mode("overwrite").parquet(f"{registry}/batch={batch_id}")
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
 
 
 def watch_folder(spark: SparkSession, folder: str, out_dir: str, checkpoint: str, config: Config | None = None,

@@ -34,11 +34,18 @@ def test_two_triggers(spark, tmp_dir):
     assert "high_relevance/high_relevance_analysis" in reports
 
     _write(inbox, 4, "Another worthless thing. Thing erble ering.")
+    _write(inbox, 5, "Worthless thble again.")
     q = watch_folder(spark, inbox, out, ck, cfg)
     q.awaitTermination(120)
     res = spark.read.parquet(os.path.join(out, "results"))
-    assert res.count() == 3  # the first files are not read again
+    assert res.count() == 4  # the first files are not read again
     lines = read_reports(spark, os.path.join(out, "reports"))
     names = {r[0] for r in lines.where("report = 'medium_relevance/medium_relevance_analysis'")
              .select("filename").distinct().collect()}
     assert names == {"000000004.docx"}
+    # the high report continued in the second batch: its new case starts with a break
+    high = lines.where("report = 'high_relevance/high_relevance_analysis' and line_no = 0")
+    first_styles = {r["filename"]: r["style"] for r in high.collect()}
+    assert first_styles == {"000000001.docx": "Heading 1", "000000005.docx": "Page Break"}
+    raw = spark.read.parquet(os.path.join(out, "reports"))
+    assert {r[0] for r in raw.select("batch").distinct().collect()} == {0, 1}
