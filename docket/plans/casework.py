@@ -45,6 +45,7 @@ class RunResult:
     failures: DataFrame | None = None
     batch_stats: DataFrame | None = None
     reports_path: str | None = None
+    n_quarantined: int = 0
 
 
 def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
@@ -150,3 +151,24 @@ def run(
     n = summary.first()["n_documents"]
     return RunResult(n_documents=n, results=results, summary=summary, failures=failures,
                      batch_stats=stats, reports_path=f"{out}/reports")
+
+
+def run_folder(spark: SparkSession, folder: str, out_dir: str, **kwargs) -> RunResult:
+    """The whole flow from a folder of ``.docx`` files (R01-R05 then :func:`run`).
+
+    Extraction runs once and is written; unreadable files go to
+    ``<out_dir>/quarantine`` and are counted in neither total nor failures. The
+    quarantine count comes from an ``Observation`` on the extraction write.
+    """
+    from docket.sources.docx import quarantine, read_docx_folder, readable
+
+    out = out_dir.rstrip("/")
+    obs = Observation("ingest")
+    extracted = materialize(
+        read_docx_folder(spark, folder), "extracted", f"{out}/extracted", "parquet", obs,
+        F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("error").isNotNull()).alias("n_quarantined"),
+    )
+    quarantine(extracted).write.mode("overwrite").parquet(f"{out}/quarantine")
+    result = run(spark, readable(extracted), out_dir, **kwargs)
+    result.n_quarantined = int(obs.get["n_quarantined"])
+    return result

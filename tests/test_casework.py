@@ -79,3 +79,25 @@ def test_rerun_writes_identical_report_lines(spark, tmp_dir):
     lb = read_reports(spark, b.reports_path)
     assert la.count() == lb.count() > 0
     assert la.exceptAll(lb).isEmpty() and lb.exceptAll(la).isEmpty()
+
+
+def test_run_folder(spark, tmp_dir):
+    from docket.plans.casework import run_folder
+    from docket.sources.docx import docx_bytes
+
+    inbox = os.path.join(tmp_dir, "inbox")
+    os.makedirs(inbox)
+    for i, body in enumerate(["worthless thble. thing erble.", "nothing at all.", "worthless claim."]):
+        with open(os.path.join(inbox, f"{i:03d}.docx"), "wb") as fh:
+            fh.write(docx_bytes(f"Doe{i} v. Roe, 1{i} So. 3d 2 (La. 2001)\n" + body))
+    with open(os.path.join(inbox, "bad.docx"), "wb") as fh:
+        fh.write(b"not a zip")
+    res = run_folder(spark, inbox, os.path.join(tmp_dir, "out"), config=Config(lexicon=FIXTURE_LEXICON))
+    s = res.summary.first()
+    assert (s["n_documents"], s["n_success"], s["n_failed"], res.n_quarantined) == (3, 3, 0, 1)
+    reports = {r[0] for r in read_reports(spark, res.reports_path).select("report").distinct().collect()}
+    assert reports == {
+        "high_relevance/high_relevance_analysis", "high_relevance/Relevance High - Strongly Supports",
+        "medium_relevance/medium_relevance_analysis", "medium_relevance/Relevance Medium - Does not Support",
+        "low_relevance/low_relevance_analysis", "low_relevance/Relevance Low - Does not Support",
+    }
