@@ -28,14 +28,21 @@ EXTRACT_DDL = "path string, filename string, text string, error string"
 
 
 def paragraph_text(p: ET.Element) -> str:
+    """Text of one paragraph: run text, tabs, and line breaks (page and column breaks add nothing)."""
     out = []
     for el in p.iter():
-        if el.tag == W + "t":
+        tag = el.tag
+        if tag == W + "t":
             out.append(el.text or "")
-        elif el.tag == W + "tab":
+        elif tag in (W + "tab", W + "ptab"):
             out.append("\t")
-        elif el.tag in (W + "br", W + "cr"):
+        elif tag == W + "br":
+            if el.get(W + "type", "textWrapping") == "textWrapping":
+                out.append("\n")
+        elif tag == W + "cr":
             out.append("\n")
+        elif tag == W + "noBreakHyphen":
+            out.append("-")
     return "".join(out)
 
 

@@ -62,3 +62,14 @@ def test_corpus(spark, tmp_dir):
     for skipped in ("_x.docx", ".x.docx", "dir.docx"):
         assert skipped not in got
     assert "zero.docx" not in got or "zero.docx" in bad
+
+
+def test_break_kinds():
+    from docket.sources.docx import docx_text
+
+    body = (
+        '<w:p><w:r><w:t>a</w:t><w:br w:type="page"/><w:t>b</w:t><w:br/><w:t>c</w:t>'
+        '<w:noBreakHyphen/><w:t>d</w:t><w:cr/><w:delText>gone</w:delText></w:r>'
+        '<w:hyperlink><w:r><w:t> link</w:t></w:r></w:hyperlink></w:p>'
+    )
+    assert docx_text(_raw_docx(body)) == "ab\nc-d\n link"
