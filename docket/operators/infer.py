@@ -145,13 +145,15 @@ def infer(requests: DataFrame, client_factory: ClientFactory, config: Config,
     template = template or PromptTemplate(template_id=config.template_id)
     spark = requests.sparkSession
     ship_package(spark)
-    floor = 2 * spark.sparkContext.defaultParallelism
+    slots = spark.sparkContext.defaultParallelism
     if config.inference_partitions:
         parts = config.inference_partitions
     elif n_requests is not None:
-        parts = max(floor, -(-n_requests // config.requests_per_task))
+        # whole waves: a multiple of the task slots, so the last wave is not half empty
+        wanted = max(2 * slots, -(-n_requests // config.requests_per_task))
+        parts = -(-wanted // slots) * slots
     else:
-        parts = floor
+        parts = 2 * slots
     src = requests.select("filename", "text", "request_key").repartition(parts)
     return src.mapInPandas(_partition_fn(client_factory, config, template), RESPONSE_DDL)
 
