@@ -63,15 +63,30 @@ def validate(responses: DataFrame, response: str = "response", error: str = "err
     """R12 + R13: responses -> ``(filename, analysis, error, ...)`` envelopes.
 
     An earlier error (dead letter) is kept; a response failing validation gets
-    ``analysis`` null and the reason as ``error``.
+    ``analysis`` null and the reason as ``error``. The response is parsed once and
+    each field check is computed once (own projection), then read by both the
+    verdict and the reason.
     """
-    v = parsed(F.col(response))
-    staged = responses.withColumn("_v", v)
-    good = validity(F.col("_v"))
+    keep = [c for c in responses.columns if c not in (response, error)]
+    staged = responses.withColumn("_v", parsed(F.col(response)))
+    v = F.col("_v")
+    checks = [F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False)).alias("_ok_object")]
+    checks += [field_ok(v, name, kind).alias(f"_ok_{name}") for name, kind in ANALYSIS_FIELDS]
+    staged = staged.select(*keep, error, "_v", *checks)
+    good = F.col("_ok_object")
+    for name, _ in ANALYSIS_FIELDS:
+        good = good & F.col(f"_ok_{name}")
+    reason = F.when(v.isNull(), F.lit("response is not valid JSON")).when(
+        ~F.col("_ok_object"), F.lit("response is not a JSON object")
+    )
+    for name, kind in ANALYSIS_FIELDS:
+        what = "a string" if kind == "string" else "a list of strings"
+        reason = reason.when(~F.col(f"_ok_{name}"), F.lit(f"field {name} is missing or not {what}"))
+    staged = staged.withColumn("_good", good)
     return staged.select(
-        *[c for c in responses.columns if c not in (response, error)],
-        F.when(F.col(error).isNull() & good, extract(F.col("_v"))).alias("analysis"),
+        *keep,
+        F.when(F.col(error).isNull() & F.col("_good"), extract(v)).alias("analysis"),
         F.when(F.col(error).isNotNull(), F.col(error))
-        .when(~good, F.concat(F.lit("invalid response: "), first_problem(F.col("_v"))))
+        .when(~F.col("_good"), F.concat(F.lit("invalid response: "), reason))
         .alias("error"),
     )
