@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
 
+SF_BIG = "/root/testdata/sf0.1"
+
 # Expected counts from FIXTURES.md section 4 (rows High, Medium, Low; columns
 # Strongly Supports, Supports, Does not Support).
 EXPECTED = {
     SF_SMALL: [[3, 0, 0], [11, 7, 21], [10, 16, 132]],
     SF_MID: [[6, 4, 10], [62, 49, 93], [51, 68, 657]],
+    SF_BIG: [[78, 27, 41], [693, 465, 816], [512, 796, 6572]],
 }
 LEVELS = ["High", "Medium", "Low"]
 SUPPORT = ["Strongly Supports", "Supports", "Does not Support"]
@@ -28,7 +31,7 @@ def _matrix(spark, docs):
     return [[got[(r, s)] for s in SUPPORT] for r in LEVELS]
 
 
-@pytest.mark.parametrize("sf", [SF_SMALL, SF_MID])
+@pytest.mark.parametrize("sf", [SF_SMALL, SF_MID, SF_BIG])
 def test_expected_counts(spark, sf):
     assert _matrix(spark, documents(spark, sf)) == EXPECTED[sf]
 
