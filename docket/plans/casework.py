@@ -1,8 +1,8 @@
 """End-to-end case analysis run.
 
-    documents ─► requests (written) ─► analysis ─► results (written)
+    documents ─► analysis ─► results (written, with run counts observed)
         results ─► report lines ─► partitioned reports (written)
-        results ─► run summary, failure listing, batch stats
+        results ─► failure listing, batch stats (written)
 
 Two analysis paths share everything else:
 
@@ -113,7 +113,11 @@ def run(
     only_candidates: bool = False,
     replace_all: bool = False,
 ) -> RunResult:
-    """Analyse ``docs`` ``(filename, text)`` and write requests, results and reports under ``out_dir``."""
+    """Analyse ``docs`` ``(filename, text)`` and write results, reports and metrics under ``out_dir``.
+
+    ``docs`` should be a stable source (a table, or a written extraction): it is
+    read by the analysis and, on the model path, again to join answers back.
+    """
     config = config or Config()
     out = out_dir.rstrip("/")
     if only_candidates:
@@ -121,10 +125,13 @@ def run(
         from docket.functions.extract import is_candidate
 
         docs = docs.where(is_candidate(F.lower("text"), config.lexicon))
-    requests = materialize(requests_table(docs.select("filename", "text"), config), "requests",
-                           path=f"{out}/requests")
-    if requests.isEmpty():  # R05: nothing to do, no reports, no summary
+    docs = docs.select("filename", "text")
+    if docs.isEmpty():  # R05: nothing to do, no reports, no summary
         return RunResult(n_documents=0)
+    # No copy of the corpus is written here: the source is re-read where needed
+    # (run_folder passes its written extraction). The model path writes its own,
+    # smaller work queue of distinct unanswered texts.
+    requests = requests_table(docs, config) if client_factory is not None else docs
 
     stats = None
     results, answered = analyze_requests(requests, config, analyzer, client_factory, f"{out}/responses", template)
