@@ -56,7 +56,7 @@ def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, store: str,
-           template: PromptTemplate | None = None) -> DataFrame:
+           template: PromptTemplate | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Model answers for every request, paying once per distinct, unanswered request key.
 
     Duplicate texts share one call (the partial aggregate collapses a hot key on
@@ -85,18 +85,22 @@ def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, s
             F.when(F.col("error").isNull(), 1).otherwise(0),
         ).alias("a")
     )
-    return requests.join(best, "request_key").select("*", "a.*").drop("a")
+    # answers go back to every file by key; ``keys`` (filename, request_key), when
+    # given, spares a second read of the texts
+    target = keys if keys is not None else requests
+    return target.join(best, "request_key").select("*", "a.*").drop("a")
 
 
 def analyze_requests(requests: DataFrame, config: Config, analyzer: RuleAnalyzer | None = None,
                      client_factory: Callable[[], object] | None = None, store: str | None = None,
-                     template: PromptTemplate | None = None) -> tuple[DataFrame, DataFrame | None]:
+                     template: PromptTemplate | None = None,
+                     keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Requests -> (results envelopes, model answers or None). Nothing is written here
-    except the model's response store."""
+    except the model's work queue and response store."""
     if client_factory is not None:
         if store is None:
             raise ValueError("a response store path is required with a model client")
-        answered = answer(requests, client_factory, config, store, template)
+        answered = answer(requests, client_factory, config, store, template, keys)
         return validate(answered.drop("text")), answered
     analyzer = analyzer or RuleAnalyzer(config.lexicon)
     return analyzer.analyze(requests), None
@@ -126,18 +130,22 @@ def run(
 
         docs = docs.where(is_candidate(F.lower("text"), config.lexicon))
     docs = docs.select("filename", "text")
-    if docs.isEmpty():  # R05: nothing to do, no reports, no summary
-        return RunResult(n_documents=0)
     # No copy of the corpus is written here: the source is re-read where needed
     # (run_folder passes its written extraction). The model path writes its own,
     # smaller work queue of distinct unanswered texts.
-    requests = requests_table(docs, config) if client_factory is not None else docs
+    keys = None
+    requests = docs
+    if client_factory is not None:
+        requests = requests_table(docs, config)
+        # (filename, request_key) only -- about a hundred bytes a file -- written once
+        keys = materialize(requests.select("filename", "request_key"), "request_keys", f"{out}/request_keys")
 
     stats = None
-    results, answered = analyze_requests(requests, config, analyzer, client_factory, f"{out}/responses", template)
+    results, answered = analyze_requests(requests, config, analyzer, client_factory, f"{out}/responses",
+                                         template, keys)
     stats_src = None
     if answered is not None:
-        numbered = batches(requests.select("filename"), config.max_concurrent_requests)
+        numbered = batches(keys.select("filename"), config.max_concurrent_requests)
         stats_src = answered.select("filename", "latency_s").join(numbered, "filename")
     obs = Observation("run_summary")
     failed = is_failure()
@@ -147,6 +155,9 @@ def run(
         F.count_if(failed).alias("n_failed"),
     )
     counts = obs.get  # R26 from the results write itself
+    if int(counts["n_documents"]) == 0:
+        # Empty input -- no model call was made, no report or summary is written
+        return RunResult(n_documents=0)
 
     ok, _ = split_results(results)
     write_reports(report_lines(ok), f"{out}/reports", replace_all=replace_all)
