@@ -56,10 +56,6 @@ def clean(s: Column) -> Column:
     return F.regexp_replace(trimmed, r"[.!?]+$", "")
 
 
-def rlike(s: Column, pattern: str) -> Column:
-    return s.rlike(pattern)
-
-
 def count_terms(lower_text: Column, terms: Iterable[str]) -> Column:
     """Number of whole-word hits of ``terms`` in already lower-cased text."""
     terms = list(terms)

@@ -17,15 +17,6 @@ from docket.functions import extract as X
 from docket.functions.text import after_first_line, count_terms, first_line, term_count_pattern, term_pattern
 from docket.schema import ANALYSIS_FIELDS
 
-FEATURE_COLUMNS = (
-    "blue_book_citation",
-    "relevance_level",
-    "support_level",
-    "n_topic",
-    "n_both",
-    "net_support",
-)
-
 
 class RuleAnalyzer:
     """Deterministic analyzer built from built-in functions and a :class:`Lexicon`."""
