@@ -49,6 +49,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     base = sc.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if base:
+            sc.setCheckpointDir(base)  # so Dataset.checkpoint() uses the same location
+            base = sc.getCheckpointDir() or base
     if not base:
         base = tempfile.mkdtemp(prefix="docket-ckpt-")
         sc.setCheckpointDir(base)
