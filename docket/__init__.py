@@ -19,12 +19,13 @@ from docket.operators.metrics import batch_stats, failure_listing, run_summary
 from docket.operators.report import report_lines
 from docket.operators.route import destinations as route
 from docket.operators.route import split_results
-from docket.plans.casework import run, run_folder
+from docket.plans.casework import ModelAnalyzer, run, run_folder
 from docket.sinks.reports import read_reports, write_reports
 
 
 def analyze(docs, analyzer=None, config: Config | None = None):
-    """Results envelopes for ``docs`` with the rule analyzer (or the one given)."""
+    """Results envelopes for ``docs`` with the rule analyzer, or any analyzer given
+    (``RuleAnalyzer`` or ``ModelAnalyzer``)."""
     config = config or Config()
     return (analyzer or RuleAnalyzer(config.lexicon)).analyze(docs)
 
@@ -33,6 +34,7 @@ __all__ = [
     "Config",
     "Lexicon",
     "RuleAnalyzer",
+    "ModelAnalyzer",
     "analyze",
     "route",
     "split_results",

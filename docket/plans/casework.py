@@ -190,3 +190,24 @@ def run_folder(spark: SparkSession, folder: str, out_dir: str, **kwargs) -> RunR
     result = run(spark, readable(extracted), out_dir, **kwargs)
     result.n_quarantined = int(obs.get["n_quarantined"])
     return result
+
+
+class ModelAnalyzer:
+    """A model behind the same ``analyze(docs)`` interface as :class:`RuleAnalyzer`.
+
+    ``client_factory`` builds one client per task; answers are appended to
+    ``store`` (and reused by later calls), each validated strictly.
+    """
+
+    def __init__(self, client_factory: ClientFactory, store: str, config: Config | None = None,
+                 template: PromptTemplate | None = None):
+        self.client_factory = client_factory
+        self.store = store
+        self.config = config or Config()
+        self.template = template
+
+    def analyze(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+        src = docs.select("filename", F.col(text).alias("text"), *keep)
+        requests = requests_table(src, self.config)
+        answered = answer(requests, self.client_factory, self.config, self.store, self.template)
+        return validate(answered.drop("text", "request_key")).select("filename", *keep, "analysis", "error")

@@ -101,3 +101,16 @@ def test_run_folder(spark, tmp_dir):
         "medium_relevance/medium_relevance_analysis", "medium_relevance/Relevance Medium - Does not Support",
         "low_relevance/low_relevance_analysis", "low_relevance/Relevance Low - Does not Support",
     }
+
+
+def test_model_analyzer_interface(spark, tmp_dir):
+    import docket
+
+    rows = [(f"{i:09d}.docx", f"text {i % 4}", i) for i in range(20)]
+    docs = spark.createDataFrame(rows, "filename string, text string, doc_id long")
+    ma = docket.ModelAnalyzer(StubClient, os.path.join(tmp_dir, "store"), Config(max_retries=0))
+    res = docket.analyze(docs, analyzer=ma).collect()
+    assert len(res) == 20 and all(r["analysis"] is not None and r["error"] is None for r in res)
+    assert {r["analysis"]["relevance_level"] for r in res} == {"Low"}
+    rule = docket.analyze(docs.select("filename", "text"), config=Config(lexicon=FIXTURE_LEXICON)).collect()
+    assert sorted(r["filename"] for r in rule) == sorted(r[0] for r in rows)
