@@ -114,3 +114,19 @@ def test_model_analyzer_interface(spark, tmp_dir):
     assert {r["analysis"]["relevance_level"] for r in res} == {"Low"}
     rule = docket.analyze(docs.select("filename", "text"), config=Config(lexicon=FIXTURE_LEXICON)).collect()
     assert sorted(r["filename"] for r in rule) == sorted(r[0] for r in rows)
+
+
+def test_only_candidates_are_sent_to_the_model(spark, tmp_dir):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(StubClient):
+        def complete(self, request):
+            calls.add(1)
+            return super().complete(request)
+
+    rows = [("a.docx", "a worthless claim"), ("b.docx", "nothing here"), ("c.docx", "thtion and more")]
+    docs = spark.createDataFrame(rows, "filename string, text string")
+    cfg = Config(max_retries=0, lexicon=FIXTURE_LEXICON)
+    res = run(spark, docs, os.path.join(tmp_dir, "out"), config=cfg, client_factory=Counting, only_candidates=True)
+    assert calls.value == 2
+    assert res.summary.first()["n_documents"] == 2
