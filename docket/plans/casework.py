@@ -18,6 +18,7 @@ files instead of re-calling the model.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -46,6 +47,7 @@ class RunResult:
     batch_stats: DataFrame | None = None
     reports_path: str | None = None
     n_quarantined: int = 0
+    elapsed_s: float = 0.0
 
 
 def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
@@ -124,6 +126,7 @@ def run(
     """
     config = config or Config()
     out = out_dir.rstrip("/")
+    started = time.monotonic()
     if only_candidates:
         # E10 before any paid call: Catalyst cannot push a filter through a Python stage.
         from docket.functions.extract import is_candidate
@@ -161,14 +164,18 @@ def run(
 
     ok, _ = split_results(results)
     write_reports(report_lines(ok), f"{out}/reports", replace_all=replace_all)
-    summary = spark.range(1).select(*[F.lit(int(counts[k])).alias(k) for k in ("n_documents", "n_success", "n_failed")])
+    elapsed = round(time.monotonic() - started, 3)
+    summary = spark.range(1).select(
+        *[F.lit(int(counts[k])).alias(k) for k in ("n_documents", "n_success", "n_failed")],
+        F.lit(elapsed).alias("elapsed_s"),
+    )
     summary = materialize(summary, "summary", path=f"{out}/summary")
     failures = materialize(failure_listing(results), "failures", path=f"{out}/failures")
     if stats_src is not None:
         stats = materialize(batch_stats(stats_src), "batch_stats", path=f"{out}/batch_stats")
     n = summary.first()["n_documents"]
     return RunResult(n_documents=n, results=results, summary=summary, failures=failures,
-                     batch_stats=stats, reports_path=f"{out}/reports")
+                     batch_stats=stats, reports_path=f"{out}/reports", elapsed_s=elapsed)
 
 
 def run_folder(spark: SparkSession, folder: str, out_dir: str, **kwargs) -> RunResult:

@@ -18,6 +18,7 @@ def test_rule_run(spark, tmp_dir):
     res = run(spark, docs, os.path.join(tmp_dir, "out"), config=Config(lexicon=FIXTURE_LEXICON))
     s = res.summary.first()
     assert s["n_documents"] == 200 == s["n_success"] + s["n_failed"]
+    assert s["elapsed_s"] > 0 and res.elapsed_s == s["elapsed_s"]
     assert s["n_failed"] == len([i for i in range(200) if i % 17 == 0])  # no citation, no record
     lines = read_reports(spark, res.reports_path)
     assert lines.select("report").distinct().count() <= 12
