@@ -57,6 +57,35 @@ def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def best_answers(stored: DataFrame) -> DataFrame:
+    """One row per request key, ``a`` = the best stored answer (a success beats a dead letter).
+
+    A partial aggregate: every key's rows are combined map-side first.
+    """
+    return stored.groupBy("request_key").agg(
+        F.max_by(
+            F.struct("response", "error", "attempts", "waited_ms", "latency_s"),
+            F.when(F.col("error").isNull(), 1).otherwise(0),
+        ).alias("a")
+    )
+
+
+def compact_store(spark: SparkSession, store: str, target: str) -> DataFrame:
+    """Write the best answer per key of ``store`` to ``target`` and return it.
+
+    Appends from many runs (and dead letters later answered) accumulate in a
+    response store; the compacted copy has one row per key. Nothing is deleted:
+    point later runs at ``target``.
+    """
+    stored = spark.read.parquet(store)
+    others = [c for c in stored.columns if c != "request_key"]
+    best = stored.groupBy("request_key").agg(
+        F.max_by(F.struct(*others), F.when(F.col("error").isNull(), 1).otherwise(0)).alias("a")
+    )
+    best.select("request_key", "a.*").select(*stored.columns).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
 def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, store: str,
            template: PromptTemplate | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Model answers for every request, paying once per distinct, unanswered request key.
@@ -79,14 +108,7 @@ def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, s
     n_todo = int(obs.get["n"])
     if n_todo:
         infer(todo, client_factory, config, template, n_requests=n_todo).write.mode("append").parquet(store)
-    stored = spark.read.parquet(store)
-    # best stored answer per key: a success beats a dead letter
-    best = stored.groupBy("request_key").agg(
-        F.max_by(
-            F.struct("response", "error", "attempts", "waited_ms", "latency_s"),
-            F.when(F.col("error").isNull(), 1).otherwise(0),
-        ).alias("a")
-    )
+    best = best_answers(spark.read.parquet(store))
     # answers go back to every file by key; ``keys`` (filename, request_key), when
     # given, spares a second read of the texts
     target = keys if keys is not None else requests

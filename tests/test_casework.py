@@ -131,3 +131,19 @@ def test_only_candidates_are_sent_to_the_model(spark, tmp_dir):
     res = run(spark, docs, os.path.join(tmp_dir, "out"), config=cfg, client_factory=Counting, only_candidates=True)
     assert calls.value == 2
     assert res.summary.first()["n_documents"] == 2
+
+
+def test_compact_store_keeps_best_answer_per_key(spark, tmp_dir):
+    from docket.plans.casework import compact_store
+
+    store = os.path.join(tmp_dir, "store")
+    ddl = "filename string, request_key string, response string, error string, attempts int, waited_ms bigint, latency_s double"
+    spark.createDataFrame([("a", "k1", None, "Failed after 0 retries: x", 1, 0, 0.1),
+                           ("b", "k2", '{"x": 1}', None, 1, 0, 0.1)], ddl).write.mode("append").parquet(store)
+    spark.createDataFrame([("a", "k1", '{"y": 2}', None, 1, 0, 0.2),
+                           ("c", "k3", None, "Failed after 0 retries: y", 1, 0, 0.1)], ddl).write.mode("append").parquet(store)
+    out = {r["request_key"]: r for r in compact_store(spark, store, os.path.join(tmp_dir, "compact")).collect()}
+    assert set(out) == {"k1", "k2", "k3"}
+    assert out["k1"]["error"] is None and out["k1"]["response"] == '{"y": 2}'
+    assert out["k1"]["filename"] == "a" and out["k2"]["filename"] == "b"
+    assert out["k3"]["error"].startswith("Failed")
