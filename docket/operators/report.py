@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.operators.route import destinations
+from docket.operators.route import destinations, report_names
 
 # Headings, labels and rule of the case report layout (the order of
 # sections is: title, rule, summary, relevancy, support level, argument, key
@@ -79,17 +79,32 @@ def case_lines(a: str = "analysis") -> Column:
     )
 
 
+def first_cases(routed: DataFrame) -> DataFrame:
+    """``(report, _first)``: the smallest file name routed to each report (<= 12 rows).
+
+    The report names form a closed set of 12, so this is one global aggregate of
+    12 conditional minimums: each task keeps 12 strings and no row is sorted or
+    shuffled, however large a report is.
+    """
+    names = report_names()
+    mins = routed.agg(
+        *[F.min(F.when(F.col("report") == F.lit(n), F.col("filename"))).alias(f"_m{i}") for i, n in enumerate(names)]
+    )
+    rows = F.array(*[F.struct(F.lit(n).alias("report"), F.col(f"_m{i}").alias("_first")) for i, n in enumerate(names)])
+    return mins.select(F.inline(rows)).where(F.col("_first").isNotNull())
+
+
 def report_lines(successes: DataFrame, continued: DataFrame | None = None) -> DataFrame:
     """R20-R22 + R24: ``(report, filename, line_no, style, text)`` for every routed case.
 
     The first case of a report (smallest file name) has no page break; the
-    per-report minimum is a <= 12-row aggregate, so it is broadcast. Reports
+    per-report minimum (:func:`first_cases`, <= 12 rows) is broadcast. Reports
     listed in ``continued`` (a ``report`` column, <= 12 rows) already have
     earlier cases, so every case here gets a break (incremental appends).
     """
     rendered = successes.select("filename", "analysis", case_lines().alias("_lines"))
     routed = destinations(rendered).drop("analysis")
-    firsts = routed.groupBy("report").agg(F.min("filename").alias("_first"))
+    firsts = first_cases(routed)
     if continued is not None:
         firsts = firsts.join(F.broadcast(continued.select("report").distinct()), "report", "left_anti")
     brk = F.array(_line(PAGE_BREAK, F.lit(""))).cast(LINE_DDL)

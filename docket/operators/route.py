@@ -114,11 +114,16 @@ def destinations(successes: DataFrame) -> DataFrame:
     )
 
 
-def report_spine(spark: SparkSession) -> DataFrame:
-    """Names of all 12 possible reports (3 levels + 9 combinations)."""
+def report_names() -> list[str]:
+    """Names of all 12 possible reports (3 levels + 9 combinations), in display order."""
     names = []
     for r in RELEVANCE_LEVELS:
         folder = r.lower() + "_relevance"
-        names.append({"report": f"{folder}/{folder}_analysis"})
-        names += [{"report": f"{folder}/Relevance {r} - {s}"} for s in SUPPORT_LEVELS]
-    return _literal_rows(spark, names)
+        names.append(f"{folder}/{folder}_analysis")
+        names += [f"{folder}/Relevance {r} - {s}" for s in SUPPORT_LEVELS]
+    return names
+
+
+def report_spine(spark: SparkSession) -> DataFrame:
+    """All 12 possible reports as a literal table."""
+    return _literal_rows(spark, [{"report": n} for n in report_names()])
