@@ -28,15 +28,15 @@ def write_reports(lines: DataFrame, path: str, partitions: int | None = None,
         if partitions
         else named.repartitionByRange("report", "filename")
     )
-    out = (
-        ranged
-        .sortWithinPartitions("report", "filename", "line_no")
-        .drop("report")
-    )
     parts = ["folder", "name"]
+    out = ranged.drop("report")
     if batch_id is not None:
         out = out.withColumn("batch", F.lit(int(batch_id)).cast("bigint"))
         parts.append("batch")
+    # Sort by the partition columns first: the writer needs rows grouped by them, and
+    # with this order it adds no sort of its own (a re-sort could reorder lines of
+    # equal keys once it spills). (folder, name) orders exactly like the report name.
+    out = out.sortWithinPartitions(*parts, "filename", "line_no")
     (
         out.write.mode("overwrite")
         .option("partitionOverwriteMode", "static" if replace_all else "dynamic")
