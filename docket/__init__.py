@@ -14,7 +14,7 @@ Public surface::
 from __future__ import annotations
 
 from docket.config import Config, Lexicon
-from docket.operators.analyze import RuleAnalyzer
+from docket.operators.analyze import Analyzer, RuleAnalyzer
 from docket.operators.metrics import batch_stats, failure_listing, run_summary
 from docket.operators.report import report_lines
 from docket.operators.route import destinations as route
@@ -33,6 +33,7 @@ def analyze(docs, analyzer=None, config: Config | None = None):
 __all__ = [
     "Config",
     "Lexicon",
+    "Analyzer",
     "RuleAnalyzer",
     "ModelAnalyzer",
     "analyze",

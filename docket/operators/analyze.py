@@ -9,6 +9,8 @@ topic sentences) gets its own projection so it is computed once per row.
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,16 @@ from docket.functions.text import after_first_line, count_terms, first_line, ter
 from docket.schema import ANALYSIS_FIELDS
 
 
+class Analyzer(Protocol):
+    """What the run needs from an analyzer: documents in, result envelopes out.
+
+    ``analyze(docs)`` maps ``(filename, text, ...)`` to ``(filename, analysis, error)``;
+    :class:`RuleAnalyzer` and :class:`docket.plans.casework.ModelAnalyzer` both fit.
+    """
+
+    def analyze(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame: ...
+
+
 class RuleAnalyzer:
     """Deterministic analyzer built from built-in functions and a :class:`Lexicon`."""
 
