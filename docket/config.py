@@ -39,6 +39,9 @@ class Lexicon:
         r"[A-Z][A-Za-z0-9'&-]*(?: [A-Z][A-Za-z0-9'&-]*)* v\. [A-Z][A-Za-z0-9'&-]*(?: [A-Z][A-Za-z0-9'&-]*)*,"
         r" [0-9]+ So\. [23]d [0-9]+ \((?:La\.(?: App\.(?: [0-9]+ Cir\.)?)? )?[0-9]{4}\)"
     )
+    # Quote delimiters for E07 (one line per quote); straight quotes: ('"', '"').
+    quote_open: str = "“"
+    quote_close: str = "”"
     summary_sentences: int = 3
     key_point_limit: int = 5
     # Argument lead-ins per support level.

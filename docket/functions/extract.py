@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from docket.config import Lexicon
 from docket.functions.text import (
-    CURLY_QUOTE,
     SENTENCE_SPLIT,
     STAR_PAGE,
     clean,
+    quote_pattern,
     sentences,
     term_pattern,
 )
@@ -179,20 +179,21 @@ def page_by_line(markers: Column, n_lines: Column) -> Column:
     return F.when(F.size(markers) > 0, F.concat(lead, runs))
 
 
-def quote_lines(lines: Column) -> Column:
-    """(pos, quotes) per line that holds at least one curly-quoted passage."""
+def quote_lines(lines: Column, open_: str = "“", close: str = "”") -> Column:
+    """(pos, quotes) per line that holds at least one quoted passage."""
+    pat = quote_pattern(open_, close)
     per_line = F.transform(
         lines,
         lambda x, i: F.struct(
             i.alias("pos"),
-            F.when(F.instr(x, "“") > 0, F.regexp_extract_all(x, F.lit(CURLY_QUOTE), 1)).alias("qs"),
+            F.when(F.instr(x, open_) > 0, F.regexp_extract_all(x, F.lit(pat), 1)).alias("qs"),
         ),
     )
     return F.filter(per_line, lambda q: F.coalesce(F.size(q["qs"]) > 0, F.lit(False)))
 
 
-def format_quote(q: Column, page: Column) -> Column:
-    return F.concat(F.lit("“"), q, F.lit("”"), F.coalesce(F.concat(F.lit(", at *"), page), F.lit("")))
+def format_quote(q: Column, page: Column, open_: str = "“", close: str = "”") -> Column:
+    return F.concat(F.lit(open_), q, F.lit(close), F.coalesce(F.concat(F.lit(", at *"), page), F.lit("")))
 
 
 def quote_records(qlines: Column, pages: Column) -> Column:
@@ -217,11 +218,13 @@ def quote_records(qlines: Column, pages: Column) -> Column:
     )
 
 
-def with_quotes(df, text: str = "text", out: str = "_quote_records"):
+def with_quotes(df, text: str = "text", out: str = "_quote_records", open_: str = "“", close: str = "”"):
     """Add E07 records to ``df`` in stages, each intermediate computed once per row."""
     empty_q = F.array().cast("array<struct<pos:int,qs:array<string>>>")
-    df = df.withColumn("_lines", F.when(F.instr(F.col(text), "“") > 0, lines_of(F.col(text))))
-    df = df.withColumn("_qlines", F.when(F.col("_lines").isNotNull(), quote_lines(F.col("_lines"))).otherwise(empty_q))
+    df = df.withColumn("_lines", F.when(F.instr(F.col(text), open_) > 0, lines_of(F.col(text))))
+    df = df.withColumn(
+        "_qlines", F.when(F.col("_lines").isNotNull(), quote_lines(F.col("_lines"), open_, close)).otherwise(empty_q)
+    )
     df = df.withColumn(
         "_markers", F.when((F.size("_qlines") > 0) & (F.instr(F.col(text), "*") > 0), page_markers(F.col("_lines")))
     )
@@ -230,9 +233,9 @@ def with_quotes(df, text: str = "text", out: str = "_quote_records"):
     return df.drop("_lines", "_qlines", "_markers", "_pages")
 
 
-def quotes(records: Column) -> Column:
+def quotes(records: Column, open_: str = "“", close: str = "”") -> Column:
     """The formatted quotes of :func:`quote_records`."""
-    return F.transform(records, lambda r: format_quote(r["quote"], r["page"]))
+    return F.transform(records, lambda r: format_quote(r["quote"], r["page"], open_, close))
 
 
 def argument(cite: Column, support: Column, kps: Column, lex: Lexicon) -> Column:

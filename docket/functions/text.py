@@ -17,6 +17,12 @@ SENTENCE_SPLIT = r"[.!?][ \n]+"
 STAR_PAGE = r"(?:^|[^*])\*([0-9]+)"
 # A curly-quoted passage inside one line.
 CURLY_QUOTE = "“([^”]+)”"
+
+
+def quote_pattern(open_: str, close: str) -> str:
+    """A passage between ``open_`` and ``close`` inside one line (capturing group 1)."""
+    o, c = escape_term(open_), escape_term(close)
+    return f"{o}([^{c}\n]+){c}" if (open_, close) != ("“", "”") else CURLY_QUOTE
 _WS = r"[ \t\r\n]+"
 
 _REGEX_SPECIAL = set(r".^$*+?()[]{}|\/-")

@@ -108,8 +108,8 @@ class RuleAnalyzer:
             X.key_points(F.col("_topic_sents"), lex.key_point_limit).alias("key_points"),
             X.cited_cases(F.col(text), F.col("_cite"), lex).alias("citations"),
         )
-        f = X.with_quotes(f, text)
-        f = f.withColumn("quotes", X.quotes(F.col("_quote_records")))
+        f = X.with_quotes(f, text, open_=lex.quote_open, close=lex.quote_close)
+        f = f.withColumn("quotes", X.quotes(F.col("_quote_records"), lex.quote_open, lex.quote_close))
         f = f.withColumn(
             "argument", X.argument(F.col("_cite"), F.col("support_level"), F.col("key_points"), lex)
         )

@@ -69,3 +69,14 @@ def test_template_braces_are_inert(spark):
     assert tpl.render_user("a {b} c") == "Case:\na {b} c\nEnd {not_a_field}"
     df = spark.createDataFrame([("a {b} c",)], "text string")
     assert df.select(tpl.user_column(F.col("text"))).first()[0] == tpl.render_user("a {b} c")
+
+
+def test_straight_quotes(spark):
+    lex = FIXTURE_LEXICON.with_terms(quote_open='"', quote_close='"')
+    text = 'Head\n*12 the court said "no such tort" and "again"\n"open only'
+    r = _fields(spark, [text], lex)["0.docx"]
+    assert [(q["line_no"], q["quote"], q["page"]) for q in r["_quote_records"]] == [
+        (1, "no such tort", "12"),
+        (1, "again", "12"),
+    ]
+    assert r["quotes"][0] == '"no such tort", at *12'
