@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docket.config import Lexicon
 from docket.functions import extract as X
-from docket.functions.text import after_first_line, count_terms, first_line, term_count_pattern, term_pattern
+from docket.functions.text import after_first_line, count_terms, first_line, term_count_pattern
 from docket.schema import ANALYSIS_FIELDS
 
 
@@ -73,8 +73,8 @@ class RuleAnalyzer:
         if not (words and all(w.isalpha() and w.isascii() for w in words)):
             return df.select(
                 "*",
-                lt.rlike(term_pattern(lex.topic_terms)).alias("_has_topic"),
-                lt.rlike(term_pattern(lex.holding_terms)).alias("_has_holding"),
+                lt.rlike(term_count_pattern(lex.topic_terms)).alias("_has_topic"),
+                lt.rlike(term_count_pattern(lex.holding_terms)).alias("_has_holding"),
                 (count_terms(lt, lex.support_terms) - count_terms(lt, lex.contra_terms)).alias("net_support"),
             )
         df = df.withColumn("_hits", F.regexp_extract_all(lt, F.lit(term_count_pattern(dict.fromkeys(words))), 0))
