@@ -49,3 +49,19 @@ def test_two_triggers(spark, tmp_dir):
     assert first_styles == {"000000001.docx": "Heading 1", "000000005.docx": "Page Break"}
     raw = spark.read.parquet(os.path.join(out, "reports"))
     assert {r[0] for r in raw.select("batch").distinct().collect()} == {0, 1}
+
+
+def test_rerun_of_a_batch_is_idempotent(spark, tmp_dir):
+    from docket.streaming.folder import process_batch
+
+    rows = [(f"/in/{i:09d}.docx", bytearray(docx_bytes(HEAD.format(i, i) + "worthless thble. thing erble.")))
+            for i in range(1, 4)]
+    batch = spark.createDataFrame(rows, "path string, content binary")
+    out = os.path.join(tmp_dir, "out")
+    cfg = Config(lexicon=FIXTURE_LEXICON)
+    process_batch(batch, 0, out, cfg)
+    process_batch(batch, 0, out, cfg)  # the same batch again, as after a failure
+    assert spark.read.parquet(os.path.join(out, "results")).count() == 3
+    lines = read_reports(spark, os.path.join(out, "reports"))
+    titles = lines.where("style = 'Heading 1'").groupBy("report").count().collect()
+    assert titles and all(r["count"] == 3 for r in titles)
