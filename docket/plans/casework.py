@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docket.config import Config
-from docket.operators.analyze import RuleAnalyzer
+from docket.operators.analyze import Analyzer, RuleAnalyzer
 from docket.operators.infer import ClientFactory, infer
 from docket.operators.metrics import batch_stats, failure_listing
 from docket.operators.report import report_lines
@@ -115,7 +115,7 @@ def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, s
     return target.join(best, "request_key").select("*", "a.*").drop("a")
 
 
-def analyze_requests(requests: DataFrame, config: Config, analyzer: RuleAnalyzer | None = None,
+def analyze_requests(requests: DataFrame, config: Config, analyzer: Analyzer | None = None,
                      client_factory: Callable[[], object] | None = None, store: str | None = None,
                      template: PromptTemplate | None = None,
                      keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -135,7 +135,7 @@ def run(
     docs: DataFrame,
     out_dir: str,
     config: Config | None = None,
-    analyzer: RuleAnalyzer | None = None,
+    analyzer: Analyzer | None = None,
     client_factory: Callable[[], object] | None = None,
     template: PromptTemplate | None = None,
     only_candidates: bool = False,
@@ -195,8 +195,7 @@ def run(
     failures = materialize(failure_listing(results), "failures", path=f"{out}/failures")
     if stats_src is not None:
         stats = materialize(batch_stats(stats_src), "batch_stats", path=f"{out}/batch_stats")
-    n = summary.first()["n_documents"]
-    return RunResult(n_documents=n, results=results, summary=summary, failures=failures,
+    return RunResult(n_documents=int(counts["n_documents"]), results=results, summary=summary, failures=failures,
                      batch_stats=stats, reports_path=f"{out}/reports", elapsed_s=elapsed)
 
 
