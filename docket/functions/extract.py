@@ -1,8 +1,10 @@
 """Extraction fields E01-E12 as column functions.
 
 Each function takes already-derived columns (see ``RuleAnalyzer.features``) so that
-the expensive pieces (lower-cased body, sentence array) are computed once per row.
-All of them are narrow, per-row expressions: no shuffle, no Python.
+the expensive pieces (lower-cased body, lexicon hits, topic sentences, summary
+pieces, quote lines, page-per-line array) are computed once per row; the
+``with_*`` helpers add such pieces as their own projections. All of them are
+narrow, per-row expressions: no shuffle, no Python.
 """
 
 from __future__ import annotations
