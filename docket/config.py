@@ -71,10 +71,10 @@ FIXTURE_LEXICON = Lexicon(
 
 @dataclass(frozen=True)
 class Config:
-    """Inference and routing settings (defaults follow the reference's defaults)."""
+    """Inference and routing settings (defaults follow the original tool's defaults)."""
 
     model_name: str = "o1"
-    # Requests per exported batch (R08); the reference also used it as its concurrency.
+    # Requests per exported batch (R08); the original tool also used it as its concurrency.
     max_concurrent_requests: int = 10
     max_retries: int = 1
     retry_delay_s: float = 1.0
