@@ -31,25 +31,36 @@ from docket.llm.common import words
 from docket.sinks.tables import materialize
 
 
-def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line: ``pos`` (doc_id, text_hash, line_no), its words and a 128-bit key."""
+_POS = ("doc_id", "text_hash", "line_no")
+# white space other than one blank between words
+_UNEVEN = r"[\x20\x09-\x0D]{2}|[\x09-\x0D]|^\x20|\x20$"
+
+
+def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text_hash, line_no, norm)``: each line as its words with one blank between."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                     F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    d = d.withColumn("norm", F.array_join(words(F.col("line")), " ")).drop("line")
-    return d.select(F.struct("doc_id", "text_hash", "line_no").alias("pos"), "norm",
-                    F.when(F.col("norm") != "", F.struct(
-                        F.xxhash64("norm").alias("a"), F.xxhash64(F.lit(1), "norm").alias("b"))).alias("key"))
+    even = F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))
+    return d.withColumn("norm", F.when(F.col("line").rlike(_UNEVEN), even).otherwise(F.col("line"))).drop("line")
 
 
 def half_keys(min_words: int) -> str:
     """SQL: hashes of the halves that a near copy of the line must share one of."""
     def halves(k: str) -> str:
-        return (f"xxhash64(0, {k}, slice(ws, 1, {k})), xxhash64(1, {k}, slice(ws, size(ws) - {k} + 1, {k}))")
+        return f"xxhash64(0, {k}, substring_index(norm, ' ', {k})), xxhash64(1, {k}, substring_index(norm, ' ', -{k}))"
+
+    k, less = "(n div 2)", "((n - 1) div 2)"
+    return (f"case when n < {min_words - 1} then cast(array() as array<bigint>) "
+            f"when {k} = {less} then array({halves(k)}) else array({halves(k)}, {halves(less)}) end")
 
-    k, less = "(size(ws) div 2)", "((size(ws) - 1) div 2)"
-    return (f"if(size(ws) < {min_words - 1}, cast(array() as array<bigint>), "
-            f"if({k} = {less}, array({halves(k)}), array({halves(k)}, {halves(less)})))")
+
+def text_lines(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Narrow rows, one per line: its place ``pos``, a 128-bit ``key`` of its words, its half keys."""
+    d = split_lines(docs, id_col, text_col).withColumn("n", F.regexp_count("norm", F.lit(" ")) + 1)
+    key = F.struct(F.xxhash64("norm").alias("a"), F.xxhash64(F.lit(1), "norm").alias("b"))
+    return d.select(F.struct(*_POS).alias("pos"), F.when(F.col("norm") != "", key).alias("key"),
+                    F.expr(half_keys(min_words)).alias("halves"))
 
 
 def variants(candidates: DataFrame, min_words: int) -> DataFrame:
@@ -71,13 +82,25 @@ def variants(candidates: DataFrame, min_words: int) -> DataFrame:
         "key", "pos", "v.*")
 
 
-def near_links(distinct: DataFrame, min_words: int) -> DataFrame:
-    """``(key, near)``: for distinct lines ``(key, pos, norm)``, the earliest verified near copy before each."""
-    split = distinct.withColumn("ws", F.expr("split(norm, ' ')"))
-    halves = materialize(split.select("key", F.explode(F.expr(half_keys(min_words))).alias("half")), "line-halves")
+def near_links(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
+    """``(key, near)``: the earliest verified near copy before each of the distinct lines ``(key, pos, halves)``.
+
+    ``docs`` has columns doc_id and text; it is read again for the words of the candidates alone.
+    """
+    halves = distinct.select("key", "pos", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi")
-    wanted = halves.join(shared.select("half"), "half").select("key").distinct()
-    candidates = materialize(split.join(wanted, "key", "left_semi").select("key", "pos", "ws"), "line-candidates")
+    wanted = halves.join(shared.select("half"), "half").select("key", "pos").distinct()
+    wanted = wanted.groupBy("pos.doc_id", "pos.text_hash").agg(
+        F.collect_set(F.struct("pos.line_no", "key")).alias("lines"))  # at most one text's lines
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", "text", F.xxhash64(text).alias("text_hash"))
+    found = texts.join(wanted.withColumnsRenamed({"doc_id": "i", "text_hash": "h"}),
+                       F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
+    found = found.select("doc_id", "text_hash", "lines", F.split(text, "\n", -1).alias("all"))
+    found = found.select("doc_id", "text_hash", "all", F.explode("lines").alias("x")).select(
+        F.struct("doc_id", "text_hash", "x.line_no").alias("pos"), "x.key", F.expr("all[x.line_no]").alias("line"))
+    found = found.select("key", "pos", words(F.col("line")).alias("ws")).dropDuplicates(["key"])  # of repeated rows
+    candidates = materialize(found, "line-candidates")
     emitted = materialize(variants(candidates, min_words), "line-variants")
 
     first = emitted.groupBy("variant", "at").agg(F.min(F.struct("pos", "key")).alias("first"), F.count("*").alias("n"))
@@ -111,12 +134,13 @@ def one_edit(a: str, b: str):
 def decide(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: ``(pos, key, first, near, kept)``; ``first`` is the earliest equal line."""
     min_words = max(2, -int(-1 / (1 - similarity) // 1)) if similarity < 1 else 1 << 30
-    lines = text_lines(docs, id_col, text_col)
+    lines = materialize(text_lines(docs, min_words, id_col, text_col), "lines")
     distinct = materialize(
-        lines.filter("key is not null").groupBy("key").agg(F.min("pos").alias("pos"), F.min("norm").alias("norm")),
+        lines.filter("key is not null").groupBy("key").agg(F.min("pos").alias("pos"), F.min("halves").alias("halves")),
         "lines-distinct")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     verdict = materialize(
-        distinct.select("key", F.col("pos").alias("first")).join(near_links(distinct, min_words), "key", "left"),
+        distinct.select("key", F.col("pos").alias("first")).join(near_links(slim, distinct, min_words), "key", "left"),
         "line-verdicts")
     return lines.select("pos", "key").join(verdict, "key", "left").select(
         "pos", "key", "first", "near",
@@ -142,11 +166,14 @@ def dedup_texts(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     """
     gone = decide(docs, similarity, id_col, text_col).filter(~F.col("kept"))
     gone = gone.groupBy("pos.doc_id", "pos.text_hash").agg(F.collect_set("pos.line_no").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone")
+    gone = gone.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), F.col("_gone").alias("gone"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    out = out.withColumn(text_col, kept)
-    wordless = F.col("_gone").isNotNull() & ~F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
-    return out.filter(~wordless).select(*docs.columns)
+    # the row travels as one struct, so no column name of the caller's can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), text.alias("text"),
+                       F.xxhash64(text).alias("hash"))
+    out = rows.join(gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    out = out.select("row", "gone", F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(left).alias("left"))
+    wordless = F.col("gone").isNotNull() & ~F.col("left").rlike(r"[^\x20\x09-\x0D]")
+    return out.filter(~wordless).select(
+        *[F.col("left").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

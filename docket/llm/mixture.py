@@ -142,23 +142,27 @@ def mixed_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     Whole passes repeat the text unchanged. A document that a run enters or leaves
     contributes the words inside it, joined by single blanks; one that the run holds whole
-    keeps its text. Columns are those of ``docs`` and ``epoch`` (0 first).
+    keeps its text. Columns are those of ``docs`` and ``epoch`` (0 first). Rows equal in id and
+    text share the place of one of them.
     """
     plan = mix(docs, text_col=text_col, id_col=id_col, **options)
     inside, wrapped = run_overlap()
     a = F.col("at")
     skip = F.greatest(F.lit(0), F.col("run_from") - a)
     plan = plan.select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"),
-        F.col("passes").alias("_passes"), skip.alias("_skip"), inside.alias("_inside"), wrapped.alias("_wrapped"),
-    ).dropDuplicates(["_id", "_hash"]).filter("_passes > 0 or _inside > 0 or _wrapped > 0")
-    both = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash")))
-    whole = F.col("_inside") + F.col("_wrapped") >= F.col("_size")
-    piece = lambda lo, n: F.array_join(F.slice(words(F.col(text_col)), (lo + 1).cast("int"), n.cast("int")), " ")
+        F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), F.col("size").alias("n"), "passes",
+        skip.alias("skip"), inside.alias("inside"), wrapped.alias("wrapped"),
+    ).dropDuplicates(["i", "h"]).filter("passes > 0 or inside > 0 or wrapped > 0")
+    # the row travels as one struct, so no column name of the caller's can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"),
+                       F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("hash"))
+    both = rows.join(plan, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")))
+    whole = F.col("inside") + F.col("wrapped") >= F.col("n")
+    piece = lambda lo, n: F.array_join(F.slice(words(F.col("text")), (lo + 1).cast("int"), n.cast("int")), " ")
     parts = F.concat_ws("\n", *[F.when(n > 0, piece(lo, n)) for lo, n in
-                                ((F.lit(0), F.col("_wrapped")), (F.col("_skip"), F.col("_inside")))])
-    last = F.when(whole, F.col(text_col)).otherwise(parts)
-    copies = F.expr("transform(sequence(0, cast(_passes as int)), e -> e)")
-    rows = both.withColumn("epoch", F.explode(copies)).filter("epoch < _passes or _inside > 0 or _wrapped > 0")
-    rows = rows.withColumn(text_col, F.when(F.col("epoch") < F.col("_passes"), F.col(text_col)).otherwise(last))
-    return rows.select(*docs.columns, "epoch")
+                                ((F.lit(0), F.col("wrapped")), (F.col("skip"), F.col("inside")))])
+    both = both.withColumn("epoch", F.explode(F.expr("sequence(0, cast(passes as int))"))).filter(
+        "epoch < passes or inside > 0 or wrapped > 0")
+    text = F.when((F.col("epoch") < F.col("passes")) | whole, F.col("row")[text_col]).otherwise(parts)
+    return both.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns],
+                       F.col("epoch").cast("int").alias("epoch"))
