@@ -23,6 +23,8 @@ in ``dedup_texts``).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -133,7 +135,7 @@ def one_edit(a: str, b: str):
 
 def decide(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: ``(pos, key, first, near, kept)``; ``first`` is the earliest equal line."""
-    min_words = max(2, -int(-1 / (1 - similarity) // 1)) if similarity < 1 else 1 << 30
+    min_words = max(2, math.ceil(1 / (1 - similarity) - 1e-9)) if similarity < 1 else 1 << 30
     lines = materialize(text_lines(docs, min_words, id_col, text_col), "lines")
     distinct = materialize(
         lines.filter("key is not null").groupBy("key").agg(F.min("pos").alias("pos"), F.min("halves").alias("halves")),

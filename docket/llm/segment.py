@@ -112,13 +112,18 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str = MODEL, alpha: float = 0.3) -> "Vocabulary":
+        return cls(*cls.read(path), alpha)
+
+    @staticmethod
+    def read(path: str) -> tuple[list[str], list[str], list[float]]:
+        """Pieces, kinds and scores of a model file: all that tasks need to build the tables."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
         kind = lambda i: ("byte" if sp.is_byte(i) else
                           "other" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else "normal")
-        return cls([sp.id_to_piece(i) for i in ids], [kind(i) for i in ids], [sp.get_score(i) for i in ids], alpha)
+        return [sp.id_to_piece(i) for i in ids], [kind(i) for i in ids], [sp.get_score(i) for i in ids]
 
     def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """Trie children of nodes at depth two or more (0: none)."""
@@ -127,6 +132,17 @@ class Vocabulary:
         return np.where(self.keys[at] == keys, self.children[at], 0)
 
 
+_BUILT: dict[str, Vocabulary] = {}
+
+
+def built(shared, key: str) -> Vocabulary:
+    """The vocabulary of a broadcast model, its tables built once per Python worker."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Vocabulary(*shared.value)
+    return _BUILT[key]
+
+
 def scrambled(x: np.ndarray) -> np.ndarray:
     """A 64-bit mix of counters into independent-looking bits."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -434,13 +450,15 @@ def segmentations(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int, see
         yield search.docs[live], rank, ids, counts[live], total[live], inclusion[live]
 
 
-def encode(docs: DataFrame, samples: int = 2, seed: int = 42, model_file: str = MODEL, id_col: str = "doc_id",
-           text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, samples: int = 2, seed: int = 42, alpha: float = 0.3, model_file: str = MODEL,
+           id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, keep..., rank, ids, log_prob, log_inclusion)``: ``samples`` segmentations per text, best first."""
     spark = docs.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(Vocabulary.load(model_file))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).cast("string").alias("text"))
+    shared = spark.sparkContext.broadcast((*Vocabulary.read(model_file), alpha))
+    key = f"{model_file} {alpha}"
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep,
+                       F.col(text_col).cast("string").alias("text to encode"))
     extra = slim.schema.fields[1:-1]
     schema = T.StructType([slim.schema["doc_id"], *extra, T.StructField("rank", T.IntegerType()),
                            T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -448,7 +466,7 @@ def encode(docs: DataFrame, samples: int = 2, seed: int = 42, model_file: str =
     names, width = schema.names, len(extra) + 1
 
     def run(batches):
-        v = shared.value
+        v = built(shared, key)
         for batch in batches:
             keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             texts = [t or "" for t in batch.column(width).to_pylist()]
@@ -477,11 +495,12 @@ def decoded(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data))
 
 
-def decode(encoded: DataFrame, model_file: str = MODEL, out: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, model_file: str = MODEL, alpha: float = 0.3, out: str = "decoded") -> DataFrame:
     """Add the text of every ``ids`` array."""
     spark = encoded.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(Vocabulary.load(model_file))
+    shared = spark.sparkContext.broadcast((*Vocabulary.read(model_file), alpha))
+    key = f"{model_file} {alpha}"
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
     at = encoded.columns.index("ids")
 
@@ -490,7 +509,7 @@ def decode(encoded: DataFrame, model_file: str = MODEL, out: str = "decoded") ->
             ids = batch.column(at)
             lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-            texts = decoded(shared.value, ids.flatten().to_numpy(zero_copy_only=False), offsets)
+            texts = decoded(built(shared, key), ids.flatten().to_numpy(zero_copy_only=False), offsets)
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=schema.names)
 
     return encoded.mapInArrow(run, schema)

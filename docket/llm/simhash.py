@@ -108,7 +108,7 @@ def links(points: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``(node, root)`` for every node of an edge list ``(a, b)``; root is the least node.
+    """``(node, root)`` for every node of an edge list ``(a, b)`` but the roots; root is the least node reachable.
 
     Alternating star contraction: each round hangs a node's larger neighbours, then its
     smaller ones, on its least neighbour. Neighbour sets are never gathered (a minimum
