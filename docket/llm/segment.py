@@ -35,13 +35,25 @@ from docket.session import ship_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_BATCH = 1 << 21  # characters worked on at once
+_BATCH = 1 << 19  # characters (or ids) worked on at once
 _SHORT = 200  # characters of a unit up to which plain sums stay in range
 _BYTES = -2  # in place of a piece: the character's UTF-8 bytes
 _NONE = -1e30
 _U = np.uint64
 
 
+def piece_bytes(pieces: list[str], kinds: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each piece's bytes start, how many they are, and all of them together."""
+    raw = [b""] * len(pieces)
+    for i, k in enumerate(kinds):
+        if k == "normal":
+            raw[i] = pieces[i].replace(SPACE, " ").encode()
+        elif k == "byte":
+            raw[i] = bytes([int(pieces[i][1:-1], 16)])
+    sizes = np.array([len(r) for r in raw], np.int64)
+    return np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes, np.frombuffer(b"".join(raw), np.uint8)
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model as arrays: trie, cuts, log-probabilities, bytes."""
 
@@ -100,15 +112,7 @@ class Vocabulary:
         for node, i in terminal.items():
             self.piece[node] = i
 
-        raw = [b""] * len(pieces)
-        for i, k in enumerate(kinds):
-            if k == "normal":
-                raw[i] = pieces[i].replace(SPACE, " ").encode()
-            elif k == "byte":
-                raw[i] = bytes([int(pieces[i][1:-1], 16)])
-        self.raw_len = np.array([len(r) for r in raw], np.int64)
-        self.raw_at = np.concatenate(([0], np.cumsum(self.raw_len)[:-1]))
-        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_at, self.raw_len, self.raw = piece_bytes(pieces, kinds)
 
     @classmethod
     def load(cls, path: str = MODEL, alpha: float = 0.3) -> "Vocabulary":
@@ -189,13 +193,12 @@ class Lattices:
         # one slot per character and one for the end of each distinct unit
         slot_start = np.concatenate(([0], np.cumsum(size + 1)))
         self.n_slots = s = int(slot_start[-1])
-        slot_unit = np.repeat(np.arange(len(size)), size + 1)
-        within = np.arange(s) - slot_start[slot_unit]
-        self.left = size[slot_unit] - within
+        slot_unit = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+        self.left = np.repeat((slot_start[1:] - 1).astype(np.int32), size + 1) - np.arange(s, dtype=np.int32)
         inside = np.flatnonzero(self.left)
         chars = np.zeros(s + 1, np.uint16)
         chars[inside] = ids[(starts[first] - slot_start[:-1])[slot_unit[inside]] + inside]
-        self.slot = (slot_start[kind] - starts)[np.repeat(np.arange(len(starts)), lengths)] + np.arange(n)
+        self.slot = np.repeat((slot_start[kind] - starts).astype(np.int32), lengths) + np.arange(n, dtype=np.int32)
         self._edges(chars, inside)
         self._backward(size[slot_unit])
 
@@ -223,7 +226,7 @@ class Lattices:
         self.degree = np.zeros(self.n_slots, np.int8)
         for slots, _, _ in found:
             self.degree[slots] += 1
-        self.start = np.concatenate(([0], np.cumsum(self.degree, dtype=np.int64)))
+        self.start = np.concatenate(([0], np.cumsum(self.degree, dtype=np.int64))).astype(np.int32)
         n = int(self.start[-1])
         self.length, self.piece, rank = np.zeros(n, np.int8), np.zeros(n, np.int32), np.zeros(self.n_slots, np.int8)
         for slots, pieces, length in found:
@@ -294,8 +297,8 @@ class Search:
         self.begin = np.concatenate(([0], np.cumsum(self.sizes[self.docs])))[:-1]
         self.seeds = scrambled(keys.astype(np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed))[self.docs]
         n = len(self.codes)
-        self.doc = np.repeat(np.arange(len(self.docs)), self.sizes[self.docs])
-        self.place = np.arange(n) - self.begin[self.doc]
+        self.doc = np.repeat(np.arange(len(self.docs), dtype=np.int32), self.sizes[self.docs])
+        self.place = np.arange(n, dtype=np.int32) - np.repeat(self.begin.astype(np.int32), self.sizes[self.docs])
         self.lattice = Lattices(v, self.codes, self.begin) if n else None
         self.paths, self.regions, self.used, self.logs = [], [], [], []
 
@@ -348,7 +351,7 @@ class Search:
         """``(path, log_prob, log_inclusion, live)`` per rank over the non-empty texts."""
         n_docs = len(self.docs)
         everywhere = np.ones(n_docs, bool)
-        path = np.full(len(self.codes), -1, np.int64)
+        path = np.full(len(self.codes), -1, np.int32)
         self.walk(0, self.lattice.starts, path)
         root = -np.log(-np.log(uniform(draws(self.seeds, 0, 2, np.zeros(n_docs, np.int64)))))
         self.add(0, path, root, np.full(n_docs, -1), everywhere)
@@ -370,7 +373,7 @@ class Search:
         tops = np.stack([np.maximum.reduceat(r, self.begin) for r in self.regions])
         source, best = tops.argmax(axis=0), tops.max(axis=0)
         live = ~np.isneginf(best)
-        path, after = np.full(len(self.codes), -1, np.int64), np.full(n_docs, len(self.codes))
+        path, after = np.full(len(self.codes), -1, np.int32), np.full(n_docs, len(self.codes))
         for s, (region, used) in enumerate(zip(self.regions, self.used)):
             chosen = live & (source == s)
             if not chosen.any():
@@ -483,24 +486,24 @@ def encode(docs: DataFrame, samples: int = 2, seed: int = 42, alpha: float = 0.3
     return slim.mapInArrow(run, schema)
 
 
-def decoded(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Texts of consecutive id lists: the pieces' bytes without the blank put before each text."""
-    sizes = v.raw_len[ids]
+def decoded(table: tuple, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Texts of consecutive id lists: the pieces' bytes (:func:`piece_bytes`) without the blank put before each text."""
+    raw_at, raw_len, raw = table
+    sizes = raw_len[ids]
     ends = np.concatenate(([0], np.cumsum(sizes)))
-    source = np.repeat(v.raw_at[ids] - ends[:-1], sizes) + np.arange(ends[-1])
-    data, bounds = v.raw[source], ends[offsets]
+    source = np.repeat(raw_at[ids] - ends[:-1], sizes) + np.arange(ends[-1])
+    data, bounds = raw[source], ends[offsets]
     lead = bounds[:-1][bounds[1:] > bounds[:-1]]
     data = np.delete(data, lead)
     bounds = np.concatenate(([0], np.cumsum(np.maximum(0, np.diff(bounds) - 1))))
     return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data))
 
 
-def decode(encoded: DataFrame, model_file: str = MODEL, alpha: float = 0.3, out: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, model_file: str = MODEL, out: str = "decoded") -> DataFrame:
     """Add the text of every ``ids`` array."""
     spark = encoded.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast((*Vocabulary.read(model_file), alpha))
-    key = f"{model_file} {alpha}"
+    table = piece_bytes(*Vocabulary.read(model_file)[:2])  # under a megabyte
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
     at = encoded.columns.index("ids")
 
@@ -509,7 +512,12 @@ def decode(encoded: DataFrame, model_file: str = MODEL, alpha: float = 0.3, out:
             ids = batch.column(at)
             lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-            texts = decoded(built(shared, key), ids.flatten().to_numpy(zero_copy_only=False), offsets)
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=schema.names)
+            values, cuts = ids.flatten().to_numpy(zero_copy_only=False), [0]
+            while cuts[-1] < len(lengths):  # some megabytes at a time
+                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(offsets, offsets[cuts[-1]] + _BATCH, "right")) - 1))
+            for a, b in zip(cuts, cuts[1:]):
+                own = values[offsets[a]:offsets[b]]
+                texts = decoded(table, own, offsets[a:b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns), texts], names=schema.names)
 
     return encoded.mapInArrow(run, schema)

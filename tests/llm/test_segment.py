@@ -22,7 +22,7 @@ def sampled(v, texts, k, seed=42, keys=None):
     for begin, part, own in segment.text_batches(texts, keys):
         for rows, rank, ids, counts, log_prob, inclusion in segment.segmentations(v, part, own, k, seed):
             ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-            back = segment.decoded(v, ids, ends).to_pylist()
+            back = segment.decoded((v.raw_at, v.raw_len, v.raw), ids, ends).to_pylist()
             for r, a, b, text, lp, inc in zip(rows, ends, ends[1:], back, log_prob, inclusion):
                 out[r + begin][rank] = (tuple(ids[a:b].tolist()), text, lp, inc)
     return out
