@@ -34,16 +34,20 @@ class Lexicon:
     contra_terms: tuple[str, ...] = ("recognized the tort", "we recognize", "is a tort")
     # Opinions decided before this year "predate" the anchor decision.
     anchor_year: int = 2015
-    # Blue Book case citation: Name v. Name, volume reporter page (court year).
+    # Blue Book case citation: Name v. Name, volume reporter page (court year), or with a docket
+    # number and full date before the reporter: 2014-2362 (La. 6/30/15), 172 So. 3d 607.
     citation_pattern: str = (
-        r"[A-Z][A-Za-z0-9'&-]*(?: [A-Z][A-Za-z0-9'&-]*)* v\. [A-Z][A-Za-z0-9'&-]*(?: [A-Z][A-Za-z0-9'&-]*)*,"
-        r" [0-9]+ So\. [23]d [0-9]+ \((?:La\.(?: App\.(?: [0-9]+ Cir\.)?)? )?[0-9]{4}\)"
+        r"[A-Z][A-Za-z0-9.'&-]*(?:,? (?:[A-Z][A-Za-z0-9.'&-]*|of|the|and|for|ex|rel\.|&))*"
+        r" v\. [A-Z][A-Za-z0-9.'&-]*(?:,? (?:[A-Z][A-Za-z0-9.'&-]*|of|the|and|for|ex|rel\.|&))*,"
+        r" (?:[0-9]+-[A-Z0-9-]+ \([A-Z][A-Za-z0-9. ]* [0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\),"
+        r" [0-9]+ (?:So\.|S\.W\.|S\.E\.|N\.E\.|N\.W\.|A\.|P\.) ?[23]?d? ?[0-9]+"
+        r"|[0-9]+ (?:So\. ?[23]d|So\.|F\. ?Supp\. ?[23]d|F\. ?Supp\.|F\. ?[23]d|F\. ?4th|F\.|U\.S\.|S\. ?Ct\.)"
+        r" [0-9]+(?:, [0-9]+)? \((?:[A-Z0-9][A-Za-z0-9. ]* )?[0-9]{4}\))"
     )
     # Quote delimiters for E07 (one line per quote); straight quotes: ('"', '"').
     quote_open: str = "“"
     quote_close: str = "”"
     summary_sentences: int = 3
-    key_point_limit: int = 5
     # Argument lead-ins per support level.
     position: str = "that intentional spoliation is not a standalone tort"
     lead_strong: str = "strongly supports the position"

@@ -37,8 +37,11 @@ def citation(head: Column, lex: Lexicon) -> Column:
 
 
 def decision_year(cite: Column) -> Column:
-    """E11 helper: the four-digit year closing the citation."""
-    return F.nullif(F.regexp_extract(cite, r"([0-9]{4})\)$", 1), F.lit("")).try_cast("int")
+    """E11 helper: the year closing the citation's parenthesis, or that of the full date in it."""
+    closing = F.nullif(F.regexp_extract(cite, r"([0-9]{4})\)$", 1), F.lit("")).try_cast("int")
+    dated = F.nullif(F.regexp_extract(cite, r"/([0-9]{2,4})\)", 1), F.lit("")).try_cast("int")
+    century = F.when(dated >= 100, 0).when(dated >= 50, 1900).otherwise(2000)
+    return F.coalesce(closing, dated + century)
 
 
 def predates(cite: Column, lex: Lexicon) -> Column:
@@ -132,9 +135,9 @@ def with_summary(df, body: str = "_body", n: int = 3, out: str = "summary"):
     return df.drop("_lim", "_head", "_chosen")
 
 
-def key_points(topic_sents: Column, k: int) -> Column:
-    """Up to k topic sentences, cleaned, in document order."""
-    return F.transform(F.slice(topic_sents, 1, k), clean)
+def key_points(topic_sents: Column) -> Column:
+    """Every topic sentence, cleaned, in document order."""
+    return F.transform(topic_sents, clean)
 
 
 def cited_cases(text: Column, own: Column, lex: Lexicon) -> Column:

@@ -37,7 +37,8 @@ def term_alternation(terms: Iterable[str]) -> str:
     terms = [t.lower() for t in terms]
     if not terms:
         return "(?!)"  # matches nothing; callers guard empty lexicons
-    return "(?:" + "|".join(escape_term(t) for t in terms) + ")"
+    # a phrase may be wrapped or spaced out: any white space between its words
+    return "(?:" + "|".join(_WS.join(escape_term(w) for w in t.split()) for t in terms) + ")"
 
 
 def term_pattern(terms: Iterable[str]) -> str:

@@ -105,7 +105,7 @@ class RuleAnalyzer:
         f = f.select(
             "*",
             X.reasoning(F.col("relevance_level"), F.col("n_topic"), F.col("n_both")).alias("reasoning"),
-            X.key_points(F.col("_topic_sents"), lex.key_point_limit).alias("key_points"),
+            X.key_points(F.col("_topic_sents")).alias("key_points"),
             X.cited_cases(F.col(text), F.col("_cite"), lex).alias("citations"),
         )
         f = X.with_quotes(f, text, open_=lex.quote_open, close=lex.quote_close)

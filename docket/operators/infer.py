@@ -13,12 +13,13 @@ The function is non-deterministic and paid: write its output once
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import json
 import threading
 import time
-from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from typing import Protocol
 
 import pandas as pd
@@ -49,12 +50,22 @@ def params_for(model: str) -> dict:
     return {"reasoning_effort": "high"} if model == "o1" else {"temperature": 0}
 
 
+def _unique_keys(pairs: list[tuple]) -> dict:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise ValueError("response has a duplicate key")
+    return dict(pairs)
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(f"response is not valid JSON: {name}")
+
+
 def check_response(raw: str) -> None:
-    """Quick in-task check of the nine-field contract; raises so the call is retried.
+    """In-task check of the nine-field contract, as strict as the Spark side; raises so the call is retried.
 
     The authoritative check is the Spark-side :func:`docket.operators.validate.validate`.
     """
-    obj = json.loads(raw)
+    obj = json.loads(raw, object_pairs_hook=_unique_keys, parse_constant=_no_constant)
     if not isinstance(obj, dict):
         raise ValueError("response is not a JSON object")
     for name, kind in ANALYSIS_FIELDS:
@@ -96,11 +107,18 @@ def _partition_fn(client_factory: ClientFactory, config: Config, template: Promp
     threads = config.threads_per_task
     out_rows = config.arrow_batch_rows
 
+    def call(client: ModelClient, request: dict) -> str:
+        raw = client.complete(request)
+        check_response(raw)
+        return raw
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
         pool = ThreadPoolExecutor(max_workers=threads)
-        inflight: deque = deque()
+        running: dict = {}  # future -> job
+        backing_off: list = []  # heap of (due, number, job): a backoff holds no thread
         done: list[tuple] = []
+        number = itertools.count()
 
         def flush():
             cols = ["filename", "request_key", "response", "error", "attempts", "waited_ms", "latency_s"]
@@ -108,23 +126,45 @@ def _partition_fn(client_factory: ClientFactory, config: Config, template: Promp
             done.clear()
             return frame.astype({"attempts": "int32", "waited_ms": "int64", "latency_s": "float64"})
 
-        def finish_one():
-            fn, key, fut = inflight.popleft()
-            done.append((fn, key, *fut.result()))
+        def start(job: dict):
+            job["attempts"] += 1
+            running[pool.submit(call, client, job["request"])] = job
+
+        def settle():
+            """Take whatever completes first; start retries that are due."""
+            now = time.monotonic()
+            while backing_off and backing_off[0][0] <= now:
+                start(heapq.heappop(backing_off)[2])
+            timeout = max(0.0, backing_off[0][0] - now) if backing_off else None
+            if not running:
+                time.sleep(timeout or 0.0)
+                return
+            for future in wait(running, timeout=timeout, return_when=FIRST_COMPLETED).done:
+                job, error = running.pop(future), future.exception()
+                m = config.max_retries
+                if error is not None and job["attempts"] <= m:
+                    pause = config.retry_delay_ms * 2 ** (job["attempts"] - 1)
+                    job["waited"] += pause
+                    heapq.heappush(backing_off, (time.monotonic() + pause / 1000.0, next(number), job))
+                    continue
+                done.append((job["filename"], job["key"], None if error else future.result(),
+                             f"Failed after {m} retries: {error}" if error else None, job["attempts"], job["waited"],
+                             time.monotonic() - job["began"]))
 
         try:
             for pdf in batches:
                 for fn, text, key in zip(pdf["filename"], pdf["text"], pdf["request_key"]):
                     req = {"filename": fn, "model": config.model_name,
                            "messages": template.messages(text or ""), **params}
-                    inflight.append((fn, key, pool.submit(call_with_retry, client, req, config)))
+                    start({"filename": fn, "key": key, "request": req, "attempts": 0, "waited": 0,
+                           "began": time.monotonic()})
                     # bounded window: at most 2 x threads requests in memory per task
-                    while len(inflight) >= 2 * threads:
-                        finish_one()
+                    while len(running) + len(backing_off) >= 2 * threads:
+                        settle()
                     if len(done) >= out_rows:
                         yield flush()
-            while inflight:
-                finish_one()
+            while running or backing_off:
+                settle()
             if done:
                 yield flush()
         finally:

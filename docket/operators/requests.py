@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,12 +21,13 @@ class PromptTemplate:
 
     template_id: str = "default-v1"
     developer: str = (
-        "You are a legal research assistant. Read the court opinion you are given and return one record"
-        " with the fields blue_book_citation, summary, relevance_level (High, Medium or Low), reasoning,"
-        " key_points, citations, quotes, argument and support_level (Strongly Supports, Supports or"
-        " Does not Support)."
+        "Answer with one JSON record about the opinion below. Its fields: blue_book_citation; summary, two to"
+        " four sentences; relevance_level, High if the opinion decides the question, Medium if it discusses it,"
+        " Low otherwise; reasoning for that level; key_points, citations and quotes with their star pages, as lists"
+        " of strings; argument, each sentence cited; support_level, one of Strongly Supports, Supports and"
+        " Does not Support."
     )
-    user: str = "# THE CASE TEXT YOU ARE ANALYZING:\n\n{text}\n"
+    user: str = "Opinion:\n\n{text}\n"
 
     def user_parts(self) -> list[str]:
         return self.user.split("{text}")
@@ -46,9 +49,12 @@ class PromptTemplate:
         ]
 
 
-def request_key(config: Config, text: Column) -> Column:
-    """Idempotency key of a request: model, template and text (not the file name)."""
-    return F.sha2(F.concat_ws("\u0000", F.lit(config.model_name), F.lit(config.template_id), text), 256)
+def request_key(config: Config, text: Column, template: PromptTemplate | None = None) -> Column:
+    """Idempotency key of a request: model, template id and content, and text (not the file name)."""
+    template = template or PromptTemplate(template_id=config.template_id)
+    fixed = (config.model_name, template.template_id, template.developer, template.user)
+    prompt = hashlib.sha256(json.dumps(fixed).encode()).hexdigest()
+    return F.sha2(F.concat_ws("\u0000", F.lit(prompt), text), 256)
 
 
 def model_params(model: Column) -> Column:
@@ -68,9 +74,9 @@ def render(docs: DataFrame, template: PromptTemplate) -> DataFrame:
     return docs.withColumn("messages", msgs)
 
 
-def requests_table(docs: DataFrame, config: Config) -> DataFrame:
+def requests_table(docs: DataFrame, config: Config, template: PromptTemplate | None = None) -> DataFrame:
     """``(filename, text, request_key)`` -- the constant prompt is not stored per row."""
-    return docs.select("*", request_key(config, F.col("text")).alias("request_key"))
+    return docs.select("*", request_key(config, F.col("text"), template).alias("request_key"))
 
 
 def numbered(df: DataFrame, order_by: str, partitions: int | None = None) -> DataFrame:

@@ -23,12 +23,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docket.config import Config
 from docket.operators.analyze import Analyzer, RuleAnalyzer
-from docket.operators.infer import ClientFactory, infer
+from docket.operators.infer import RESPONSE_DDL, ClientFactory, infer
 from docket.operators.metrics import batch_stats, failure_listing
 from docket.operators.report import report_lines
 from docket.operators.requests import PromptTemplate, batches, requests_table
@@ -53,8 +53,16 @@ class RunResult:
 def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _rank() -> Column:
+    """Order among the answers to one key: a success first, then the content, so reads agree."""
+    ok = F.when(F.col("error").isNull(), 1).otherwise(0)
+    return F.struct(ok, F.coalesce("response", "error", F.lit("")), "attempts", "latency_s")
 
 
 def best_answers(stored: DataFrame) -> DataFrame:
@@ -65,7 +73,7 @@ def best_answers(stored: DataFrame) -> DataFrame:
     return stored.groupBy("request_key").agg(
         F.max_by(
             F.struct("response", "error", "attempts", "waited_ms", "latency_s"),
-            F.when(F.col("error").isNull(), 1).otherwise(0),
+            _rank(),
         ).alias("a")
     )
 
@@ -80,7 +88,7 @@ def compact_store(spark: SparkSession, store: str, target: str) -> DataFrame:
     stored = spark.read.parquet(store)
     others = [c for c in stored.columns if c != "request_key"]
     best = stored.groupBy("request_key").agg(
-        F.max_by(F.struct(*others), F.when(F.col("error").isNull(), 1).otherwise(0)).alias("a")
+        F.max_by(F.struct(*others), _rank()).alias("a")
     )
     best.select("request_key", "a.*").select(*stored.columns).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
@@ -108,7 +116,10 @@ def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, s
     n_todo = int(obs.get["n"])
     if n_todo:
         infer(todo, client_factory, config, template, n_requests=n_todo).write.mode("append").parquet(store)
-    best = best_answers(spark.read.parquet(store))
+        stored = spark.read.parquet(store)
+    if stored is None:  # nothing was asked, now or before
+        stored = spark.createDataFrame([], RESPONSE_DDL)
+    best = best_answers(stored)
     # answers go back to every file by key; ``keys`` (filename, request_key), when
     # given, spares a second read of the texts
     target = keys if keys is not None else requests
@@ -161,9 +172,11 @@ def run(
     keys = None
     requests = docs
     if client_factory is not None:
-        requests = requests_table(docs, config)
+        requests = requests_table(docs, config, template)
         # (filename, request_key) only -- about a hundred bytes a file -- written once
         keys = materialize(requests.select("filename", "request_key"), "request_keys", f"{out}/request_keys")
+        if keys.isEmpty():  # R05 on the model path: nothing to ask
+            return RunResult(n_documents=0)
 
     stats = None
     results, answered = analyze_requests(requests, config, analyzer, client_factory, f"{out}/responses",
@@ -236,6 +249,6 @@ class ModelAnalyzer:
 
     def analyze(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
         src = docs.select("filename", F.col(text).alias("text"), *keep)
-        requests = requests_table(src, self.config)
+        requests = requests_table(src, self.config, self.template)
         answered = answer(requests, self.client_factory, self.config, self.store, self.template)
         return validate(answered.drop("text", "request_key")).select("filename", *keep, "analysis", "error")

@@ -60,11 +60,10 @@ feat as (select *,
 def fields_sql(source_sql: str, lex: Lexicon = FIXTURE_LEXICON) -> str:
     """CTE chain ending in ``ana``: all nine analysis fields (quotes via a window)."""
     n = lex.summary_sentences
-    k = lex.key_point_limit
     cite_re = q(lex.citation_pattern)
     return features_sql(source_sql, lex) + f""",
 fs as (select *, list_filter(list_transform(sents, lambda s: {clean('s')}), lambda s: s <> '')[1:{n}] as sum_sents,
-         list_transform(topic_sents[1:{k}], lambda s: {clean('s')}) as key_points
+         list_transform(topic_sents, lambda s: {clean('s')}) as key_points
        from feat),
 fr as (select *,
          array_to_string(sum_sents, '. ') || case when len(sum_sents) > 0 then '.' else '' end as summary,

@@ -16,8 +16,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Large texts: keep Arrow batches handed to Python small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
-    # Local mode: the driver JVM is the executor; size it for large text rows.
-    "spark.driver.memory": "16g",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # Paid, non-deterministic calls must not run twice on purpose.
@@ -25,11 +23,18 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", app: str = "docket", shuffle_partitions: int = 8,
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def build_session(master: str = "local[*]", app: str = "docket", shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if is_local(master):  # the driver JVM is the executor; a cluster keeps its own sizes
+        conf.update({"spark.driver.memory": "8g", "spark.sql.shuffle.partitions": "8"})
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -52,12 +57,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if base:
             sc.setCheckpointDir(base)  # so Dataset.checkpoint() uses the same location
             base = sc.getCheckpointDir() or base
+    if not base and not is_local(sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="docket-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     path = base.rstrip("/") + "/" + name + "-" + uuid.uuid4().hex[:12]
-    if path.startswith("/") or path.startswith("file:"):
+    if path.startswith("file:") or path.startswith("/") and is_local(sc.master):
         os.makedirs(path.replace("file:", "", 1), exist_ok=True)
     return path
 

@@ -28,9 +28,14 @@ EXTRACT_DDL = "path string, filename string, text string, error string"
 
 
 def paragraph_text(p: ET.Element) -> str:
-    """Text of one paragraph: run text, tabs, and line breaks (page and column breaks add nothing)."""
+    """Text of one paragraph: run text, tabs, and line breaks (page and column breaks add nothing).
+
+    Only the paragraph's own runs and those of its hyperlinks count: tab stop definitions,
+    tracked insertions and text boxes are not part of it.
+    """
     out = []
-    for el in p.iter():
+    runs = [r for c in p for r in ([c] if c.tag == W + "r" else c if c.tag == W + "hyperlink" else ())]
+    for el in (x for r in runs if r.tag == W + "r" for x in r):
         tag = el.tag
         if tag == W + "t":
             out.append(el.text or "")
@@ -46,10 +51,19 @@ def paragraph_text(p: ET.Element) -> str:
     return "".join(out)
 
 
+def main_part(z: zipfile.ZipFile) -> str:
+    """Name of the main document part, by the package's relationships."""
+    if "_rels/.rels" in z.namelist():
+        for r in ET.fromstring(z.read("_rels/.rels")):
+            if r.get("Type", "").endswith("/officeDocument"):
+                return posixpath.normpath(r.get("Target", "").lstrip("/"))
+    return "word/document.xml"
+
+
 def docx_text(content: bytes) -> str:
     """Body text of one .docx: top-level paragraphs joined by newlines."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        root = ET.fromstring(z.read("word/document.xml"))
+        root = ET.fromstring(z.read(main_part(z)))
     body = root.find(W + "body")
     if body is None:
         raise ValueError("document has no body")

@@ -45,7 +45,7 @@ def process_batch(batch: DataFrame, batch_id: int, out_dir: str, config: Config,
     docs = extracted.where(F.col("error").isNull()).select("filename", "text")
     if docs.isEmpty():
         return
-    requests = requests_table(docs, config)
+    requests = requests_table(docs, config, template)
     results, _ = analyze_requests(requests, config, analyzer, client_factory, f"{out}/responses", template)
     results.select("filename", "analysis", "error").write.mode("overwrite").parquet(f"{out}/results/batch={batch_id}")
 

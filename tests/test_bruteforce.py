@@ -74,7 +74,7 @@ def expected(text):
         "net_support": net,
         "relevance_level": "High" if both else ("Medium" if topic else "Low"),
         "summary": ". ".join(summ) + ("." if summ else ""),
-        "key_points": [_clean(s) for s in topic[:5]],
+        "key_points": [_clean(s) for s in topic],
         "quotes": quotes,
     }
 

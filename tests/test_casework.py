@@ -2,10 +2,12 @@
 
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docket.config import FIXTURE_LEXICON, Config
 from docket.operators.infer import StubClient
+from docket.operators.requests import PromptTemplate
 from docket.plans.casework import run
 from docket.sinks.reports import read_reports
 from docket.sources.documents import cases
@@ -52,6 +54,65 @@ def test_empty_input_short_circuits(spark, tmp_dir):
     assert not os.path.exists(os.path.join(tmp_dir, "out", "reports"))
 
 
+def test_empty_input_short_circuits_with_a_model(spark, tmp_dir):
+    docs = spark.createDataFrame([], "filename string, text string")
+    res = run(spark, docs, os.path.join(tmp_dir, "a"), client_factory=StubClient)
+    assert res.n_documents == 0 and res.reports_path is None
+    docs = spark.createDataFrame([("a.docx", "nothing here")], "filename string, text string")
+    res = run(spark, docs, os.path.join(tmp_dir, "b"), client_factory=StubClient, only_candidates=True)
+    assert res.n_documents == 0
+
+
+def test_changed_template_is_asked_again(spark, tmp_dir):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(StubClient):
+        def complete(self, request):
+            calls.add(1)
+            return super().complete(request)
+
+    docs = spark.createDataFrame([("a.docx", "text one"), ("b.docx", "text two")], "filename string, text string")
+    out, cfg = os.path.join(tmp_dir, "out"), Config(max_retries=0)
+    for template, asked in ((None, 2), (None, 2), (PromptTemplate(user="Other words:\n\n{text}"), 4)):
+        run(spark, docs, out, config=cfg, client_factory=Counting, template=template)
+        assert calls.value == asked
+
+
+def test_rejected_answer_is_asked_again(spark, tmp_dir):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Twice(StubClient):
+        """The same key twice: the strict check rejects it."""
+
+        def complete(self, request):
+            calls.add(1)
+            return super().complete(request)[:-1] + ', "summary": "again"}'
+
+    docs = spark.createDataFrame([("a.docx", "text one")], "filename string, text string")
+    out, cfg = os.path.join(tmp_dir, "out"), Config(max_retries=1, retry_delay_s=0)
+    for asked in (2, 4):
+        assert run(spark, docs, out, config=cfg, client_factory=Twice).summary.first()["n_failed"] == 1
+        assert calls.value == asked
+
+
+def test_one_slow_call_does_not_hold_the_others(spark):
+    import time
+
+    from docket.operators.infer import _partition_fn
+
+    class Slow(StubClient):
+        def complete(self, request):
+            time.sleep(1.0 if int(request["filename"]) % 64 == 0 else 0.02)
+            return super().complete(request)
+
+    frame = pd.DataFrame({"filename": [str(i) for i in range(256)], "text": "t", "request_key": [str(i) for i in range(256)]})
+    work = _partition_fn(Slow, Config(threads_per_task=8, max_retries=0), PromptTemplate())
+    began = time.monotonic()
+    rows = pd.concat(list(work(iter([frame]))))
+    bound = (4 * 1.0 + 252 * 0.02) / 8 + 1.0  # all threads busy, and the last slow call
+    assert len(rows) == 256 and time.monotonic() - began < 1.5 * bound
+
+
 def test_hot_duplicate_text_costs_one_call(spark, tmp_dir):
     """A third of the rows share one text: one call for it, every row answered."""
     calls = spark.sparkContext.accumulator(0)

@@ -64,6 +64,31 @@ def test_corpus(spark, tmp_dir):
     assert "zero.docx" not in got or "zero.docx" in bad
 
 
+def test_only_the_paragraphs_own_runs_count():
+    from docket.sources.docx import docx_text
+
+    body = (
+        '<w:p><w:pPr><w:tabs><w:tab w:val="left" w:pos="720"/><w:tab w:val="left" w:pos="1440"/></w:tabs></w:pPr>'
+        '<w:r><w:t>Caption</w:t></w:r><w:ins><w:r><w:t>inserted</w:t></w:r></w:ins>'
+        '<w:r><w:pict><w:txbxContent><w:p><w:r><w:t>box</w:t></w:r></w:p></w:txbxContent></w:pict></w:r></w:p>'
+    )
+    assert docx_text(_raw_docx(body)) == "Caption"
+
+
+def test_main_part_by_relationship():
+    from docket.sources.docx import docx_text
+
+    body = f'<w:document xmlns:w="{W[1:-1]}"><w:body><w:p><w:r><w:t>moved</w:t></w:r></w:p></w:body></w:document>'
+    rels = ('<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1"'
+            ' Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument"'
+            ' Target="/story/main.xml"/></Relationships>')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("_rels/.rels", rels)
+        z.writestr("story/main.xml", body)
+    assert docx_text(out.getvalue()) == "moved"
+
+
 def test_break_kinds():
     from docket.sources.docx import docx_text
 
