@@ -44,7 +44,7 @@ class Lexicon:
         r"|[0-9]+ (?:So\. ?[23]d|So\.|F\. ?Supp\. ?[23]d|F\. ?Supp\.|F\. ?[23]d|F\. ?4th|F\.|U\.S\.|S\. ?Ct\.)"
         r" [0-9]+(?:, [0-9]+)? \((?:[A-Z0-9][A-Za-z0-9. ]* )?[0-9]{4}\))"
     )
-    # Quote delimiters for E07 (one line per quote); straight quotes: ('"', '"').
+    # Quote delimiters for E07; straight quotes: ('"', '"'), which keep to one line.
     quote_open: str = "“"
     quote_close: str = "”"
     summary_sentences: int = 3

@@ -2,7 +2,7 @@
 
 Each function takes already-derived columns (see ``RuleAnalyzer.features``) so that
 the expensive pieces (lower-cased body, lexicon hits, topic sentences, summary
-pieces, quote lines, page-per-line array) are computed once per row; the
+pieces, quote tokens, page-per-token array) are computed once per row; the
 ``with_*`` helpers add such pieces as their own projections. All of them are
 narrow, per-row expressions: no shuffle, no Python.
 """
@@ -16,6 +16,7 @@ from docket.config import Lexicon
 from docket.functions.text import (
     SENTENCE_SPLIT,
     STAR_PAGE,
+    caption_pattern,
     clean,
     quote_pattern,
     sentences,
@@ -31,9 +32,9 @@ def empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def citation(head: Column, lex: Lexicon) -> Column:
-    """The Blue Book citation found in the first line, or null."""
-    return F.nullif(F.regexp_extract(head, lex.citation_pattern, 0), F.lit(""))
+def citation(text: Column, lex: Lexicon) -> Column:
+    """The Blue Book citation of the caption line (see ``caption_pattern``), or null."""
+    return F.nullif(F.regexp_extract(text, caption_pattern(lex.citation_pattern), 1), F.lit(""))
 
 
 def decision_year(cite: Column) -> Column:
@@ -146,14 +147,15 @@ def cited_cases(text: Column, own: Column, lex: Lexicon) -> Column:
     return F.when(own.isNull(), found).otherwise(F.array_remove(found, own))
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def quote_tokens(text: Column, open_: str = "“", close: str = "”") -> Column:
+    """Every star page and every quoted passage (delimiters included), in document order."""
+    return F.regexp_extract_all(text, F.lit(f"{STAR_PAGE}|{quote_pattern(open_, close)}"), 0)
 
 
-def page_markers(lines: Column) -> Column:
-    """(pos, page) of every line holding a star page: the line's last one."""
+def page_markers(tokens: Column) -> Column:
+    """(pos, page) of every token holding a star page: the token's last one."""
     marks = F.transform(
-        lines,
+        tokens,
         lambda x, i: F.struct(
             i.alias("pos"),
             F.when(
@@ -165,77 +167,58 @@ def page_markers(lines: Column) -> Column:
     return F.filter(marks, lambda m: m["page"].isNotNull())
 
 
-def page_by_line(markers: Column, n_lines: Column) -> Column:
-    """Dense array: the page in force at each line (null before the first marker).
+def page_after_token(markers: Column, n_tokens: Column) -> Column:
+    """Dense array: the page in force after each token (null before the first marker).
 
     Built from runs (``array_repeat``) between consecutive markers, so it costs
-    O(lines + markers) per document; a quote's page is then one array lookup.
+    O(tokens) per document; a quote's page is then one array lookup.
     """
     first = F.try_element_at(markers, F.lit(1))["pos"]
     runs = F.flatten(
         F.transform(
             markers,
             lambda m, i: F.array_repeat(
-                m["page"], F.coalesce(F.try_element_at(markers, i + 2)["pos"], n_lines) - m["pos"]
+                m["page"], F.coalesce(F.try_element_at(markers, i + 2)["pos"], n_tokens) - m["pos"]
             ),
         )
     )
-    lead = F.array_repeat(F.lit(None).cast("string"), F.coalesce(first, n_lines))
+    lead = F.array_repeat(F.lit(None).cast("string"), F.coalesce(first, n_tokens))
     return F.when(F.size(markers) > 0, F.concat(lead, runs))
 
 
-def quote_lines(lines: Column, open_: str = "“", close: str = "”") -> Column:
-    """(pos, quotes) per line that holds at least one quoted passage."""
-    pat = quote_pattern(open_, close)
-    per_line = F.transform(
-        lines,
-        lambda x, i: F.struct(
-            i.alias("pos"),
-            F.when(F.instr(x, open_) > 0, F.regexp_extract_all(x, F.lit(pat), 1)).alias("qs"),
-        ),
-    )
-    return F.filter(per_line, lambda q: F.coalesce(F.size(q["qs"]) > 0, F.lit(False)))
-
-
 def format_quote(q: Column, page: Column, open_: str = "“", close: str = "”") -> Column:
     return F.concat(F.lit(open_), q, F.lit(close), F.coalesce(F.concat(F.lit(", at *"), page), F.lit("")))
 
 
-def quote_records(qlines: Column, pages: Column) -> Column:
-    """E07 as records: ``array<struct<line_no, quote, page>>`` in document order.
+def quote_records(tokens: Column, pages: Column, open_: str = "“", close: str = "”") -> Column:
+    """E07 as records: ``array<struct<quote, page>>`` in document order.
 
-    ``qlines`` is :func:`quote_lines` and ``pages`` :func:`page_by_line`, both
+    ``tokens`` is :func:`quote_tokens` and ``pages`` :func:`page_after_token`, both
     already materialised as columns (an expression inside a lambda is evaluated
-    per element). ``page`` is the last star page at or before the quote's line.
+    per element). ``page`` is the last star page before the quote opens.
     """
-    return F.flatten(
-        F.transform(
-            qlines,
-            lambda ql: F.transform(
-                ql["qs"],
-                lambda s: F.struct(
-                    ql["pos"].alias("line_no"),
-                    s.alias("quote"),
-                    F.try_element_at(pages, ql["pos"] + 1).alias("page"),
-                ),
-            ),
-        )
+    records = F.transform(
+        tokens,
+        lambda x, i: F.struct(
+            F.when(
+                x.startswith(open_), x.substr(F.lit(len(open_) + 1), F.length(x) - F.lit(len(open_) + len(close)))
+            ).alias("quote"),
+            F.get(pages, i - 1).alias("page"),
+        ),
     )
+    return F.filter(records, lambda r: r["quote"].isNotNull())
 
 
 def with_quotes(df, text: str = "text", out: str = "_quote_records", open_: str = "“", close: str = "”"):
     """Add E07 records to ``df`` in stages, each intermediate computed once per row."""
-    empty_q = F.array().cast("array<struct<pos:int,qs:array<string>>>")
-    df = df.withColumn("_lines", F.when(F.instr(F.col(text), open_) > 0, lines_of(F.col(text))))
-    df = df.withColumn(
-        "_qlines", F.when(F.col("_lines").isNotNull(), quote_lines(F.col("_lines"), open_, close)).otherwise(empty_q)
-    )
     df = df.withColumn(
-        "_markers", F.when((F.size("_qlines") > 0) & (F.instr(F.col(text), "*") > 0), page_markers(F.col("_lines")))
+        "_tokens",
+        F.when(F.instr(F.col(text), open_) > 0, quote_tokens(F.col(text), open_, close)).otherwise(empty_strings()),
     )
-    df = df.withColumn("_pages", page_by_line(F.col("_markers"), F.size("_lines")))
-    df = df.withColumn(out, quote_records(F.col("_qlines"), F.col("_pages")))
-    return df.drop("_lines", "_qlines", "_markers", "_pages")
+    df = df.withColumn("_markers", page_markers(F.col("_tokens")))
+    df = df.withColumn("_pages", page_after_token(F.col("_markers"), F.size("_tokens")))
+    df = df.withColumn(out, quote_records(F.col("_tokens"), F.col("_pages"), open_, close))
+    return df.drop("_tokens", "_markers", "_pages")
 
 
 def quotes(records: Column, open_: str = "“", close: str = "”") -> Column:

@@ -1,7 +1,7 @@
 """Text building blocks as Spark column expressions (JVM-side, no Python UDFs).
 
-Patterns are written so that Java regex (Spark) and RE2 (the DuckDB oracle) read
-them the same way, except where a Spark-only helper says otherwise.
+Term and citation patterns read the same in Java regex (Spark) and RE2 (the DuckDB
+oracle), except where a Spark-only helper says otherwise.
 """
 
 from __future__ import annotations
@@ -11,18 +11,30 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Sentence boundary: end punctuation followed by spaces or line breaks.
-SENTENCE_SPLIT = r"[.!?][ \n]+"
-# A star page marker: one asterisk (not part of "**") followed by digits.
-STAR_PAGE = r"(?:^|[^*])\*([0-9]+)"
-# A curly-quoted passage inside one line.
-CURLY_QUOTE = "“([^”]+)”"
+# Words whose period does not end a sentence.
+ABBREVIATIONS = (
+    "v", "vs", "La", "So", "No", "Nos", "Art", "Inc", "Co", "Corp", "Ltd", "Cir", "App", "Ct", "Dist", "Supp",
+    "Civ", "Proc", "Ass'n", "Dep't", "Am", "Mr", "Mrs", "Ms", "Dr", "Jr", "Sr", "St", "Id", "Cf", "R.S", "U.S",
+    "e.g", "i.e",
+)
+# Sentence boundary: end punctuation followed by spaces or line breaks (Spark only: look-behind).
+SENTENCE_SPLIT = (
+    r"(?:[!?]|(?<!(?:^|[^A-Za-z.'])(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"))\.)[ \n]+"
+)
+# A star page marker: one asterisk (not part of "**") followed by digits (Spark only: look-behind).
+STAR_PAGE = r"(?<!\*)\*([0-9]+)"
 
 
 def quote_pattern(open_: str, close: str) -> str:
-    """A passage between ``open_`` and ``close`` inside one line (capturing group 1)."""
+    """A passage between ``open_`` and ``close``.
+
+    It may span lines when the delimiters differ; equal ones keep to a line, since one that
+    is never closed would turn the rest of the text inside out.
+    """
     o, c = escape_term(open_), escape_term(close)
-    return f"{o}([^{c}\n]+){c}" if (open_, close) != ("“", "”") else CURLY_QUOTE
+    return f"{o}[^{o}{c}]+{c}" if open_ != close else f"{o}[^{c}\n]+{c}"
+
+
 _WS = r"[ \t\r\n]+"
 
 _REGEX_SPECIAL = set(r".^$*+?()[]{}|\/-")
@@ -79,11 +91,14 @@ def count_terms(lower_text: Column, terms: Iterable[str]) -> Column:
     return F.regexp_count(lower_text, F.lit(term_count_pattern(terms)))
 
 
-def first_line(text: Column) -> Column:
-    return F.split_part(text, F.lit("\n"), F.lit(1))
+def caption_pattern(citation: str) -> str:
+    """The line that names the case: the first line if it holds a citation (group 1), else the first to begin with one."""
+    return rf"(?:^[^\n]*?|\n[ \t]*)({citation})[^\n]*(?:\n|$)"
 
 
-def after_first_line(text: Column) -> Column:
-    """Everything after the first line break ('' when there is none)."""
-    pos = F.instr(text, "\n")
-    return F.when(pos > 0, text.substr(pos + 1, F.length(text))).otherwise(F.lit(""))
+def without_caption(text: Column, citation: str) -> Column:
+    """All lines but the caption line (the whole text when there is none)."""
+    pattern = caption_pattern(citation)
+    caption, parts = F.regexp_extract(text, pattern, 0), F.split(text, pattern, 2)
+    inner = F.when(caption.startswith("\n") & caption.endswith("\n"), "\n").otherwise("")
+    return F.when(caption == "", text).otherwise(F.concat(parts[0], inner, parts[1]))

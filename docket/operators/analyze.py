@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docket.config import Lexicon
 from docket.functions import extract as X
-from docket.functions.text import after_first_line, count_terms, first_line, term_count_pattern
+from docket.functions.text import count_terms, term_count_pattern, without_caption
 from docket.schema import ANALYSIS_FIELDS
 
 
@@ -41,9 +41,9 @@ class RuleAnalyzer:
         """Add the per-document evidence columns (prefixed ``_``) and E01/E03/E09."""
         lex = self.lexicon
         t = F.col(text)
-        df = df.withColumn("_cite", X.citation(first_line(t), lex))
-        # The citation line is a caption, not prose: sentences start after it.
-        df = df.withColumn("_body", F.when(F.col("_cite").isNotNull(), after_first_line(t)).otherwise(t))
+        df = df.withColumn("_cite", X.citation(t, lex))
+        # The caption line is not prose.
+        df = df.withColumn("_body", F.when(F.col("_cite").isNotNull(), without_caption(t, lex.citation_pattern)).otherwise(t))
         df = df.withColumn("_lt", F.lower("_body"))
         df = self._evidence(df, F.col("_lt"))
         df = df.withColumn("_topic_sents", X.topic_sentences(F.col("_body"), F.col("_has_topic"), lex))

@@ -27,9 +27,9 @@ def split_results(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return results.where(~is_failure()), results.where(is_failure())
 
 
-def level_filter(successes: DataFrame, level: str) -> DataFrame:
-    """Exact, case-sensitive match on the relevance level."""
-    return successes.where(REL() == F.lit(level))
+def level_filter(successes: DataFrame, *levels: str) -> DataFrame:
+    """Exact, case-sensitive match on the relevance level (any of the given ones, in one pass)."""
+    return successes.where(REL().isin(*levels))
 
 
 def in_domain(rel: Column | None = None, sup: Column | None = None) -> Column:
@@ -55,15 +55,6 @@ def domain_spine(spark: SparkSession) -> DataFrame:
     return _literal_rows(spark, rows)
 
 
-def combo_counts(successes: DataFrame) -> DataFrame:
-    """Cases per in-domain (relevance, support) combination (partial aggregation map-side)."""
-    return (
-        successes.where(in_domain())
-        .groupBy(REL().alias("relevance_level"), SUP().alias("support_level"))
-        .agg(F.count(F.lit(1)).alias("n_cases"))
-    )
-
-
 def matrix(spark: SparkSession, successes: DataFrame) -> DataFrame:
     """All nine combinations with their counts; empty ones get 0.
 

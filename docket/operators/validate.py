@@ -29,26 +29,6 @@ def parsed(response: Column) -> Column:
     return F.try_parse_json(response)
 
 
-def validity(v: Column) -> Column:
-    """True when the parsed response is an object satisfying all nine field checks."""
-    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))
-    ok = is_obj
-    for name, kind in ANALYSIS_FIELDS:
-        ok = ok & field_ok(v, name, kind)
-    return ok
-
-
-def first_problem(v: Column) -> Column:
-    """Human-readable reason for the first failed check (null when valid)."""
-    expr = F.when(v.isNull(), F.lit("response is not valid JSON"))
-    expr = expr.when(~F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False)),
-                     F.lit("response is not a JSON object"))
-    for name, kind in ANALYSIS_FIELDS:
-        what = "a string" if kind == "string" else "a list of strings"
-        expr = expr.when(~field_ok(v, name, kind), F.lit(f"field {name} is missing or not {what}"))
-    return expr
-
-
 def extract(v: Column) -> Column:
     """The typed nine-field struct from a valid response."""
     return F.struct(

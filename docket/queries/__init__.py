@@ -23,6 +23,7 @@ QUERIES = {
     "report_destinations": catalog.report_destinations,
     "report_lines": catalog.report_lines_query,
     "report_sink_roundtrip": catalog.report_sink_roundtrip,
+    "report_overwrite": catalog.report_overwrite,
     "run_summary": catalog.run_summary_query,
     "failure_listing": catalog.failure_listing_query,
     "request_render": catalog.request_render,

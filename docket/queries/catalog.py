@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docket.config import FIXTURE_LEXICON, Config
 from docket.functions import extract as X
 from docket.operators.analyze import RuleAnalyzer, analysis_struct, missing_fields
+from docket.operators import route
 from docket.operators.infer import FaultInjectingClient, StubClient, infer
 from docket.operators.metrics import batch_stats as metric_batch_stats
 from docket.operators.metrics import failure_listing, run_summary
@@ -48,7 +49,7 @@ def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def case_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E01 + E11: citation, decision year and whether it predates the anchor year."""
     c = cases(spark, sf_dir)
-    cite = X.citation(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), FIXTURE_LEXICON)
+    cite = X.citation(F.col("text"), FIXTURE_LEXICON)
     return c.select("doc_id", cite.alias("blue_book_citation")).select(
         "doc_id",
         "blue_book_citation",
@@ -87,7 +88,7 @@ def cited_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes_with_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every curly-quoted passage with the star page in force at its line."""
+    """Every curly-quoted passage, over lines too, with the star page in force where it opens."""
     f = _fields(spark, sf_dir)
     # outer explode + a filter on the generated column: the filter stays above the
     # generator instead of being pushed (and the analysis inlined) below it
@@ -97,7 +98,6 @@ def quotes_with_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(
         "doc_id",
         F.col("quote_no").cast("bigint").alias("quote_no"),
-        F.col("r.line_no").cast("bigint").alias("line_no"),
         F.col("r.quote").alias("quote"),
         F.col("r.page").alias("page"),
         X.format_quote(F.col("r.quote"), F.col("r.page")).alias("quote_text"),
@@ -173,7 +173,7 @@ def result_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def level_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases of each exact relevance level, in one pass over the successes."""
     ok, _ = split_results(results(spark, sf_dir))
-    return ok.where(F.col("analysis.relevance_level").isin(*RELEVANCE_LEVELS)).select(
+    return route.level_filter(ok, *RELEVANCE_LEVELS).select(
         "doc_id", F.col("analysis.relevance_level").alias("relevance_level")
     )
 
@@ -243,6 +243,19 @@ def report_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_reports(spark, path)
 
 
+SECOND_RUN = "doc_id % 2 = 0 and relevance_level <> 'Low'"
+
+
+def report_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run replaces the reports it produces; those it leaves empty keep the first run's lines."""
+    ok, _ = split_results(results(spark, sf_dir))
+    path = shared_dir(spark, "reports")
+    write_reports(report_lines(ok), path)
+    again = ok.withColumn("relevance_level", F.col("analysis.relevance_level")).where(SECOND_RUN)
+    write_reports(report_lines(again.drop("relevance_level")), path)
+    return read_reports(spark, path)
+
+
 def run_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, successes, failures."""
     return run_summary(results(spark, sf_dir))
@@ -324,13 +337,14 @@ def strict_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests per batch, from the written response table."""
+    """Requests per batch and whether its seconds were recorded, from the written response table."""
     cfg = Config(max_retries=0, threads_per_task=8)
     reqs = requests_table(documents(spark, sf_dir), cfg)
     numbered_reqs = batches(reqs.select("filename", "request_key"), BATCH_SIZE)
     resp = materialize(infer(reqs, StubClient, cfg), "responses")
     joined = resp.join(numbered_reqs.select("filename", "batch_no"), "filename")
-    return metric_batch_stats(joined).select("batch_no", "n_requests")
+    timed = F.coalesce(F.col("max_latency_s") >= 0, F.lit(False))
+    return metric_batch_stats(joined).select("batch_no", "n_requests", timed.alias("seconds_recorded"))
 
 
 DOCX_CORRUPT = "doc_id % 23 = 0"

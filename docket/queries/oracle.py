@@ -8,7 +8,7 @@ and a wrong oracle are unlikely to agree by accident.
 from __future__ import annotations
 
 from docket.config import FIXTURE_LEXICON, Lexicon
-from docket.functions.text import CURLY_QUOTE, SENTENCE_SPLIT, STAR_PAGE, term_pattern
+from docket.functions.text import ABBREVIATIONS, term_pattern
 from docket.sources.documents import CASES_DUCKDB_SQL
 
 
@@ -31,18 +31,34 @@ def clean(x: str) -> str:
     )
 
 
+def sentences_sql(x: str) -> str:
+    """Sentences: periods of abbreviations are masked, the text is split, the masks go."""
+    words = "|".join(a.replace(".", "[.]") for a in ABBREVIATIONS)
+    masked = f"regexp_replace({x}, {q(f'''(^|[^A-Za-z.'])({words})[.]''')}, '\\1\\2' || chr(1), 'g')"
+    return f"list_transform(regexp_split_to_array({masked}, '[.!?][ \\n]+'), lambda y: replace(y, chr(1), '.'))"
+
+
+def caption_sql(source: str, lex: Lexicon) -> str:
+    """CTEs ending in ``captioned``: line by line, the caption's citation and the other lines."""
+    cite = lex.citation_pattern
+    return f"""lined as (select *, string_split(text, chr(10)) as ls from {source}),
+caption as (select *, list_min(list_filter(list_transform(ls, lambda x, i:
+              case when (i = 1 and regexp_matches(x, {q(cite)})) or regexp_matches(x, {q(f'^[ {chr(9)}]*(?:{cite})')}) then i end),
+              lambda i: i is not null)) as cap_no from lined),
+captioned as (select * exclude (ls, cap_no), regexp_extract(ls[cap_no], {q(cite)}, 0) as cite,
+                case when cap_no is null then text
+                     else array_to_string(list_filter(ls, lambda x, i: i <> cap_no), chr(10)) end as body
+              from caption)"""
+
+
 def features_sql(source_sql: str, lex: Lexicon = FIXTURE_LEXICON) -> str:
     """CTE chain ending in ``feat``: citation, relevance, support and evidence per document."""
-    cite_re = q(lex.citation_pattern)
     topic = q(term_pattern(lex.topic_terms))
     hold = q(term_pattern(lex.holding_terms))
     return f"""
 src as ({source_sql}),
-fa as (select *, nullif(regexp_extract(split_part(text, chr(10), 1), {cite_re}, 0), '') as cite from src),
-fb as (select *, case when cite is null then text
-                      when strpos(text, chr(10)) > 0 then substr(text, strpos(text, chr(10)) + 1)
-                      else '' end as body from fa),
-fc as (select *, lower(body) as lt, regexp_split_to_array(body, {q(SENTENCE_SPLIT)}) as sents from fb),
+{caption_sql('src', lex)},
+fc as (select *, lower(body) as lt, {sentences_sql('body')} as sents from captioned),
 fd as (select *,
          list_filter(sents, lambda s: regexp_matches(lower(s), {topic})) as topic_sents,
          len(list_filter(regexp_split_to_array(lt, '[^a-z]+'), lambda w: w in {_words(lex.support_terms)}))
@@ -87,29 +103,29 @@ fr as (select *,
                    else '' end as argument
        from fs),
 {quote_rows_sql('src')},
-qagg as (select doc_id, list(quote_fmt order by line_no, q_idx) as quotes from qrows group by doc_id),
+qagg as (select doc_id, list(quote_fmt order by opens) as quotes from qrows group by doc_id),
 ana as (select fr.*, coalesce(qagg.quotes, []::varchar[]) as quotes
         from fr left join qagg using (doc_id))"""
 
 
 def quote_rows_sql(source: str) -> str:
-    """CTEs ``qlines`` / ``qrows``: one row per quote with its running star page (window)."""
-    return f"""qlines as (
-    select doc_id, u.line_no, u.ln, regexp_extract_all(u.ln, {q(STAR_PAGE)}, 1)[-1] as marker
-    from (select doc_id, unnest(list_transform(string_split(text, chr(10)),
-                                               lambda x, i: {{'line_no': i - 1, 'ln': x}})) as u
-          from {source})),
-qpaged as (
-    select *, last_value(marker ignore nulls) over (partition by doc_id order by line_no
-               rows between unbounded preceding and current row) as page
-    from qlines),
-qrows as (
-    select doc_id, line_no, page, v.quote, v.q_idx,
-           '“' || v.quote || '”' || coalesce(', at *' || page, '') as quote_fmt
-    from (select doc_id, line_no, page,
-                 unnest(list_transform(regexp_extract_all(ln, {q(CURLY_QUOTE)}, 1),
-                                       lambda x, i: {{'quote': x, 'q_idx': i}})) as v
-          from qpaged where strpos(ln, '“') > 0))"""
+    """CTEs ending in ``qrows``: one row per quote, its page the last one in the text before it.
+
+    The text is cut at closing marks; a piece with an opening mark ends in a quote.
+    """
+    return f"""qcut as (
+    select doc_id, text, unnest(list_transform(string_split(text, '”'),
+                                               lambda x, i: {{'no': i, 'piece': x}}), recursive := true)
+    from {source}),
+qpieces as (
+    select *, sum(length(piece) + 1) over (partition by doc_id order by no) - 1 as closes,
+           max(no) over (partition by doc_id) as last_no, string_split(piece, '“')[-1] as quote
+    from qcut),
+qopen as (
+    select doc_id, quote, closes - length(quote) as opens,
+           regexp_extract_all(left(text, (closes - length(quote) - 1)::bigint), '(?:^|[^*])[*]([0-9]+)', 1)[-1] as page
+    from qpieces where no < last_no and strpos(piece, '“') > 0 and quote <> ''),
+qrows as (select *, '“' || quote || '”' || coalesce(', at *' || page, '') as quote_fmt from qopen)"""
 
 
 def documents_source() -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from docket.config import FIXTURE_LEXICON as LEX
 from docket.functions.extract import CITE_PLACEHOLDER
-from docket.functions.text import SENTENCE_SPLIT, term_pattern
+from docket.functions.text import term_pattern
 from docket.operators.requests import PromptTemplate
 from docket.queries.catalog import (
     BATCH_SIZE,
@@ -14,8 +14,10 @@ from docket.queries.catalog import (
     PLANT_SUP,
     RENDER_MODELS,
     RETRY_CONFIG,
+    SECOND_RUN,
 )
 from docket.queries.oracle import (
+    caption_sql,
     cases_source,
     clean,
     documents_source,
@@ -23,6 +25,7 @@ from docket.queries.oracle import (
     fields_sql,
     q,
     quote_rows_sql,
+    sentences_sql,
 )
 from docket.queries.shapes import SHAPES, response_sql
 from docket.schema import ANALYSIS_FIELDS, LIST_FIELDS, STRING_FIELDS
@@ -46,8 +49,8 @@ from documents where regexp_matches(lower(text), {q(term_pattern(LEX.candidate_p
 
 CASE_CITATION = f"""
 with c as ({cases_source()}),
-x as (select doc_id, nullif(regexp_extract(split_part(text, chr(10), 1), {q(LEX.citation_pattern)}, 0), '') as cite
-      from c)
+{caption_sql('c', LEX)},
+x as (select doc_id, cite from captioned)
 select doc_id, cite as blue_book_citation,
        try_cast(nullif(regexp_extract(cite, '([0-9]{{4}})\\)$', 1), '') as bigint) as decision_year,
        try_cast(nullif(regexp_extract(cite, '([0-9]{{4}})\\)$', 1), '') as int) < {LEX.anchor_year} as predates
@@ -70,8 +73,8 @@ QUOTES_WITH_PAGE = f"""
 with c as ({cases_source()}),
 {quote_rows_sql('c')}
 select doc_id,
-       (row_number() over (partition by doc_id order by line_no, q_idx) - 1)::bigint as quote_no,
-       line_no::bigint as line_no, quote, page, quote_fmt as quote_text
+       (row_number() over (partition by doc_id order by opens) - 1)::bigint as quote_no,
+       quote, page, quote_fmt as quote_text
 from qrows
 """
 
@@ -88,8 +91,7 @@ select doc_id, support_level, net::bigint as net_support, argument from ana
 ARGUMENT_CITATION_CHECK = f"""
 with {_FIELDS},
 s as (select doc_id,
-        list_filter(regexp_split_to_array(regexp_replace(argument, {q(LEX.citation_pattern)}, {q(CITE_PLACEHOLDER)}, 'g'),
-                                          {q(SENTENCE_SPLIT)}),
+        list_filter({sentences_sql(f"regexp_replace(argument, {q(LEX.citation_pattern)}, {q(CITE_PLACEHOLDER)}, 'g')")},
                     lambda x: {clean('x')} <> '') as sents
       from ana)
 select doc_id, len(sents)::bigint as n_sentences,
@@ -233,6 +235,26 @@ select report, filename, (u.i - 1)::bigint as line_no, u.l.style as style, u.l.t
 from (select report, filename, unnest(list_transform(lines, lambda l, i: {{'l': l, 'i': i}})) as u from b)
 """
 
+
+def _run_lines(routed: str) -> str:
+    return f"""select report, filename, (u.i - 1)::bigint as line_no, u.l.style as style, u.l.text as text
+from (select report, filename, unnest(list_transform(lines, lambda l, i: {{'l': l, 'i': i}})) as u
+      from (select report, filename,
+                   case when filename <> min(filename) over (partition by report)
+                        then [{_line('Page Break', "''")}] else [] end || {_CASE_LINES} as lines
+            from {routed}))"""
+
+
+REPORT_OVERWRITE = f"""
+with {RESULTS_CTES},
+again as (select * from routed where {SECOND_RUN}),
+first_lines as ({_run_lines('routed')}),
+second_lines as ({_run_lines('again')})
+select * from second_lines
+union all
+select * from first_lines where report not in (select report from again)
+"""
+
 RUN_SUMMARY = f"""
 with {RESULTS_CTES}
 select count(*)::bigint as n_documents,
@@ -255,6 +277,7 @@ ORACLE.update(
         "report_destinations": REPORT_DESTINATIONS,
         "report_lines": REPORT_LINES,
         "report_sink_roundtrip": REPORT_LINES,
+        "report_overwrite": REPORT_OVERWRITE,
         "run_summary": RUN_SUMMARY,
         "failure_listing": FAILURE_LISTING,
     }
@@ -315,7 +338,7 @@ from v
 """
 
 BATCH_STATS = f"""
-select batch_no, count(*)::bigint as n_requests
+select batch_no, count(*)::bigint as n_requests, true as seconds_recorded
 from (select ((row_number() over (order by filename) - 1) // {BATCH_SIZE} + 1)::bigint as batch_no
       from (select {_FILENAME} as filename from documents))
 group by batch_no

@@ -46,6 +46,19 @@ _SEE = (
     " 1 + (doc_id * 3 + i) % 900, ' (La. ', 1990 + (doc_id + i) % 35, ').')"
 )
 
+# Every fourth document has a court header above the caption.
+_COURT = "case when doc_id % 4 = 1 then 'COURT OF APPEAL' || chr(10) else '' end"
+
+
+def _quoted(i: str) -> str:
+    """Every fifth line opens a quote: it ends with the line, a star page may follow it, or it ends a line later."""
+    return (
+        f"case when {i} % 5 = 3 then concat('“', x, case (doc_id + {i}) % 3 when 0 then ''"
+        f" when 1 then concat('” *', 700 + {i}) else '”' end)"
+        f" when {i} % 5 = 4 and (doc_id + {i}) % 3 = 1 then concat(x, '”') else x end"
+    )
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dressed as case opinions: citation header, star pages, quotes, cited cases.
 
@@ -55,9 +68,9 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.selectExpr(
         "lpad(cast(doc_id as string), 9, '0') || '.docx' as filename",
         "doc_id",
-        f"""concat({_HEAD}, '\\n', array_join(transform(split(text, '\\n', -1), (x, i) -> concat(
+        f"""concat({_COURT}, {_HEAD}, '\\n', array_join(transform(split(text, '\\n', -1), (x, i) -> concat(
     case when i % 3 = 2 then concat('*', 600 + doc_id % 20 + i, ' ') else '' end,
-    case when i % 5 = 3 then concat('“', x, '”') else x end,
+    {_quoted('i')},
     case when i % 7 = 6 then {_SEE} else '' end)), '\\n')) as text""",
     )
 
@@ -68,9 +81,9 @@ _SEE_DUCK = _SEE.replace("(doc_id * 7 + i)", "(doc_id * 7 + (i - 1))").replace("
 
 CASES_DUCKDB_SQL = f"""
 select lpad(doc_id::varchar, 9, '0') || '.docx' as filename, doc_id,
-  {_HEAD} || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: concat(
+  {_COURT} || {_HEAD} || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: concat(
     case when (i - 1) % 3 = 2 then concat('*', 600 + doc_id % 20 + (i - 1), ' ') else '' end,
-    case when (i - 1) % 5 = 3 then concat('“', x, '”') else x end,
+    {_quoted('(i - 1)')},
     case when (i - 1) % 7 = 6 then {_SEE_DUCK} else '' end)), chr(10)) as text
 from documents
 """

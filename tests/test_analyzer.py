@@ -45,17 +45,37 @@ def test_quote_pages(spark):
         "*610 text",
         "“on 610” then *611",
         "**2 “second pagination is not a page”",
-        "“a” and “b”",
+        "“a” and *612 “b",
+        "*613 over lines” “c” “never closed “d”",
     ])
     r = _fields(spark, [text], FIXTURE_LEXICON)["0.docx"]
-    assert [(q["line_no"], q["quote"], q["page"]) for q in r["_quote_records"]] == [
-        (1, "before any page", None),
-        (3, "on 610", "611"),  # the last marker at or before the line
-        (4, "second pagination is not a page", "611"),
-        (5, "a", "611"),
-        (5, "b", "611"),
+    assert [(q["quote"], q["page"]) for q in r["_quote_records"]] == [
+        ("before any page", None),
+        ("on 610", "610"),  # the last marker before the quote opens
+        ("second pagination is not a page", "611"),
+        ("a", "611"),
+        ("b\n*613 over lines", "612"),
+        ("c", "613"),
+        ("d", "613"),
     ]
-    assert r["quotes"][0] == "“before any page”" and r["quotes"][1] == "“on 610”, at *611"
+    assert r["quotes"][0] == "“before any page”" and r["quotes"][1] == "“on 610”, at *610"
+
+
+def test_caption_below_a_court_header(spark):
+    cite = "Doe v. Roe, 12 So. 3d 34 (La. 2009)"
+    texts = [f"COURT OF APPEAL\n\n  {cite}\nWe affirm. See Poe v. Low, 1 So. 2d 3 (La. 1990).",
+             f"Before.\nAs said in {cite}, no.", f"In re {cite}", f"\n{cite}\nx", f"A\n{cite}"]
+    rows = _fields(spark, texts, FIXTURE_LEXICON)
+    assert [rows[f"{i}.docx"]["blue_book_citation"] for i in range(5)] == [cite, None, cite, cite, cite]
+    assert [rows[f"{i}.docx"]["_body"] for i in range(5)] == [
+        "COURT OF APPEAL\n\nWe affirm. See Poe v. Low, 1 So. 2d 3 (La. 1990).", texts[1], "", "\nx", "A"]
+    assert rows["0.docx"]["citations"] == ["Poe v. Low, 1 So. 2d 3 (La. 1990)"]
+
+
+def test_abbreviations_do_not_end_a_sentence(spark):
+    text = "Reynolds v. Bordelon held so. See La. R.S. 9:1. Was it v.\nnew? Third v! Fourth."
+    r = _fields(spark, [text], FIXTURE_LEXICON.with_terms(summary_sentences=9))["0.docx"]
+    assert r["summary"] == "Reynolds v. Bordelon held so. See La. R.S. 9:1. Was it v. new. Third v. Fourth."
 
 
 def test_summary_skips_blank_pieces(spark):
@@ -75,8 +95,5 @@ def test_straight_quotes(spark):
     lex = FIXTURE_LEXICON.with_terms(quote_open='"', quote_close='"')
     text = 'Head\n*12 the court said "no such tort" and "again"\n"open only'
     r = _fields(spark, [text], lex)["0.docx"]
-    assert [(q["line_no"], q["quote"], q["page"]) for q in r["_quote_records"]] == [
-        (1, "no such tort", "12"),
-        (1, "again", "12"),
-    ]
+    assert [(q["quote"], q["page"]) for q in r["_quote_records"]] == [("no such tort", "12"), ("again", "12")]
     assert r["quotes"][0] == '"no such tort", at *12'

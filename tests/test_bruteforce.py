@@ -61,12 +61,10 @@ def expected(text):
     words = re.split(r"[^a-z]+", body.lower())
     net = sum(w in LEX.support_terms for w in words) - sum(w in LEX.contra_terms for w in words)
     summ = [c for c in (_clean(s) for s in sents) if c][:3]
-    page, quotes = None, []
-    for i, line in enumerate(text.split("\n")):
-        marks = re.findall(r"(?:^|[^*])\*([0-9]+)", line)
-        if marks:
-            page = marks[-1]
-        quotes += [(i, q, page) for q in re.findall("“([^”]+)”", line)]
+    quotes = []
+    for m in re.finditer("“([^“”]+)”", text):
+        marks = re.findall(r"(?<!\*)\*([0-9]+)", text[:m.start()])
+        quotes.append((m.group(1), marks[-1] if marks else None))
     return {
         "blue_book_citation": cite,
         "n_topic": len(topic),
@@ -94,4 +92,4 @@ def test_matches_brute_force(rows):
         g = got[f"{i}.docx"]
         for k in ("blue_book_citation", "n_topic", "n_both", "net_support", "relevance_level", "summary", "key_points"):
             assert g[k] == exp[k], (k, text)
-        assert [(q["line_no"], q["quote"], q["page"]) for q in g["_quote_records"]] == exp["quotes"], text
+        assert [(q["quote"], q["page"]) for q in g["_quote_records"]] == exp["quotes"], text
