@@ -143,3 +143,13 @@ def missing_fields() -> Column:
     """Comma list of null analysis fields, or null when all are present."""
     names = F.concat_ws(", ", *[F.when(F.col(n).isNull(), F.lit(n)) for n, _ in ANALYSIS_FIELDS])
     return F.nullif(names, F.lit(""))
+
+
+def missing_without(text: Column, citation: Column) -> Column:
+    """What :func:`missing_fields` says of a rule analysis, told from the text and citation alone.
+
+    The rules leave a field null only for want of these two, so a plan that needs few
+    fields does not compute the rest to see whether they are there.
+    """
+    no_text = F.lit("blue_book_citation, summary, citations, argument")
+    return F.when(text.isNull(), no_text).when(citation.isNull(), F.lit("blue_book_citation, argument"))

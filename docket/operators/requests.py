@@ -88,9 +88,9 @@ def numbered(df: DataFrame, order_by: str, partitions: int | None = None) -> Dat
     position inside the partition.
     """
     spark = df.sparkSession
-    n = partitions or spark.sparkContext.defaultParallelism
+    ranges = (partitions, order_by) if partitions else (order_by,)  # else the session's shuffle partitions
     ordered = (
-        df.repartitionByRange(n, order_by)
+        df.repartitionByRange(*ranges)
         .sortWithinPartitions(order_by)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())

@@ -104,11 +104,17 @@ def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, s
     one copy of its rows. Failed keys are tried again on the next run.
     """
     spark = requests.sparkSession
-    todo = requests.select("filename", "text", "request_key").dropDuplicates(["request_key"])
+    target = keys if keys is not None else requests
+    # one file per key is picked on narrow rows, and only the texts to be asked about move
+    wanted = target.groupBy("request_key").agg(F.min("filename").alias("filename"))
     stored = _read_if_exists(spark, store)
     if stored is not None:
         done = stored.where(F.col("error").isNull()).select("request_key")
-        todo = todo.join(done, "request_key", "left_anti")
+        wanted = wanted.join(done, "request_key", "left_anti")
+    file = F.coalesce("filename", F.lit("")).alias("_file")
+    todo = requests.select("filename", "text", "request_key", file).join(
+        wanted.select("request_key", file), ["_file", "request_key"], "left_semi")
+    todo = todo.dropDuplicates(["_file", "request_key"]).drop("_file")  # of repeated rows; dealt out as the join is
     # the work queue is written: its size sets the task count, and a retried
     # inference task re-reads its slice instead of recomputing the anti-join
     obs = Observation("todo")
@@ -119,11 +125,31 @@ def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, s
         stored = spark.read.parquet(store)
     if stored is None:  # nothing was asked, now or before
         stored = spark.createDataFrame([], RESPONSE_DDL)
-    best = best_answers(stored)
+    # of a store that grows with history only this run's keys are read on
+    asked = target.select("request_key").distinct()
+    best = best_answers(stored.join(asked, "request_key", "left_semi"))
     # answers go back to every file by key; ``keys`` (filename, request_key), when
     # given, spares a second read of the texts
-    target = keys if keys is not None else requests
-    return target.join(best, "request_key").select("*", "a.*").drop("a")
+    return join_answers(target, best)
+
+
+def join_answers(target: DataFrame, best: DataFrame, unit: int = 10_000, most_hot: int = 10_000) -> DataFrame:
+    """``target`` with the answer to each row's key; a key of many rows is split over several tasks.
+
+    A row is narrow until its answer is joined on, so the skew is not seen in the
+    bytes of the input. A key's rows are dealt over one place per ``unit`` rows and its
+    answer is copied to each. ``unit`` is never below the rows / ``most_hot``: fewer than
+    ``most_hot`` keys can hold more than that, which bounds the broadcast table of them
+    and, with twice that, the copies.
+    """
+    unit = max(unit, -(-target.count() // most_hot))
+    rows = target.groupBy("request_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > unit)
+    hot = F.broadcast(rows.select("request_key", F.ceil(F.col("_n") / F.lit(unit)).alias("_ways")))
+    ways = F.coalesce("_ways", F.lit(1))
+    dealt = target.join(hot, "request_key", "left").withColumn("_place", F.pmod(F.xxhash64("filename"), ways))
+    copies = best.join(hot, "request_key", "left").withColumn("_place", F.explode(F.sequence(F.lit(0), ways - 1)))
+    joined = dealt.drop("_ways").join(copies.drop("_ways"), ["request_key", "_place"])
+    return joined.select(*target.columns, "a.*")
 
 
 def analyze_requests(requests: DataFrame, config: Config, analyzer: Analyzer | None = None,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docket.config import FIXTURE_LEXICON, Config
 from docket.functions import extract as X
-from docket.operators.analyze import RuleAnalyzer, analysis_struct, missing_fields
+from docket.operators.analyze import RuleAnalyzer, analysis_struct, missing_fields, missing_without
 from docket.operators import route
 from docket.operators.infer import FaultInjectingClient, StubClient, infer
 from docket.operators.metrics import batch_stats as metric_batch_stats
@@ -145,19 +145,26 @@ PLANT_SUP = "case when doc_id % 11 = 7 then upper(support_level) else support_le
 PLANT_ERR = "case when doc_id % 19 = 4 then '' end"
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule-analyzer results over every case, with the planted label noise, written once."""
-    return materialize(_results_plan(spark, sf_dir), "results")
+LEVELS = ("relevance_level", "support_level")
 
 
-def _results_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = ANALYZER.fields(cases(spark, sf_dir))
+def results(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """Rule-analyzer results over every case, with the planted label noise, written once.
+
+    With ``fields`` the analysis holds these alone, and no other field is computed.
+    """
+    return materialize(envelopes(spark, sf_dir, *fields), "results")
+
+
+def envelopes(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """The plan of :func:`results`."""
+    f = ANALYZER.fields(cases(spark, sf_dir), keep_private=True)
     f = f.withColumn("relevance_level", F.expr(PLANT_REL)).withColumn("support_level", F.expr(PLANT_SUP))
-    missing = missing_fields()
+    missing = missing_without(F.col("text"), F.col("blue_book_citation")) if fields else missing_fields()
     return f.select(
         "filename",
         "doc_id",
-        F.when(missing.isNull(), analysis_struct()).alias("analysis"),
+        F.when(missing.isNull(), F.struct(*fields) if fields else analysis_struct()).alias("analysis"),
         F.when(missing.isNotNull(), F.concat(F.lit("invalid analysis: missing "), missing))
         .otherwise(F.expr(PLANT_ERR))
         .alias("error"),
@@ -166,13 +173,13 @@ def _results_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R13 + R14: every envelope tagged success or failure."""
-    r = results(spark, sf_dir)
+    r = envelopes(spark, sf_dir, "blue_book_citation")
     return r.select("doc_id", "filename", is_failure().alias("failed"), "error")
 
 
 def level_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases of each exact relevance level, in one pass over the successes."""
-    ok, _ = split_results(results(spark, sf_dir))
+    ok, _ = split_results(results(spark, sf_dir, *LEVELS))
     return route.level_filter(ok, *RELEVANCE_LEVELS).select(
         "doc_id", F.col("analysis.relevance_level").alias("relevance_level")
     )
@@ -180,7 +187,7 @@ def level_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def domain_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R15 + R16: in/out-of-domain counts and the conservation laws they obey."""
-    ok, _ = split_results(results(spark, sf_dir))
+    ok, _ = split_results(results(spark, sf_dir, *LEVELS))
     rel_in = F.col("analysis.relevance_level").isin(*RELEVANCE_LEVELS)
     sup_in = F.col("analysis.support_level").isin(*SUPPORT_LEVELS)
     a = ok.agg(
@@ -203,7 +210,7 @@ def domain_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def level_combo_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level and combination counts in one GROUPING SETS pass."""
-    ok, _ = split_results(results(spark, sf_dir))
+    ok, _ = split_results(results(spark, sf_dir, *LEVELS))
     rs = ok.select(
         F.col("analysis.relevance_level").alias("relevance_level"),
         F.col("analysis.support_level").alias("support_level"),
@@ -219,7 +226,7 @@ def level_combo_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R18 + R19: all 12 possible reports with their case count and whether one is written."""
-    ok, _ = split_results(results(spark, sf_dir))
+    ok, _ = split_results(results(spark, sf_dir, *LEVELS))
     counts = destinations(ok).groupBy("report").agg(F.count(F.lit(1)).alias("n"))
     spine = report_spine(spark)
     return spine.join(F.broadcast(counts), "report", "left").select(
@@ -258,12 +265,12 @@ def report_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, successes, failures."""
-    return run_summary(results(spark, sf_dir))
+    return run_summary(envelopes(spark, sf_dir, "blue_book_citation"))
 
 
 def failure_listing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed documents with their error."""
-    return failure_listing(results(spark, sf_dir))
+    return failure_listing(envelopes(spark, sf_dir, "blue_book_citation"))
 
 
 # -- requests, inference, validation, ingest -------------------------------------------

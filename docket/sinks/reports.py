@@ -22,7 +22,7 @@ def write_reports(lines: DataFrame, path: str, partitions: int | None = None,
     named = lines.withColumn("folder", F.substring_index("report", "/", 1)).withColumn(
         "name", F.substring_index("report", "/", -1)
     )
-    # without an explicit count, AQE sizes the range partitions from the data
+    # without an explicit count the session's shuffle partitions are the most; AQE merges small ones
     ranged = (
         named.repartitionByRange(partitions, "report", "filename")
         if partitions

@@ -10,18 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over more tasks only when the scan is too narrow.
+# Session setting: tasks to deal a text table over after its scan (unset: the scan's own splits).
+SCAN_TASKS = "docket.scan.tasks"
 
-    Text analysis is CPU-bound per row. A table stored as one large row group scans
-    as one task; then (and only then) a repartition of the pruned columns spreads
-    the work. A large table already scans as many splits and is left alone, so
-    this never adds a shuffle at scale.
+
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Deal the rows out over ``tasks`` tasks, or leave them in the scan's splits (the default).
+
+    For a table stored as one large row group, which scans as one task. It is the
+    caller's choice, by argument or :data:`SCAN_TASKS`, and nothing about the data
+    decides it: a table of many splits is best left alone.
     """
-    target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    tasks = tasks or int(df.sparkSession.conf.get(SCAN_TASKS, "0"))
+    return df.repartition(tasks) if tasks else df
 
 
 def filename_of(doc_id: Column) -> Column:

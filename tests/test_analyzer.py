@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docket.config import FIXTURE_LEXICON, Lexicon
-from docket.operators.analyze import RuleAnalyzer
+from docket.operators.analyze import RuleAnalyzer, missing_fields, missing_without
 from docket.operators.requests import PromptTemplate
 
 
@@ -97,3 +97,13 @@ def test_straight_quotes(spark):
     r = _fields(spark, [text], lex)["0.docx"]
     assert [(q["quote"], q["page"]) for q in r["_quote_records"]] == [("no such tort", "12"), ("again", "12")]
     assert r["quotes"][0] == '"no such tort", at *12'
+
+
+def test_missing_fields_told_from_text_and_citation(spark):
+    caption = "Doe v. Roe, 100 So. 3d 5 (La. 1999)"
+    texts = [None, "", "\n", "No caption. None.", caption, caption + "\nthtion thble. more thing.", "Court\n" + caption]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "filename string, text string")
+    for lexicon in (FIXTURE_LEXICON, Lexicon()):
+        f = RuleAnalyzer(lexicon).fields(docs)
+        both = f.select(missing_fields().alias("m"), missing_without(F.col("text"), F.col("blue_book_citation")).alias("w"))
+        assert all(r["m"] == r["w"] for r in both.collect())

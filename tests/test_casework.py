@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from docket.config import FIXTURE_LEXICON, Config
 from docket.operators.infer import StubClient
-from docket.operators.requests import PromptTemplate
-from docket.plans.casework import run
+from docket.operators.requests import PromptTemplate, requests_table
+from docket.plans.casework import answer, join_answers, run
 from docket.sinks.reports import read_reports
 from docket.sources.documents import cases
 
@@ -208,3 +208,25 @@ def test_compact_store_keeps_best_answer_per_key(spark, tmp_dir):
     assert out["k1"]["error"] is None and out["k1"]["response"] == '{"y": 2}'
     assert out["k1"]["filename"] == "a" and out["k2"]["filename"] == "b"
     assert out["k3"]["error"].startswith("Failed")
+
+
+def test_answers_of_a_hot_key_are_split(spark):
+    rows = [(f"f{i}", "hot" if i % 3 == 0 else f"k{i}") for i in range(3000)] + [(None, "hot"), ("lost", "unanswered")]
+    target = spark.createDataFrame(rows, "filename string, request_key string")
+    best = target.where("request_key <> 'unanswered'").select("request_key").distinct().selectExpr(
+        "request_key", "struct(concat('to ', request_key) as response, cast(null as string) as error) as a")
+    got = join_answers(target, best, unit=100)
+    assert got.columns == ["filename", "request_key", "response", "error"]
+    assert sorted(map(str, got.select("filename", "response").collect())) == sorted(
+        map(str, target.where("request_key <> 'unanswered'").selectExpr(
+            "filename", "concat('to ', request_key) as response").collect()))
+
+
+def test_only_this_runs_keys_are_answered(spark, tmp_dir):
+    cfg, store = Config(max_retries=0), os.path.join(tmp_dir, "store")
+    def ask(*texts):
+        docs = spark.createDataFrame([(f"{i}.docx", t) for i, t in enumerate(texts)], "filename string, text string")
+        return answer(requests_table(docs, cfg), StubClient, cfg, store)
+    assert ask("one", "two", "two").count() == 3
+    assert sorted(r["filename"] for r in ask("two", "three").collect()) == ["0.docx", "1.docx"]
+    assert spark.read.parquet(store).count() == 3

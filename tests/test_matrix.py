@@ -5,7 +5,7 @@ import pytest
 from docket.config import FIXTURE_LEXICON
 from docket.operators.analyze import RuleAnalyzer
 from docket.operators.route import matrix
-from docket.sources.documents import documents, spread, table
+from docket.sources.documents import SCAN_TASKS, documents, spread, table
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
@@ -43,8 +43,12 @@ def test_partition_invariance(spark, parts):
     assert _matrix(spark, d) == EXPECTED[SF_SMALL]
 
 
-def test_spread_only_widens_narrow_scans(spark):
+def test_spread_is_the_callers_choice(spark):
     d = table(spark, SF_SMALL, "documents")
+    assert spread(d) is d
     assert spread(d, 4).rdd.getNumPartitions() == 4
-    wide = d.repartition(12)
-    assert spread(wide, 4) is wide
+    spark.conf.set(SCAN_TASKS, "6")
+    try:
+        assert spread(d).rdd.getNumPartitions() == 6
+    finally:
+        spark.conf.unset(SCAN_TASKS)

@@ -3,6 +3,7 @@
 import re
 
 import __spark_entry__ as E
+from docket.queries import catalog
 
 from conftest import SF_SMALL
 
@@ -49,3 +50,17 @@ def test_report_lines_first_cases_without_sorting(spark):
     assert not re.search(r"Sort \[report#\d+", phys)
     assert re.search(r"BroadcastHashJoin \[report#\d+\]", phys)
     assert "CartesianProduct" not in phys
+
+
+def test_narrow_results_compute_no_other_field(spark):
+    full = _optimized(catalog.envelopes(spark, SF_SMALL))
+    assert "quote" in full and "summary" in full
+    for fields in (catalog.LEVELS, ("blue_book_citation",)):
+        plan = _optimized(catalog.envelopes(spark, SF_SMALL, *fields))
+        assert not re.search(r"quote|_body_sents|citations|key_points", plan.replace(", summary, citations, argument", ""))
+        assert len(plan) < len(full) / 2
+    assert "thtion" not in _optimized(E.queries()["run_summary"](spark, SF_SMALL))  # no term is sought
+
+
+def test_documents_are_not_shuffled_by_default(spark):
+    assert "Exchange" not in _physical(E.queries()["case_summary"](spark, SF_SMALL))
