@@ -34,8 +34,8 @@ from docket.sinks.tables import materialize
 
 
 _POS = ("doc_id", "text_hash", "line_no")
-# white space other than one blank between words
-_UNEVEN = r"[\x20\x09-\x0D]{2}|[\x09-\x0D]|^\x20|\x20$"
+# within a line, white space other than one blank between words holds one of these, or is at an end
+_UNEVEN = ("  ", "\t", "\v", "\f", "\r")
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,7 +44,10 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                     F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     even = F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))
-    return d.withColumn("norm", F.when(F.col("line").rlike(_UNEVEN), even).otherwise(F.col("line"))).drop("line")
+    uneven = F.col("line").startswith(" ") | F.col("line").endswith(" ")
+    for found in _UNEVEN:
+        uneven = uneven | F.col("line").contains(found)
+    return d.withColumn("norm", F.when(uneven, even).otherwise(F.col("line"))).drop("line")
 
 
 def half_keys(min_words: int) -> str:
@@ -59,7 +62,8 @@ def half_keys(min_words: int) -> str:
 
 def text_lines(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Narrow rows, one per line: its place ``pos``, a 128-bit ``key`` of its words, its half keys."""
-    d = split_lines(docs, id_col, text_col).withColumn("n", F.regexp_count("norm", F.lit(" ")) + 1)
+    d = split_lines(docs, id_col, text_col).withColumn(
+        "n", F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
     key = F.struct(F.xxhash64("norm").alias("a"), F.xxhash64(F.lit(1), "norm").alias("b"))
     return d.select(F.struct(*_POS).alias("pos"), F.when(F.col("norm") != "", key).alias("key"),
                     F.expr(half_keys(min_words)).alias("halves"))
@@ -90,7 +94,9 @@ def near_links(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFram
     ``docs`` has columns doc_id and text; it is read again for the words of the candidates alone.
     """
     halves = distinct.select("key", "pos", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi")
+    # two keys differ in one of their numbers at least; numbers, unlike structs, are aggregated by hash
+    shared = halves.groupBy("half").agg(*[f(f"key.{c}").alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in "ab"])
+    shared = shared.filter("min_a <> max_a or min_b <> max_b")
     wanted = halves.join(shared.select("half"), "half").select("key", "pos").distinct()
     wanted = wanted.groupBy("pos.doc_id", "pos.text_hash").agg(
         F.collect_set(F.struct("pos.line_no", "key")).alias("lines"))  # at most one text's lines
@@ -138,7 +144,7 @@ def decide(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", tex
     min_words = max(2, math.ceil(1 / (1 - similarity) - 1e-9)) if similarity < 1 else 1 << 30
     lines = materialize(text_lines(docs, min_words, id_col, text_col), "lines")
     distinct = materialize(
-        lines.filter("key is not null").groupBy("key").agg(F.min("pos").alias("pos"), F.min("halves").alias("halves")),
+        lines.filter("key is not null").groupBy("key").agg(F.min("pos").alias("pos"), F.first("halves").alias("halves")),
         "lines-distinct")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     verdict = materialize(
