@@ -20,13 +20,31 @@ def _documents(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Add ``a`` and ``b``, 128 bits of hash over a whole row; rows alike in all columns share them."""
+    row = [x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())]
+    return docs.select(*COLUMNS, F.xxhash64(*row).alias("a"), F.xxhash64(F.lit(1), *row).alias("b"))
+
+
+def _matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` with (or, by ``left_anti``, without) their key in ``keys``; null ids are equal."""
+    k = keys.select(F.col("doc_id").alias("i"), F.col("a").alias("ka"), F.col("b").alias("kb"))
+    return docs.join(k, docs.doc_id.eqNullSafe(k.i) & (docs.a == k.ka) & (docs.b == k.kb), how)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base test or a learned rule rejects go."""
-    stats = materialize(rules.statistics(docs), "quality-stats")
+    """Rows whose text the base test or a learned rule rejects go.
+
+    Every row is judged by its own text: other rows of its id, or other rows without an id, stay.
+    """
+    docs = _keyed(docs)
+    stats = rules.statistics(docs.withColumn("row_key", F.struct("doc_id", "a", "b")), id_col="row_key")
+    stats = materialize(stats.withColumnRenamed("doc_id", "row_key").withColumn("doc_id", F.col("row_key.doc_id")),
+                        "quality-stats")
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     learned = rules.learn(materialize(rules.labelled_statistics(stats, labels), "quality-labelled"))
-    verdict = rules.judge(stats, learned).filter("not kept").select("doc_id").distinct()
-    return _documents(docs.join(verdict, docs.doc_id.eqNullSafe(verdict.doc_id), "left_anti"))
+    verdict = rules.judge(stats, learned).filter("not kept").select("row_key.*").distinct()
+    return _documents(_matched(docs, verdict, "left_anti"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +53,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of documents linked by fingerprints the one of least id stays."""
-    found = simhash.near_duplicates(docs, shingle=3, bits=3)
-    later = found.filter("doc_id > component_id").select("doc_id").distinct()
-    return _documents(docs.join(later, "doc_id", "left_anti"))
+    """Of every group of documents linked by fingerprints one row stays: the one of least id.
+
+    Null ids come last; rows of one id go by the hash of the row, and of rows alike in all
+    columns one stays. A row goes for its own text only, whatever other rows its id has.
+    """
+    docs = _keyed(docs)
+    found = materialize(simhash.near_duplicates(docs, shingle=3, bits=3, keep=("a", "b")), "near-rows")
+    rows = materialize(found.groupBy("root", "doc_id", "a", "b").agg(F.count("*").alias("n")), "near-distinct")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "a", "b")
+    least = materialize(rows.groupBy("root").agg(F.min(place).alias("least")), "near-least")
+    # both sides are read from files, so the adaptive plan can split a large group
+    judged = materialize(rows.join(least, "root").select("doc_id", "a", "b", "n", (place == F.col("least")).alias("stays"))
+                         .filter("not stays or n > 1"), "near-verdicts")
+    one = _matched(docs, judged.filter("stays"), "left_semi").groupBy("doc_id", "a", "b").agg(
+        F.first(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return _documents(_matched(docs, judged, "left_anti").select(*COLUMNS).unionByName(one))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

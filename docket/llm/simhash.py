@@ -59,8 +59,9 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fingerprint)``: the signed 64-bit SimHash of every whole text."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text",
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fingerprint, *keep)``: the signed 64-bit SimHash of every whole text; ``keep`` columns are carried along."""
     ship_package(docs.sparkSession)
 
     def run(batches):
@@ -69,11 +70,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             values = np.fromiter(
                 (majority_bits(shingle_hashes(t.as_py(), shingle)) for t in texts), np.uint64, len(texts)
             )
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))],
-                                             names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]],
+                                             names=["doc_id", "fingerprint", *keep])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fingerprint long")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    kept = "".join(f", `{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)
+    return slim.mapInArrow(run, "doc_id long, fingerprint long" + kept)
 
 
 def embed(fingerprint: str) -> str:
@@ -138,9 +140,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """One row per document: ``(doc_id, fingerprint, component_id)``, fingerprint as a long."""
-    prints = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
+                    text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: ``(doc_id, fingerprint, component_id)``, fingerprint as a long.
+
+    With ``keep`` these columns and ``root`` follow, a fingerprint that names the group. Only
+    that tells groups apart when ids are null or repeated.
+    """
+    prints = materialize(fingerprints(docs, shingle, id_col, text_col, keep), "simhash")
     points = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "simhash-points")
     roots = components(links(points, bits))
     rooted = materialize(
@@ -148,5 +154,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, id_col: st
             "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")), "simhash-roots")
     # Joins without a shared parent, so a hot fingerprint can be split by the adaptive plan.
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = materialize(rooted.join(least, "root").select("fingerprint", "component_id"), "simhash-ids")
-    return prints.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = (*keep, "root") if keep else ()
+    ids = materialize(rooted.join(least, "root").select("fingerprint", "component_id", *named[-1:]), "simhash-ids")
+    return prints.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id", *named)
