@@ -1,7 +1,9 @@
 """Secret scans: a random forest removes false findings.
 
-Candidates are runs of at least ``min_length`` token characters with a digit. Each is
-described by its length, its character transitions (mean log-probability under the
+Candidates are runs of at least ``min_length`` token characters with a digit, and every
+value given under a secret's name (``name = value``, ``"name": "value"``, ``name => value``,
+``Authorization: Bearer value``), whatever its length and characters; a value ends at white
+space, its quote, or, without quotes, a comma, semicolon or ampersand. Each is described by its length, its character transitions (mean log-probability under the
 character pairs of the corpus dictionary, and class changes per character), the share of
 it that dictionary words cover, and by what labelled findings say of its path and of the
 words before and after it. The dictionary holds every letter run that the whole corpus has
@@ -34,21 +36,48 @@ FEATURES = ("length", "transitions", "class_changes", "coverage", "in_path", "pa
 _LETTERS, _CLASSES = "abcdefghijklmnopqrstuvwxyz", 28
 
 
+def _name(name: str) -> str:
+    """Regular expression for one name; not author, monkey or keyword."""
+    if name == "auth":
+        return "auth(?!or(?!iz))"
+    if name == "key":
+        return "(?:(?<![a-z])|(?<=api|access|secret|private|auth|signing|encryption))key(?!board|word|note|stone)"
+    return name
+
+
+_QUOTE = "[\"'`]"
+# a name, a separator, perhaps a scheme, and the value (group 1), which ends in the last word
+NAMED = (rf"(?i)(?:{'|'.join(map(_name, SECRET_NAMES))})[a-z0-9_-]*{_QUOTE}?\]?\s*(?:=>|:=|[=:])\s*{_QUOTE}?"
+         rf"(?:(?:bearer|basic)\s+)?{_QUOTE}?(?!(?:bearer|basic)\b)(?![=>:])"
+         r"((?<=[\"'`])[^\s\"'`]+|[^\s\"'`,;&]*[^\s\"'`,;&.:)\]}>])(?=\S*$)")
+
+
 def candidates(docs: DataFrame, min_length: int = 16, id_col: str = "doc_id", text_col: str = "text",
                path_col: str = "source") -> DataFrame:
-    """``(doc_id, path, word_no, run_no, run, lead, before, after)``; ``lead`` is the text just before the run."""
+    """``(doc_id, path, word_no, run_no, run, named, lead, before, after)``; ``lead`` is the text just before the run.
+
+    ``named`` tells a value given under a secret's name. One that is no run by itself has a
+    negative ``run_no``, and stands for the runs inside it.
+    """
     run = f"{TOKEN}{{{min_length},}}"
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"),
                     words(F.col(text_col).cast("string")).alias("ws"))
-    near = (f"filter(transform(ws, (w, i) -> if(length(w) >= {min_length} and w rlike '{run}', named_struct("
+    given = " or ".join(f"instr({x}, '{c}') > 0" for x in ("w", "get(ws, i - 1)", "get(ws, i - 2)") for c in "=:")
+    near = (f"filter(transform(ws, (w, i) -> if((length(w) >= {min_length} and w rlike '{run}') or {given}, named_struct("
             "'word_no', i, 'w', w, 'lead', concat_ws(' ', get(ws, i - 2), get(ws, i - 1)), 'next', get(ws, i + 1)), null)),"
             " x -> x is not null)")
     d = d.select("doc_id", "path", F.explode(F.expr(near)).alias("x")).select("doc_id", "path", "x.*")
-    d = d.select("*", F.posexplode(F.expr(f"regexp_extract_all(w, '{run}', 0)")).alias("run_no", "run"))
-    d = d.filter(F.col("run").rlike("[0-9]"))
+    d = d.select("*", F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "lead", "w"), F.lit(NAMED), F.lit(1))).alias("vs"),
+                 F.expr(f"filter(transform(regexp_extract_all(w, '{run}', 0), (r, k) -> struct(k as run_no, r as run)), "
+                        "r -> r.run rlike '[0-9]')").alias("rs"))
+    d = d.select("*", F.explode(F.expr(
+        "concat(transform(filter(rs, r -> not exists(vs, v -> v <> r.run and contains(v, r.run))), "
+        "r -> struct(r.run_no as run_no, r.run as run, array_contains(vs, r.run) as named)), "
+        "transform(filter(vs, v -> not exists(rs, r -> r.run = v)), "
+        "(v, k) -> struct(-1 - k as run_no, v as run, true as named)))")).alias("x")).select("*", "x.*")
     lead = F.concat_ws(" ", "lead", F.expr("substring(w, 1, instr(w, run) - 1)"))
     rest = F.concat_ws(" ", F.expr("substring(w, instr(w, run) + length(run))"), "next")
-    return d.select("doc_id", "path", "word_no", "run_no", "run", lead.alias("lead"),
+    return d.select("doc_id", "path", "word_no", "run_no", "run", "named", lead.alias("lead"),
                     F.regexp_extract(F.lower(lead), "([a-z]+)[^a-z]*$", 1).alias("before"),
                     F.regexp_extract(F.lower(rest), "([a-z]+)", 1).alias("after"))
 
@@ -86,8 +115,8 @@ def describe(found: DataFrame, known: DataFrame) -> DataFrame:
     covered = pieces.join(known, "word", "left_semi").groupBy("run").agg(F.sum(F.length("word")).alias("covered"))
     kinds = F.expr("regexp_replace(regexp_replace(regexp_replace(run, '[A-Z]+', 'A'), '[a-z]+', 'a'), '[0-9]+', '9')")
     d = found.withColumn("c", F.expr(char_classes("run")))
-    total = F.expr(f"aggregate(sequence(0, size(c) - 2), 0D, (s, i) -> s + {table}[c[i] * {_CLASSES} + c[i + 1]])")
-    d = d.withColumn("transitions", total / (F.length("run") - 1)).drop("c")
+    total = F.expr(f"aggregate(slice(sequence(0, size(c)), 1, size(c) - 1), 0D, (s, i) -> s + {table}[c[i] * {_CLASSES} + c[i + 1]])")
+    d = d.withColumn("transitions", total / F.greatest(F.length("run") - 1, F.lit(1))).drop("c")
     return d.join(covered, "run", "left").select(
         *found.columns, F.length("run").cast("double").alias("length"), "transitions",
         (F.length(kinds) / F.length("run")).alias("class_changes"),
@@ -160,9 +189,26 @@ def scan(docs: DataFrame, label: Column, min_length: int = 16, min_count: int =
     return scored.withColumn("kept", F.col("probability") >= threshold).drop("features", "rawPrediction", "prediction")
 
 
+# Key forms that tell themselves: cloud ids, platform tokens and the parts of a JSON web token.
+_KEYS = (r"^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{16,}|github_pat_\w{20,}|glpat-[\w-]{16,}|[sr]k_(live|test)_\w{8,}"
+         r"|xox[abeprs]-[\w-]{8,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{30,}|eyJ[\w-]{13,})$")
+_PART = r"([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})"
+# Numbers (cards, dates, times, with separators or without), and paths or compounds of words and short numbers.
+_NUMBER = r"^[0-9]+([-/_+][0-9]+)*$|^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-][0-9]{2,6}Z?$"
+_COMPOUND = rf"^[-/_+]*{_PART}([-/_+]+{_PART})+[-/_+]*$"
+# What a name is given that is no value: an address, a variable, a call, or a plain word as after a colon in prose.
+_OPEN = r"^[a-z][a-z0-9+]*://|^[$<{%(]|[(\[]"
+
+
 def named_or_well_formed() -> Column:
-    """A label for candidates whose form settles it: given under a secret's name, or an access key id."""
-    names = "|".join(SECRET_NAMES)
-    given = F.lower("lead").rlike(rf"({names})[a-z_-]*\s*[=:]\s*[\"']?$")
-    key_id = F.col("run").rlike("^AKIA[0-9A-Z]{16}$")
-    return F.when(given | key_id, 1).otherwise(0)
+    """A label for candidates whose form settles it, null for the others.
+
+    1 for values given under a secret's name and for known key forms; 0 for numbers, dates,
+    paths and compounds of words.
+    """
+    run, lead = F.col("run"), F.col("lead")
+    prose = run.rlike("^[A-Za-z]+$") & lead.rlike(r":\s+$")
+    given = (F.col("named") & ~run.rlike(_OPEN) & ~prose) | F.lower(lead).rlike(r"\bbearer\s+$")
+    signature = lead.rlike(r"eyJ[\w-]+\.eyJ[\w-]+\.$")
+    other = run.rlike(_NUMBER) | (run.rlike(_COMPOUND) & run.rlike("[A-Za-z]{3}"))
+    return F.when(given | run.rlike(_KEYS) | signature, 1).when(other & ~F.col("named"), 0)
