@@ -33,6 +33,8 @@ from docket.session import ship_package
 PRIME = (1 << 31) - 1
 BASES = (1000003, 998244353)
 _LOWEST = -(1 << 63) + 1
+SIZE = 128  # hashes in a sketch: likeness has a standard error of at most 0.5 / sqrt(SIZE), 0.044
+_ROWS = 128  # rows sent on at once, some kilobytes each
 INVERSES = tuple(pow(base, -1, PRIME) for base in BASES)
 _P, _BITS, _LIFT = np.uint64(PRIME), np.uint64(31), np.uint64(4 * PRIME)
 
@@ -168,7 +170,7 @@ def span_hashes(p: PrefixHash, width: int) -> np.ndarray:
     return mix64(p.windows(width))
 
 
-def fingerprint(text: str, width: int = 24, size: int = 32) -> str:
+def fingerprint(text: str, width: int = 24, size: int = SIZE) -> str:
     p = PrefixHash(text)
     return encode(p.n, p.whole(), sketch(span_hashes(p, width), size))
 
@@ -213,7 +215,7 @@ _SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
 
 
-def fingerprints(docs: DataFrame, width: int = 24, size: int = 32, bucket_chars: int = 1 << 21,
+def fingerprints(docs: DataFrame, width: int = 24, size: int = SIZE, bucket_chars: int = 1 << 21,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited form, with their likeness.
 
@@ -252,6 +254,7 @@ def fingerprints(docs: DataFrame, width: int = 24, size: int = 32, bucket_chars:
 
     def run(batches):
         earlier, bucket, out = None, None, []
+        names = [f.split()[0] for f in _SCHEMA.split(", ")]
         for batch in batches:
             ids, texts, _, _, where, tails_ = (batch.column(i) for i in range(6))
             for i in range(batch.num_rows):
@@ -259,9 +262,8 @@ def fingerprints(docs: DataFrame, width: int = 24, size: int = 32, bucket_chars:
                 if earlier is not None and b == bucket:
                     out.append(compare(earlier, current, width, size))
                 earlier, bucket = (None if tails_[i].as_py() else current), b
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=[f.split()[0] for f in _SCHEMA.split(", ")])
-                out = []
+                if len(out) >= _ROWS or out and i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=names)
+                    out = []
 
     return ordered.mapInArrow(run, _SCHEMA)
