@@ -18,8 +18,9 @@ ABBREVIATIONS = (
     "e.g", "i.e",
 )
 # Sentence boundary: end punctuation followed by spaces or line breaks (Spark only: look-behind).
+# The look-behind stands after the period, so it is tried at periods alone.
 SENTENCE_SPLIT = (
-    r"(?:[!?]|(?<!(?:^|[^A-Za-z.'])(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"))\.)[ \n]+"
+    r"(?:[!?]|\.(?<!(?:^|[^A-Za-z.'])(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.))[ \n]+"
 )
 # A star page marker: one asterisk (not part of "**") followed by digits (Spark only: look-behind).
 STAR_PAGE = r"(?<!\*)\*([0-9]+)"

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import math
 
+# The driver's tables at two scales.
+SF_SMALL = "/root/testdata/sf0.001"
+SF_MID = "/root/testdata/sf0.01"
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
     " conversations"

@@ -11,8 +11,7 @@ from docket.operators.requests import PromptTemplate, requests_table
 from docket.plans.casework import answer, join_answers, run
 from docket.sinks.reports import read_reports
 from docket.sources.documents import cases
-
-from conftest import SF_SMALL
+from docket.testing import SF_SMALL
 
 
 def test_rule_run(spark, tmp_dir):

@@ -6,9 +6,9 @@ from docket.config import FIXTURE_LEXICON
 from docket.operators.analyze import RuleAnalyzer
 from docket.operators.route import matrix
 from docket.sources.documents import SCAN_TASKS, documents, spread, table
+from docket.testing import SF_MID, SF_SMALL
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
 
 SF_BIG = "/root/testdata/sf0.1"
 

@@ -3,9 +3,8 @@
 import pytest
 
 import __spark_entry__ as E
-from docket.testing import compare, duck
+from docket.testing import SF_SMALL, compare, duck
 
-from conftest import SF_SMALL
 
 KEYS = sorted(E.queries())
 

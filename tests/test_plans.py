@@ -4,8 +4,7 @@ import re
 
 import __spark_entry__ as E
 from docket.queries import catalog
-
-from conftest import SF_SMALL
+from docket.testing import SF_SMALL
 
 
 def _optimized(df) -> str:

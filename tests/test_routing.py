@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 from docket.operators.route import destinations, split_results
 from docket.queries.catalog import results
 from docket.schema import RELEVANCE_LEVELS, SUPPORT_LEVELS
-
-from conftest import SF_MID
+from docket.testing import SF_MID
 
 
 @pytest.fixture(scope="module")
