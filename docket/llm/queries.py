@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm import ctw, licences, lines, mixture, rules, secrets, segment, shards, simhash, spans
+from docket.llm import (ctw, langid, licences, lines, merkle, mixture, phrases, rules, secrets, segment, shards, simhash,
+                        spans)
 from docket.llm.common import documents
+from docket.llm.sql import MERKLE_MANIFEST, PHRASE_COLLOCATIONS
 from docket.sinks.tables import materialize
 
 
@@ -65,6 +67,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(documents(spark, sf_dir, "lang", "text"), min_count=30, top=2000, percent=80)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir, "doc_id", "lang", "text"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(documents(spark, sf_dir, *merkle.COLUMNS)).drop("n_siblings")
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sentencepiece": op2_sentencepiece,
@@ -76,6 +90,12 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_license_scans": op9_license_scans,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_language_id": op12_language_id,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_phrase_collocations": PHRASE_COLLOCATIONS,
+    "op13_merkle_manifest": MERKLE_MANIFEST,
+}
