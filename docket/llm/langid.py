@@ -9,8 +9,9 @@ the languages' shares as prior) is predicted.
 The piece probabilities are learned by expectation maximisation: the expected number of
 uses of each piece over all segmentations (forward and backward pass), summed over the
 distinct words of a language with their counts. Word counts are combined in each task,
-then by a shuffle; lattices are built once per distinct word, all of a batch in the same
-array operations. What reaches the driver and the tasks is one number per piece and
+then by a shuffle; lattices are built once per distinct word of a batch, all words of one length in
+the same array operations (:class:`Grid`; in logarithms, :class:`Lattice`, for long words, for
+characters outside the vocabulary, and where a product would underflow). What reaches the driver and the tasks is one number per piece and
 language, whatever the size of the corpus.
 
 Characters outside the vocabulary are spelled by the vocabulary's byte pieces.
@@ -42,6 +43,8 @@ UNKNOWN = "und"
 _WORD = 256  # characters of a word that are scored together
 _CELLS = 1 << 21  # numbers (lattice nodes x languages) worked on at once
 _KEPT = 1 << 18  # words whose scores a worker keeps
+_GRID = 33  # characters of a word, with its blank, up to which its lattice is a table
+_LEAST = 1e-280  # of a probability not in logarithms
 _FLUSH = 1 << 19  # words held before partial counts are sent on
 
 
@@ -75,6 +78,10 @@ class Pieces:
         keys = np.array([node * self.width + j for node, j in edges] or [-1], np.int64)
         order = np.argsort(keys)
         self.keys, self.child = keys[order], np.array(list(edges.values()) or [0], np.int64)[order]
+        self.roots = np.zeros(self.width, np.int64)
+        for (node, j), child in edges.items():
+            if not node:
+                self.roots[j] = child
         self.piece = np.full(len(edges) + 1, -1, np.int64)
         for node, i in ends.items():
             self.piece[node] = i
@@ -166,6 +173,98 @@ class Lattice:
         return out
 
 
+class Grid:
+    """The lattices of words of one length in characters of the vocabulary, as one table:
+    ``pieces[start][length]`` are the pieces that start there (-1: none), one per word."""
+
+    def __init__(self, v: Pieces, chars: np.ndarray):
+        self.n, self.size = chars.shape
+        self.pieces: list[list[tuple[int, np.ndarray]]] = []
+        for start in range(self.size):
+            nodes, found = np.zeros(self.n, np.int64), []
+            for end in range(start + 1, self.size + 1):
+                nodes = np.where(nodes > 0, v.step(nodes, chars[:, end - 1]), 0) if end > start + 1 else v.roots[chars[:, start]]
+                if not nodes.any():
+                    break
+                here = v.piece[nodes]
+                if (here >= 0).any():
+                    found.append((end, here))
+            self.pieces.append(found)
+
+    def forward(self, p: np.ndarray) -> list[np.ndarray]:
+        """Sums over the ways to each place; ``p`` (pieces + 1, languages) ends with a row of zeros."""
+        ways = [np.ones((self.n, p.shape[1]))] + [np.zeros((self.n, p.shape[1])) for _ in range(self.size)]
+        for start, found in enumerate(self.pieces):
+            for end, here in found:
+                ways[end] += ways[start] * p[here]
+        return ways
+
+    def expected(self, p: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Expected uses of the pieces in one language (of words that do not underflow), and those words."""
+        ways = [x[:, 0] for x in self.forward(p[:, None])]
+        fine = ways[-1] > _LEAST
+        scale = np.where(fine, counts, 0) / np.where(fine, ways[-1], 1)
+        rest = [np.zeros(self.n) for _ in range(self.size)] + [np.ones(self.n)]
+        uses = np.zeros(size + 1)
+        for start in reversed(range(self.size)):
+            for end, here in self.pieces[start]:
+                onward = p[here] * rest[end]
+                rest[start] += onward
+                uses += np.bincount(here + (here < 0) * (size + 1), ways[start] * onward * scale, size + 1)
+        return uses[:size], fine
+
+
+def by_length(v: Pieces, words: list[str]):
+    """``(places, chars)`` of the words of each length; chars null for words that a grid cannot hold."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    chars = v.char[np.frombuffer("".join([SPACE + w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    plain = (np.minimum.reduceat(chars, first) > 0) & (sizes <= _GRID) if len(words) else np.zeros(0, bool)
+    for size in np.unique(sizes[plain]).tolist():
+        at = np.flatnonzero(plain & (sizes == size))
+        yield at, chars[first[at][:, None] + np.arange(size)]
+    if not plain.all():
+        yield np.flatnonzero(~plain), None
+
+
+def word_logs(v: Pieces, words: list[str], log_p: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """ln of each word's probability in each language; ``p`` is exp(log_p) and a row of zeros."""
+    out = np.zeros((len(words), log_p.shape[1]))
+    slow = []
+    for at, chars in by_length(v, words):
+        if chars is None:
+            slow.append(at)
+            continue
+        sums = Grid(v, chars).forward(p)[-1]
+        fine = (sums > _LEAST).all(1)
+        out[at[fine]] = np.log(sums[fine])
+        slow.append(at[~fine])
+    rest = np.concatenate(slow) if slow else np.zeros(0, np.int64)
+    if len(rest):
+        out[rest] = Lattice(v, [words[i] for i in rest]).word_logs(log_p)
+    return out
+
+
+def expected_uses(v: Pieces, words: list[str], counts: np.ndarray, log_p: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in words that occur ``counts`` times, in one language."""
+    uses, slow = np.zeros(v.size), []
+    for at, chars in by_length(v, words):
+        if chars is None:
+            slow.append(at)
+            continue
+        found, fine = Grid(v, chars).expected(p, counts[at], v.size)
+        uses += found
+        slow.append(at[~fine])
+    rest = np.concatenate(slow) if slow else np.zeros(0, np.int64)
+    if len(rest):
+        uses += Lattice(v, [words[i] for i in rest]).expected(log_p, counts[rest])
+    return uses
+
+
+def rates(log_p: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.exp(log_p), np.zeros((1, *log_p.shape[1:]))))
+
+
 def text_words(text: str) -> list[str]:
     """The words of a text; one of more than ``_WORD`` characters as several."""
     found = text.split()
@@ -231,8 +330,9 @@ def expectation(model, log_p, langs: list[str]):
                 mine[1].append(n)
             for lang, (ws, ns) in by_lang.items():
                 counts = np.array(ns, np.float64)
+                mine = logs[:, place[lang]]
                 for part in groups(ws, 1):
-                    total[place[lang]] += Lattice(v, ws[part]).expected(logs[:, place[lang]], counts[part])
+                    total[place[lang]] += expected_uses(v, ws[part], counts[part], mine, rates(mine))
         row, piece = np.nonzero(total)
         if len(row):
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(piece), pa.array(total[row, piece])],
@@ -281,7 +381,7 @@ class Scorer:
     """ln probabilities of words by language; a worker keeps those of the words seen of late."""
 
     def __init__(self, v: Pieces, model: Model):
-        self.v, self.model = v, model
+        self.v, self.model, self.p = v, model, rates(model.log_p)
         self._clear()
 
     def _clear(self):
@@ -299,7 +399,7 @@ class Scorer:
             self.table = np.concatenate((self.table, np.zeros((max(need, len(self.table)), self.table.shape[1]))))
         for part in groups(new, len(self.model.langs)):
             first = len(self.place)
-            self.table[first:first + len(new[part])] = Lattice(self.v, new[part]).word_logs(self.model.log_p)
+            self.table[first:first + len(new[part])] = word_logs(self.v, new[part], self.model.log_p, self.p)
             for w in new[part]:
                 self.place[w] = len(self.place)
         return counted

@@ -1,29 +1,32 @@
 """Phrase collocation mining with exact n-gram counts from HAT-tries.
 
-Counting goes length by length. A task numbers the words it meets and counts word-id
-sequences in a HAT-trie: a shallow trie over the first ids whose leaves are hash containers of the
-remaining ids, packed into one integer. A container that outgrows ``burst`` entries becomes
-a trie node with one container per next id. When a task's tries hold more than ``entries``
-sequences, the largest subtrees are spilled whole, each as a sorted run of phrases. Runs
-are merged per prefix partition: a range partitioning of the written runs by (language,
-phrase), which cuts a prefix with very many phrases into several partitions.
-
-A phrase cannot be more frequent than its parts. So only sequences whose two parts one word
-shorter are frequent are counted, told by a bit table of hashes of the frequent ones: a
-filter of fixed size (``filter_bits``) that never misses a frequent part. The more the
-corpus has of them, the less it saves; results stay the same.
+A task numbers the words it meets and counts word-id sequences in a HAT-trie: a shallow
+trie over ids whose leaves are hash containers of the remaining ids, packed into one
+integer. Below the root a container is hybrid: it serves 64 first ids. A container that
+outgrows ``burst`` entries becomes a trie node with one container per next id. When a
+task's tries hold more than ``entries`` sequences, the largest subtrees are spilled whole,
+each as a run sorted by ids. Runs are merged per prefix partition: rows are dealt by
+the hash of all words but the last and of a 64th of the last words, so that the subtree of a
+very common prefix is merged in 64 places.
+
+A phrase cannot be more frequent than its parts. Words are counted first, then pairs of
+frequent words, then longer sequences whose pairs are all frequent, told by a bit table
+of hashes of the frequent ones: a filter of fixed size (``filter_bits``) that never misses
+one. The more the corpus has of them, the less it saves; results stay the same.
 
 Scores, the least cut of a candidate, candidates inside a longer one, and the ranking are
 joins and aggregates on the frequent phrases.
 
 Results for odd input: a null text has no words; a null language is ``und``; a text of one
 word is one word; repeated rows are counted as often as they occur; equal scores are
-ordered by count, then phrase; a very long text is worked on in chunks cut between pieces (and
-spilled like any other); an empty table gives an empty table; ids and other columns are ignored.
+ordered by count, then phrase; a very long text is worked on in chunks, each with the last
+words before it; an empty table gives an empty table; ids and other columns are ignored.
 """
 
 from __future__ import annotations
 
+from operator import itemgetter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,10 +38,13 @@ from pyspark.sql import Window as W
 from docket.session import ship_package
 from docket.sinks.tables import materialize
 
-LONGEST = 4
-_ID_BITS = 21  # three ids are packed into one integer
-_IDS = 1 << 20  # words numbered before a task starts its numbering anew
-_CHUNK = 1 << 22  # bytes of text worked on at once
+STEPS = ((1,), (2,), (3, 4))  # lengths counted in one pass over the texts
+_ID_BITS = 19  # three ids and a place among 64 are packed into one integer
+_HYBRID = 6  # bits of the first id in a hybrid container
+_WINDOW = 1 << 18  # words worked on at once
+_IDS = 200_000  # words numbered before a task starts its numbering anew; with a window's below 2 ** _ID_BITS
+_SEEN = 1 << 20  # words remembered, those that cannot be in a phrase too
+_CHUNK = 1 << 20  # bytes of text worked on at once
 _OUT = 1 << 16  # rows sent on at once
 _BREAK = b"\xff"  # never part of UTF-8
 _FOLD = bytearray(range(256))
@@ -77,13 +83,17 @@ class Filter:
     """Bit table of hashes: tells which sequences may be frequent."""
 
     def __init__(self, table: np.ndarray):
-        self.table = table
-        self.shift = _U(64 - (len(table) * 64).bit_length() + 1)
+        self.shift = 64 - (len(table) * 64).bit_length() + 1
+        self.table, self.bytes = table, memoryview(table.view(np.uint8))  # little-endian words
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        slot = hashes >> self.shift
+        slot = hashes >> _U(self.shift)
         return (self.table[slot >> _U(6)] >> (slot & _U(63))) & _U(1) == 1
 
+    def has_one(self, h: int) -> bool:
+        slot = h >> self.shift
+        return self.bytes[slot >> 3] >> (slot & 7) & 1 == 1
+
 
 class Ids(dict):
     """Numbers of the words of one language, from 1; 0 for breaks and words that cannot be in a phrase."""
@@ -95,7 +105,7 @@ class Ids(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, self.seed)
-        if self.known is not None and not self.known.has(np.array([h], np.uint64))[0]:
+        if self.known is not None and not self.known.has_one(h):
             self[word] = 0
             return 0
         self[word] = n = len(self.words)
@@ -103,66 +113,75 @@ class Ids(dict):
         self.hashes.append(h)
         return n
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > len(self.words) + _SEEN:  # forget the others
+            for w in [w for w, n in self.items() if not n and w != _BREAK]:
+                del self[w]
+        found = itemgetter(*words)(self) if len(words) > 1 else [self[w] for w in words]
+        return np.array(found, np.int64)
+
 
 class Node(dict):
     """A trie node: next id -> node or hash container (a plain dict: packed remaining ids -> count)."""
 
 
 class HatTrie:
-    """Counts of id sequences: first id -> subtree."""
+    """Counts of id sequences. Below the root, hybrid containers serve ``2 ** _HYBRID`` first ids each."""
 
-    def __init__(self, rest: int, burst: int):
-        self.rest, self.burst = rest, burst  # ids after the first
+    def __init__(self, rest: int, burst: int, bits: int = _ID_BITS):
+        self.rest, self.burst, self.bits = rest, burst, bits  # rest: ids after the first
+        self.shifts = [bits * (rest - level) for level in range(rest + 1)]
         self.root, self.size = Node(), 0
 
     def add(self, first: np.ndarray, packed: np.ndarray) -> None:
         """Count sequences given by their first id and their other ids packed."""
         if not len(first):
             return
-        order = np.lexsort((packed, first))
-        first, packed = first[order], packed[order]
-        new = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (packed[1:] != packed[:-1]))))
-        counts = np.diff(np.append(new, len(first))).tolist()
-        first, packed = first[new], packed[new].tolist()
-        heads = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))).tolist() + [len(first)]
-        for lo, hi, edge in zip(heads[:-1], heads[1:], first[heads[:-1]].tolist()):
-            self._insert(self.root, edge, packed[lo:hi], counts[lo:hi], self.rest)
-
-    def _insert(self, above: Node, edge: int, keys: list[int], counts: list[int], rest: int) -> None:
+        shift = self.shifts[0]
+        if shift + self.bits <= 62:
+            whole, counts = np.unique(first << shift | packed, return_counts=True)
+            edges, keys = whole >> (shift + _HYBRID), whole & ((1 << shift + _HYBRID) - 1)
+        else:
+            edges, keys = first >> _HYBRID, (first & ((1 << _HYBRID) - 1)) << shift | packed
+            order = np.lexsort((keys, edges))
+            edges, keys = edges[order], keys[order]
+            new = np.flatnonzero(np.concatenate(([True], (edges[1:] != edges[:-1]) | (keys[1:] != keys[:-1]))))
+            counts = np.diff(np.append(new, len(edges)))
+            edges, keys = edges[new], keys[new]
+        heads = np.flatnonzero(np.concatenate(([True], edges[1:] != edges[:-1]))).tolist() + [len(edges)]
+        keys, counts = keys.tolist(), counts.tolist()
+        for lo, hi, edge in zip(heads[:-1], heads[1:], edges[heads[:-1]].tolist()):
+            self._insert(self.root, edge, keys[lo:hi], counts[lo:hi], 0)
+
+    def _insert(self, above: Node, edge: int, keys: list[int], counts: list[int], level: int) -> None:
         below = above.get(edge)
         if below is None:
             below = above[edge] = {}
+        shift = self.shifts[level]
         if isinstance(below, Node):
-            shift = _ID_BITS * (rest - 1)
             low, start = (1 << shift) - 1, 0
             for i in range(1, len(keys) + 1):  # keys are sorted: runs of one next id
                 if i == len(keys) or keys[i] >> shift != keys[start] >> shift:
-                    self._insert(below, keys[start] >> shift, [k & low for k in keys[start:i]], counts[start:i], rest - 1)
+                    self._insert(below, keys[start] >> shift, [k & low for k in keys[start:i]], counts[start:i], level + 1)
                     start = i
             return
         before, get = len(below), below.get
         for k, n in zip(keys, counts):
             below[k] = get(k, 0) + n
         self.size += len(below) - before
-        if len(below) > self.burst and rest > 1:
-            above[edge] = self._burst(below, rest)
-
-    @staticmethod
-    def _burst(container: dict, rest: int) -> Node:
-        node, shift = Node(), _ID_BITS * (rest - 1)
-        low = (1 << shift) - 1
-        for k, n in container.items():
-            node.setdefault(k >> shift, {})[k & low] = n
-        return node
-
-    @staticmethod
-    def _entries(below, rest: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(below) > self.burst and shift:
+            node, low = Node(), (1 << shift) - 1
+            for k, n in below.items():
+                node.setdefault(k >> shift, {})[k & low] = n
+            above[edge] = node
+
+    def _entries(self, below, level: int) -> tuple[np.ndarray, np.ndarray]:
         if not isinstance(below, Node):
             return np.fromiter(below, np.int64, len(below)), np.fromiter(below.values(), np.int64, len(below))
-        shift, keys, counts = _ID_BITS * (rest - 1), [], []
+        keys, counts = [], []
         for edge, deeper in below.items():
-            k, n = HatTrie._entries(deeper, rest - 1)
-            keys.append(k | edge << shift)
+            k, n = self._entries(deeper, level + 1)
+            keys.append(k | edge << self.shifts[level])
             counts.append(n)
         return np.concatenate(keys), np.concatenate(counts)
 
@@ -170,111 +189,141 @@ class HatTrie:
         return sum(map(self._weight, below.values())) if isinstance(below, Node) else len(below)
 
     def spill(self, leave: int):
-        """Take out the largest subtrees until ``leave`` entries are left: ``(first, packed, counts)`` of each."""
+        """Take out the largest subtrees until ``leave`` entries are left: ``(first, packed, counts)`` of each, sorted."""
+        shift = self.shifts[0]
         for edge in sorted(self.root, key=lambda e: -self._weight(self.root[e])):
             if self.size <= leave:
                 break
-            keys, counts = self._entries(self.root.pop(edge), self.rest)
+            keys, counts = self._entries(self.root.pop(edge), 0)
             self.size -= len(keys)
-            yield np.full(len(keys), edge, np.int64), keys, counts
+            order = np.argsort(keys)
+            keys = keys[order]
+            yield edge << _HYBRID | keys >> shift, keys & ((1 << shift) - 1), counts[order]
 
 
 class Counts:
-    """The numbered words and the trie of one language in one task."""
+    """The numbered words and the tries (one per length) of one language in one task."""
 
-    def __init__(self, lang: str, n: int, known: Filter | None, burst: int):
-        self.lang, self.n, self.known, self.burst = lang, n, known, burst
+    def __init__(self, lang: str, lengths: tuple[int, ...], known: Filter | None, burst: int):
+        self.lang, self.lengths, self.known, self.burst = lang, lengths, known, burst
+        self.tail: list[bytes] = []
         self._start()
 
     def _start(self) -> None:
-        # sequences of one word stand in a single container below the root
-        self.ids, self.trie = Ids(self.lang, self.known if self.n == 2 else None), HatTrie(max(1, self.n - 1), self.burst)
+        self.ids = Ids(self.lang, self.known if self.lengths == (2,) else None)
+        # single words stand in one container, below a first id of 0
+        self.tries = {n: HatTrie(n - 1, self.burst) if n > 1 else HatTrie(1, self.burst, 40) for n in self.lengths}
         self.hashes = np.zeros(1, np.uint64)
 
-    def add(self, text: bytes) -> None:
-        ws = tokens(text)
-        ids = np.fromiter(map(self.ids.__getitem__, ws), np.int64, len(ws))
-        if self.n == 1:
-            ids = ids[ids > 0]
-            self.trie.add(np.zeros(len(ids), np.int64), ids)
+    def size(self) -> int:
+        return sum(t.size for t in self.tries.values())
+
+    def add(self, text: bytes, continued: bool = False):
+        """Count a text (or the next part of one), yielding what has to be spilled for it."""
+        most = max(self.lengths)
+        carried = len(self.tail) if continued else 0
+        ws = self.tail + tokens(text) if continued else tokens(text)
+        self.tail = ws[max(0, len(ws) - most + 1):] if most > 1 else []
+        for i in range(0, len(ws), _WINDOW):
+            if len(self.ids.words) > _IDS:
+                yield from self.spill()
+            self._count(self.ids.numbers(ws[i:i + _WINDOW + most - 1]), 0 if i else carried)
+
+    def _count(self, ids: np.ndarray, carried: int) -> None:
+        """Count the sequences that start in this window, but those within the first ``carried`` words."""
+        starts = np.flatnonzero(ids[:_WINDOW])
+        if 1 in self.tries:
+            self.tries[1].add(np.zeros(len(starts), np.int64), ids[starts])
+            return
+        padded = np.append(ids, [0] * max(self.lengths))
+        pairs = starts[padded[starts + 1] > 0]
+        if 2 in self.tries:
+            self.tries[2].add(ids[pairs], ids[pairs + 1])
             return
-        here = ids > 0
-        for k in range(1, self.n):
-            here[:-k] &= ids[k:] > 0
-            here[-k:] = False
-        at = np.flatnonzero(here)
-        if self.n > 2:  # both parts one word shorter may be frequent
-            if len(self.hashes) < len(self.ids.hashes):
-                self.hashes = np.array(self.ids.hashes, np.uint64)
-            for part in (0, 1):
-                at = at[self.known.has(sequence_hash([self.hashes[ids[at + part + k]] for k in range(self.n - 1)]))]
-        packed = np.zeros(len(at), np.int64)
-        for k in range(1, self.n):
-            packed = packed << _ID_BITS | ids[at + k]
-        self.trie.add(ids[at], packed)
+        if len(self.hashes) < len(self.ids.hashes):
+            self.hashes = np.array(self.ids.hashes, np.uint64)
+        every = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))  # pairs that start beyond the window too
+        frequent = np.zeros(len(padded), bool)
+        frequent[every] = self.known.has(sequence_hash([self.hashes[ids[every]], self.hashes[ids[every + 1]]]))
+        at = pairs[frequent[pairs]]
+        for n in self.lengths:
+            at = at[frequent[at + n - 2]]
+            new = at[at + n > carried]
+            packed = np.zeros(len(new), np.int64)
+            for k in range(1, n):
+                packed = packed << _ID_BITS | ids[new + k]
+            self.tries[n].add(ids[new], packed)
 
     def spill(self, leave: int = 0):
-        """Sorted runs ``(lang, phrase, n)`` of the subtrees spilled."""
-        words = pa.array(self.ids.words, pa.binary())
-        runs = list(self.trie.spill(leave))
-        if runs:
+        """Runs ``(part, lang, phrase, words, n)`` of the subtrees spilled, until ``leave`` entries are left."""
+        words, hashes = pa.array(self.ids.words, pa.binary()), np.array(self.ids.hashes, np.uint64)
+        for n, trie in self.tries.items():
+            runs = list(trie.spill(leave * trie.size // max(1, self.size())))
+            if not runs:
+                continue
             first, packed, counts = (np.concatenate(x) for x in zip(*runs))
-            path = [packed >> (_ID_BITS * k) & ((1 << _ID_BITS) - 1) for k in reversed(range(self.trie.rest))]
-            path = path if self.n == 1 else [first, *path]
+            path = [packed >> (_ID_BITS * k) & ((1 << _ID_BITS) - 1) for k in reversed(range(n - 1))]
+            path = [first, *path] if n > 1 else [packed]
+            last = hashes[path[-1]]
+            part = mixed(sequence_hash([hashes[x] for x in path[:-1]]) + (last >> _U(58))) if n > 1 else last
             phrase = words.take(pa.array(path[0]))
             for ids in path[1:]:
                 phrase = pc.binary_join_element_wise(phrase, words.take(pa.array(ids)), b" ")
             phrase = phrase.cast(pa.string())
-            order = pc.sort_indices(phrase)
-            phrase, counts = phrase.take(order), pa.array(counts).take(order)
+            part, counts = pa.array((part >> _U(33)).astype(np.int32)), pa.array(counts)
             for i in range(0, len(phrase), _OUT):
-                part = phrase[i:i + _OUT]
-                yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(part), pa.string()), part, counts[i:i + _OUT]],
-                                                 names=["lang", "phrase", "n"])
+                rows = slice(i, i + _OUT)
+                size = len(phrase[rows])
+                yield pa.RecordBatch.from_arrays(
+                    [part[rows], pa.array([self.lang] * size, pa.string()), phrase[rows], pa.array([n] * size, pa.int32()), counts[rows]],
+                    names=["part", "lang", "phrase", "words", "n"])
         if not leave:
             self._start()
 
 
 def chunks(text: bytes):
-    """A text cut between pieces into some megabytes each."""
+    """A text in parts of about ``_CHUNK`` bytes, cut at blanks or line ends."""
     start = 0
     while len(text) - start > _CHUNK:
-        cut = text.find(b"\n", start + _CHUNK)
+        found = [i for i in (text.find(c, start + _CHUNK, start + 2 * _CHUNK) for c in (b" ", b"\n")) if i >= 0]
+        cut = min(found) if found else max(text.find(b" ", start + _CHUNK), text.find(b"\n", start + _CHUNK))
         if cut < 0:
             break
-        yield text[start:cut]
-        start = cut
+        yield text[start:cut + 1]
+        start = cut + 1
     yield text[start:]
 
 
-def count_sequences(n: int, table, entries: int, burst: int):
-    """Per-task function over ``(lang, text)``: partial rows ``(lang, phrase, n)`` of phrases of ``n`` words."""
+def count_sequences(lengths: tuple[int, ...], table, entries: int, burst: int):
+    """Per-task function over ``(lang, text)``: partial rows of all phrases of these lengths."""
     def run(batches):
         known = Filter(table.value) if table is not None else None
         held: dict[str, Counts] = {}
 
-        def add(lang, texts):
-            mine = held.setdefault(lang, Counts(lang, n, known, burst))
-            mine.add(b"\n".join(texts))
-            if len(mine.ids) > _IDS:
-                yield from mine.spill()
-            while sum(c.trie.size for c in held.values()) > entries:
-                most = max(held.values(), key=lambda c: c.trie.size)
-                yield from most.spill(most.trie.size // 2)
+        def add(lang, text, continued=False):
+            mine = held.setdefault(lang, Counts(lang, lengths, known, burst))
+            yield from mine.add(text, continued)
+            while sum(c.size() for c in held.values()) > entries:
+                most = max(held.values(), key=Counts.size)
+                yield from most.spill(most.size() // 2)
 
         waiting: dict[str, list[bytes]] = {}
         size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for part in chunks((text.as_py() or "").encode()):
-                    waiting.setdefault(lang, []).append(part)
-                    size += len(part)
-                    if size >= _CHUNK:
-                        for x, texts in waiting.items():
-                            yield from add(x, texts)
-                        waiting, size = {}, 0
+                raw = (text.as_py() or "").encode()
+                if len(raw) > _CHUNK:
+                    for i, part in enumerate(chunks(raw)):
+                        yield from add(lang, part, i > 0)
+                    continue
+                waiting.setdefault(lang, []).append(raw)
+                size += len(raw)
+                if size >= _CHUNK:
+                    for x, texts in waiting.items():
+                        yield from add(x, b"\n".join(texts))
+                    waiting, size = {}, 0
         for x, texts in waiting.items():
-            yield from add(x, texts)
+            yield from add(x, b"\n".join(texts))
         for mine in held.values():
             yield from mine.spill()
 
@@ -305,24 +354,24 @@ def filter_table(frequent: DataFrame, n: int, bits: int) -> np.ndarray:
 
 def frequent_phrases(docs: DataFrame, min_count: int = 30, entries: int = 1 << 20, burst: int = 1 << 13,
                      filter_bits: int = 27) -> tuple[DataFrame, DataFrame]:
-    """``(lang, phrase, words, a)`` of all phrases of up to ``LONGEST`` words that occur ``min_count`` times, and ``(lang, n)``: words per language.
+    """``(lang, phrase, words, a)`` of all phrases of up to four words that occur ``min_count`` times, and ``(lang, n)``: words per language.
 
     ``docs`` has columns lang (not null) and text.
     """
     spark = docs.sparkSession
     ship_package(spark)
     found, table, totals = [], None, None
-    for n in range(1, LONGEST + 1):
-        runs = materialize(docs.select("lang", "text").mapInArrow(
-            count_sequences(n, table, entries, burst), "lang string, phrase string, n long"), f"phrase-runs-{n}")
-        if n == 1:
-            totals = materialize(runs.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-        merged = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
-        frequent = materialize(merged.filter(F.col("a") >= min_count).select("lang", "phrase", F.lit(n).alias("words"), "a"),
-                               f"phrases-{n}")
-        found.append(frequent)
-        if n < LONGEST:
-            table = spark.sparkContext.broadcast(filter_table(frequent, n, filter_bits))
+    for lengths in STEPS:
+        runs = docs.select("lang", "text").mapInArrow(
+            count_sequences(lengths, table, entries, burst), "part int, lang string, phrase string, words int, n long")
+        merged = runs.repartition("part").groupBy("part", "lang", "phrase", "words").agg(F.sum("n").alias("a")).drop("part")
+        if lengths == (1,):
+            every = materialize(merged, "phrase-words")
+            totals = materialize(every.groupBy("lang").agg(F.sum("a").alias("n")), "phrase-totals")
+            merged = every
+        found.append(materialize(merged.filter(F.col("a") >= min_count), f"phrases-{lengths[0]}"))
+        if lengths != STEPS[-1]:
+            table = spark.sparkContext.broadcast(filter_table(found[-1], lengths[0], filter_bits))
     union = found[0]
     for more in found[1:]:
         union = union.unionByName(more)

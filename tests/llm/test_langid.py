@@ -41,15 +41,26 @@ WORDS = ["abc", "a", "", "cab", "éab", "xéñ", "abcabcabc", "𐍈a"]
 
 
 def test_forward_sums_all_segmentations(log_p):
-    got = langid.Lattice(langid.Pieces(PIECES, KINDS), WORDS).word_logs(log_p)
-    for w, row in zip(WORDS, got):
+    v = langid.Pieces(PIECES, KINDS)
+    got = langid.Lattice(v, WORDS).word_logs(log_p), langid.word_logs(v, WORDS, log_p, langid.rates(log_p))
+    for w, *rows in zip(WORDS, *got):
         want = [math.log(sum(math.exp(log_p[s, k].sum()) for s in segmentations(w))) for k in range(3)]
-        assert np.allclose(row, want)
+        assert np.allclose(rows[0], want) and np.allclose(rows[1], want)
+
+
+def test_a_product_that_underflows(log_p):
+    v, low = langid.Pieces(PIECES, KINDS), log_p - 40
+    words, counts = ["ab" * 8, "abc", "ab" * 200], np.array([2.0, 1.0, 3.0])
+    assert np.allclose(langid.word_logs(v, words, low, langid.rates(low)), langid.Lattice(v, words).word_logs(low))
+    one = low[:, 0]
+    assert np.allclose(langid.expected_uses(v, words, counts, one, langid.rates(one)), langid.Lattice(v, words).expected(one, counts))
 
 
 def test_expected_uses(log_p):
     counts = np.arange(1, len(WORDS) + 1, dtype=float)
-    got = langid.Lattice(langid.Pieces(PIECES, KINDS), WORDS).expected(log_p[:, 1], counts)
+    v = langid.Pieces(PIECES, KINDS)
+    got = langid.Lattice(v, WORDS).expected(log_p[:, 1], counts)
+    assert np.allclose(got, langid.expected_uses(v, WORDS, counts, log_p[:, 1], langid.rates(log_p[:, 1])))
     want = np.zeros(len(PIECES))
     for w, n in zip(WORDS, counts):
         ways = [(s, math.exp(log_p[s, 1].sum())) for s in segmentations(w)]

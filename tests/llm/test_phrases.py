@@ -65,16 +65,24 @@ def test_whole_result(spark, texts, options, parts):
         assert got(phrases.mine(df, min_count=min_count, top=top, salts=3, **options)) == expected(texts, min_count, top)
 
 
-def test_a_numbering_started_anew(spark, texts, monkeypatch):
-    """Few ids and small chunks of a long text: counts stay whole."""
-    monkeypatch.setattr(phrases, "_IDS", 20)
-    monkeypatch.setattr(phrases, "_CHUNK", 64)
+@pytest.mark.parametrize("lengths", phrases.STEPS)
+def test_a_numbering_started_anew(texts, monkeypatch, lengths):
+    """Few ids, small windows and small chunks of a long text: counts stay whole."""
+    for name, value in (("_IDS", 20), ("_CHUNK", 64), ("_WINDOW", 50), ("_SEEN", 5)):
+        monkeypatch.setattr(phrases, name, value)
     whole = "\n".join(t or "" for _, t in texts)
+    table = None
+    if lengths[0] > 1:
+        table = type("", (), {"value": np.full(1 << 4, ~np.uint64(0))})  # everything may be frequent
     found = Counter()
-    for batch in phrases.count_sequences(1, None, 100, 4)([_batch([("en", whole)])]):
-        for p, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+    for batch in phrases.count_sequences(lengths, table, 100, 4)([_batch([("en", whole)])]):
+        for p, n in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
             found[p] += n
-    want = Counter(w.decode() for w in phrases.tokens(whole.encode()) if w != b"\xff")
+    ws, want = phrases.tokens(whole.encode()), Counter()
+    for m in lengths:
+        for i in range(len(ws) - m + 1):
+            if b"\xff" not in ws[i:i + m]:
+                want[b" ".join(ws[i:i + m]).decode()] += 1
     assert found == want
 
 
@@ -84,21 +92,25 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["lang", "text"])
 
 
-def test_trie_bursts_and_spills_whole_subtrees():
+@pytest.mark.parametrize("rest", [1, 2, 3])
+def test_trie_bursts_and_spills_whole_subtrees(rest):
     rng = random.Random(2)
-    trie, want = phrases.HatTrie(2, burst=3), Counter()
+    trie, want = phrases.HatTrie(rest, burst=3), Counter()
     for _ in range(20):
-        seqs = [(rng.randint(1, 3), rng.randint(1, 9), rng.randint(1, 9)) for _ in range(30)]
+        seqs = [(rng.randint(1, 300), *(rng.randint(1, 9) for _ in range(rest))) for _ in range(60)]
         want.update(seqs)
-        trie.add(np.array([s[0] for s in seqs]), np.array([s[1] << 21 | s[2] for s in seqs]))
+        packed = [sum(x << phrases._ID_BITS * (rest - 1 - k) for k, x in enumerate(s[1:])) for s in seqs]
+        trie.add(np.array([s[0] for s in seqs]), np.array(packed))
     assert trie.size == len(want) and any(isinstance(x, phrases.Node) for x in trie.root.values())
-    runs = list(trie.spill(trie.size // 2))
-    assert all(len(set(first.tolist())) == 1 for first, _, _ in runs) and trie.size <= len(want) // 2
+    left = trie.size // 2
+    runs = list(trie.spill(left))
+    assert trie.size <= left and all(len({f >> 6 for f in first.tolist()}) == 1 for first, _, _ in runs)
     found = Counter()
     for first, packed, counts in runs + list(trie.spill(0)):
+        assert sorted(zip(first.tolist(), packed.tolist())) == list(zip(first.tolist(), packed.tolist()))
         for f, p, n in zip(first.tolist(), packed.tolist(), counts.tolist()):
-            found[f, p >> 21, p & (1 << 21) - 1] += n
-    assert found == want
+            found[(f, *(p >> phrases._ID_BITS * k & (1 << phrases._ID_BITS) - 1 for k in reversed(range(rest))))] += n
+    assert found == want and trie.size == 0
 
 
 def test_filter_never_misses():
@@ -107,7 +119,8 @@ def test_filter_never_misses():
     table = np.zeros(1 << 4, np.uint64)
     slot = hashes >> np.uint64(54)
     np.bitwise_or.at(table, (slot >> np.uint64(6)).astype(int), np.uint64(1) << (slot & np.uint64(63)))
-    assert phrases.Filter(table).has(hashes).all()
+    known = phrases.Filter(table)
+    assert known.has(hashes).all() and all(known.has_one(int(h)) for h in hashes)
 
 
 def test_products_beyond_64_bits(spark):
