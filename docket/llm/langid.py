@@ -31,6 +31,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,8 @@ from docket.sinks.tables import materialize
 UNKNOWN = "und"
 _WORD = 256  # characters of a word that are scored together
 _CELLS = 1 << 21  # numbers (lattice nodes x languages) worked on at once
-_KEPT = 1 << 18  # words whose scores a worker keeps
+_TOGETHER = 1 << 17  # words whose lattices are built together
+_TEXT = 1 << 22  # bytes of text worked on at once
 _GRID = 33  # characters of a word, with its blank, up to which its lattice is a table
 _LEAST = 1e-280  # of a probability not in logarithms
 _FLUSH = 1 << 19  # words held before partial counts are sent on
@@ -75,9 +77,18 @@ class Pieces:
                     node = edges.setdefault((node, number[c]), len(edges) + 1)
                 ends[node] = i
         self.width = len(number) + 1
-        keys = np.array([node * self.width + j for node, j in edges] or [-1], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.child = keys[order], np.array(list(edges.values()) or [0], np.int64)[order]
+        keys = np.array([node * self.width + j for node, j in edges], np.int64)
+        # open addressing: a key stands in its slot or one of the few after it
+        self.bits = max(4, 2 * len(keys)).bit_length() + 1
+        self.keys, self.child, self.probes = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), 0
+        waiting, children = keys, np.array(list(edges.values()), np.int64)
+        while len(waiting):
+            at = self._slot(waiting, self.probes)
+            free = np.flatnonzero(self.keys[at] < 0)
+            taken, one = np.unique(at[free], return_index=True)
+            self.keys[taken], self.child[taken] = waiting[free[one]], children[free[one]]
+            left = self.keys[at] != waiting
+            waiting, children, self.probes = waiting[left], children[left], self.probes + 1
         self.roots = np.zeros(self.width, np.int64)
         for (node, j), child in edges.items():
             if not node:
@@ -86,11 +97,24 @@ class Pieces:
         for node, i in ends.items():
             self.piece[node] = i
 
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (mixed.astype(np.int64) + probe) & ((1 << self.bits) - 1)
+
     def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """Children of trie nodes (0: none)."""
         keys = nodes * self.width + chars
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.child[at], 0)
+        at = self._slot(keys, 0)
+        out = np.where(self.keys[at] == keys, self.child[at], 0)
+        open_ = np.flatnonzero((out == 0) & (self.keys[at] >= 0))
+        for probe in range(1, self.probes):
+            if not len(open_):
+                break
+            at = self._slot(keys[open_], probe)
+            found = self.keys[at] == keys[open_]
+            out[open_[found]] = self.child[at[found]]
+            open_ = open_[~found & (self.keys[at] >= 0)]
+        return out
 
 
 class Lattice:
@@ -174,29 +198,37 @@ class Lattice:
 
 
 class Grid:
-    """The lattices of words of one length in characters of the vocabulary, as one table:
-    ``pieces[start][length]`` are the pieces that start there (-1: none), one per word."""
+    """The lattices of words of one length in characters of the vocabulary: for each start and
+    end, the words with a piece there and its number."""
 
     def __init__(self, v: Pieces, chars: np.ndarray):
         self.n, self.size = chars.shape
-        self.pieces: list[list[tuple[int, np.ndarray]]] = []
+        columns = np.ascontiguousarray(chars.T)
+        self.pieces: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
         for start in range(self.size):
-            nodes, found = np.zeros(self.n, np.int64), []
+            words, nodes, found = np.arange(self.n), v.roots[columns[start]], []
             for end in range(start + 1, self.size + 1):
-                nodes = np.where(nodes > 0, v.step(nodes, chars[:, end - 1]), 0) if end > start + 1 else v.roots[chars[:, start]]
-                if not nodes.any():
+                if end > start + 1:
+                    nodes = v.step(nodes, columns[end - 1][words])
+                    on = np.flatnonzero(nodes)
+                    words, nodes = words[on], nodes[on]
+                if not len(words):
                     break
                 here = v.piece[nodes]
-                if (here >= 0).any():
-                    found.append((end, here))
+                at = np.flatnonzero(here >= 0)
+                if len(at):
+                    found.append((end, words[at], here[at]))
             self.pieces.append(found)
 
     def forward(self, p: np.ndarray) -> list[np.ndarray]:
-        """Sums over the ways to each place; ``p`` (pieces + 1, languages) ends with a row of zeros."""
+        """Sums over the ways to each place, from ``p`` (pieces, languages)."""
         ways = [np.ones((self.n, p.shape[1]))] + [np.zeros((self.n, p.shape[1])) for _ in range(self.size)]
         for start, found in enumerate(self.pieces):
-            for end, here in found:
-                ways[end] += ways[start] * p[here]
+            for end, words, here in found:
+                if len(words) == self.n:
+                    ways[end] += ways[start] * p[here]
+                else:
+                    ways[end][words] += ways[start][words] * p[here]
         return ways
 
     def expected(self, p: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,13 +237,14 @@ class Grid:
         fine = ways[-1] > _LEAST
         scale = np.where(fine, counts, 0) / np.where(fine, ways[-1], 1)
         rest = [np.zeros(self.n) for _ in range(self.size)] + [np.ones(self.n)]
-        uses = np.zeros(size + 1)
+        used, shares = [], []
         for start in reversed(range(self.size)):
-            for end, here in self.pieces[start]:
-                onward = p[here] * rest[end]
-                rest[start] += onward
-                uses += np.bincount(here + (here < 0) * (size + 1), ways[start] * onward * scale, size + 1)
-        return uses[:size], fine
+            for end, words, here in self.pieces[start]:
+                onward = p[here] * rest[end][words]
+                rest[start][words] += onward
+                used.append(here)
+                shares.append(ways[start][words] * onward * scale[words])
+        return np.bincount(np.concatenate(used), np.concatenate(shares), size), fine
 
 
 def by_length(v: Pieces, words: list[str]):
@@ -228,7 +261,7 @@ def by_length(v: Pieces, words: list[str]):
 
 
 def word_logs(v: Pieces, words: list[str], log_p: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """ln of each word's probability in each language; ``p`` is exp(log_p) and a row of zeros."""
+    """ln of each word's probability in each language; ``p`` is exp(log_p)."""
     out = np.zeros((len(words), log_p.shape[1]))
     slow = []
     for at, chars in by_length(v, words):
@@ -240,8 +273,8 @@ def word_logs(v: Pieces, words: list[str], log_p: np.ndarray, p: np.ndarray) ->
         out[at[fine]] = np.log(sums[fine])
         slow.append(at[~fine])
     rest = np.concatenate(slow) if slow else np.zeros(0, np.int64)
-    if len(rest):
-        out[rest] = Lattice(v, [words[i] for i in rest]).word_logs(log_p)
+    for part in groups([words[i] for i in rest], log_p.shape[1]):
+        out[rest[part]] = Lattice(v, [words[i] for i in rest[part]]).word_logs(log_p)
     return out
 
 
@@ -256,21 +289,25 @@ def expected_uses(v: Pieces, words: list[str], counts: np.ndarray, log_p: np.nda
         uses += found
         slow.append(at[~fine])
     rest = np.concatenate(slow) if slow else np.zeros(0, np.int64)
-    if len(rest):
-        uses += Lattice(v, [words[i] for i in rest]).expected(log_p, counts[rest])
+    for part in groups([words[i] for i in rest], 1):
+        uses += Lattice(v, [words[i] for i in rest[part]]).expected(log_p, counts[rest[part]])
     return uses
 
 
-def rates(log_p: np.ndarray) -> np.ndarray:
-    return np.concatenate((np.exp(log_p), np.zeros((1, *log_p.shape[1:]))))
-
-
-def text_words(text: str) -> list[str]:
-    """The words of a text; one of more than ``_WORD`` characters as several."""
-    found = text.split()
-    if max(map(len, found), default=0) > _WORD:
-        found = [w[i:i + _WORD] for w in found for i in range(0, len(w), _WORD)]
-    return found
+def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of some texts (a null is empty; a word of more than ``_WORD`` characters is several),
+    and the number of words of each text."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    flat = lists.flatten()
+    sizes = pc.utf8_length(flat).to_numpy()
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    if len(sizes) and sizes.max() > _WORD:
+        parts = [[w[i:i + _WORD] for i in range(0, len(w), _WORD)] for w in flat.to_pylist()]
+        text = np.repeat(text, [len(p) for p in parts])
+        flat = pa.array([x for p in parts for x in p], pa.string())
+    else:
+        flat, text = flat.filter(pa.array(sizes > 0)), text[sizes > 0]
+    return flat, np.bincount(text, minlength=len(texts))
 
 
 def groups(words: list[str], languages: int):
@@ -294,16 +331,35 @@ def count_words(batches):
                                            pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            docs[lang] += 1
-            words.setdefault(lang, Counter()).update(text_words(text.as_py() or ""))
-            if sum(map(len, words.values())) >= _FLUSH:
-                yield from itertools.starmap(rows, words.items())
-                words = {}
+        langs = batch.column(0)
+        docs.update(langs.to_pylist())
+        for lang in pc.unique(langs).to_pylist():
+            mine = batch.column(1).filter(pc.equal(langs, lang))
+            for part in runs_of(mine):
+                found = text_words(part)[0].value_counts()
+                held = words.setdefault(lang, Counter())
+                for w, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist()):
+                    held[w] += n
+                if sum(map(len, words.values())) >= _FLUSH:
+                    yield from itertools.starmap(rows, words.items())
+                    words = {}
     yield from itertools.starmap(rows, words.items())
     yield from (rows(lang, {None: n}) for lang, n in docs.items())
 
 
+def runs_of(texts: pa.Array):
+    """Runs of texts of some megabytes together; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > _TEXT:
+            yield texts[start:i]
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield texts[start:]
+
+
 _PIECES: dict[str, Pieces] = {}
 
 
@@ -322,17 +378,22 @@ def expectation(model, log_p, langs: list[str]):
         v, logs = built(model.value), log_p.value
         total = np.zeros((len(langs), v.size))
         place = {lang: i for i, lang in enumerate(langs)}
+        held: dict[str, tuple[list, list]] = {}
+
+        def settle():
+            for lang, (ws, ns) in held.items():
+                mine = np.ascontiguousarray(logs[:, place[lang]])
+                total[place[lang]] += expected_uses(v, ws, np.array(ns, np.float64), mine, np.exp(mine))
+            held.clear()
+
         for batch in batches:
-            by_lang: dict[str, tuple[list, list]] = {}
             for lang, w, n in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = by_lang.setdefault(lang, ([], []))
+                mine = held.setdefault(lang, ([], []))
                 mine[0].append(w)
                 mine[1].append(n)
-            for lang, (ws, ns) in by_lang.items():
-                counts = np.array(ns, np.float64)
-                mine = logs[:, place[lang]]
-                for part in groups(ws, 1):
-                    total[place[lang]] += expected_uses(v, ws[part], counts[part], mine, rates(mine))
+            if sum(len(ws) for ws, _ in held.values()) >= _TOGETHER:
+                settle()
+        settle()
         row, piece = np.nonzero(total)
         if len(row):
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(piece), pa.array(total[row, piece])],
@@ -377,46 +438,20 @@ def learn(docs: DataFrame, vocabulary: str = MODEL, rounds: int = 2, smoothing:
     return Model(langs, np.log(n_docs / n_docs.sum()) if langs else n_docs, log_p), (tuple(pieces), tuple(kinds))
 
 
-class Scorer:
-    """ln probabilities of words by language; a worker keeps those of the words seen of late."""
-
-    def __init__(self, v: Pieces, model: Model):
-        self.v, self.model, self.p = v, model, rates(model.log_p)
-        self._clear()
-
-    def _clear(self):
-        self.place: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.model.langs)))
-
-    def look_up(self, texts: list[list[str]]) -> list[Counter]:
-        """Counts of each text's words; all of them are in the table after this."""
-        counted = [Counter(ws) for ws in texts]
-        if len(self.place) > _KEPT:
-            self._clear()
-        new = list(dict.fromkeys(w for c in counted for w in c if w not in self.place))
-        need = len(self.place) + len(new)
-        if need > len(self.table):
-            self.table = np.concatenate((self.table, np.zeros((max(need, len(self.table)), self.table.shape[1]))))
-        for part in groups(new, len(self.model.langs)):
-            first = len(self.place)
-            self.table[first:first + len(new[part])] = word_logs(self.v, new[part], self.model.log_p, self.p)
-            for w in new[part]:
-                self.place[w] = len(self.place)
-        return counted
-
-    def posteriors(self, texts: list[list[str]]) -> np.ndarray:
-        """P(language | text) of texts given as their words."""
-        logs = np.tile(self.model.log_prior, (len(texts), 1))
-        for i, c in enumerate(self.look_up(texts)):
-            if c:
-                at = np.fromiter(map(self.place.__getitem__, c), np.int64, len(c))
-                logs[i] += np.fromiter(c.values(), np.float64, len(c)) @ self.table[at]
-        logs -= logs.max(1, keepdims=True)
-        shares = np.exp(logs)
-        return shares / shares.sum(1, keepdims=True)
-
-
-_SCORERS: dict[str, Scorer] = {}
+def posteriors(v: Pieces, model: Model, p: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """P(language | text) of each text; ``p`` is exp of the model's logarithms."""
+    flat, sizes = text_words(texts)
+    coded = flat.dictionary_encode()
+    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    table = np.concatenate([word_logs(v, words[i:i + _TOGETHER], model.log_p, p) for i in range(0, len(words), _TOGETHER)] or
+                           [np.zeros((0, len(model.langs)))])
+    logs = np.tile(model.log_prior, (len(texts), 1))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        logs[some] += np.add.reduceat(table[at], (np.cumsum(sizes) - sizes)[some])
+    logs -= logs.max(1, keepdims=True)
+    shares = np.exp(logs)
+    return shares / shares.sum(1, keepdims=True)
 
 
 def predict(docs: DataFrame, model: Model, vocabulary: tuple, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -424,34 +459,21 @@ def predict(docs: DataFrame, model: Model, vocabulary: tuple, keep: tuple[str, .
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast((model, vocabulary))
-    key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}"
 
     def run(batches):
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(built(shared.value[1]), shared.value[0])
-        scorer = _SCORERS[key]
-        langs = scorer.model.langs
+        model, vocabulary = shared.value
+        v, p, langs = built(vocabulary), np.exp(model.log_p), np.array([*model.langs, UNKNOWN], object)
         for batch in batches:
             done = 0
-            while done < batch.num_rows:  # some megabytes of text at once
-                texts, size = [], 0
-                while done + len(texts) < batch.num_rows and size < 1 << 21:
-                    t = batch.column(0)[done + len(texts)].as_py() or ""
-                    size += len(t)
-                    texts.append(t)
-                told = [bool(langs) and any(map(str.isalpha, t)) for t in texts]
-                pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                if any(told):
-                    at = np.flatnonzero(told)
-                    shares = scorer.posteriors([text_words(texts[i]) for i in at])
-                    best = shares.argmax(1)
-                    score[at] = shares[np.arange(len(at)), best]
-                    for i, b in zip(at, best):
-                        pred[i] = langs[b]
+            for texts in runs_of(batch.column(0)):
+                told = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
+                best, score = np.full(len(texts), len(model.langs)), np.zeros(len(texts))
+                if model.langs and told.any():
+                    shares = posteriors(v, model, p, texts.filter(pa.array(told)))
+                    best[told], score[told] = shares.argmax(1), shares.max(1)
                 rows = slice(done, done + len(texts))
                 done += len(texts)
-                yield pa.RecordBatch.from_arrays([*[c[rows] for c in batch.columns[1:]], pa.array(pred, pa.string()),
+                yield pa.RecordBatch.from_arrays([*[c[rows] for c in batch.columns[1:]], pa.array(langs[best], pa.string()),
                                                   pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)

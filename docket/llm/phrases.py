@@ -5,7 +5,7 @@ trie over ids whose leaves are hash containers of the remaining ids, packed into
 integer. Below the root a container is hybrid: it serves 64 first ids. A container that
 outgrows ``burst`` entries becomes a trie node with one container per next id. When a
 task's tries hold more than ``entries`` sequences, the largest subtrees are spilled whole,
-each as a run sorted by ids. Runs are merged per prefix partition: rows are dealt by
+each as a run of phrases sorted by words. Runs are merged per prefix partition: rows are dealt by
 the hash of all words but the last and of a 64th of the last words, so that the subtree of a
 very common prefix is merged in 64 places.
 
@@ -25,6 +25,7 @@ words before it; an empty table gives an empty table; ids and other columns are
 
 from __future__ import annotations
 
+from collections import Counter
 from operator import itemgetter
 
 import numpy as np
@@ -211,19 +212,22 @@ class Counts:
 
     def _start(self) -> None:
         self.ids = Ids(self.lang, self.known if self.lengths == (2,) else None)
-        # single words stand in one container, below a first id of 0
-        self.tries = {n: HatTrie(n - 1, self.burst) if n > 1 else HatTrie(1, self.burst, 40) for n in self.lengths}
+        self.words: Counter = Counter()  # lengths (1,): one container of words, without numbers
+        self.tries = {n: HatTrie(n - 1, self.burst) for n in self.lengths if n > 1}
         self.hashes = np.zeros(1, np.uint64)
 
     def size(self) -> int:
-        return sum(t.size for t in self.tries.values())
+        return len(self.words) + sum(t.size for t in self.tries.values())
 
     def add(self, text: bytes, continued: bool = False):
         """Count a text (or the next part of one), yielding what has to be spilled for it."""
         most = max(self.lengths)
+        if most == 1:
+            self.words.update(tokens(text))
+            return
         carried = len(self.tail) if continued else 0
         ws = self.tail + tokens(text) if continued else tokens(text)
-        self.tail = ws[max(0, len(ws) - most + 1):] if most > 1 else []
+        self.tail = ws[max(0, len(ws) - most + 1):]
         for i in range(0, len(ws), _WINDOW):
             if len(self.ids.words) > _IDS:
                 yield from self.spill()
@@ -232,9 +236,6 @@ class Counts:
     def _count(self, ids: np.ndarray, carried: int) -> None:
         """Count the sequences that start in this window, but those within the first ``carried`` words."""
         starts = np.flatnonzero(ids[:_WINDOW])
-        if 1 in self.tries:
-            self.tries[1].add(np.zeros(len(starts), np.int64), ids[starts])
-            return
         padded = np.append(ids, [0] * max(self.lengths))
         pairs = starts[padded[starts + 1] > 0]
         if 2 in self.tries:
@@ -255,28 +256,39 @@ class Counts:
             self.tries[n].add(ids[new], packed)
 
     def spill(self, leave: int = 0):
-        """Runs ``(part, lang, phrase, words, n)`` of the subtrees spilled, until ``leave`` entries are left."""
-        words, hashes = pa.array(self.ids.words, pa.binary()), np.array(self.ids.hashes, np.uint64)
+        """Runs ``(part, key, n)`` of the subtrees spilled, until ``leave`` entries are left; a key is ``lang``, a line end, phrase."""
+        lead = pa.scalar(self.lang.encode() + b"\n", pa.binary())
+
+        def rows(part, phrase, counts):
+            key = pc.binary_join_element_wise(lead, phrase, b"").cast(pa.string())
+            part, counts = pa.array((part >> _U(33)).astype(np.int32)), pa.array(counts)
+            for i in range(0, len(key), _OUT):
+                each = slice(i, i + _OUT)
+                yield pa.RecordBatch.from_arrays([part[each], key[each], counts[each]], names=["part", "key", "n"])
+
+        if self.words:
+            self.words.pop(_BREAK, None)
+            seed = language_seed(self.lang)
+            hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], np.uint64)
+            yield from rows(hashes, pa.array(list(self.words), pa.binary()), list(self.words.values()))
+            self.words = Counter()
+        words, hashes, rank = pa.array(self.ids.words, pa.binary()), np.array(self.ids.hashes, np.uint64), None
         for n, trie in self.tries.items():
             runs = list(trie.spill(leave * trie.size // max(1, self.size())))
             if not runs:
                 continue
+            if rank is None:  # places of the words in their order
+                rank = np.empty(len(words), np.int64)
+                rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
             first, packed, counts = (np.concatenate(x) for x in zip(*runs))
-            path = [packed >> (_ID_BITS * k) & ((1 << _ID_BITS) - 1) for k in reversed(range(n - 1))]
-            path = [first, *path] if n > 1 else [packed]
-            last = hashes[path[-1]]
-            part = mixed(sequence_hash([hashes[x] for x in path[:-1]]) + (last >> _U(58))) if n > 1 else last
+            path = [first, *(packed >> (_ID_BITS * k) & ((1 << _ID_BITS) - 1) for k in reversed(range(n - 1)))]
+            order = np.argsort(rank[path[0]] << _ID_BITS | rank[path[1]])
+            path, counts = [x[order] for x in path], counts[order]
+            part = mixed(sequence_hash([hashes[x] for x in path[:-1]]) + (hashes[path[-1]] >> _U(58)))
             phrase = words.take(pa.array(path[0]))
             for ids in path[1:]:
                 phrase = pc.binary_join_element_wise(phrase, words.take(pa.array(ids)), b" ")
-            phrase = phrase.cast(pa.string())
-            part, counts = pa.array((part >> _U(33)).astype(np.int32)), pa.array(counts)
-            for i in range(0, len(phrase), _OUT):
-                rows = slice(i, i + _OUT)
-                size = len(phrase[rows])
-                yield pa.RecordBatch.from_arrays(
-                    [part[rows], pa.array([self.lang] * size, pa.string()), phrase[rows], pa.array([n] * size, pa.int32()), counts[rows]],
-                    names=["part", "lang", "phrase", "words", "n"])
+            yield from rows(part, phrase, counts)
         if not leave:
             self._start()
 
@@ -363,8 +375,12 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30, entries: int = 1 << 2
     found, table, totals = [], None, None
     for lengths in STEPS:
         runs = docs.select("lang", "text").mapInArrow(
-            count_sequences(lengths, table, entries, burst), "part int, lang string, phrase string, words int, n long")
-        merged = runs.repartition("part").groupBy("part", "lang", "phrase", "words").agg(F.sum("n").alias("a")).drop("part")
+            count_sequences(lengths, table, entries, burst), "part int, key string, n long")
+        merged = runs.repartition("part").groupBy("part", "key").agg(F.sum("n").alias("a"))
+        lang = F.regexp_extract("key", r"(?s)^(.*)\n", 1)  # a phrase has no line end
+        phrase = F.substring_index("key", "\n", -1)
+        gaps = F.octet_length("phrase") - F.octet_length(F.replace("phrase", F.lit(" "), F.lit("")))
+        merged = merged.select(lang.alias("lang"), phrase.alias("phrase"), "a").select("lang", "phrase", (gaps + 1).alias("words"), "a")
         if lengths == (1,):
             every = materialize(merged, "phrase-words")
             totals = materialize(every.groupBy("lang").agg(F.sum("a").alias("n")), "phrase-totals")

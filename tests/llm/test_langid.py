@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docket.llm import langid
@@ -42,7 +43,7 @@ WORDS = ["abc", "a", "", "cab", "éab", "xéñ", "abcabcabc", "𐍈a"]
 
 def test_forward_sums_all_segmentations(log_p):
     v = langid.Pieces(PIECES, KINDS)
-    got = langid.Lattice(v, WORDS).word_logs(log_p), langid.word_logs(v, WORDS, log_p, langid.rates(log_p))
+    got = langid.Lattice(v, WORDS).word_logs(log_p), langid.word_logs(v, WORDS, log_p, np.exp(log_p))
     for w, *rows in zip(WORDS, *got):
         want = [math.log(sum(math.exp(log_p[s, k].sum()) for s in segmentations(w))) for k in range(3)]
         assert np.allclose(rows[0], want) and np.allclose(rows[1], want)
@@ -51,16 +52,16 @@ def test_forward_sums_all_segmentations(log_p):
 def test_a_product_that_underflows(log_p):
     v, low = langid.Pieces(PIECES, KINDS), log_p - 40
     words, counts = ["ab" * 8, "abc", "ab" * 200], np.array([2.0, 1.0, 3.0])
-    assert np.allclose(langid.word_logs(v, words, low, langid.rates(low)), langid.Lattice(v, words).word_logs(low))
+    assert np.allclose(langid.word_logs(v, words, low, np.exp(low)), langid.Lattice(v, words).word_logs(low))
     one = low[:, 0]
-    assert np.allclose(langid.expected_uses(v, words, counts, one, langid.rates(one)), langid.Lattice(v, words).expected(one, counts))
+    assert np.allclose(langid.expected_uses(v, words, counts, one, np.exp(one)), langid.Lattice(v, words).expected(one, counts))
 
 
 def test_expected_uses(log_p):
     counts = np.arange(1, len(WORDS) + 1, dtype=float)
     v = langid.Pieces(PIECES, KINDS)
     got = langid.Lattice(v, WORDS).expected(log_p[:, 1], counts)
-    assert np.allclose(got, langid.expected_uses(v, WORDS, counts, log_p[:, 1], langid.rates(log_p[:, 1])))
+    assert np.allclose(got, langid.expected_uses(v, WORDS, counts, log_p[:, 1], np.exp(log_p[:, 1])))
     want = np.zeros(len(PIECES))
     for w, n in zip(WORDS, counts):
         ways = [(s, math.exp(log_p[s, 1].sum())) for s in segmentations(w)]
@@ -111,6 +112,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
 
 
-def test_long_words_cost_in_proportion():
-    assert langid.text_words("x" * 1000 + " y") == ["x" * 256] * 3 + ["x" * 232, "y"]
-    assert "".join(langid.text_words("ab" * 5000)) == "ab" * 5000
+def test_long_words_are_several():
+    flat, sizes = langid.text_words(pa.array(["x" * 1000 + " y", None, " \t", "a\u2003b\n c ", "ab" * 5000]))
+    assert flat.to_pylist()[:5] == ["x" * 256] * 3 + ["x" * 232, "y"] and flat.to_pylist()[5:8] == ["a", "b", "c"]
+    assert sizes.tolist() == [5, 0, 0, 3, 40] and "".join(flat.to_pylist()[8:]) == "ab" * 5000
+
+
+def test_trie_steps():
+    v = langid.Pieces(PIECES, KINDS)
+    symbol = lambda c: np.array([v.char[ord(c)]], np.int64)
+    for word in ("abc", "▁ab", "bc"):
+        node = np.zeros(1, np.int64)
+        for c in word:
+            node = v.step(node, symbol(c))
+        assert v.piece[node[0]] == PIECES.index(word)
+    assert v.step(v.step(np.zeros(1, np.int64), symbol("b")), symbol("a"))[0] == 0
