@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from docket.functions.captions import FULL as FULL_CITATION
+
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -34,16 +36,10 @@ class Lexicon:
     contra_terms: tuple[str, ...] = ("recognized the tort", "we recognize", "is a tort")
     # Opinions decided before this year "predate" the anchor decision.
     anchor_year: int = 2015
-    # Blue Book case citation: Name v. Name, volume reporter page (court year), or with a docket
-    # number and full date before the reporter: 2014-2362 (La. 6/30/15), 172 So. 3d 607.
-    citation_pattern: str = (
-        r"[A-Z][A-Za-z0-9.'&-]*(?:,? (?:[A-Z][A-Za-z0-9.'&-]*|of|the|and|for|ex|rel\.|&))*"
-        r" v\. [A-Z][A-Za-z0-9.'&-]*(?:,? (?:[A-Z][A-Za-z0-9.'&-]*|of|the|and|for|ex|rel\.|&))*,"
-        r" (?:[0-9]+-[A-Z0-9-]+ \([A-Z][A-Za-z0-9. ]* [0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\),"
-        r" [0-9]+ (?:So\.|S\.W\.|S\.E\.|N\.E\.|N\.W\.|A\.|P\.) ?[23]?d? ?[0-9]+"
-        r"|[0-9]+ (?:So\. ?[23]d|So\.|F\. ?Supp\. ?[23]d|F\. ?Supp\.|F\. ?[23]d|F\. ?4th|F\.|U\.S\.|S\. ?Ct\.)"
-        r" [0-9]+(?:, [0-9]+)? \((?:[A-Z0-9][A-Za-z0-9. ]* )?[0-9]{4}\))"
-    )
+    # Blue Book case citation: any known reporter, docket and database numbers, parallel reporters.
+    citation_pattern: str = FULL_CITATION
+    # A case without a citation line is named by its header block (court, docket, parties, date).
+    case_headers: bool = True
     # Quote delimiters for E07; straight quotes: ('"', '"'), which keep to one line.
     quote_open: str = "“"
     quote_close: str = "”"
@@ -67,6 +63,7 @@ FIXTURE_LEXICON = Lexicon(
     support_terms=("thing", "erble", "ering"),
     contra_terms=("attion", "oning"),
     anchor_year=2015,
+    case_headers=False,
     citation_pattern=(
         r"[A-Z][A-Za-z0-9]* v\. [A-Z][A-Za-z0-9]*, [0-9]+ So\. [23]d [0-9]+ \(La\. [0-9]{4}\)"
     ),

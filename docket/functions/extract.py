@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docket.config import Lexicon
+from docket.functions.captions import citation_year, without_signal
 from docket.functions.text import (
     SENTENCE_SPLIT,
     STAR_PAGE,
@@ -34,15 +35,13 @@ def empty_strings() -> Column:
 
 def citation(text: Column, lex: Lexicon) -> Column:
     """The Blue Book citation of the caption line (see ``caption_pattern``), or null."""
-    return F.nullif(F.regexp_extract(text, caption_pattern(lex.citation_pattern), 1), F.lit(""))
+    found = F.regexp_extract(text, caption_pattern(lex.citation_pattern), 1)
+    return F.nullif(without_signal(found) if lex.case_headers else found, F.lit(""))
 
 
 def decision_year(cite: Column) -> Column:
     """E11 helper: the year closing the citation's parenthesis, or that of the full date in it."""
-    closing = F.nullif(F.regexp_extract(cite, r"([0-9]{4})\)$", 1), F.lit("")).try_cast("int")
-    dated = F.nullif(F.regexp_extract(cite, r"/([0-9]{2,4})\)", 1), F.lit("")).try_cast("int")
-    century = F.when(dated >= 100, 0).when(dated >= 50, 1900).otherwise(2000)
-    return F.coalesce(closing, dated + century)
+    return citation_year(cite)
 
 
 def predates(cite: Column, lex: Lexicon) -> Column:
@@ -143,7 +142,8 @@ def key_points(topic_sents: Column) -> Column:
 
 def cited_cases(text: Column, own: Column, lex: Lexicon) -> Column:
     """Distinct citations anywhere in the text except the case's own."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(lex.citation_pattern), 0))
+    found = F.regexp_extract_all(text, F.lit(lex.citation_pattern), 0)
+    found = F.array_distinct(F.transform(found, without_signal) if lex.case_headers else found)
     return F.when(own.isNull(), found).otherwise(F.array_remove(found, own))
 
 

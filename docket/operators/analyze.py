@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docket.config import Lexicon
 from docket.functions import extract as X
+from docket.functions.captions import header_block, header_citation, header_lines, parse_header
 from docket.functions.text import count_terms, term_count_pattern, without_caption
 from docket.schema import ANALYSIS_FIELDS
 
@@ -44,6 +45,14 @@ class RuleAnalyzer:
         df = df.withColumn("_cite", X.citation(t, lex))
         # The caption line is not prose.
         df = df.withColumn("_body", F.when(F.col("_cite").isNotNull(), without_caption(t, lex.citation_pattern)).otherwise(t))
+        if lex.case_headers:  # a case without a citation line may name itself in a header block, which is not prose either
+            block = F.when(F.col("_cite").isNull(), F.nullif(header_block(t), F.lit("")))
+            df = df.withColumn("_block", block)
+            df = df.withColumn("_header", F.when(F.col("_block").isNotNull(), parse_header(header_lines(F.col("_block")))))
+            df = df.withColumn("_named", header_citation(F.col("_header")))
+            rest = F.expr(f"substr(`{text}`, char_length(_block) + 1)")
+            df = df.withColumn("_body", F.when(F.col("_named").isNotNull(), rest).otherwise(F.col("_body")))
+            df = df.withColumn("_cite", F.coalesce("_cite", "_named"))
         df = df.withColumn("_lt", F.lower("_body"))
         df = self._evidence(df, F.col("_lt"))
         df = df.withColumn("_topic_sents", X.topic_sentences(F.col("_body"), F.col("_has_topic"), lex))

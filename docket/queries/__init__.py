@@ -9,6 +9,9 @@ QUERIES = {
     "relevance_support_matrix": catalog.relevance_support_matrix,
     "candidate_filter": catalog.candidate_filter,
     "case_citation": catalog.case_citation,
+    "caption_forms": catalog.caption_forms,
+    "citation_references": catalog.citation_references,
+    "quote_grounding": catalog.quote_grounding,
     "case_summary": catalog.case_summary,
     "key_points": catalog.key_points,
     "cited_cases": catalog.cited_cases,

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from docket.config import FIXTURE_LEXICON, Config
 from docket.functions import extract as X
+from docket.functions.captions import with_caption
 from docket.operators.analyze import RuleAnalyzer, analysis_struct, missing_fields, missing_without
 from docket.operators import route
+from docket.operators.grounding import ground
 from docket.operators.infer import FaultInjectingClient, StubClient, infer
 from docket.operators.metrics import batch_stats as metric_batch_stats
 from docket.operators.metrics import failure_listing, run_summary
 from docket.operators.requests import PromptTemplate, batches, model_params, render, requests_table
+from docket.operators.references import references
 from docket.operators.validate import validate
 from docket.queries.shapes import SHAPES, response_sql
 from docket.operators.report import report_lines
@@ -25,6 +28,7 @@ from docket.schema import RELEVANCE_LEVELS, SUPPORT_LEVELS
 from docket.session import shared_dir
 from docket.sinks.reports import read_reports, write_reports
 from docket.sinks.tables import materialize
+from docket.sources.captions import captioned, referenced
 from docket.sources.documents import cases, documents
 from docket.sources.docx import read_docx_folder, write_docx_corpus
 
@@ -58,6 +62,34 @@ def case_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def caption_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citation, docket, court and year under some fifty forms of citation lines and header blocks."""
+    return with_caption(captioned(spark, sf_dir)).select(
+        "doc_id", "caption.form", F.col("caption.citation").alias("blue_book_citation"), "caption.docket", "caption.court",
+        F.col("caption.year").cast("bigint").alias("decision_year"))
+
+
+def citation_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reference to a case, back-references resolved to the full citation, with the page pointed at."""
+    return references(referenced(spark, sf_dir))
+
+
+# What a model may do to a quote: leave it, change its first word, give another page, make it up.
+def _planted_answer(q, i):
+    kind = F.pmod(F.col("doc_id") + i, F.lit(4))
+    words = F.when(kind == 1, F.concat(F.lit("zzzz "), F.regexp_replace(q["quote"], r"^[^ ]* ?", ""))).when(
+        kind == 3, F.reverse(q["quote"])).otherwise(q["quote"])
+    return F.struct(words.alias("quote"), F.when((kind == 2) & q["page"].isNotNull(), "9999").otherwise(q["page"]).alias("page"))
+
+
+def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E07 + E12: the quotes of answers (true, altered, on a wrong page, made up) against the text."""
+    c = X.with_quotes(cases(spark, sf_dir), "text", "records")
+    answers = c.select("doc_id", "text", F.transform("records", _planted_answer).alias("quotes"))
+    g = ground(answers).select("doc_id", F.posexplode_outer("grounding").alias("quote_no", "g")).where(F.col("quote_no").isNotNull())
+    return g.select("doc_id", F.col("quote_no").cast("bigint").alias("quote_no"), "g.status", "g.page", F.round("g.coverage", 4).alias("coverage"))
+
+
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ANALYZER.fields(cases(spark, sf_dir), keep_private=True)
 

@@ -28,6 +28,7 @@ from docket.queries.oracle import (
     sentences_sql,
 )
 from docket.queries.shapes import SHAPES, response_sql
+from docket.sources.captions import expected_sql, references_sql
 from docket.schema import ANALYSIS_FIELDS, LIST_FIELDS, STRING_FIELDS
 
 SPINE = """spine(relevance_level, support_level) as (
@@ -99,7 +100,39 @@ select doc_id, len(sents)::bigint as n_sentences,
 from s
 """
 
+_WORDED = r"trim(regexp_replace(lower(%s), '[^\p{L}\p{N}]+', ' ', 'g'))"
+_RUNS = "list_distinct(list_transform(range(1, greatest(len(%s) - 3, 1) + 1), lambda k: array_to_string(%s[k:k + 3], ' ')))"
+
+# The page in force where a quote begins, from the position of the quote in the words of the text.
+QUOTE_GROUNDING = f"""
+with c as ({cases_source()}),
+{quote_rows_sql('c')},
+numbered as (select *, row_number() over (partition by doc_id order by opens) - 1 as no from qrows),
+asked as (select doc_id, no, case (doc_id + no) % 4 when 1 then 'zzzz ' || regexp_replace(quote, '^[^ ]* ?', '') when 3 then reverse(quote) else quote end as quote,
+                 case when (doc_id + no) % 4 = 2 and page is not null then '9999' else page end as page, page as true_page from numbered),
+source as (select doc_id, ' ' || {_WORDED % "regexp_replace(regexp_replace(text, '([^*]|^)[*][0-9]+', '\\1 ', 'g'), '([^*]|^)[*][0-9]+', '\\1 ', 'g')"} || ' ' as words,
+           list_transform(regexp_extract_all(text, '(?:^|[^*])[*]([0-9]+)', 1), lambda p: p) as pages,
+           list_transform(string_split(regexp_replace(text, '(^|[^*])[*][0-9]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_WORDED % 'x'}) as stretches from c),
+worded as (select a.*, {_WORDED % 'quote'} as q, s.words, s.pages, s.stretches from asked a join source s using (doc_id)),
+told as (select *, q <> '' and contains(words, ' ' || q || ' ') as found, string_split(q, ' ') as qs from worded),
+shared as (
+  select t.doc_id, t.no, len(list_intersect({_RUNS % ('t.qs', 't.qs')}, s.runs)) / len({_RUNS % ('t.qs', 't.qs')}) as share
+  from told t join (select doc_id, {_RUNS % ("string_split(trim(words), ' ')", "string_split(trim(words), ' ')")} as runs from source
+                    where doc_id in (select doc_id from told where not found)) s using (doc_id) where not t.found),
+starts as (select doc_id, no, list_filter(list_transform(range(1, len(stretches) + 1), lambda k: {{'page': pages[k - 1],
+             'here': stretches[k], 'at': strpos(' ' || array_to_string(list_filter(stretches[k:], lambda x: x <> ''), ' ') || ' ', ' ' || q || ' ')}}),
+             lambda r: r.here <> '' and r.at between 1 and length(r.here) + 1) as places
+           from told where found and page is not null)
+select doc_id, no::bigint as quote_no, case when found then 'found' when share >= 0.5 and q <> '' then 'altered' else 'missing' end as status,
+       case when page is null then 'none' when found and len(list_filter(places, lambda r: r.page = told.page)) > 0 then 'right' when found then 'wrong' end as page,
+       round(case when found then 1.0 when q = '' then 0.0 else share end, 4)::double as coverage
+from told left join shared using (doc_id, no) left join starts using (doc_id, no)
+"""
+
 ORACLE = {
+    "caption_forms": expected_sql(),
+    "citation_references": references_sql(),
+    "quote_grounding": QUOTE_GROUNDING,
     "relevance_support_matrix": RELEVANCE_SUPPORT_MATRIX,
     "candidate_filter": CANDIDATE_FILTER,
     "case_citation": CASE_CITATION,
