@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docket.llm.common import words
+from docket.llm.common import Scratch, words
 from docket.sinks.tables import materialize
 
 
@@ -88,10 +88,11 @@ def variants(candidates: DataFrame, min_words: int) -> DataFrame:
         "key", "pos", "v.*")
 
 
-def near_links(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
+def near_links(docs: DataFrame, distinct: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     """``(key, near)``: the earliest verified near copy before each of the distinct lines ``(key, pos, halves)``.
 
     ``docs`` has columns doc_id and text; it is read again for the words of the candidates alone.
+    What is returned reads the tables of ``scratch``.
     """
     halves = distinct.select("key", "pos", F.explode("halves").alias("half"))
     # two keys differ in one of their numbers at least; numbers, unlike structs, are aggregated by hash
@@ -108,11 +109,11 @@ def near_links(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFram
     found = found.select("doc_id", "text_hash", "all", F.explode("lines").alias("x")).select(
         F.struct("doc_id", "text_hash", "x.line_no").alias("pos"), "x.key", F.expr("all[x.line_no]").alias("line"))
     found = found.select("key", "pos", words(F.col("line")).alias("ws")).dropDuplicates(["key"])  # of repeated rows
-    candidates = materialize(found, "line-candidates")
-    emitted = materialize(variants(candidates, min_words), "line-variants")
+    candidates = scratch.write(found, "line-candidates")
+    emitted = scratch.write(variants(candidates, min_words), "line-variants")
 
     first = emitted.groupBy("variant", "at").agg(F.min(F.struct("pos", "key")).alias("first"), F.count("*").alias("n"))
-    first = materialize(first, "line-firsts")
+    first = scratch.write(first, "line-firsts")
     replaced = emitted.join(first.filter("at >= 0 and n > 1").select("variant", "at", "first"), ["variant", "at"])
     by_variant = first.groupBy("variant").agg(
         F.min(F.when(F.col("at") < 0, F.col("first"))).alias("whole"),
@@ -143,13 +144,15 @@ def decide(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", tex
     """One row per line: ``(pos, key, first, near, kept)``; ``first`` is the earliest equal line."""
     min_words = max(2, math.ceil(1 / (1 - similarity) - 1e-9)) if similarity < 1 else 1 << 30
     lines = materialize(text_lines(docs, min_words, id_col, text_col), "lines")
-    distinct = materialize(
+    scratch = Scratch(docs.sparkSession)
+    distinct = scratch.write(
         lines.filter("key is not null").groupBy("key").agg(F.min("pos").alias("pos"), F.first("halves").alias("halves")),
         "lines-distinct")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     verdict = materialize(
-        distinct.select("key", F.col("pos").alias("first")).join(near_links(slim, distinct, min_words), "key", "left"),
+        distinct.select("key", F.col("pos").alias("first")).join(near_links(slim, distinct, min_words, scratch), "key", "left"),
         "line-verdicts")
+    scratch.drop()  # what follows reads lines and verdicts alone
     return lines.select("pos", "key").join(verdict, "key", "left").select(
         "pos", "key", "first", "near",
         (F.col("key").isNull() | ((F.col("pos") == F.col("first")) & F.col("near").isNull())).alias("kept"))
