@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ from docket.session import ship_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_BATCH = 1 << 19  # characters (or ids) worked on at once
+_BATCH = 3 << 17  # characters (or ids) worked on at once
 _SHORT = 200  # characters of a unit up to which plain sums stay in range
 _BYTES = -2  # in place of a piece: the character's UTF-8 bytes
 _NONE = -1e30
@@ -428,16 +429,14 @@ class Search:
         return out, counts
 
 
-def text_batches(texts, keys):
-    held, size, begin = [], 0, 0
-    for i, t in enumerate(texts):
-        held.append(t)
-        size += len(t) + 1
-        if size >= _BATCH:
-            yield begin, held, keys[begin:i + 1]
-            held, size, begin = [], 0, i + 1
-    if held:
-        yield begin, held, keys[begin:]
+def text_batches(column: pa.Array, keys: np.ndarray):
+    """Runs of texts of bounded length, taken from Arrow one run at a time; null is empty."""
+    size, begin = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(column), 0).to_pylist()):
+        size += n + 1
+        if size >= _BATCH or i == len(column) - 1:
+            yield begin, [t or "" for t in column[begin:i + 1].to_pylist()], keys[begin:i + 1]
+            size, begin = 0, i + 1
 
 
 def segmentations(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed: int):
@@ -472,8 +471,7 @@ def encode(docs: DataFrame, samples: int = 2, seed: int = 42, alpha: float = 0.3
         v = built(shared, key)
         for batch in batches:
             keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            texts = [t or "" for t in batch.column(width).to_pylist()]
-            for begin, part, part_keys in text_batches(texts, keys):
+            for begin, part, part_keys in text_batches(batch.column(width), keys):
                 for rows, rank, ids, counts, log_prob, inclusion in segmentations(v, part, part_keys, samples, seed):
                     take = pa.array(rows + begin)
                     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
