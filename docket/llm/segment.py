@@ -429,8 +429,9 @@ class Search:
         return out, counts
 
 
-def text_batches(column: pa.Array, keys: np.ndarray):
+def text_batches(texts, keys: np.ndarray):
     """Runs of texts of bounded length, taken from Arrow one run at a time; null is empty."""
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     size, begin = 0, 0
     for i, n in enumerate(pc.fill_null(pc.utf8_length(column), 0).to_pylist()):
         size += n + 1
