@@ -85,6 +85,9 @@ class Config:
     # at least the default parallelism). Small tasks bound the calls a lost executor repeats.
     inference_partitions: int | None = None
     requests_per_task: int = 500
+    # Tasks of one wave of the work queue: a job never plans more, whatever the number of requests,
+    # and a run that is killed repeats at most its last wave.
+    tasks_per_wave: int = 10_000
     # Rows per Arrow batch handed to Python (large texts: keep it small).
     arrow_batch_rows: int = 64
     template_id: str = "default-v1"
@@ -95,7 +98,7 @@ class Config:
             raise ValueError("max_retries must be >= 0")
         if self.retry_delay_s < 0:
             raise ValueError("retry_delay_s must be >= 0")
-        if self.max_concurrent_requests < 1 or self.threads_per_task < 1:
+        if min(self.max_concurrent_requests, self.threads_per_task, self.requests_per_task, self.tasks_per_wave) < 1:
             raise ValueError("concurrency settings must be >= 1")
 
     @property

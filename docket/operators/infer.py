@@ -32,7 +32,7 @@ from docket.session import ship_package
 
 RESPONSE_DDL = (
     "filename string, request_key string, response string, error string,"
-    " attempts int, waited_ms bigint, latency_s double"
+    " attempts int, waited_ms bigint, latency_s double, began_s double"
 )
 
 
@@ -121,10 +121,10 @@ def _partition_fn(client_factory: ClientFactory, config: Config, template: Promp
         number = itertools.count()
 
         def flush():
-            cols = ["filename", "request_key", "response", "error", "attempts", "waited_ms", "latency_s"]
+            cols = ["filename", "request_key", "response", "error", "attempts", "waited_ms", "latency_s", "began_s"]
             frame = pd.DataFrame(done, columns=cols)
             done.clear()
-            return frame.astype({"attempts": "int32", "waited_ms": "int64", "latency_s": "float64"})
+            return frame.astype({"attempts": "int32", "waited_ms": "int64", "latency_s": "float64", "began_s": "float64"})
 
         def start(job: dict):
             job["attempts"] += 1
@@ -149,7 +149,7 @@ def _partition_fn(client_factory: ClientFactory, config: Config, template: Promp
                     continue
                 done.append((job["filename"], job["key"], None if error else future.result(),
                              f"Failed after {m} retries: {error}" if error else None, job["attempts"], job["waited"],
-                             time.monotonic() - job["began"]))
+                             time.monotonic() - job["began"], job["began_at"]))
 
         try:
             for pdf in batches:
@@ -157,7 +157,7 @@ def _partition_fn(client_factory: ClientFactory, config: Config, template: Promp
                     req = {"filename": fn, "model": config.model_name,
                            "messages": template.messages(text or ""), **params}
                     start({"filename": fn, "key": key, "request": req, "attempts": 0, "waited": 0,
-                           "began": time.monotonic()})
+                           "began": time.monotonic(), "began_at": time.time()})
                     # bounded window: at most 2 x threads requests in memory per task
                     while len(running) + len(backing_off) >= 2 * threads:
                         settle()

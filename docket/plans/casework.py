@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from docket.config import Config
 from docket.operators.analyze import Analyzer, RuleAnalyzer
 from docket.operators.infer import RESPONSE_DDL, ClientFactory, infer
-from docket.operators.metrics import batch_stats, failure_listing
+from docket.operators.metrics import batch_intervals, failure_listing
 from docket.operators.report import report_lines
 from docket.operators.requests import PromptTemplate, batches, requests_table
 from docket.operators.route import is_failure, split_results
 from docket.operators.validate import validate
+from docket.session import shared_dir
 from docket.sinks.reports import write_reports
 from docket.sinks.tables import materialize
 
@@ -59,6 +60,11 @@ def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _read_store(spark: SparkSession, store: str) -> DataFrame:
+    """A response store; files written before a column was added have nulls there."""
+    return spark.read.schema(RESPONSE_DDL).parquet(store)
+
+
 def _rank() -> Column:
     """Order among the answers to one key: a success first, then the content, so reads agree."""
     ok = F.when(F.col("error").isNull(), 1).otherwise(0)
@@ -72,7 +78,7 @@ def best_answers(stored: DataFrame) -> DataFrame:
     """
     return stored.groupBy("request_key").agg(
         F.max_by(
-            F.struct("response", "error", "attempts", "waited_ms", "latency_s"),
+            F.struct(*[c for c in ("response", "error", "attempts", "waited_ms", "latency_s", "began_s") if c in stored.columns]),
             _rank(),
         ).alias("a")
     )
@@ -85,7 +91,7 @@ def compact_store(spark: SparkSession, store: str, target: str) -> DataFrame:
     response store; the compacted copy has one row per key. Nothing is deleted:
     point later runs at ``target``.
     """
-    stored = spark.read.parquet(store)
+    stored = _read_store(spark, store)
     others = [c for c in stored.columns if c != "request_key"]
     best = stored.groupBy("request_key").agg(
         F.max_by(F.struct(*others), _rank()).alias("a")
@@ -107,22 +113,21 @@ def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, s
     target = keys if keys is not None else requests
     # one file per key is picked on narrow rows, and only the texts to be asked about move
     wanted = target.groupBy("request_key").agg(F.min("filename").alias("filename"))
-    stored = _read_if_exists(spark, store)
+    stored = None if _read_if_exists(spark, store) is None else _read_store(spark, store)
     if stored is not None:
         done = stored.where(F.col("error").isNull()).select("request_key")
         wanted = wanted.join(done, "request_key", "left_anti")
     file = F.coalesce("filename", F.lit("")).alias("_file")
-    todo = requests.select("filename", "text", "request_key", file).join(
-        wanted.select("request_key", file), ["_file", "request_key"], "left_semi")
-    todo = todo.dropDuplicates(["_file", "request_key"]).drop("_file")  # of repeated rows; dealt out as the join is
-    # the work queue is written: its size sets the task count, and a retried
-    # inference task re-reads its slice instead of recomputing the anti-join
-    obs = Observation("todo")
-    todo = materialize(todo, "todo", None, "parquet", obs, F.count(F.lit(1)).alias("n"))
+    # the keys to ask for are written: their number sets the waves and their tasks
+    obs = Observation("wanted")
+    wanted = materialize(wanted, "wanted", None, "parquet", obs, F.count(F.lit(1)).alias("n"))
     n_todo = int(obs.get["n"])
     if n_todo:
-        infer(todo, client_factory, config, template, n_requests=n_todo).write.mode("append").parquet(store)
-        stored = spark.read.parquet(store)
+        todo = requests.select("filename", "text", "request_key", file).join(
+            wanted.select("request_key", file), ["_file", "request_key"], "left_semi")
+        todo = todo.dropDuplicates(["_file", "request_key"]).drop("_file")  # of repeated rows; dealt out as the join is
+        ask_in_waves(todo, n_todo, client_factory, config, store, template)
+        stored = _read_store(spark, store)
     if stored is None:  # nothing was asked, now or before
         stored = spark.createDataFrame([], RESPONSE_DDL)
     # of a store that grows with history only this run's keys are read on
@@ -133,6 +138,34 @@ def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, s
     return join_answers(target, best)
 
 
+def ask_in_waves(todo: DataFrame, n_todo: int, client_factory: ClientFactory, config: Config, store: str,
+                 template: PromptTemplate | None = None) -> None:
+    """Ask for ``n_todo`` requests, wave after wave, appending the answers to ``store``.
+
+    The work queue is written first, by wave (a hash of the request key), so a retried task
+    re-reads its slice. A wave is one job of about ``tasks_per_wave`` tasks; when its answers are
+    committed, a record follows in ``<store>_waves``. A run that is killed has the answers of its
+    finished waves in the store: the next run asks for the rest alone.
+    """
+    spark = todo.sparkSession
+    n_waves = -(-n_todo // (config.requests_per_task * config.tasks_per_wave))
+    queue = shared_dir(spark, "todo")
+    dealt = todo.withColumn("wave", F.pmod(F.xxhash64("request_key"), F.lit(n_waves)).cast("int"))
+    if n_waves > 1:  # a wave's rows in few files, not in one per task of the join
+        dealt = dealt.repartition("wave", F.pmod(F.xxhash64("filename"), F.lit(max(1, config.tasks_per_wave // 100))))
+    dealt.write.mode("overwrite").partitionBy("wave").parquet(queue)
+    for k in range(n_waves):
+        began = time.time()
+        mine = spark.read.parquet(queue).where(F.col("wave") == k).drop("wave")
+        answers = infer(mine, client_factory, config, template, n_requests=-(-n_todo // n_waves))
+        obs = Observation(f"wave {k}")
+        answers.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(store)
+        record = spark.range(1).select(
+            F.lit(k).alias("wave"), F.lit(n_waves).alias("n_waves"), F.lit(int(obs.get["n"])).alias("n_answers"),
+            F.lit(began).alias("began_s"), F.lit(time.time() - began).alias("elapsed_s"))
+        record.write.mode("append").parquet(store.rstrip("/") + "_waves")
+
+
 def join_answers(target: DataFrame, best: DataFrame, unit: int = 10_000, most_hot: int = 10_000) -> DataFrame:
     """``target`` with the answer to each row's key; a key of many rows is split over several tasks.
 
@@ -210,7 +243,7 @@ def run(
     stats_src = None
     if answered is not None:
         numbered = batches(keys.select("filename"), config.max_concurrent_requests)
-        stats_src = answered.select("filename", "latency_s").join(numbered, "filename")
+        stats_src = answered.select("filename", "latency_s", "began_s").join(numbered, "filename")
     obs = Observation("run_summary")
     failed = is_failure()
     results = materialize(
@@ -233,7 +266,7 @@ def run(
     summary = materialize(summary, "summary", path=f"{out}/summary")
     failures = materialize(failure_listing(results), "failures", path=f"{out}/failures")
     if stats_src is not None:
-        stats = materialize(batch_stats(stats_src), "batch_stats", path=f"{out}/batch_stats")
+        stats = materialize(batch_intervals(stats_src), "batch_stats", path=f"{out}/batch_stats")
     return RunResult(n_documents=int(counts["n_documents"]), results=results, summary=summary, failures=failures,
                      batch_stats=stats, reports_path=f"{out}/reports", elapsed_s=elapsed)
 

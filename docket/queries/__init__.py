@@ -34,6 +34,7 @@ QUERIES = {
     "retry_outcomes": catalog.retry_outcomes,
     "strict_validation": catalog.strict_validation,
     "batch_stats": catalog.batch_stats,
+    "batch_intervals": catalog.batch_intervals,
     "docx_ingest": catalog.docx_ingest,
 }
 

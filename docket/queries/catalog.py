@@ -16,9 +16,10 @@ from docket.operators.analyze import RuleAnalyzer, analysis_struct, missing_fiel
 from docket.operators import route
 from docket.operators.grounding import ground
 from docket.operators.infer import FaultInjectingClient, StubClient, infer
+from docket.operators.metrics import batch_intervals as metric_batch_intervals
 from docket.operators.metrics import batch_stats as metric_batch_stats
 from docket.operators.metrics import failure_listing, run_summary
-from docket.operators.requests import PromptTemplate, batches, model_params, render, requests_table
+from docket.operators.requests import PromptTemplate, batches, model_params, numbered, render, requests_table
 from docket.operators.references import references
 from docket.operators.validate import validate
 from docket.queries.shapes import SHAPES, response_sql
@@ -386,6 +387,19 @@ def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_batch_stats(joined).select("batch_no", "n_requests", timed.alias("seconds_recorded"))
 
 
+# A scripted clock: request idx of the run starts and lasts by closed forms (in eighths of a second, exact in binary).
+STARTS = "(idx div 10) * 40 + (idx % 10) * ((idx div 10) % 7)"
+LASTS = "case when doc_id % 31 = 30 then null else 1 + doc_id % 13 end"
+
+
+def batch_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elapsed, idle and overlapping time of every batch from stamps of a scripted clock."""
+    num = numbered(documents(spark, sf_dir).select("filename", "doc_id"), "filename")
+    stamped = num.selectExpr(f"idx div {BATCH_SIZE} + 1 as batch_no", f"case when {LASTS} is not null then ({STARTS}) / 8D end as began_s",
+                             f"({LASTS}) / 8D as latency_s")
+    return metric_batch_intervals(stamped)
+
+
 DOCX_CORRUPT = "doc_id % 23 = 0"
 
 

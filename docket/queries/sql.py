@@ -9,12 +9,14 @@ from docket.operators.requests import PromptTemplate
 from docket.queries.catalog import (
     BATCH_SIZE,
     DOCX_CORRUPT,
+    LASTS,
     PLANT_ERR,
     PLANT_REL,
     PLANT_SUP,
     RENDER_MODELS,
     RETRY_CONFIG,
     SECOND_RUN,
+    STARTS,
 )
 from docket.queries.oracle import (
     caption_sql,
@@ -129,7 +131,21 @@ select doc_id, no::bigint as quote_no, case when found then 'found' when share >
 from told left join shared using (doc_id, no) left join starts using (doc_id, no)
 """
 
+# Idle time: the eighths of a second between a batch's first start and last end that no request covers.
+BATCH_INTERVALS = f"""
+with num as (select doc_id, row_number() over (order by lpad(doc_id::varchar, 9, '0')) - 1 as idx from documents),
+stamped as (select idx // {BATCH_SIZE} + 1 as batch_no, {LASTS} as lasts, case when {LASTS} is not null then {STARTS.replace('div', '//')} end as starts from num),
+spans as (select batch_no, count(*) as n, max(lasts) as most, min(starts) as lo, max(starts + lasts) as hi, sum(lasts) as work from stamped group by batch_no),
+ticks as (select batch_no, unnest(range(lo, hi)) as tick from spans),
+idle as (select t.batch_no, count(*) as ticks from ticks t where not exists (
+           select 1 from stamped s where s.batch_no = t.batch_no and s.starts <= t.tick and t.tick < s.starts + s.lasts) group by t.batch_no)
+select batch_no::bigint as batch_no, n as n_requests, (most / 8.0)::double as max_latency_s, ((hi - lo) / 8.0)::double as elapsed_s,
+       case when hi is not null then (coalesce(ticks, 0) / 8.0)::double end as idle_s, work::double / (hi - lo - coalesce(ticks, 0)) as overlap
+from spans left join idle using (batch_no)
+"""
+
 ORACLE = {
+    "batch_intervals": BATCH_INTERVALS,
     "caption_forms": expected_sql(),
     "citation_references": references_sql(),
     "quote_grounding": QUOTE_GROUNDING,
