@@ -61,7 +61,7 @@ _SMALL = r"(?:of|the|and|for|ex|rel\.|et|al\.|d/b/a|in|on|behalf|&|a|as)"
 _AFTER_COMMA = rf"(?:(?:{'|'.join(ABBREVIATED)})\.|INC\.?|Inc|LLC|LLP|L\.L\.C\.|L\.P\.|N\.A\.|P\.A\.|LTD\.?|CO\.|CORP\.|JR\.|SR\.|II|III|IV|{_SMALL})"
 PARTY = rf"{_WORD}(?: (?:{_WORD}|{_SMALL})|, {_AFTER_COMMA})*"
 # A party as later references call it, without initials (one may end the sentence before).
-SHORT_NAME = rf"(?:(?:{'|'.join(ABBREVIATED)})\.|[A-Z][A-Za-z0-9'’&/-]*)(?: (?:(?:{'|'.join(ABBREVIATED)})\.|[A-Z][A-Za-z0-9'’&/-]*|{_SMALL}))*"
+SHORT_NAME = rf"(?:(?:St|Ste|Dr|Mr|Mrs|Ms)\. )?[A-Z][A-Za-z0-9'’&/-]*(?: (?:(?:{'|'.join(ABBREVIATED)})\.|[A-Z][A-Za-z0-9'’&/-]*|{_SMALL}))*"
 NAME = rf"(?:(?:In re|In the Matter of|Matter of|Ex parte) {PARTY}|{PARTY},? vs?\. {PARTY})"
 REPORTER = reporter_pattern()
 _VOLUME = rf"[0-9]+ {REPORTER} [0-9]+"
