@@ -88,6 +88,8 @@ class Config:
     # Tasks of one wave of the work queue: a job never plans more, whatever the number of requests,
     # and a run that is killed repeats at most its last wave.
     tasks_per_wave: int = 10_000
+    # The response store has 16 ** digits buckets of request keys; a store keeps the number it was begun with.
+    store_digits: int = 2
     # Rows per Arrow batch handed to Python (large texts: keep it small).
     arrow_batch_rows: int = 64
     template_id: str = "default-v1"
@@ -100,6 +102,8 @@ class Config:
             raise ValueError("retry_delay_s must be >= 0")
         if min(self.max_concurrent_requests, self.threads_per_task, self.requests_per_task, self.tasks_per_wave) < 1:
             raise ValueError("concurrency settings must be >= 1")
+        if not 1 <= self.store_digits <= 4:
+            raise ValueError("store_digits must be from 1 to 4")
 
     @property
     def retry_delay_ms(self) -> int:

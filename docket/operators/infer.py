@@ -24,6 +24,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docket.config import Config
 from docket.operators.requests import PromptTemplate
@@ -177,10 +178,12 @@ def infer(requests: DataFrame, client_factory: ClientFactory, config: Config,
           template: PromptTemplate | None = None, n_requests: int | None = None) -> DataFrame:
     """``(filename, text, request_key)`` -> one response row per request.
 
-    The input is spread round-robin over ``inference_partitions`` tasks, or one
+    The input is spread over ``inference_partitions`` tasks, or one
     task per ``requests_per_task`` requests when ``n_requests`` is known (at least
     the default parallelism): document tables often scan as a handful of
-    partitions, and small tasks bound what a retried task calls again.
+    partitions, and small tasks bound what a retried task calls again. A task has a range
+    of the request keys (SHA-256, so ranges of equal width hold equally many distinct ones),
+    and its answers go to few buckets of the store.
     """
     template = template or PromptTemplate(template_id=config.template_id)
     spark = requests.sparkSession
@@ -194,7 +197,12 @@ def infer(requests: DataFrame, client_factory: ClientFactory, config: Config,
         parts = -(-wanted // slots) * slots
     else:
         parts = 2 * slots
-    src = requests.select("filename", "text", "request_key").repartition(parts)
+    src = requests.select("filename", "text", "request_key")
+    if n_requests is None:  # keys may repeat: a range could be one hot key
+        src = src.repartition(parts)
+    else:
+        place = F.conv(F.substring("request_key", 1, 7), 16, 10).cast("bigint") * parts
+        src = src.withColumn("_place", F.shiftright(place, 28).cast("int")).repartitionById(parts, "_place").drop("_place")
     return src.mapInPandas(_partition_fn(client_factory, config, template), RESPONSE_DDL)
 
 

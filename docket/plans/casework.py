@@ -22,7 +22,6 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,18 +50,46 @@ class RunResult:
     elapsed_s: float = 0.0
 
 
-def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def _read_store(spark: SparkSession, store: str, buckets: list[str] | None = None) -> DataFrame | None:
+    """The answers of a response store, or of some of its buckets; None if there are none.
+
+    Only the folders of these buckets are listed and read. Files beside them (of a store
+    written before there were buckets) are always read; files written before a column was
+    added have nulls there.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(store)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return None
+    wanted = None if buckets is None else {f"bucket={b}" for b in buckets}
+    paths = []
+    for status in system.listStatus(place):  # one entry per bucket, and the files beside them
+        name = status.getPath().getName()
+        of_bucket = status.isDirectory() and name.startswith("bucket=")
+        if (of_bucket and (wanted is None or name in wanted)) or (status.isFile() and not name.startswith(("_", "."))):
+            paths.append(status.getPath().toString())
+    return spark.read.schema(RESPONSE_DDL).parquet(*paths) if paths else None
+
+
+def _bucket(digits: int) -> Column:
+    """The bucket of a request key: its first hex digits, evenly spread since keys are SHA-256."""
+    return F.substring("request_key", 1, digits)
+
+
+def _write_store(answers: DataFrame, store: str, digits: int, mode: str) -> None:
+    answers.withColumn("bucket", _bucket(digits)).write.mode(mode).partitionBy("bucket").parquet(store)
 
 
-def _read_store(spark: SparkSession, store: str) -> DataFrame:
-    """A response store; files written before a column was added have nulls there."""
-    return spark.read.schema(RESPONSE_DDL).parquet(store)
+def _store_digits(spark: SparkSession, store: str, default: int) -> int:
+    """Digits of the buckets that a store has; a store keeps the number it was begun with."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(store)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(place):
+        for status in system.listStatus(place):
+            name = status.getPath().getName()
+            if status.isDirectory() and name.startswith("bucket="):
+                return len(name) - len("bucket=")
+    return default
 
 
 def _rank() -> Column:
@@ -84,20 +111,24 @@ def best_answers(stored: DataFrame) -> DataFrame:
     )
 
 
-def compact_store(spark: SparkSession, store: str, target: str) -> DataFrame:
+def compact_store(spark: SparkSession, store: str, target: str, digits: int = Config.store_digits) -> DataFrame:
     """Write the best answer per key of ``store`` to ``target`` and return it.
 
     Appends from many runs (and dead letters later answered) accumulate in a
-    response store; the compacted copy has one row per key. Nothing is deleted:
-    point later runs at ``target``.
+    response store; the compacted copy has one row per key, in ``16 ** digits`` buckets of
+    keys, one file or a few in each. Nothing is deleted: point later runs at ``target``.
     """
     stored = _read_store(spark, store)
+    if stored is None:
+        raise ValueError(f"no answers in {store}")
     others = [c for c in stored.columns if c != "request_key"]
     best = stored.groupBy("request_key").agg(
         F.max_by(F.struct(*others), _rank()).alias("a")
     )
-    best.select("request_key", "a.*").select(*stored.columns).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    best = best.select("request_key", "a.*").select(*stored.columns)
+    _write_store(best.repartitionByRange("request_key"), target, digits, "overwrite")
+    compacted = _read_store(spark, target)
+    return spark.createDataFrame([], RESPONSE_DDL) if compacted is None else compacted
 
 
 def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, store: str,
@@ -107,13 +138,18 @@ def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, s
     Duplicate texts share one call (the partial aggregate collapses a hot key on
     the map side before the shuffle). Answers are appended to ``store``; a task
     retried after executor loss may repeat its calls, but the job commit keeps
-    one copy of its rows. Failed keys are tried again on the next run.
+    one copy of its rows. Failed keys are tried again on the next run. The store is cut into
+    buckets by the first digits of the key, and only those of this run's keys are read: what a
+    run of few requests reads does not grow with all that was ever asked.
     """
     spark = requests.sparkSession
     target = keys if keys is not None else requests
+    digits = _store_digits(spark, store, config.store_digits)
+    # at most 16 ** digits values, whatever the number of keys
+    buckets = [r[0] for r in target.select(_bucket(digits)).distinct().collect()]
     # one file per key is picked on narrow rows, and only the texts to be asked about move
     wanted = target.groupBy("request_key").agg(F.min("filename").alias("filename"))
-    stored = None if _read_if_exists(spark, store) is None else _read_store(spark, store)
+    stored = _read_store(spark, store, buckets)
     if stored is not None:
         done = stored.where(F.col("error").isNull()).select("request_key")
         wanted = wanted.join(done, "request_key", "left_anti")
@@ -127,7 +163,7 @@ def answer(requests: DataFrame, client_factory: ClientFactory, config: Config, s
             wanted.select("request_key", file), ["_file", "request_key"], "left_semi")
         todo = todo.dropDuplicates(["_file", "request_key"]).drop("_file")  # of repeated rows; dealt out as the join is
         ask_in_waves(todo, n_todo, client_factory, config, store, template)
-        stored = _read_store(spark, store)
+        stored = _read_store(spark, store, buckets)
     if stored is None:  # nothing was asked, now or before
         stored = spark.createDataFrame([], RESPONSE_DDL)
     # of a store that grows with history only this run's keys are read on
@@ -150,6 +186,7 @@ def ask_in_waves(todo: DataFrame, n_todo: int, client_factory: ClientFactory, co
     spark = todo.sparkSession
     n_waves = -(-n_todo // (config.requests_per_task * config.tasks_per_wave))
     queue = shared_dir(spark, "todo")
+    digits = _store_digits(spark, store, config.store_digits)
     dealt = todo.withColumn("wave", F.pmod(F.xxhash64("request_key"), F.lit(n_waves)).cast("int"))
     if n_waves > 1:  # a wave's rows in few files, not in one per task of the join
         dealt = dealt.repartition("wave", F.pmod(F.xxhash64("filename"), F.lit(max(1, config.tasks_per_wave // 100))))
@@ -159,7 +196,7 @@ def ask_in_waves(todo: DataFrame, n_todo: int, client_factory: ClientFactory, co
         mine = spark.read.parquet(queue).where(F.col("wave") == k).drop("wave")
         answers = infer(mine, client_factory, config, template, n_requests=-(-n_todo // n_waves))
         obs = Observation(f"wave {k}")
-        answers.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(store)
+        _write_store(answers.observe(obs, F.count(F.lit(1)).alias("n")), store, digits, "append")
         record = spark.range(1).select(
             F.lit(k).alias("wave"), F.lit(n_waves).alias("n_waves"), F.lit(int(obs.get["n"])).alias("n_answers"),
             F.lit(began).alias("began_s"), F.lit(time.time() - began).alias("elapsed_s"))
@@ -271,19 +308,23 @@ def run(
                      batch_stats=stats, reports_path=f"{out}/reports", elapsed_s=elapsed)
 
 
-def run_folder(spark: SparkSession, folder: str, out_dir: str, **kwargs) -> RunResult:
+def run_folder(spark: SparkSession, folder: str, out_dir: str,
+               reader: Callable[[SparkSession, str], DataFrame] | None = None, **kwargs) -> RunResult:
     """The whole flow from a folder of ``.docx`` files (R01-R05 then :func:`run`).
 
+    ``reader`` lists and extracts: ``sources.folder.read_docx_files`` unless given, which tries
+    every entry whose name ends so; ``sources.docx.read_docx_folder`` is Spark's own listing.
     Extraction runs once and is written; unreadable files go to
     ``<out_dir>/quarantine`` and are counted in neither total nor failures. The
     quarantine count comes from an ``Observation`` on the extraction write.
     """
-    from docket.sources.docx import quarantine, read_docx_folder, readable
+    from docket.sources.docx import quarantine, readable
+    from docket.sources.folder import read_docx_files
 
     out = out_dir.rstrip("/")
     obs = Observation("ingest")
     extracted = materialize(
-        read_docx_folder(spark, folder), "extracted", f"{out}/extracted", "parquet", obs,
+        (reader or read_docx_files)(spark, folder), "extracted", f"{out}/extracted", "parquet", obs,
         F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("error").isNotNull()).alias("n_quarantined"),
     )
     quarantine(extracted).write.mode("overwrite").parquet(f"{out}/quarantine")

@@ -153,12 +153,12 @@ def docx_bytes(text: str, table_cell: str | None = None) -> bytes:
     return buf.getvalue()
 
 
-def write_docx_corpus(docs: DataFrame, folder: str, corrupt: str | None = None) -> int:
+def write_docx_corpus(docs: DataFrame, folder: str, corrupt: str | None = None, empty: str | None = None) -> int:
     """Write one ``<filename>`` .docx per row of ``(filename, text)`` into ``folder``.
 
     Runs as a Spark job (each task writes its own files). ``corrupt`` is an
-    optional SQL predicate: matching rows get a damaged archive instead. The
-    folder must be shared by all executors: a URI (written through Arrow's file
+    optional SQL predicate: matching rows get a damaged archive instead; those that
+    ``empty`` matches get a file of no bytes. The folder must be shared by all executors: a URI (written through Arrow's file
     systems) or a path on a shared mount.
     """
     ship_package(docs.sparkSession)
@@ -167,7 +167,8 @@ def write_docx_corpus(docs: DataFrame, folder: str, corrupt: str | None = None)
     if "://" not in folder:
         os.makedirs(folder, exist_ok=True)
     flag = F.expr(corrupt) if corrupt else F.lit(False)
-    src = docs.select("filename", "text", flag.alias("_bad"))
+    hollow = F.expr(empty) if empty else F.lit(False)
+    src = docs.select("filename", "text", flag.alias("_bad"), hollow.alias("_hollow"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if "://" in folder:  # shared storage (hdfs://, s3://, ...) through Arrow's file systems
@@ -179,8 +180,8 @@ def write_docx_corpus(docs: DataFrame, folder: str, corrupt: str | None = None)
             opener = lambda name: open(os.path.join(folder, name), "wb")
         n = 0
         for pdf in batches:
-            for fn, text, bad in zip(pdf["filename"], pdf["text"], pdf["_bad"]):
-                data = docx_bytes(text or "")
+            for fn, text, bad, none in zip(pdf["filename"], pdf["text"], pdf["_bad"], pdf["_hollow"]):
+                data = b"" if none else docx_bytes(text or "")
                 if bad:
                     data = data[: len(data) // 3]
                 with opener(fn) as fh:
