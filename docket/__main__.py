@@ -22,10 +22,12 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--shuffle-partitions", type=int, help="default: the session's own setting")
     p.add_argument("--batch-size", type=int, default=Config.max_concurrent_requests)
     p.add_argument("--show-failures", type=int, default=20, help="print at most so many failed files")
+    p.add_argument("--publish", action="store_true", help="commit the reports as one set, in OUTPUT_FOLDER/published")
     args = p.parse_args(argv)
     spark = build_session(args.master, app="docket", shuffle_partitions=args.shuffle_partitions)
     try:
-        res = run_folder(spark, args.input_folder, args.output_folder, config=Config(max_concurrent_requests=args.batch_size))
+        res = run_folder(spark, args.input_folder, args.output_folder, config=Config(max_concurrent_requests=args.batch_size),
+                         publish=args.publish)
         print(f"Total documents processed: {res.n_documents}")
         if res.summary is not None:
             s = res.summary.first()

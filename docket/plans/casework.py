@@ -34,6 +34,7 @@ from docket.operators.requests import PromptTemplate, batches, requests_table
 from docket.operators.route import is_failure, split_results
 from docket.operators.validate import validate
 from docket.session import shared_dir
+from docket.sinks.publish import publish_reports
 from docket.sinks.reports import write_reports
 from docket.sinks.tables import materialize
 
@@ -247,9 +248,13 @@ def run(
     template: PromptTemplate | None = None,
     only_candidates: bool = False,
     replace_all: bool = False,
+    publish: bool = False,
 ) -> RunResult:
     """Analyse ``docs`` ``(filename, text)`` and write results, reports and metrics under ``out_dir``.
 
+    With ``publish`` the reports go to ``<out_dir>/published`` as one committed set
+    (:mod:`docket.sinks.publish`), which readers see whole or not at all.
+
     ``docs`` should be a stable source (a table, or a written extraction): it is
     read by the analysis and, on the model path, again to join answers back.
     """
@@ -294,7 +299,11 @@ def run(
         return RunResult(n_documents=0)
 
     ok, _ = split_results(results)
-    write_reports(report_lines(ok), f"{out}/reports", replace_all=replace_all)
+    reports = f"{out}/published" if publish else f"{out}/reports"
+    if publish:
+        publish_reports(report_lines(ok), reports, replace_all=replace_all)
+    else:
+        write_reports(report_lines(ok), reports, replace_all=replace_all)
     elapsed = round(time.monotonic() - started, 3)
     summary = spark.range(1).select(
         *[F.lit(int(counts[k])).alias(k) for k in ("n_documents", "n_success", "n_failed")],
@@ -305,7 +314,7 @@ def run(
     if stats_src is not None:
         stats = materialize(batch_intervals(stats_src), "batch_stats", path=f"{out}/batch_stats")
     return RunResult(n_documents=int(counts["n_documents"]), results=results, summary=summary, failures=failures,
-                     batch_stats=stats, reports_path=f"{out}/reports", elapsed_s=elapsed)
+                     batch_stats=stats, reports_path=reports, elapsed_s=elapsed)
 
 
 def run_folder(spark: SparkSession, folder: str, out_dir: str,

@@ -27,6 +27,7 @@ QUERIES = {
     "report_lines": catalog.report_lines_query,
     "report_sink_roundtrip": catalog.report_sink_roundtrip,
     "report_overwrite": catalog.report_overwrite,
+    "report_publication": catalog.report_publication,
     "run_summary": catalog.run_summary_query,
     "failure_listing": catalog.failure_listing_query,
     "request_render": catalog.request_render,
@@ -36,6 +37,8 @@ QUERIES = {
     "batch_stats": catalog.batch_stats,
     "batch_intervals": catalog.batch_intervals,
     "docx_ingest": catalog.docx_ingest,
+    "folder_scan": catalog.folder_scan,
+    "empty_input": catalog.empty_input,
 }
 
 __all__ = ["QUERIES", "ORACLE"]

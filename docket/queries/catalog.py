@@ -27,11 +27,14 @@ from docket.operators.report import report_lines
 from docket.operators.route import destinations, is_failure, matrix, report_spine, split_results
 from docket.schema import RELEVANCE_LEVELS, SUPPORT_LEVELS
 from docket.session import shared_dir
+from docket.plans.casework import run
+from docket.sinks.publish import publish_reports, read_published, stage_reports
 from docket.sinks.reports import read_reports, write_reports
 from docket.sinks.tables import materialize
 from docket.sources.captions import captioned, referenced
 from docket.sources.documents import cases, documents
 from docket.sources.docx import read_docx_folder, write_docx_corpus
+from docket.sources.folder import read_docx_files
 
 ANALYZER = RuleAnalyzer(FIXTURE_LEXICON)
 
@@ -296,6 +299,20 @@ def report_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_reports(spark, path)
 
 
+def report_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs published, then one that ends before its commit: what a reader sees, and of which run."""
+    ok, _ = split_results(results(spark, sf_dir))
+    ok = materialize(ok, "published-cases")
+    path = shared_dir(spark, "published")
+    first = publish_reports(report_lines(ok), path)
+    again = ok.withColumn("relevance_level", F.col("analysis.relevance_level")).where(SECOND_RUN)
+    publish_reports(report_lines(again.drop("relevance_level")), path)
+    stage_reports(report_lines(ok), path)  # a third run ends before its commit: nothing of it may be seen
+    of_first = F.col("version").isin(sorted(set(first["reports"].values())))
+    return read_published(spark, path).select("report", "filename", "line_no", "style", "text",
+                                              F.when(of_first, 1).otherwise(2).cast("bigint").alias("run"))
+
+
 def run_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, successes, failures."""
     return run_summary(envelopes(spark, sf_dir, "blue_book_citation"))
@@ -403,6 +420,34 @@ def batch_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCX_CORRUPT = "doc_id % 23 = 0"
 
 
+# Names of the scanned files by document: some begin like hidden files, some end otherwise.
+SCAN_NAME = ("concat(case doc_id % 7 when 1 then '_' when 2 then '.' when 3 then '~$' else '' end, cast(doc_id as string),"
+             " case doc_id % 11 when 4 then '.DOCX' when 5 then '.txt' when 6 then '.docx.bak' else '.docx' end)")
+SCAN_EMPTY = "doc_id % 13 = 0"
+
+
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all sorts of names listed in tasks; every one that ends in .docx is tried."""
+    folder = shared_dir(spark, "scan")
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.expr(SCAN_NAME).alias("filename"))
+    write_docx_corpus(docs, folder, corrupt=DOCX_CORRUPT, empty=SCAN_EMPTY)
+    files = materialize(read_docx_files(spark, folder), "scanned")
+    return files.select("filename", F.length("text").cast("bigint").alias("n_chars"),
+                        F.col("error").isNull().alias("readable"))
+
+
+def empty_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over all cases and one over none of them: documents, and whether anything was written."""
+    rows = []
+    src = cases(spark, sf_dir).select("filename", "text")
+    for name, docs in (("all", src), ("none", src.where(F.col("filename").isNull()))):
+        done = run(spark, docs, shared_dir(spark, "run"), config=Config(lexicon=FIXTURE_LEXICON))
+        n = done.summary.select("n_documents").first()[0] if done.summary is not None else 0
+        rows.append((name, int(n), done.summary is not None, done.failures is not None, done.reports_path is not None))
+    return spark.createDataFrame(
+        rows, "run string, n_documents bigint, summary_written boolean, failures_written boolean, reports_written boolean")
+
+
 def docx_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as .docx files, listed, extracted and quarantined."""
     folder = shared_dir(spark, "docx")

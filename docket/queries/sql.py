@@ -304,6 +304,16 @@ union all
 select * from first_lines where report not in (select report from again)
 """
 
+REPORT_PUBLICATION = f"""
+with {RESULTS_CTES},
+again as (select * from routed where {SECOND_RUN}),
+first_lines as ({_run_lines('routed')}),
+second_lines as ({_run_lines('again')})
+select *, 2::bigint as run from second_lines
+union all
+select *, 1::bigint as run from first_lines where report not in (select report from again)
+"""
+
 RUN_SUMMARY = f"""
 with {RESULTS_CTES}
 select count(*)::bigint as n_documents,
@@ -327,6 +337,7 @@ ORACLE.update(
         "report_lines": REPORT_LINES,
         "report_sink_roundtrip": REPORT_LINES,
         "report_overwrite": REPORT_OVERWRITE,
+        "report_publication": REPORT_PUBLICATION,
         "run_summary": RUN_SUMMARY,
         "failure_listing": FAILURE_LISTING,
     }
@@ -399,8 +410,28 @@ select {_FILENAME} as filename, case when {DOCX_CORRUPT} then null else text end
 from documents
 """
 
+FOLDER_SCAN = f"""
+with f as (select *, case when doc_id % 7 = 1 then '_' when doc_id % 7 = 2 then '.' when doc_id % 7 = 3 then '~$' else '' end
+                     || doc_id::varchar
+                     || case when doc_id % 11 = 4 then '.DOCX' when doc_id % 11 = 5 then '.txt'
+                             when doc_id % 11 = 6 then '.docx.bak' else '.docx' end as filename,
+                  not ({DOCX_CORRUPT}) and doc_id % 13 <> 0 as readable
+           from documents)
+select filename, case when readable then length(text) end::bigint as n_chars, readable
+from f where filename like '%.docx'
+"""
+
+EMPTY_INPUT = """
+select 'all' as run, count(*)::bigint as n_documents, true as summary_written, true as failures_written,
+       true as reports_written from documents
+union all
+select 'none', 0::bigint, false, false, false
+"""
+
 ORACLE.update(
     {
+        "folder_scan": FOLDER_SCAN,
+        "empty_input": EMPTY_INPUT,
         "request_render": REQUEST_RENDER,
         "request_batches": REQUEST_BATCHES,
         "retry_outcomes": RETRY_OUTCOMES,
