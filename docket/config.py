@@ -69,6 +69,9 @@ FIXTURE_LEXICON = Lexicon(
     ),
 )
 
+# The default terms over texts without real citations.
+LEGAL_LEXICON = Lexicon().with_terms(case_headers=False, citation_pattern=FIXTURE_LEXICON.citation_pattern)
+
 
 @dataclass(frozen=True)
 class Config:

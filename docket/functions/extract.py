@@ -21,8 +21,8 @@ from docket.functions.text import (
     clean,
     quote_pattern,
     sentences,
-    term_count_pattern,
 )
+from docket.functions.trie import trie_pattern
 
 CITE_PLACEHOLDER = "<cite>"
 # A piece that :func:`clean` turns into '' (only whitespace and end punctuation).
@@ -51,7 +51,7 @@ def predates(cite: Column, lex: Lexicon) -> Column:
 
 def is_candidate(lower_text: Column, lex: Lexicon) -> Column:
     """The text contains one of the candidate phrases."""
-    return lower_text.rlike(term_count_pattern(lex.candidate_phrases))
+    return lower_text.rlike(trie_pattern(lex.candidate_phrases))
 
 
 def topic_sentences(body: Column, has_topic: Column, lex: Lexicon) -> Column:
@@ -59,13 +59,13 @@ def topic_sentences(body: Column, has_topic: Column, lex: Lexicon) -> Column:
 
     The body is split only when it mentions the topic at all.
     """
-    pat = term_count_pattern(lex.topic_terms)
+    pat = trie_pattern(lex.topic_terms)
     return F.when(has_topic, F.filter(sentences(body), lambda s: F.lower(s).rlike(pat))).otherwise(empty_strings())
 
 
 def holding_count(topic_sents: Column, has_holding: Column, lex: Lexicon) -> Column:
     """Number of topic sentences that also contain a holding term."""
-    pat = term_count_pattern(lex.holding_terms)
+    pat = trie_pattern(lex.holding_terms)
     return F.when(
         has_holding & (F.size(topic_sents) > 0),
         F.size(F.filter(topic_sents, lambda s: F.lower(s).rlike(pat))),

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from docket.config import Lexicon
 from docket.functions import extract as X
 from docket.functions.captions import header_block, header_citation, header_lines, parse_header
-from docket.functions.text import count_terms, term_count_pattern, without_caption
+from docket.functions.text import without_caption
+from docket.functions.trie import Terms
 from docket.schema import ANALYSIS_FIELDS
 
 
@@ -71,39 +72,18 @@ class RuleAnalyzer:
     def _evidence(self, df: DataFrame, lt: Column) -> DataFrame:
         """Add ``_has_topic``, ``_has_holding`` and ``net_support`` from the lower-cased body.
 
-        When every term is a single word, whole-word hits cannot overlap, so one
-        regex pass lists every lexicon hit (``_hits``, its own projection so it is
-        computed once) and the three values are read off that list. Otherwise
-        each comes from its own scan.
+        One scan lists the hits of all groups, words and phrases alike (``_hits``, its own
+        projection so it is computed once); the three values are read off that list.
         """
         lex = self.lexicon
-        groups = (lex.topic_terms, lex.holding_terms, lex.support_terms, lex.contra_terms)
-        words = [t.lower() for g in groups for t in g]
-        if not (words and all(w.isalpha() and w.isascii() for w in words)):
-            return df.select(
-                "*",
-                lt.rlike(term_count_pattern(lex.topic_terms)).alias("_has_topic"),
-                lt.rlike(term_count_pattern(lex.holding_terms)).alias("_has_holding"),
-                (count_terms(lt, lex.support_terms) - count_terms(lt, lex.contra_terms)).alias("net_support"),
-            )
-        df = df.withColumn("_hits", F.regexp_extract_all(lt, F.lit(term_count_pattern(dict.fromkeys(words))), 0))
+        terms = Terms(topic=lex.topic_terms, holding=lex.holding_terms, support=lex.support_terms, contra=lex.contra_terms)
+        df = df.withColumn("_hits", terms.hits(lt))
         hits = F.col("_hits")
-
-        def overlap(terms):
-            if not terms:
-                return F.lit(False)
-            return F.arrays_overlap(hits, F.array(*[F.lit(t.lower()) for t in terms]))
-
-        def count(terms):
-            if not terms:
-                return F.lit(0)
-            return F.size(F.filter(hits, lambda x: x.isin(*[t.lower() for t in terms])))
-
         return df.select(
             "*",
-            overlap(lex.topic_terms).alias("_has_topic"),
-            overlap(lex.holding_terms).alias("_has_holding"),
-            (count(lex.support_terms) - count(lex.contra_terms)).alias("net_support"),
+            terms.any(hits, "topic").alias("_has_topic"),
+            terms.any(hits, "holding").alias("_has_holding"),
+            (terms.count(hits, "support") - terms.count(hits, "contra")).alias("net_support"),
         )
 
     def fields(self, df: DataFrame, text: str = "text", keep_private: bool = False) -> DataFrame:

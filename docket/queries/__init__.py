@@ -8,6 +8,7 @@ from docket.queries.sql import ORACLE
 QUERIES = {
     "relevance_support_matrix": catalog.relevance_support_matrix,
     "candidate_filter": catalog.candidate_filter,
+    "legal_lexicon": catalog.legal_lexicon,
     "case_citation": catalog.case_citation,
     "caption_forms": catalog.caption_forms,
     "citation_references": catalog.citation_references,

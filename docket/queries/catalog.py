@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.config import FIXTURE_LEXICON, Config
+from docket.config import FIXTURE_LEXICON, LEGAL_LEXICON, Config
 from docket.functions import extract as X
 from docket.functions.captions import with_caption
 from docket.operators.analyze import RuleAnalyzer, analysis_struct, missing_fields, missing_without
@@ -35,6 +35,7 @@ from docket.sources.captions import captioned, referenced
 from docket.sources.documents import cases, documents
 from docket.sources.docx import read_docx_folder, write_docx_corpus
 from docket.sources.folder import read_docx_files
+from docket.sources.lexical import pleaded
 
 ANALYZER = RuleAnalyzer(FIXTURE_LEXICON)
 
@@ -54,6 +55,21 @@ def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where(X.is_candidate(F.lower("text"), FIXTURE_LEXICON)).select("doc_id", "filename")
 
 
+def legal_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E03 + E09 + E10 with the default lexicon, whose terms are phrases: candidates, evidence and levels."""
+    docs = pleaded(spark, sf_dir)
+    f = RuleAnalyzer(LEGAL_LEXICON).features(docs)
+    return f.select(
+        "doc_id",
+        X.is_candidate(F.col("_lt"), LEGAL_LEXICON).alias("candidate"),
+        F.col("n_topic").cast("bigint").alias("n_topic"),
+        F.col("n_both").cast("bigint").alias("n_both"),
+        F.col("net_support").cast("bigint").alias("net_support"),
+        "relevance_level",
+        "support_level",
+    )
+
+
 def case_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E01 + E11: citation, decision year and whether it predates the anchor year."""
     c = cases(spark, sf_dir)

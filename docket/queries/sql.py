@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docket.config import FIXTURE_LEXICON as LEX
+from docket.config import LEGAL_LEXICON as LEGAL
 from docket.functions.extract import CITE_PLACEHOLDER
 from docket.functions.text import term_pattern
 from docket.operators.requests import PromptTemplate
@@ -31,6 +32,7 @@ from docket.queries.oracle import (
 )
 from docket.queries.shapes import SHAPES, response_sql
 from docket.sources.captions import expected_sql, references_sql
+from docket.sources.lexical import PLEADED_DUCKDB_SQL
 from docket.schema import ANALYSIS_FIELDS, LIST_FIELDS, STRING_FIELDS
 
 SPINE = """spine(relevance_level, support_level) as (
@@ -428,8 +430,31 @@ union all
 select 'none', 0::bigint, false, false, false
 """
 
+
+def _times(terms) -> str:
+    """Occurrences of each term in ``flat`` (lower case, single spaces): its text cut at the term, cuts inside words left out."""
+    def one(t: str) -> str:
+        parts = f"string_split(flat, {q(t)})"
+        return (f"len(list_filter(range(1, len({parts})), lambda k: not regexp_matches({parts}[k], '[a-z]$')"
+                f" and not regexp_matches({parts}[k + 1], '^[a-z]')))")
+    return " + ".join(one(t) for t in terms)
+
+
+LEGAL_LEXICON = f"""
+with src as ({PLEADED_DUCKDB_SQL}),
+flat as (select *, regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g') as flat, {sentences_sql('text')} as sents from src),
+topic as (select *, list_filter(sents, lambda s: regexp_matches(lower(s), {q(term_pattern(LEGAL.topic_terms))})) as ts from flat),
+counted as (select doc_id, regexp_matches(lower(text), {q(term_pattern(LEGAL.candidate_phrases))}) as candidate, len(ts)::bigint as n_topic,
+              len(list_filter(ts, lambda s: regexp_matches(lower(s), {q(term_pattern(LEGAL.holding_terms))})))::bigint as n_both,
+              ({_times(LEGAL.support_terms)} - ({_times(LEGAL.contra_terms)}))::bigint as net_support from topic)
+select *, case when n_both > 0 then 'High' when n_topic > 0 then 'Medium' else 'Low' end as relevance_level,
+       case when net_support >= 2 then 'Strongly Supports' when net_support = 1 then 'Supports' else 'Does not Support' end as support_level
+from counted
+"""
+
 ORACLE.update(
     {
+        "legal_lexicon": LEGAL_LEXICON,
         "folder_scan": FOLDER_SCAN,
         "empty_input": EMPTY_INPUT,
         "request_render": REQUEST_RENDER,
