@@ -9,6 +9,8 @@ QUERIES = {
     "relevance_support_matrix": catalog.relevance_support_matrix,
     "candidate_filter": catalog.candidate_filter,
     "legal_lexicon": catalog.legal_lexicon,
+    "learned_abbreviations": catalog.learned_abbreviations,
+    "sentence_ends": catalog.sentence_ends,
     "case_citation": catalog.case_citation,
     "caption_forms": catalog.caption_forms,
     "citation_references": catalog.citation_references,

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from docket.config import FIXTURE_LEXICON, LEGAL_LEXICON, Config
 from docket.functions import extract as X
 from docket.functions.captions import with_caption
+from docket.operators.boundaries import learn
+from docket.operators.boundaries import sentence_ends as ends_of
 from docket.operators.analyze import RuleAnalyzer, analysis_struct, missing_fields, missing_without
 from docket.operators import route
 from docket.operators.grounding import ground
@@ -35,7 +37,7 @@ from docket.sources.captions import captioned, referenced
 from docket.sources.documents import cases, documents
 from docket.sources.docx import read_docx_folder, write_docx_corpus
 from docket.sources.folder import read_docx_files
-from docket.sources.lexical import pleaded
+from docket.sources.lexical import abridged, pleaded
 
 ANALYZER = RuleAnalyzer(FIXTURE_LEXICON)
 
@@ -70,6 +72,18 @@ def legal_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def learned_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E02 + E05: the abbreviations that the texts themselves show, with the figures that show them."""
+    a = learn(abridged(spark, sf_dir)).abbreviations
+    return a.select("type", "n_with", "n_without", "n_followed", "n_starts", F.round("ratio", 2).alias("ratio"))
+
+
+def sentence_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E02 + E05: every stop that a word follows, and whether the sentence ends there."""
+    docs = abridged(spark, sf_dir)
+    return ends_of(docs, learn(docs))
+
+
 def case_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E01 + E11: citation, decision year and whether it predates the anchor year."""
     c = cases(spark, sf_dir)

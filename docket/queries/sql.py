@@ -32,7 +32,8 @@ from docket.queries.oracle import (
 )
 from docket.queries.shapes import SHAPES, response_sql
 from docket.sources.captions import expected_sql, references_sql
-from docket.sources.lexical import PLEADED_DUCKDB_SQL
+from docket.operators import boundaries as B
+from docket.sources.lexical import ABRIDGED_DUCKDB_SQL, PLEADED_DUCKDB_SQL
 from docket.schema import ANALYSIS_FIELDS, LIST_FIELDS, STRING_FIELDS
 
 SPINE = """spine(relevance_level, support_level) as (
@@ -452,8 +453,45 @@ select *, case when n_both > 0 then 'High' when n_topic > 0 then 'Medium' else '
 from counted
 """
 
+_SENTENCE_MODEL = f"""
+with src as ({ABRIDGED_DUCKDB_SQL}),
+cut as (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '') as ws from src),
+each as (select doc_id, unnest(ws) as word, unnest(range(len(ws))) as word_no from cut),
+seen as (select *, lag(word) over w as before, lead(word) over w as after, regexp_extract(word, {q(B.WORD)}, 1) as type,
+                regexp_extract(word, {q(B.WORD)}, 2) = '.' as dot from each window w as (partition by doc_id order by word_no)),
+types as (select type, count(*) filter (dot) as n_with, count(*) filter (not dot) as n_without,
+                 count(*) filter (not regexp_matches(before, {q(B.PAUSE)})) as n_inside from seen where type <> '' group by type),
+lows as (select lower(type) as low from types group by 1
+         having sum(case when regexp_matches(type, '^\\p{{Ll}}') then n_with + n_without end)
+             >= 4 * coalesce(sum(case when regexp_matches(type, '^\\p{{Lu}}') then n_inside end), 0)),
+openers as (select type from types where regexp_matches(type, '^\\p{{Lu}}') and lower(type) in (select low from lows)),
+share as (select least(greatest(sum(n_with) / sum(n_with + n_without), 1e-9), 0.98)::double as p from types),
+rated as (select types.*, 2 * (n_with * ln({B.NEAR_ALWAYS} / p) + n_without * ln((1 - {B.NEAR_ALWAYS}) / (1 - p))) as ratio,
+                 length(replace(type, '.', '')) as letters from types, share),
+suspects as (select * from rated where ratio * exp(-letters) * (1 + length(type) - letters) >= {B.LEAST_SCORE} and n_with >= 4 * n_without),
+stops as (select *, regexp_extract(after, {q(B.WORD)}, 1) as next_type from seen
+          where regexp_matches(word, {q(B.STOP)}) and after is not null),
+shares as (select type, count(*) as n_followed, count(*) filter (next_type in (select type from openers)) as n_starts from stops group by type),
+abbreviations as (select suspects.*, coalesce(n_followed, 0) as n_followed, coalesce(n_starts, 0) as n_starts
+                  from suspects left join shares using (type) where 2 * coalesce(n_starts, 0) <= coalesce(n_followed, 0))"""
+
+LEARNED_ABBREVIATIONS = _SENTENCE_MODEL + """
+select type, n_with, n_without, n_followed::bigint as n_followed, n_starts::bigint as n_starts, round(ratio, 2) as ratio from abbreviations
+"""
+
+SENTENCE_ENDS = _SENTENCE_MODEL + f""",
+judged as (select *, not regexp_matches(word, {q(B.HARD_STOP)})
+                     and (type in (select type from abbreviations) or regexp_matches(type, {q(B.INITIAL)})) as abbreviation from stops)
+select doc_id, word_no::bigint as word_no, word, after, abbreviation,
+       case when regexp_matches(word, {q(B.HARD_STOP)}) then true when abbreviation then next_type in (select type from openers)
+            else not regexp_matches(after, {q(B.LOWER_NEXT)}) end as ends
+from judged
+"""
+
 ORACLE.update(
     {
+        "learned_abbreviations": LEARNED_ABBREVIATIONS,
+        "sentence_ends": SENTENCE_ENDS,
         "legal_lexicon": LEGAL_LEXICON,
         "folder_scan": FOLDER_SCAN,
         "empty_input": EMPTY_INPUT,

@@ -43,3 +43,36 @@ PLEADED_DUCKDB_SQL = (
     "select doc_id, array_to_string(list_transform(string_split(text, chr(10)),"
     f" lambda x, i: concat_ws(' ', x, {plant_sql('(i - 1)')})), chr(10)) as text from documents"
 )
+
+
+# Planted sentences full of abbreviations; ``|`` marks a sentence end right after one of them and is not part of the text.
+ABRIDGED = (
+    "He moved to La.| The court then sat with La. App. judges on the case.",
+    "Moss v. North was decided by the Cir. Ct. of La. in the spring.",
+    "He paid Acme Co. the fee and Gale Co. the rest, and sued Beta Inc. and Hale Inc. for it.",
+    "It was sold to Acme Co.| The fee was small, as it was for Beta Inc., too.",
+    "See Dr. Hale and Dr. Moss on this, Art. 12 and Art. 2315 of the code.",
+    "Cole v. Hale held so, and La. App. panels agree.| They cite Supp. 3 of it.",
+    "They asked Beta Inc.| It paid, and they left La. by noon.",
+    "The U.S. rule and the U.S. statute differ from La. practice under Art. 7, as they must.",
+)
+
+
+def abridged_sql(i: str) -> str:
+    """SQL (Spark and DuckDB): the sentences planted at the end of line ``i``, with their marks."""
+    whens = " ".join(f"when {k} then '{p}'" for k, p in enumerate(ABRIDGED))
+    return f"case (doc_id % 1000003 * 3 + {i}) % {len(ABRIDGED) + 3} {whens} end"
+
+
+def abridged(spark: SparkSession, sf_dir: str, marks: bool = False) -> DataFrame:
+    """``(doc_id, text)``: every document with planted sentences at the ends of its lines."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    plant = abridged_sql("i") if marks else f"replace({abridged_sql('i')}, '|', '')"
+    text = F.expr(f"array_join(transform(split(text, '\\n', -1), (x, i) -> concat_ws(' ', x, {plant})), '\\n')")
+    return d.select("doc_id", text.alias("text"))
+
+
+ABRIDGED_DUCKDB_SQL = (
+    "select doc_id, array_to_string(list_transform(string_split(text, chr(10)),"
+    f" lambda x, i: concat_ws(' ', x, replace({abridged_sql('(i - 1)')}, '|', ''))), chr(10)) as text from documents"
+)
