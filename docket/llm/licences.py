@@ -1,11 +1,13 @@
 """License scans with a positional index of rare licence words.
 
-Templates are short notices. Every template word has postings (template, position); its
-IDF comes from how many of all documents hold it. A file is looked up by its licence
-words of highest IDF: of each template the ``anchors`` rarest words act as such, and
-every occurrence in the file votes for (template, offset). An alignment with enough votes
-is scored by the share of template words standing at their relative position, and counts
-only if the template's key phrases stand inside it word for word.
+Templates are notices, headings, addresses and SPDX tags. Every template word has postings
+(template, position); its IDF comes from how many of all documents hold it. A file is looked up by
+its licence words of highest IDF: of each template the ``anchors`` rarest words (a fifth of a long one's) act as such, and
+every occurrence in the file votes for (template, offset). Votes for offsets at most ``slack``
+words apart (a sixth of the template's words: none for short ones) count together, so a word put
+in or left out does not lose a notice. An alignment with enough votes is scored by the share of
+template words standing at their relative position under one of these offsets, and counts only if
+the template's key phrases stand inside it word for word.
 
 Independently, fixed base phrases are located in every text; their labels always stay.
 
@@ -28,29 +30,66 @@ from docket.session import ship_package
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 # Label, notice text, key phrases that must stand in the notice.
-TEMPLATES = (
+NOTICES = (
     ("mit", "released under the mit license", ("mit license",)),
+    ("mit", "mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software",
      ("permission is hereby granted", "free of charge")),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license",)),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ("general public license version 2",)),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ("general public license version 3",)),
+    ("apache-2.0", "apache license version 2 0", ("apache license", "version 2 0")),
+    ("apache-2.0", "www apache org licenses license 2 0", ("apache org licenses license 2 0",)),
+    ("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
+    ("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     ("lgpl", "under the terms of the gnu lesser general public license", ("lesser general public license",)),
     ("agpl-3.0", "under the gnu affero general public license version 3", ("affero general public license",)),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("mpl-2.0", "mozilla public license version 2 0", ("mozilla public license version 2 0",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
-     ("redistribution and use", "source and binary forms")),
-    ("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
-    ("cc-by", "creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+     ("redistribution and use", "binary forms")),
+    ("bsd-2-clause", "bsd 2 clause license", ("bsd 2 clause",)),
+    ("bsd-3-clause", "bsd 3 clause license", ("bsd 3 clause",)),
+    ("epl-2.0", "eclipse public license v 2 0", ("eclipse public license",)),
     ("cc0", "cc0 1 0 universal public domain dedication", ("cc0 1 0 universal",)),
     ("unlicense", "this is free and unencumbered software released into the public domain",
      ("free and unencumbered software",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose", ("permission to use copy",)),
     ("reserved", "all rights reserved", ("all rights reserved",)),
 )
+# Identifiers of the public SPDX list; label is the identifier without "-only" and "-or-later".
+SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "Unlicense", "WTFPL", "MPL-2.0", "EPL-2.0",
+        "BSL-1.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1",
+        "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only",
+        "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0")
+# GNU licences (label, words of the name) with their versions; clauses of the Creative Commons licences and theirs.
+GNU = (("gpl", "general", ("2", "3")), ("lgpl", "lesser general", ("2 1", "3")), ("agpl", "affero general", ("3",)))
+CC_CLAUSES = {"by": "attribution", "nc": "noncommercial", "nd": "noderivatives", "sa": "sharealike"}
+CC_KINDS = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
+CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
+
+
+def _families():
+    """Templates made by rule: SPDX tags, GNU headings and notices, Creative Commons short and long names."""
+    for name in SPDX:
+        words = name.lower().replace("-", " ").replace(".", " ")
+        label = name.lower().removesuffix("-only").removesuffix("-or-later")
+        yield label, f"spdx license identifier {words}", (f"license identifier {words}",)
+    for label, name, versions in GNU:
+        for version in versions:
+            full = label + "-" + (version.replace(" ", ".") if " " in version else version + ".0")
+            heading = f"gnu {name} public license version {version}"
+            yield full, heading, (heading,)
+            yield (full, "redistribute it and or modify it under the terms of the gnu"
+                   f" {name} public license as published by the free software foundation either version {version} of the license"
+                   " or at your option any later version", (f"gnu {name} public license", f"version {version} of the license"))
+    for kind in CC_KINDS:
+        clauses = kind.split("-")
+        short, long = " ".join(clauses), " ".join(CC_CLAUSES[c] for c in clauses)
+        for version in CC_VERSIONS:
+            yield "cc-" + kind, f"cc {short} {version}", (f"cc {short} {version}",)
+            yield "cc-" + kind, f"creative commons {long} {version}", (f"creative commons {long} {version}",)
+
+
+TEMPLATES = (*NOTICES, *_families())
 
 _SEPARATORS = [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
 _FOLD = bytearray(range(256))
@@ -83,9 +122,9 @@ class Index:
             w for _, _, keys in self.templates for k in keys for w in k} | {w for ws, _ in self.base for w in ws}
         idf = idf or {}
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.need = []
+        self.need, self.slack = [], [len(ws) // 6 if len(ws) >= 8 else 0 for _, ws, _ in self.templates]
         for t, (_, ws, _) in enumerate(self.templates):
-            rare = sorted(set(ws), key=lambda w: (-idf.get(w, 0.0), w))[:anchors]
+            rare = sorted(set(ws), key=lambda w: (-idf.get(w, 0.0), w))[:max(anchors, len(ws) // 5)]
             self.need.append(min(2, len(rare)))
             for i, w in enumerate(ws):
                 if w in rare:
@@ -103,24 +142,37 @@ class Index:
             if found := places(ws, where, phrase):
                 starts += found
                 base.add(label)
-        votes: dict[tuple[int, int], set[bytes]] = {}
+        votes: dict[int, dict[int, set[bytes]]] = {}
         for w in sorted(set(where) & set(self.postings), key=lambda w: (-self.idf.get(w, 0.0), w)):
             for i in where[w]:
                 for t, at in self.postings[w]:
-                    votes.setdefault((t, i - at), set()).add(w)
+                    votes.setdefault(t, {}).setdefault(i - at, set()).add(w)
         labels, score = set(base), 0.0
-        for (t, offset), hits in votes.items():
-            if len(hits) < self.need[t]:
+        for t, offsets in votes.items():
+            if len(set().union(*offsets.values())) < self.need[t]:
                 continue
-            label, template, keys = self.templates[t]
-            lo, hi = max(0, offset), min(len(ws), offset + len(template))
-            share = sum(ws[i] == template[i - offset] for i in range(lo, hi)) / len(template)
-            if share >= min_score and all(places(ws, where, k, lo, hi) for k in keys):
-                labels.add(label)
-                score = max(score, share)
+            label = self.templates[t][0]
+            for offset in offsets:
+                if label in labels and score == 1.0:
+                    break
+                share = self.share(ws, where, t, offset, offsets, min_score)
+                if share is not None:
+                    labels.add(label)
+                    score = max(score, share)
         return (len(ws), len(starts), min(starts, default=None), max(starts, default=None),
                 ",".join(sorted(base)), ",".join(sorted(labels)), score)
 
+    def share(self, ws, where, t: int, offset: int, offsets: dict[int, set[bytes]], min_score: float) -> float | None:
+        """Share of the template's words at their place under an offset within ``slack`` of this one; None: no match."""
+        _, template, keys = self.templates[t]
+        band = range(offset - self.slack[t], offset + self.slack[t] + 1)
+        if len(set().union(*(offsets.get(o, ()) for o in band))) < self.need[t]:
+            return None
+        hits = sum(any(0 <= o + j < len(ws) and ws[o + j] == w for o in band) for j, w in enumerate(template))
+        lo, hi = max(0, band[0]), min(len(ws), band[-1] + len(template))
+        found = hits >= min_score * len(template) and all(places(ws, where, k, lo, hi) for k in keys)
+        return hits / len(template) if found else None
+
 
 _SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
            "labels string, score double")
