@@ -16,7 +16,7 @@ The boundary rule looks at both sides. ``!`` and ``?`` end a sentence. A period
 word ends it unless the next word is in lower case; a period after an abbreviation or a single
 upper-case letter ends it only before a starter: ``in La. The court`` splits, ``La. App.`` does not.
 
-Odd input: a null or blank text has no ends; a text's last word is never listed (nothing follows
+Odd input: a null or blank text has no ends; U+0001 counts as a blank in counting; a text's last word is never listed (nothing follows
 it); words that are no letters (``14.``) count as ordinary. ``key`` must tell the rows apart.
 """
 
@@ -33,6 +33,7 @@ from docket.sinks.tables import materialize
 WORD = r"^[\"“‘(\[]*(\p{L}(?:[\p{L}.'’-]*\p{L})?)([.]?)[,;:]?[\"”’)\]]*$"
 STOP = r"[.!?][\"”’)\]]*$"
 HARD_STOP = r"[!?][\"”’)\]]*$"
+_OPENING = "\x01"  # put before words that follow a pause; a blank where a text holds it
 PAUSE = r"[.!?:][\"”’)\]]*$"
 LOWER_NEXT = r"^[\"“‘(\[]*\p{Ll}"
 INITIAL = r"^\p{Lu}$"
@@ -43,29 +44,36 @@ NEAR_ALWAYS = 0.99
 
 def words_of(text: Column) -> Column:
     """The words of a text, cut at white space."""
-    return F.filter(F.split(text, r"[ \t\r\n]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[ \t\r\n]+", -1), "")
 
 
 def _type(word: Column) -> Column:
     return F.regexp_extract(word, WORD, 1)
 
 
-def _neighbours(docs: DataFrame, text: str, *keep: str) -> DataFrame:
-    """One row per word: number, the word, the one before and the one after."""
+def _stops(docs: DataFrame, text: str, *keep: str) -> DataFrame:
+    """One row per stop that a word follows: number, the word, the one after."""
     df = docs.select(*keep, words_of(F.col(text)).alias("_words"))
-    triples = F.transform("_words", lambda w, i: F.struct(
-        i.cast("long").alias("word_no"), w.alias("word"),
-        F.when(i > 0, F.get("_words", i - 1)).alias("before"), F.get("_words", i + 1).alias("after")))
-    return df.select(*keep, F.inline(triples))
+    places = F.when(F.size("_words") > 1, F.sequence(F.lit(0), F.size("_words") - 2)).otherwise(F.array().cast("array<int>"))
+    at = F.filter(places, lambda i: F.get("_words", i).rlike(STOP))  # only stops become rows
+    return df.select(*keep, F.inline(F.transform(at, lambda i: F.struct(
+        i.cast("long").alias("word_no"), F.get("_words", i).alias("word"), F.get("_words", i + 1).alias("after")))))
 
 
 def word_types(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per type: occurrences with and without a period, and those inside a sentence."""
-    w = _neighbours(docs, text).select(
-        _type(F.col("word")).alias("type"), (F.regexp_extract("word", WORD, 2) == ".").alias("dot"),
-        (F.col("before").isNotNull() & ~F.col("before").rlike(PAUSE)).alias("inside"))
+    """Per type: occurrences with and without a period, and those inside a sentence.
+
+    Words after a pause are marked in the text, so that equal words are counted before any of
+    them is looked at: the patterns run over distinct words.
+    """
+    plain = F.regexp_replace(F.translate(F.col(text), _OPENING, " "), r"^[ \t\r\n]+", "")
+    marked = F.regexp_replace(F.concat(F.lit(_OPENING), plain), r"([.!?:][\"”’)\]]*)[ \t\r\n]+", f"$1 {_OPENING}")
+    words = docs.select(F.explode(F.split(marked, r"[ \t\r\n]+", -1)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = words.select("n", F.col("word").startswith(_OPENING).alias("opens"), F.translate("word", _OPENING, "").alias("word"))
+    w = words.select("n", "opens", _type(F.col("word")).alias("type"), (F.regexp_extract("word", WORD, 2) == ".").alias("dot"))
+    number = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     return w.where(F.col("type") != "").groupBy("type").agg(
-        F.count_if("dot").alias("n_with"), F.count_if(~F.col("dot")).alias("n_without"), F.count_if("inside").alias("n_inside"))
+        number(F.col("dot")).alias("n_with"), number(~F.col("dot")).alias("n_without"), number(~F.col("opens")).alias("n_inside"))
 
 
 def starters(types: DataFrame) -> DataFrame:
@@ -103,9 +111,9 @@ def learn(docs: DataFrame, text: str = "text", least_score: float = LEAST_SCORE)
     suspects = types.select("*", ratio.alias("ratio"), score.alias("score")).where(
         (F.col("score") >= least_score) & (F.col("n_with") >= 4 * F.col("n_without")))
 
-    followed = _neighbours(docs, text).where(F.col("word").rlike(STOP) & F.col("after").isNotNull()).select(
-        _type(F.col("word")).alias("type"), _type(F.col("after")).alias("next_type"))
-    followed = followed.where(F.col("type") != "").groupBy("type", "next_type").agg(F.count("*").alias("n"))
+    followed = _stops(docs, text).groupBy("word", "after").agg(F.count("*").alias("n")).select(
+        "n", _type(F.col("word")).alias("type"), _type(F.col("after")).alias("next_type"))
+    followed = followed.where(F.col("type") != "").groupBy("type", "next_type").agg(F.sum("n").alias("n"))
     known = suspects.select("type", "n_with", "n_without", "ratio", F.lit(True).alias("suspect"))
     pairs = followed.join(known, "type", "left").where(F.col("suspect") | F.col("type").rlike(INITIAL))
     opening = starters(types).select(F.col("type").alias("next_type"), F.lit(True).alias("starts"))
@@ -128,7 +136,7 @@ def sentence_ends(docs: DataFrame, model: SentenceModel, key: str = "doc_id", te
     One join on (type, next word) against the decisions, a written table: small ones are
     broadcast by the adaptive plan, and a hot pair is split by it.
     """
-    stops = _neighbours(docs, text, key).where(F.col("word").rlike(STOP) & F.col("after").isNotNull()).select(
+    stops = _stops(docs, text, key).select(
         key, "word_no", "word", "after", _type(F.col("word")).alias("type"), _type(F.col("after")).alias("next_type"))
     found = stops.join(model.pairs, ["type", "next_type"], "left")
     soft = ~F.col("word").rlike(HARD_STOP)
