@@ -24,11 +24,15 @@ def word_text(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
 
 
+def _with(value: Column, then) -> Column:
+    """``then(value)``, the value worked out once: an expression inside a lambda is evaluated per element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def word_runs(words: Column) -> Column:
     """All runs of ``RUN`` words of a word text (a shorter text is its own run)."""
-    ws = F.split(words, " ")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - RUN + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.array_join(F.slice(ws, i, RUN), " "))
+    starts = lambda ws: F.sequence(F.lit(1), F.greatest(F.size(ws) - RUN + 1, F.lit(1)))
+    return _with(F.split(words, " "), lambda ws: F.transform(starts(ws), lambda i: F.array_join(F.slice(ws, i, RUN), " ")))
 
 
 def with_source(df: DataFrame, text: str = "text") -> DataFrame:
@@ -48,23 +52,32 @@ def with_source(df: DataFrame, text: str = "text") -> DataFrame:
 def ground(df: DataFrame, quotes: str = "quotes", text: str = "text", out: str = "grounding") -> DataFrame:
     """Add ``out``: an array with one record per quote, ``(status, page, coverage)``; ``quotes`` is ``array<struct<quote, page>>``."""
     df = with_source(df, text)
-    asked = F.transform(quotes, lambda q: F.struct(
-        word_text(q["quote"]).alias("words"), q["page"].alias("page"),
-        F.contains(F.col("_whole"), F.concat(F.lit(" "), word_text(q["quote"]), F.lit(" "))).alias("found")))
-    df = df.withColumn("_asked", F.transform(asked, lambda q: F.struct(q["words"], q["page"], (q["found"] & (q["words"] != "")).alias("found"))))
-    # the text's runs of words are needed only where a quote is not found as it is
-    runs = F.when(F.exists("_asked", lambda q: ~q["found"]), F.array_distinct(word_runs(F.trim("_whole"))))
-    df = df.withColumn("_runs", runs)
-
-    def record(q):
-        mine = F.array_distinct(word_runs(q["words"]))
-        share = F.when(q["found"], 1.0).when(q["words"] == "", 0.0).otherwise(F.size(F.array_intersect(mine, F.col("_runs"))) / F.size(mine))
-        begins = F.exists("_pages", lambda p: (p["page"] == q["page"]) & F.instr(
+    worded = F.transform(quotes, lambda q: F.struct(word_text(q["quote"]).alias("words"), q["page"].alias("page")))
+
+    def looked_up(q, whole):
+        found = F.contains(whole, F.concat(F.lit(" "), q["words"], F.lit(" "))) & (q["words"] != "")
+        mine = F.when(~found & (q["words"] != ""), F.array_distinct(word_runs(q["words"])))
+        return F.struct(q["words"], q["page"], found.alias("found"), mine.alias("runs"))
+
+    df = df.withColumn("_asked", _with(F.col("_whole"), lambda whole: F.transform(worded, lambda q: looked_up(q, whole))))
+    # the text's runs of words are needed only where a quote is not found as it is, and of them only those of such quotes
+    missed = F.flatten(F.filter(F.transform("_asked", lambda q: q["runs"]), lambda r: r.isNotNull()))
+    df = df.withColumn("_runs", F.when(F.exists("_asked", lambda q: q["runs"].isNotNull()), F.array_intersect(missed, word_runs(F.trim("_whole")))))
+
+    def shared(q, runs):
+        share = F.when(q["found"], 1.0).when(q["words"] == "", 0.0).when(
+            q["runs"].isNotNull(), F.size(F.array_intersect(q["runs"], runs)) / F.size(q["runs"]))
+        return F.struct(q["words"], q["page"], q["found"], share.alias("share"))
+
+    df = df.withColumn("_asked", _with(F.col("_runs"), lambda runs: F.transform("_asked", lambda q: shared(q, runs))))
+
+    def record(q, pages):
+        begins = F.exists(pages, lambda p: (p["page"] == q["page"]) & F.instr(
             p["words"], F.concat(F.lit(" "), q["words"], F.lit(" "))).between(1, p["size"] + 1))
         return F.struct(
-            F.when(q["found"], "found").when(share >= ALTERED, "altered").otherwise("missing").alias("status"),
+            F.when(q["found"], "found").when(q["share"] >= ALTERED, "altered").otherwise("missing").alias("status"),
             F.when(q["page"].isNull(), "none").when(q["found"] & begins, "right").when(q["found"], "wrong").alias("page"),
-            share.alias("coverage"))
+            q["share"].alias("coverage"))
 
-    df = df.withColumn(out, F.transform("_asked", record))
+    df = df.withColumn(out, _with(F.col("_pages"), lambda pages: F.transform("_asked", lambda q: record(q, pages))))
     return df.drop("_whole", "_pages", "_asked", "_runs")

@@ -111,3 +111,16 @@ def test_long_runs_of_capitalised_words(spark):
     captions = {r.doc_id: r.caption.citation for r in with_caption(df).collect()}
     assert captions[1] == run + cite and captions[5] == cite
     assert captions[6] == f"Doe v. Roe (COURT {run.strip()} June 30, 2015)" and captions[7] == f"{run.strip()} v. Roe (June 30, 2015)"
+
+
+def test_grounding_of_a_long_text_takes_time_in_proportion(spark):
+    import time
+
+    text = " ".join(f"w{i % 30_011}x{i % 7}" for i in range(60_000))
+    words = text.split()
+    asked = [{"quote": " ".join(words[k:k + 50] + ["zzz"] * 47), "page": None} for k in range(0, 40_000, 2_000)]
+    df = spark.createDataFrame([(text, asked)], "text string, quotes array<struct<quote:string,page:string>>")
+    began = time.time()
+    got = ground(df).first().grounding  # every word cut the whole text anew: minutes
+    assert time.time() - began < 30
+    assert [g.status for g in got] == ["altered"] * 20 and {g.coverage for g in got} == {47 / 51}
