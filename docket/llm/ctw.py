@@ -6,11 +6,13 @@ estimate is mixed half and half with what its longer contexts give, at every dep
 mixing weights follow in closed form from the training counts. The counts are sums over
 the whole training part of the corpus.
 
-Contexts up to two bytes are all in the tree (at most 65,536). A three-byte context is in
-the tree if it holds at least one in ``contexts`` training bytes, so at most ``contexts``
-can be (their counts sum to the corpus); the others of a parent share one further child.
-The model that reaches driver and tasks is therefore bounded by parameters: 256 numbers
-for each of at most ``contexts + 65,793`` leaves.
+All contexts of up to three bytes are in the tree, each with its own estimates. ``contexts``
+only says where a leaf's table is looked up: a three-byte context that holds at least one in
+``contexts`` training bytes (at most ``contexts`` can) is sent to every task; the tables of
+the others stay a table of rows, worked out per two-byte parent (at most 65,536 rows of counts
+each) and joined with what the documents hold of them. What reaches driver and tasks is
+bounded: 256 numbers for each of at most ``contexts + 65,793`` leaves, 510 for each two-byte
+context, and the numbers of the other contexts seen (at most 2^24).
 
 Base score: the ``head`` most frequent words (of at most 64 bytes) are sent to every task;
 the others are counted per document, joined with the table of word counts and summed.
@@ -158,20 +160,57 @@ class Node:
         return self.stop * self.one + (1 - self.stop) * longer
 
 
+def above(top, c: int, p: np.ndarray) -> np.ndarray:
+    """Mix estimates under the last byte ``c`` with those of that byte and of no context."""
+    root_stop, root_one, stop, one = top
+    return root_stop * root_one + (1 - root_stop) * (stop[c] * one[c] + (1 - stop[c]) * p)
+
+
+def by_context(t: pa.Table) -> tuple[np.ndarray, Node]:
+    """Three-byte contexts of byte-gram counts ``(gram, n)`` and their estimates."""
+    codes, n = t["gram"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.float64)
+    contexts, at = np.unique(codes >> 8, return_inverse=True)
+    counts = np.zeros((len(contexts), 256))
+    counts[at, codes & 255] = n
+    return contexts, Node(counts)
+
+
+def rest_sums(t: pa.Table) -> pa.Table:
+    """Of one parent's contexts that are not sent to the tasks: their numbers, and the sum of their ln estimates."""
+    contexts, node = by_context(t)
+    return pa.table({"parent": pa.array([int(contexts[0]) & 0xFFFF], pa.int64()), "contexts": pa.array([contexts], pa.list_(pa.int64())),
+                     "longer": pa.array([node.kt.sum(0).tobytes()], pa.binary())})
+
+
+def rest_logs(top, parents):
+    """Per-parent function: ``(context, logs)``, a leaf table for each context that is not sent to the tasks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        contexts, node = by_context(t)
+        parent = int(contexts[0]) & 0xFFFF
+        stop, one = parents.value[parent]
+        logs = byte_logs(above(top.value, parent & 255, stop * one + (1 - stop) * node.one)).astype(np.float32)
+        return pa.table({"context": pa.array(contexts, pa.int64()), "logs": pa.array(list(logs), pa.list_(pa.float32()))})
+
+    return run
+
+
 class Model:
     """Leaf tables of the weighted context tree.
 
     ``table[leaf, byte]`` is ln of the predictive probability; ``leaf`` is found by the last
-    three bytes (``rare`` for those of their parent not in the tree).
+    three bytes. The contexts not in ``three`` are ``rest``: sorted parents, and the sum of their
+    children's ln estimates at all decision nodes; their own tables come from ``rest_logs``.
+    Without ``rest`` those of a parent share one leaf.
     """
 
-    def __init__(self, two: np.ndarray, two_n: np.ndarray, three: np.ndarray, three_n: np.ndarray):
+    def __init__(self, two: np.ndarray, two_n: np.ndarray, three: np.ndarray, three_n: np.ndarray, rest=None):
         """Sorted codes (context bytes, then next byte) and counts at depth two and three."""
         by_last = np.zeros((256, 256))
         np.add.at(by_last, ((two >> 8) & 255, two & 255), two_n)
         root, last = Node(by_last.sum(0, keepdims=True)), Node(by_last)
         tables, self.three, self.leaf3, self.leaf2 = [], [], [], np.full(1 << 16, -1, np.int64)
-        staged, n_leaves = [], 0
+        staged, n_leaves, self.parents = [], 0, {}
         for c in range(256):  # all contexts that end in byte c
             mine, mine3 = (two >> 8) & 255 == c, (three >> 8) & 255 == c
             ctx2, at2 = np.unique(two[mine] >> 8, return_inverse=True)
@@ -183,13 +222,21 @@ class Model:
             counts3 = np.zeros((len(ctx3), 256))
             counts3[at3, three[mine3] & 255] = three_n[mine3]
             parent = np.searchsorted(ctx2, ctx3 & 0xFFFF)
-            rest = counts2.copy()
-            np.subtract.at(rest, parent, counts3)
-            leaves, other = Node(counts3), Node(rest)
-            longer = other.weighted.copy()
+            rest_counts = counts2.copy()
+            np.subtract.at(rest_counts, parent, counts3)
+            leaves, other = Node(counts3), Node(rest_counts)
+            if rest is None:
+                longer, unlisted = other.weighted.copy(), other.one
+            else:
+                longer, unlisted = np.zeros((len(ctx2), 255)), np.full((1, 255), 0.5)
+                own = rest[0] & 255 == c
+                longer[np.searchsorted(ctx2, rest[0][own])] = rest[1][own]
             np.add.at(longer, parent, leaves.weighted)
             middle = Node(counts2).mix(longer)
-            staged.append((c, ctx2, ctx3, parent, middle.predict(other.one),
+            if rest is not None:
+                own = np.searchsorted(ctx2, rest[0][own])
+                self.parents.update(zip(ctx2[own].tolist(), zip(middle.stop[own], middle.one[own])))
+            staged.append((c, ctx2, ctx3, parent, middle.predict(unlisted),
                            middle.stop[parent] * middle.one[parent] + (1 - middle.stop[parent]) * leaves.one,
                            middle.weighted.sum(0)))
         sums = np.zeros_like(last.kt)
@@ -197,7 +244,8 @@ class Model:
             sums[c] = total
         last.mix(sums)
         root.mix(last.weighted.sum(0, keepdims=True))
-        up = lambda c, p: root.predict(last.stop[c] * last.one[c] + (1 - last.stop[c]) * p)
+        self.top = (root.stop, root.one, last.stop, last.one)
+        up = lambda c, p: above(self.top, c, p)
         for c, ctx2, ctx3, _, p2, p3, _ in staged:
             tables += [byte_logs(up(c, p2)), byte_logs(up(c, p3))]
             self.leaf2[ctx2] = n_leaves + np.arange(len(ctx2))
@@ -213,34 +261,46 @@ class Model:
         self.table = np.concatenate(tables).astype(np.float32)
         self.three = np.concatenate(self.three) if self.three else np.zeros(0, np.int64)
         self.leaf3 = np.concatenate(self.leaf3) if self.leaf3 else np.zeros(0, np.int64)
+        self.joined = np.zeros(0, np.int64)
 
     def leaves(self) -> np.ndarray:
-        """Leaf of every three-byte context."""
+        """Leaf of every three-byte context; -1 for those whose table is joined."""
         out = np.tile(self.leaf2.astype(np.int32), 256)
         out[self.three] = self.leaf3
+        out[self.joined] = -1
         return out
 
 
-def fit(grams: DataFrame, contexts: int) -> Model:
-    """The model from byte-gram counts ``(gram, n)`` of the whole training part."""
+def fit(grams: DataFrame, contexts: int) -> tuple[Model, DataFrame]:
+    """The model from byte-gram counts ``(gram, n)`` of the whole training part, and the table ``(context, logs)`` of the rest."""
     total = grams.agg(F.sum("n")).first()[0] or 0
     kept = (grams.groupBy(F.shiftrightunsigned("gram", 8).alias("context")).agg(F.sum("n").alias("all"))
             .filter(F.col("all") * contexts >= total).select("context"))
-    three = grams.join(kept, F.shiftrightunsigned("gram", 8) == F.col("context"), "left_semi")
+    is_kept = F.shiftrightunsigned("gram", 8) == F.col("context")
+    three = grams.join(kept, is_kept, "left_semi")
+    rest = materialize(grams.join(kept, is_kept, "left_anti").select(
+        F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF).alias("parent"), "gram", "n"), "lm-rest").groupBy("parent")
     two = grams.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("n").alias("n"))
 
     def arrays(df):
         t = df.select("gram", "n").toArrow()
         return t["gram"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.float64)
 
-    return Model(*arrays(two), *arrays(three))
+    sums = rest.applyInArrow(rest_sums, "parent long, contexts array<long>, longer binary").toArrow().sort_by("parent")
+    longer = np.array([np.frombuffer(x.as_py()) for x in sums["longer"]]).reshape(-1, 255)
+    model = Model(*arrays(two), *arrays(three), (sums["parent"].to_numpy().astype(np.int64), longer))
+    model.joined = np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in sums["contexts"])])
+    sc = grams.sparkSession.sparkContext
+    logs = rest_logs(sc.broadcast(model.top), sc.broadcast(model.parents))
+    model.parents = {}
+    return model, materialize(rest.applyInArrow(logs, "context long, logs array<float>"), "lm-rest-tables")
 
 
 _LOADED: dict[str, tuple] = {}
 
 
 def scorer(model, head, key: str):
-    """Per-task function over batches ``(row, doc_id, text)``: model score and head words."""
+    """Per-task function over batches ``(row, doc_id, text)``: model score and head words, and what is to be joined."""
 
     def run(batches):
         if key not in _LOADED:
@@ -251,8 +311,16 @@ def scorer(model, head, key: str):
             done = 0
             for texts in pieces(lowered(batch.column(2))):
                 codes, starts = byte_grams(texts)
-                at = leaves[codes >> np.uint32(8)].astype(np.int64) << 8 | (codes & np.uint32(255))
-                logs = np.add.reduceat(table[at].astype(np.float64), starts) / math.log(10)
+                at = leaves[codes >> np.uint32(8)].astype(np.int64)
+                there = np.flatnonzero(at < 0)  # their leaf tables are joined: a document's grams with counts
+                in_doc = np.searchsorted(starts, there, "right") - 1
+                own, gram_ns = np.unique(in_doc.astype(np.uint64) << np.uint64(32) | codes[there], return_counts=True)
+                cuts = pa.array(np.searchsorted(own, np.arange(len(texts) + 1).astype(np.uint64) << np.uint64(32)).astype(np.int32))
+                rest = pa.ListArray.from_arrays(cuts, pa.array((own & np.uint64(0xFFFFFFFF)).astype(np.int64)))
+                rest_n = pa.ListArray.from_arrays(cuts, pa.array(gram_ns.astype(np.int32)))
+                found = table[np.where(at < 0, 0, at) << 8 | (codes & np.uint32(255))].astype(np.float64)
+                found[there] = 0
+                logs = np.add.reduceat(found, starts) / math.log(10)
                 sums, tokens, seen, tails, tail_ns = [], [], [], [], []
                 for t in texts:
                     own = Counter(t.split())
@@ -274,13 +342,13 @@ def scorer(model, head, key: str):
                     [batch.column(0)[rows], batch.column(1)[rows], pa.array(tokens, pa.int64()), pa.array(logs),
                      pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(sums, pa.float64()),
                      pa.array(seen, pa.int64()), pa.array(tails, pa.list_(pa.string())),
-                     pa.array(tail_ns, pa.list_(pa.int32()))], names=[c.split()[0] for c in _SCORED.split(", ")])
+                     pa.array(tail_ns, pa.list_(pa.int32())), rest, rest_n], names=[c.split()[0] for c in _SCORED.split(", ")])
 
     return run
 
 
 _SCORED = ("row long, doc_id long, n_tokens long, score double, n_bytes long, head_sum double, head_known long, "
-           "tail array<string>, tail_n array<int>")
+           "tail array<string>, tail_n array<int>, rest array<long>, rest_n array<int>")
 
 
 def score(docs: DataFrame, contexts: int = 1 << 16, head: int = 1 << 16, id_col: str = "doc_id",
@@ -300,7 +368,8 @@ def score(docs: DataFrame, contexts: int = 1 << 16, head: int = 1 << 16, id_col:
            .select(F.col("word").cast("binary"), "c").toArrow())
     known = {w: math.log10(c + 1) - floor for w, c in zip(top["word"].to_pylist(), top["c"].to_pylist())}
 
-    model, values = spark.sparkContext.broadcast(fit(grams, contexts)), spark.sparkContext.broadcast(known)
+    fitted, tables = fit(grams, contexts)
+    model, values = spark.sparkContext.broadcast(fitted), spark.sparkContext.broadcast(known)
     numbered = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     scored = materialize(numbered.mapInArrow(scorer(model, values, str(id(model)) + str(model._jbroadcast.id())), _SCORED),
                          "lm-scored")
@@ -309,8 +378,14 @@ def score(docs: DataFrame, contexts: int = 1 << 16, head: int = 1 << 16, id_col:
     tail = tail.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(floor))).alias("tail_sum"),
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("tail_known"))
+    rest = scored.select("row", F.explode(F.arrays_zip("rest", "rest_n")).alias("x")).select(
+        "row", F.shiftrightunsigned("x.rest", 8).alias("context"), F.col("x.rest").bitwiseAND(255).cast("int").alias("byte"), "x.rest_n")
+    rest = rest.join(tables, "context").groupBy("row").agg(
+        F.sum(F.col("rest_n") * F.get("logs", F.col("byte")).cast("double")).alias("rest_sum"))
     end = math.log10(docs_in + 1) - floor
-    return scored.drop("tail", "tail_n").join(tail, "row", "left").select(
+    scored = scored.drop("tail", "tail_n", "rest", "rest_n").join(tail, "row", "left").join(rest, "row", "left").withColumn(
+        "score", F.col("score") + F.coalesce("rest_sum", F.lit(0.0)) / math.log(10))
+    return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(docs_in > 0))).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),

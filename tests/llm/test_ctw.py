@@ -149,3 +149,19 @@ def test_scores_do_not_depend_on_partitions(spark, odd_docs):
 
 def test_empty_table(no_docs):
     assert ctw.score(no_docs).collect() == []
+
+
+def test_every_context_counts_wherever_its_table_is_looked_up(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcd é") for _ in range(rng.randint(0, 40))) for _ in range(28)] + [None, "zzz", "abc abc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some, one = ({r.doc_id: r for r in ctw.score(df, contexts=c).collect()} for c in (1 << 16, 1))  # all sent; all joined
+    train = [(t or "").encode() for i, t in enumerate(texts) if not some[i].held_out]
+    seen = {int(g) >> 8 for g in counted(train)[0]}
+    assert any(some[i].held_out for i in some) and len(train) < len(texts)
+    for i in some:
+        assert abs(some[i].score - one[i].score) < 1e-4
+    for i in (29, 30):
+        codes, _ = ctw.byte_grams([texts[i].encode()])
+        want = sum(reference(train, seen, int(g) >> 8, int(g) & 255) for g in codes.tolist())
+        assert abs(some[i].score * math.log(10) - want) < 1e-3
