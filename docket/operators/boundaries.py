@@ -66,11 +66,13 @@ def word_types(docs: DataFrame, text: str = "text") -> DataFrame:
     Words after a pause are marked in the text, so that equal words are counted before any of
     them is looked at: the patterns run over distinct words.
     """
-    plain = F.regexp_replace(F.translate(F.col(text), _OPENING, " "), r"^[ \t\r\n]+", "")
+    plain = F.regexp_replace(F.replace(F.col(text), F.lit(_OPENING), F.lit(" ")), r"^[ \t\r\n]+", "")
     marked = F.regexp_replace(F.concat(F.lit(_OPENING), plain), r"([.!?:][\"”’)\]]*)[ \t\r\n]+", f"$1 {_OPENING}")
     words = docs.select(F.explode(F.split(marked, r"[ \t\r\n]+", -1)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    words = words.select("n", F.col("word").startswith(_OPENING).alias("opens"), F.translate("word", _OPENING, "").alias("word"))
-    w = words.select("n", "opens", _type(F.col("word")).alias("type"), (F.regexp_extract("word", WORD, 2) == ".").alias("dot"))
+    words = words.select("n", F.col("word").startswith(_OPENING).alias("opens"), F.replace("word", F.lit(_OPENING), F.lit("")).alias("word"))
+    # the type holds the word's first letter, so it stands nowhere before; the period is what follows it
+    w = words.withColumn("type", _type(F.col("word"))).select("n", "opens", "type", F.col("word").substr(
+        F.instr("word", F.col("type")) + F.length("type"), F.lit(1)).eqNullSafe(".").alias("dot"))
     number = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     return w.where(F.col("type") != "").groupBy("type").agg(
         number(F.col("dot")).alias("n_with"), number(~F.col("dot")).alias("n_without"), number(~F.col("opens")).alias("n_inside"))
@@ -108,14 +110,15 @@ def learn(docs: DataFrame, text: str = "text", least_score: float = LEAST_SCORE)
     types = materialize(word_types(docs, text), "sentence_types")
     n_with, n_without = types.agg(F.coalesce(F.sum("n_with"), F.lit(0)), F.coalesce(F.sum("n_without"), F.lit(0))).first()
     ratio, score = _score(n_with / max(n_with + n_without, 1))
-    suspects = types.select("*", ratio.alias("ratio"), score.alias("score")).where(
-        (F.col("score") >= least_score) & (F.col("n_with") >= 4 * F.col("n_without")))
-
-    followed = _stops(docs, text).groupBy("word", "after").agg(F.count("*").alias("n")).select(
-        "n", _type(F.col("word")).alias("type"), _type(F.col("after")).alias("next_type"))
-    followed = followed.where(F.col("type") != "").groupBy("type", "next_type").agg(F.sum("n").alias("n"))
-    known = suspects.select("type", "n_with", "n_without", "ratio", F.lit(True).alias("suspect"))
-    pairs = followed.join(known, "type", "left").where(F.col("suspect") | F.col("type").rlike(INITIAL))
+    suspects = materialize(types.select("*", ratio.alias("ratio"), score.alias("score")).where(
+        (F.col("score") >= least_score) & (F.col("n_with") >= 4 * F.col("n_without"))), "sentence_suspects")
+
+    # only stops after suspects and initials are counted; the written suspects are few, and joined before the counts
+    known = suspects.select("type", F.lit(True).alias("suspect"))
+    stops = _stops(docs, text).select(_type(F.col("word")).alias("type"), "after").where(F.col("type") != "")
+    counted = stops.join(known, "type", "left").where(F.col("suspect") | F.col("type").rlike(INITIAL))
+    counted = counted.groupBy("type", "suspect", "after").agg(F.count("*").alias("n"))
+    pairs = counted.groupBy("type", "suspect", _type(F.col("after")).alias("next_type")).agg(F.sum("n").alias("n"))
     opening = starters(types).select(F.col("type").alias("next_type"), F.lit(True).alias("starts"))
     pairs = materialize(pairs.join(opening, "next_type", "left").fillna({"starts": False}), "sentence_pairs")
 
