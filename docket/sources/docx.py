@@ -1,8 +1,7 @@
 """Word-document ingest (R01-R03) as a Spark job.
 
-``read_docx_folder`` lists a folder with the ``binaryFile`` source (suffix filter
-pushed into the listing, no recursion) and extracts body text in a
-``mapInPandas`` task with the standard library only: the body's top-level
+``read_docx_folder`` lists a folder (by suffix, no recursion) and extracts body text in
+``mapInPandas`` tasks with the standard library only: the body's top-level
 paragraphs are joined with newlines, runs' text, tabs and line breaks kept,
 tables skipped. Unreadable files come out with ``text`` null and ``error`` set,
 so a quarantine table is a filter, and they never reach the analysis.
@@ -83,8 +82,19 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_docx_folder(spark: SparkSession, folder: str, suffix: str = ".docx") -> DataFrame:
-    """R01 + R02 + R03: ``(path, filename, text, error)`` for every ``*<suffix>`` file."""
+    """R01 + R02 + R03: ``(path, filename, text, error)`` for every ``*<suffix>`` file.
+
+    Hidden names, folders and files of no bytes are left out, as ``binaryFile`` does. That source keeps the
+    status of every file on the driver and packs some thirty files to a task, so a folder on a mount
+    is listed in a task (``sources.folder``) and its files are dealt out; other stores go through ``binaryFile``.
+    """
+    from docket.sources.folder import list_folder, qualified, read_listed
+
     ship_package(spark)
+    if qualified(spark, folder).startswith("file:"):
+        hidden = F.col("filename").startswith(".") | F.col("filename").startswith("_") & ~F.contains("filename", F.lit("="))
+        files = list_folder(spark, folder, suffix).where(~hidden & ~F.col("is_folder") & (F.col("length") > 0))
+        return read_listed(files)
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*" + suffix)

@@ -130,14 +130,32 @@ def list_folder(spark: SparkSession, folders: str | list[str], suffix: str = ".d
     return spark.read.format("folder").option("suffix", suffix).option("path", where).load()
 
 
+_ROWS, _CHARS = 256, 1 << 22  # of texts held before they are sent on
+
+
 def _extract_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["path", "filename", "text", "error"]
+    rows, size = [], 0
     for pdf in batches:
         for path, name in zip(pdf["path"], pdf["filename"]):  # one file's bytes in memory at a time
             try:
                 row = (path, name, docx_text(read_bytes(path)), None)
             except Exception as e:  # quarantine, never fail the task
                 row = (path, name, None, f"{type(e).__name__}: {e}")
-            yield pd.DataFrame([row], columns=["path", "filename", "text", "error"])
+            rows.append(row)
+            size += len(row[2] or "")
+            if len(rows) >= _ROWS or size >= _CHARS:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def read_listed(files: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``(path, filename, text, error)`` of listed files, dealt out by a hash of the path."""
+    # by number: the adaptive plan would put the few bytes of thousands of names into one task
+    partitions = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path", "filename").repartition(partitions, "path").mapInPandas(_extract_files, EXTRACT_DDL)
 
 
 def read_docx_files(spark: SparkSession, folders: str | list[str], suffix: str = ".docx",
@@ -147,6 +165,4 @@ def read_docx_files(spark: SparkSession, folders: str | list[str], suffix: str =
     The listing's narrow rows are dealt out by a hash of the path (``partitions`` tasks, or the
     session's shuffle partitions), so the tasks that open files do not follow the folders.
     """
-    listed = list_folder(spark, folders, suffix).select("path", "filename")
-    dealt = listed.repartition(partitions, "path") if partitions else listed.repartition("path")
-    return dealt.mapInPandas(_extract_files, EXTRACT_DDL)
+    return read_listed(list_folder(spark, folders, suffix), partitions)

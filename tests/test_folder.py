@@ -115,3 +115,17 @@ def test_store_without_buckets_and_other_digits(spark, tmp_dir):
     assert one.count() == 50 and len([f for f in os.listdir(f"{tmp_dir}/compact") if f.startswith("bucket=")]) <= 16
     again = answer(asked(spark, 0, 50), StubClient, CFG, f"{tmp_dir}/compact")
     assert again.count() == 50 and not os.path.exists(f"{tmp_dir}/compact_waves")
+
+
+def test_files_of_a_mount_are_listed_and_dealt_out_in_tasks(spark, tmp_path):
+    from docket.sources.docx import docx_bytes
+
+    names = ["a.docx", "_b.docx", ".c.docx", "~$d.docx", "_e=f.docx", "g h%20.docx", "i.DOCX", "j.txt"]
+    for n in names:
+        (tmp_path / n).write_bytes(docx_bytes(n))
+    (tmp_path / "k.docx").write_bytes(b"")
+    (tmp_path / "l.docx").mkdir()
+    files = read_docx_folder(spark, str(tmp_path))
+    assert "binaryFile" not in files._jdf.queryExecution().toString()  # whose listing the driver holds
+    assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r.filename: r.text for r in files.collect()} == {n: n for n in ("a.docx", "~$d.docx", "_e=f.docx", "g h%20.docx")}
